@@ -21,7 +21,9 @@ from siltstone.llm.common import chunks, parts_for, pick, utf8, word_hashes, wor
 _RADIX = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
 #: Bytes of text to a bucket; its entries take about 1.6 times as much.
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 16 << 20
+#: Bytes of text hashed together; arrays of a chunk take about 16 times as much.
+CHUNK_BYTES = 8 << 20
 
 _ENTRY = pa.schema([("bucket", pa.int32()), ("ids", pa.binary()), ("runs", pa.binary()), ("hashes", pa.binary()), ("spots", pa.binary())])
 _HIT = pa.schema([("id", pa.int64()), ("sig", pa.int64()), ("spots", pa.binary())])
@@ -32,14 +34,14 @@ def window_hashes(words: np.ndarray, bounds: np.ndarray, window: int) -> tuple[n
     """Of each window within a row: rolling hash, row, place of its first word in the row."""
     n = len(words) - window + 1
     if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
     roll = np.zeros(n, np.uint64)
     for k in range(window):
         roll *= _RADIX
         roll += words[k : k + n]
     count = np.maximum(np.diff(bounds) - window + 1, 0)
-    row = np.repeat(np.arange(len(count)), count)
-    spot = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    row = np.repeat(np.arange(len(count), dtype=np.int32), count)
+    spot = np.arange(len(row), dtype=np.int32) - np.repeat((np.cumsum(count) - count).astype(np.int32), count)
     return roll[bounds[:-1][row] + spot], row, spot
 
 
@@ -59,7 +61,7 @@ def _packed(rows: np.ndarray, spots: np.ndarray):
 
 def _mapper(window: int, buckets: int):
     def run(batches):
-        for table in chunks(batches):
+        for table in chunks(batches, CHUNK_BYTES):
             ids, sig = (table.column(c).to_numpy() for c in ("id", "sig"))
             data, offsets = utf8(table.column("text"))
             start, end, bounds = word_spans(data, offsets)
@@ -108,34 +110,34 @@ def _mapper(window: int, buckets: int):
 
 def _reducer(table: pa.Table) -> pa.Table:
     found: list[pa.RecordBatch] = []
-    sides: list[tuple[np.ndarray, ...]] = []
-    for keys, runs, hashes, spots in zip(*(table.column(c) for c in ("ids", "runs", "hashes", "spots")), strict=True):
-        key = np.frombuffer(keys.as_buffer(), "<i8").reshape(-1, 2)
+    keys, rolls, docs, spots, n = [], [], [], [], 0
+    for packed, runs, hashes, places in zip(*(table.column(c) for c in ("ids", "runs", "hashes", "spots")), strict=True):
+        key = np.frombuffer(packed.as_buffer(), "<i8").reshape(-1, 2)
         if not runs.is_valid:
-            found.append(pa.record_batch([pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array([spots.as_py()], pa.binary())], schema=_HIT))
+            found.append(pa.record_batch([pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array([places.as_py()], pa.binary())], schema=_HIT))
             continue
         run = np.frombuffer(runs.as_buffer(), "<u4").astype(np.int64)
-        step = np.frombuffer(spots.as_buffer(), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
-        total = np.cumsum(step)
+        step = np.frombuffer(places.as_buffer(), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
         head = np.cumsum(run) - run
-        spot = total - np.repeat(total[head] - step[head], run)
-        sides.append((np.frombuffer(hashes.as_buffer(), "<u8"), np.repeat(key, run, axis=0), spot))
-    if sides:
-        roll = np.concatenate([x[0] for x in sides])
-        key = np.concatenate([x[1] for x in sides])
-        spot = np.concatenate([x[2] for x in sides])
+        total = np.cumsum(step, dtype=np.int64)
+        spots.append((total - np.repeat(total[head] - step[head], run)).astype(np.int32))
+        docs.append(np.repeat(np.arange(n, n + len(key), dtype=np.int32), run))
+        rolls.append(np.frombuffer(hashes.as_buffer(), "<u8"))
+        keys.append(key)
+        n += len(key)
+    if keys:
+        key, roll, doc, spot = (np.concatenate(x) for x in (keys, rolls, docs, spots))
         order = np.argsort(roll)
         begin = _runs(roll[order])
         size = np.diff(np.r_[begin, len(roll)])
         again = np.repeat(size > 1, size)
-        order, group = order[again], np.repeat(np.arange(len(size)), size)[again]
+        order, size = order[again], size[size > 1]
         if len(order):
-            begin = _runs(group)
-            least = np.repeat(np.minimum.reduceat(key[order, 0], begin), np.diff(np.r_[begin, len(group)]))
-            order = order[key[order, 0] > least]
+            ids = key[doc[order], 0]
+            order = order[ids > np.repeat(np.minimum.reduceat(ids, np.cumsum(size) - size), size)]
         if len(order):
-            pairs, row = np.unique(key[order], axis=0, return_inverse=True)
-            which, packed = _packed(row.ravel(), spot[order])
+            pairs, where = np.unique(key, axis=0, return_inverse=True)
+            which, packed = _packed(where.ravel()[doc[order]], spot[order])
             found.append(pa.record_batch([pa.array(pairs[which, 0]), pa.array(pairs[which, 1]), pa.array(packed, pa.binary())], schema=_HIT))
     return pa.Table.from_batches(found, _HIT)
 
