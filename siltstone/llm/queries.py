@@ -22,3 +22,31 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = near_duplicates(_table(spark, sf_dir, "documents"), "doc_id", "text", words=4, seed=42, bits=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.topk import top_products
+
+    return top_products(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10, 1024)
+
+
+def op9_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.collision_ann import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    from siltstone.llm.bpe import decode, encode, read_ranks
+
+    ranks = read_ranks(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    encoded = encode(_table(spark, sf_dir, "documents"), ranks, pattern or public_tokenizers.PATTERN, "doc_id", "text")
+    both = decode(encoded, ranks, "doc_id", "ids")
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
