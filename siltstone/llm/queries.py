@@ -50,3 +50,64 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str, ranks_path: str | None = None
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    from siltstone.llm.common import shared_dir
+    from siltstone.llm.warc import read_archives, write_archives
+
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    write_archives(_table(spark, sf_dir, "pages"), path, min_bytes=1000)
+    return read_archives(spark, path, payloads=False).drop("payload", "url")
+
+
+#: Sites, of about twenty sources, from which a line counts as boilerplate.
+MIN_SITES = 10
+
+
+def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.line_spread import remove_spread_lines
+
+    found = remove_spread_lines(_table(spark, sf_dir, "documents"), MIN_SITES)
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("clean_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+#: Domains are the residues of a source's number; weights by level; the share of all tokens asked for; epochs allowed.
+DOMAINS, WEIGHTS, SHARE, EPOCHS, SEED = 3, {"domain": {"domain0": 3, "domain1": 2, "domain2": 1}, "lang": {"en": 3, "*": 2}, "source": {"src0": 2, "*": 1}}, 0.8, 2, 13
+
+
+def domain_of_source():
+    """The domain of a source: its number's residue, or 'other'."""
+    number = F.regexp_extract("source", "([0-9]+)$", 1)
+    return F.when(number == "", "other").otherwise(F.concat(F.lit("domain"), F.pmod(F.expr("try_cast(regexp_extract(source, '([0-9]+)$', 1) as bigint)"), F.lit(DOMAINS))))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.mixing import mix
+
+    budget = F.floor(F.col("tokens") * int(SHARE * 10) / 10)
+    found = mix(_table(spark, sf_dir, "documents"), domain_of_source(), WEIGHTS, budget, EPOCHS, SEED)
+    return found.select("doc_id", "domain", "lang", "source", "n_tokens", "epochs", "partial")
+
+
+def op1_page_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.page_diff import extract
+
+    found = extract(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def held_out(id_col):
+    """Rows that no label is learnt from."""
+    return F.crc32(id_col.cast("string").cast("binary")) % 5 == 0
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.toxicity import score, train
+
+    docs = _table(spark, sf_dir, "documents")
+    model = train(docs, _table(spark, sf_dir, "labels"), ~held_out(F.col("id")))
+    found = score(docs, model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
