@@ -21,7 +21,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.simhash import near_duplicates
 
     found = near_duplicates(_table(spark, sf_dir, "documents"), "doc_id", "text", words=4, seed=42, bits=4)
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
 def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,11 +8,14 @@ The cells' members are then compared bit by bit, and each cell returns a star fo
 link a member.  Which groups are used depends on the number of fingerprints only; every choice finds all pairs.
 
 Equal fingerprints are one node, so copies never multiply pairs.  A cell with more than PART members is dealt out as
-pairs of parts.
+pairs of parts.  Wide thresholds leave no grid that prunes; then all pairs of parts are compared, which takes time with
+the square of the number of different texts.  Longer fingerprints (more `prints`) settle such pairs exactly as the
+longer sketch would.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import product
 
 import numpy as np
@@ -21,23 +24,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import chunks, durable, parts_for, pick
+from siltstone.llm.common import chunks, durable, mix, pick
 from siltstone.llm.graph import components
 
-#: Members of a cell that one task compares with each other.
-PART = 32768
+#: Members of a cell that one task compares with each other at most; bytes of text fingerprinted at a time.
+PART, CHUNK_BYTES = 131072, 8 << 20
 #: Shingles hashed at a time.
-_BLOCK = 1 << 18
+_BLOCK = 1 << 16
 _SEGMENTS = 32
 _PACKED = pa.schema([("cell", pa.int64()), ("n", pa.int64()), ("members", pa.binary())])
 _EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
-def fingerprint(text: bytes, words: int, seed: int) -> bytes:
-    """Eight bytes, the most significant first."""
+def fingerprint(text: bytes, words: int, seed: int, prints: int = 1) -> bytes:
+    """`prints` times eight bytes, the most significant first; from the second on the hashes are mixed anew."""
     tokens = text.lower().split()
     if not tokens:
-        return bytes(8)
+        return bytes(8 * prints)
     joined = b" ".join(tokens)
     size = np.fromiter(map(len, tokens), np.int64, len(tokens))
     stop = np.cumsum(size + 1) - 1
@@ -46,28 +49,36 @@ def fingerprint(text: bytes, words: int, seed: int) -> bytes:
         start, stop = start[: len(tokens) - words + 1], stop[words - 1 :]
     else:
         start, stop = start[:1], stop[-1:]
-    ones = np.zeros(64, np.int64)
+    ones = np.zeros((prints, 64), np.int64)
     for a in range(0, len(start), _BLOCK):
         spans = zip(start[a : a + _BLOCK].tolist(), stop[a : a + _BLOCK].tolist(), strict=True)
-        hashes = b"".join([xxhash.xxh64_digest(joined[b:e], seed) for b, e in spans])
-        ones += np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        hashes = np.frombuffer(b"".join([xxhash.xxh64_digest(joined[b:e], seed) for b, e in spans]), ">u8")
+        for k in range(prints):
+            own = hashes if k == 0 else mix(hashes.astype(np.uint64) + np.uint64(k)).astype(">u8")
+            ones[k] += np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return np.packbits(ones * 2 > len(start)).tobytes()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42) -> DataFrame:
-    """id, fp: the SimHash of each row's whole text.  A null text is as an empty one: zero.  A null id stays null."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42, prints: int = 1) -> DataFrame:
+    """id, sig, fp: the SimHash bytes of each row's whole text, and a hash of its text.
+
+    A null text is as an empty one: zeros.  A null id stays null.
+    """
 
     def run(batches):
-        for table in chunks(batches, 8 << 20):
-            found = b"".join(fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", words, seed) for t in table.column("text"))
-            yield pa.record_batch([table.column("id").combine_chunks(), pa.array(np.frombuffer(found, ">i8").astype(np.int64))], names=["id", "fp"])
+        for table in chunks(batches, CHUNK_BYTES):
+            found = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", words, seed, prints) for t in table.column("text")]
+            yield pa.record_batch([table.column("id").combine_chunks(), table.column("sig").combine_chunks(), pa.array(found, pa.binary())], names=["id", "sig", "fp"])
 
-    rows = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "id long, fp long")
+    rows = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("sig"), F.col("text").cast("string"))
+    return rows.mapInArrow(run, "id long, sig long, fp binary")
 
 
 def _plan(n: float, bits: int) -> list[tuple[list[int], int]]:
-    """Groups of segments, each with its radius: the cheapest of a few choices for n fingerprints."""
+    """Groups of segments, each with its radius: the cheapest of a few choices for n fingerprints.
+
+    One group of no segments, a single cell for all, is the choice where the threshold is too wide for any grid.
+    """
 
     def groups(radii):
         cut = np.linspace(0, _SEGMENTS, len(radii) + 1).round().astype(int)
@@ -77,10 +88,10 @@ def _plan(n: float, bits: int) -> list[tuple[list[int], int]]:
         looks = [sum(_ways(len(s), d) for d in range(r + 1)) for s, r in choice]
         return sum(400 * n * x + n * n * x * 0.375 ** len(s) for x, (s, _) in zip(looks, choice, strict=True))
 
-    least = (bits + 1) // 2
-    radii = [[0] * (bits + 1)] + ([[1] * least + [0] * ((bits + 1) - 2 * least)] if bits else [])
-    radii += [[2, 1]] if bits == 4 else []
-    return min((groups([r for r in x]) for x in radii), key=cost)
+    choices = [[([], 0)], groups([0] * (bits + 1))]
+    choices += [groups([1] * (bits // 2) + [0] * (bits % 2 + 1))] if bits > 1 else []
+    choices += [groups([2, 1])] if bits <= 4 else []
+    return min((c for c in choices if sum(r + 1 for _, r in c) > bits or not c[0][0]), key=cost)
 
 
 def _ways(dims: int, distance: int) -> int:
@@ -102,22 +113,21 @@ def _counts(fp: np.ndarray) -> np.ndarray:
     return np.stack([(pairs >> np.uint64(2 * k)) & np.uint64(3) for k in range(_SEGMENTS)], axis=1).astype(np.int64)
 
 
-def _embed(plan):
-    """Map fingerprints with their node to packed members of cells; a member is (fp, node, at home)."""
+def _embed(plan, prints: int):
+    """Map fingerprints with their node to packed members of cells; a member is (prints, node, at home)."""
 
     def run(batches):
-        held = [b for b in batches if b.num_rows]
-        for a in range(0, len(held), 16):
-            table = pa.Table.from_batches(held[a : a + 16])
-            fp, node = table.column("fp").to_numpy(), table.column("node").to_numpy()
-            counts = _counts(fp)
+        for batch in batches:
+            fps = np.frombuffer(b"".join(batch.column("fp").to_pylist()), ">i8").astype(np.int64).reshape(-1, prints)
+            node = batch.column("node").to_numpy()
+            counts = _counts(fps[:, 0])
             for g, (segments, radius) in enumerate(plan):
                 base = 3 ** np.arange(len(segments), dtype=np.int64)
                 for k, shift in enumerate(_shifts(len(segments), radius)):
                     at = counts[:, segments] + shift
                     inside = ((at >= 0) & (at <= 2)).all(axis=1)
                     cell = (at[inside] @ base) * len(plan) + g
-                    member = np.column_stack([fp[inside], node[inside], np.full(len(cell), int(k == 0))]).astype("<i8")
+                    member = np.column_stack([fps[inside], node[inside], np.full(len(cell), int(k == 0))]).astype("<i8")
                     order = np.argsort(cell, kind="stable")
                     cell, member = cell[order], member[order]
                     begin = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
@@ -128,30 +138,36 @@ def _embed(plan):
     return run
 
 
-def _deal(batches):
+def _deal(prints: int):
     """Deal the members of cells in `parts` parts out to the pairs of parts."""
     names = ["cell", "i", "j", "members"]
-    for batch in batches:
-        out = {n: [] for n in names}
-        for cell, packed, parts in zip(*(batch.column(c) for c in ("cell", "members", "parts")), strict=True):
-            member, p = np.frombuffer(packed.as_buffer(), "<i8").reshape(-1, 3), parts.as_py()
-            own = (member[:, 0].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % p
-            for a in np.unique(own).tolist():
-                some = member[own == a].tobytes()
-                for b in range(p):
-                    for n, x in zip(names, (cell.as_py(), min(a, b), max(a, b), some), strict=True):
-                        out[n].append(x)
-        yield pa.record_batch([pa.array(out["cell"], pa.int64()), pa.array(out["i"], pa.int64()), pa.array(out["j"], pa.int64()), pa.array(out["members"], pa.binary())], names=names)
-
-
-def link(fp: np.ndarray, home: np.ndarray, bits: int) -> np.ndarray:
-    """A label for each fingerprint: equal for those that chains of pairs within `bits` join, one of each pair at home."""
-    label = np.arange(len(fp))
-    fp = fp.astype(np.uint64)
-    own = np.flatnonzero(home)
+
+    def run(batches):
+        for batch in batches:
+            for cell, packed, parts in zip(*(batch.column(c) for c in ("cell", "members", "parts")), strict=True):
+                member, p = np.frombuffer(packed.as_buffer(), "<i8").reshape(-1, prints + 2), parts.as_py()
+                own = (member[:, prints].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % p
+                rows = [(min(a, b), max(a, b), some) for a in np.unique(own).tolist() for some in [member[own == a].tobytes()] for b in range(p)]
+                i, j, held = zip(*rows, strict=True)
+                yield pa.record_batch([pa.array([cell.as_py()] * len(rows), pa.int64()), pa.array(i, pa.int64()), pa.array(j, pa.int64()), pa.array(held, pa.binary())], names=names)
+
+    return run
+
+
+def link(fps: np.ndarray, home: np.ndarray, bits: int, total: int | None = None) -> np.ndarray:
+    """A label for each row of fingerprints: equal for those that chains of links join, one of each link at home.
+
+    Rows link within `bits` in their first print and, if given, within `total` over all prints.
+    """
+    label = np.arange(len(fps))
+    fps = fps.astype(np.uint64)
+    first, own = np.ascontiguousarray(fps[:, 0]), np.flatnonzero(home)
     for a in range(0, len(own), 64):
         some = own[a : a + 64]
-        near = np.bitwise_count(fp[some, None] ^ fp[None, :]) <= bits
+        near = np.bitwise_count(first[some, None] ^ first[None, :]) <= bits
+        if total is not None:
+            i, j = np.nonzero(near)
+            near[i, j] = np.bitwise_count(fps[some[i]] ^ fps[j]).sum(axis=1) <= total
         for i in np.flatnonzero(near.sum(axis=1) > 1):
             labels = np.unique(label[near[i]])
             if len(labels) > 1:
@@ -159,43 +175,50 @@ def link(fp: np.ndarray, home: np.ndarray, bits: int) -> np.ndarray:
     return label
 
 
-def _verify(bits: int):
+def _verify(bits: int, prints: int, total: int | None):
     def run(table: pa.Table) -> pa.Table:
-        member = np.concatenate([np.frombuffer(x.as_buffer(), "<i8").reshape(-1, 3) for x in table.column("members")])
-        member = member[np.argsort(member[:, 1], kind="stable")]
-        label = link(member[:, 0], member[:, 2] == 1, bits)
-        own = np.arange(len(label))
-        edge = label != own
+        member = np.concatenate([np.frombuffer(x.as_buffer(), "<i8").reshape(-1, prints + 2) for x in table.column("members")])
+        label = link(member[:, :prints], member[:, -1] == 1, bits, total)
         least = np.full(len(label), np.iinfo(np.int64).max)
-        np.minimum.at(least, label, member[:, 1])
-        edge = least[label] != member[:, 1]
-        return pa.Table.from_arrays([pa.array(member[edge, 1]), pa.array(least[label][edge])], schema=_EDGES)
+        np.minimum.at(least, label, member[:, prints])
+        root = least[label]
+        edge = root != member[:, prints]
+        return pa.Table.from_arrays([pa.array(member[edge, prints]), pa.array(root[edge])], schema=_EDGES)
 
     return run
 
 
-def near_links(nodes: DataFrame, bits: int) -> DataFrame:
+def near_links(nodes: DataFrame, bits: int, prints: int = 1, total: int | None = None) -> DataFrame:
     """Links u, v that join all nodes (node, fp; fp distinct) within `bits` of each other, as stars of each grid cell."""
-    plan = _plan(nodes.count(), bits)
-    packed = nodes.mapInArrow(_embed(plan), "cell long, n long, members binary")
-    large = packed.groupBy("cell").agg(F.sum("n").alias("n")).filter(F.col("n") > PART).select("cell", F.ceil(F.col("n") / (PART / 2)).alias("parts"))
-    dealt = packed.join(large, "cell", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+    n = nodes.count()
+    plan = _plan(n, bits)
+    packed = nodes.mapInArrow(_embed(plan, prints), "cell long, n long, members binary")
+    sizes = packed.groupBy("cell").agg(F.sum("n").alias("n"))
+    if plan[0][0]:
+        parts = sizes.filter(F.col("n") > PART).select("cell", F.ceil(F.col("n") / (PART / 2)).alias("parts"))
+    else:  # one cell: its pairs of parts are all the tasks there are
+        tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        parts = sizes.select("cell", F.greatest(F.ceil(F.col("n") / (PART / 2)), F.least(F.lit(math.isqrt(4 * tasks)), F.ceil(F.col("n") / 64))).alias("parts"))
+    dealt = packed.join(parts, "cell", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
     return (
-        dealt.mapInArrow(_deal, "cell long, i long, j long, members binary")
+        dealt.mapInArrow(_deal(prints), "cell long, i long, j long, members binary")
         .groupBy("cell", "i", "j")
-        .applyInArrow(_verify(bits), "u long, v long")
+        .applyInArrow(_verify(bits, prints, total), "u long, v long")
     )
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42, bits: int = 4) -> DataFrame:
-    """Per row: id_col, fp (64 bits as a signed long), component_id (the least id that chains of links reach).
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42, bits: int = 4, prints: int = 1, total: int | None = None
+) -> DataFrame:
+    """Per row: id_col, sig (a hash of the text), fp (the bytes of its prints), component_id (the least id in reach).
 
-    Rows link where their fingerprints differ in at most `bits` bits; rows without words have fingerprint zero and link
-    alike.  Rows that repeat an id each return.  A row with a null id links nothing and has a null component.
+    Rows link where their first prints differ in at most `bits` bits and, if `total` is given, all prints in at most
+    `total`; rows without words have prints of zeros and link alike.  Rows that repeat an id each return.  A row with a
+    null id links nothing and has a null component.
     """
-    rows = durable(fingerprints(docs, id_col, text_col, words, seed))
+    rows = durable(fingerprints(docs, id_col, text_col, words, seed, prints))
     nodes = durable(rows.filter("id is not null").groupBy("fp").agg(F.min("id").alias("node")))
-    roots = components(near_links(nodes, bits))
+    roots = components(near_links(nodes, bits, prints, total))
     classes = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     found = rows.join(classes, "fp", "left")
-    return found.select(F.col("id").alias(id_col), "fp", F.expr("if(id is null, null, component_id)").alias("component_id"))
+    return found.select(F.col("id").alias(id_col), "sig", "fp", F.expr("if(id is null, null, component_id)").alias("component_id"))

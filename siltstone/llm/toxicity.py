@@ -147,13 +147,17 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, prior: float | N
     return fit(_sampled(rows.join(toxic, "id", "left_semi"), MOST_POSITIVE, seed), _sampled(rows, MOST_UNLABELLED, seed), float(prior))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, score of every row; null and empty texts get the intercept's."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """id_col, the columns of `carry`, and score of every row; null and empty texts get the intercept's."""
+    held, carry = docs.sparkSession.sparkContext.broadcast(model), carry or []
+    rows = pick(docs, id=id_col, text=text_col, **{f"carried{i}": c for i, c in enumerate(carry)})
+    rows = rows.withColumns({"id": F.col("id").cast("long"), "text": F.col("text").cast("string")})
 
     def run(batches):
         for table in chunks(batches, 4 << 20):
-            yield pa.record_batch([table.column("id").combine_chunks(), pa.array(held.value.scores(table.column("text")))], names=["id", "score"])
+            columns = [table.column(n).combine_chunks() for n in names]
+            yield pa.record_batch([*columns, pa.array(held.value.scores(table.column("text")))], names=[*names, "score"])
 
-    rows = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "id long, score double").withColumnRenamed("id", id_col)
+    names = rows.drop("text").columns
+    schema = rows.select(*names).withColumn("score", F.lit(0.0)).schema
+    return rows.mapInArrow(run, schema).toDF(id_col, *carry, "score")
