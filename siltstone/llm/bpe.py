@@ -27,7 +27,7 @@ from siltstone.llm.common import chunks, pick, ragged
 
 _NONE = np.int32(2**31 - 1)
 #: Bytes of text that share one replay; pieces of a text taken at a time.
-CHUNK_BYTES, _PIECES = 32 << 20, 1 << 20
+CHUNK_BYTES, _PIECES = 12 << 20, 1 << 20
 _TABLES: dict[bytes, Merges] = {}
 
 
@@ -210,7 +210,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
             number.default_factory = number.__len__
             codes = [_codes(match, t.as_py(), number) if t.is_valid else np.zeros(0, np.int32) for t in chunk.column("text")]
             ids, count = table.replay([p.encode() for p in number])
-            number.clear()
+            del number
             begin = np.cumsum(count) - count
             key = chunk.column("id").combine_chunks()
             size = np.cumsum([len(c) for c in codes])
