@@ -4,19 +4,23 @@ One map pass hashes each window of `window` words (64-bit rolling polynomial ove
 rows only the smallest document of each hash goes on; the others are known to lose that window at once, so a passage
 that a third of all rows share costs one entry a chunk, not one a row.  Entries are dealt by hash to buckets, whose
 number follows the input's bytes; a bucket finds for each hash the smallest document over all chunks and returns the
-positions where larger ones start.  Positions meet the texts by row key, overlap into intervals, and the words go.
+positions where larger ones start, packed by slots of rows, so that what travels back has as many rows as there are
+pairs of bucket and slot.  A slot's positions are put together by row, meet the texts, overlap into intervals, and the
+words go.
 
-Windows are told apart by 64 bits: n windows have about n*n/2**65 chance pairs, 5e-4 for 140 million windows.
+An entry keeps 56 bits of its hash, and its bucket tells more: with 52 buckets windows are told apart by 61.7 bits, and
+n windows have about n*n/2**62.7 chance pairs, 0.003 for 140 million windows; from 256 buckets on it is 64 bits.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import chunks, parts_for, pick, utf8, word_hashes, word_spans
+from siltstone.llm.common import chunks, parts_for, pick, ragged, utf8, word_hashes, word_spans
 
 _RADIX = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
@@ -26,7 +30,8 @@ BUCKET_BYTES = 16 << 20
 CHUNK_BYTES = 8 << 20
 
 _ENTRY = pa.schema([("bucket", pa.int32()), ("ids", pa.binary()), ("runs", pa.binary()), ("hashes", pa.binary()), ("spots", pa.binary())])
-_HIT = pa.schema([("id", pa.int64()), ("sig", pa.int64()), ("spots", pa.binary())])
+_HIT = pa.schema([("slot", pa.int32()), ("ids", pa.binary()), ("runs", pa.binary()), ("spots", pa.binary())])
+_ROW = pa.schema([("id", pa.int64()), ("sig", pa.int64()), ("hits", pa.binary())])
 _CLEAN = pa.schema([("id", pa.int64()), ("clean_text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64())))])
 
 
@@ -50,19 +55,28 @@ def _runs(order_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, order_keys[1:] != order_keys[:-1]]) if len(order_keys) else np.zeros(0, np.int64)
 
 
-def _packed(rows: np.ndarray, spots: np.ndarray):
-    """Row numbers that occur, and the bytes of each one's spots."""
+def _spread(x: np.ndarray, parts: int) -> np.ndarray:
+    return ((x * _SPREAD) >> np.uint64(33)).astype(np.int64) % parts
+
+
+def _slots(ids: np.ndarray, rows: np.ndarray, spots: np.ndarray, slots: int):
+    """Pack (row, spot) pairs by slots of their rows: slot, ids of its rows, how many spots each has, the spots."""
     order = np.lexsort((spots, rows))
     rows, spots = rows[order], spots[order].astype("<u4")
     begin = _runs(rows)
-    end = np.r_[begin[1:], len(rows)]
-    return rows[begin], [spots[a:b].tobytes() for a, b in zip(begin, end, strict=True)]
+    count = np.diff(np.r_[begin, len(rows)])
+    own = ids[rows[begin]]
+    slot = _spread(own[:, 0].astype(np.uint64) ^ own[:, 1].astype(np.uint64), slots)
+    for one in np.unique(slot).tolist():
+        some = np.flatnonzero(slot == one)
+        yield one, own[some].astype("<i8").tobytes(), count[some].astype("<u4").tobytes(), ragged(spots, begin[some], count[some]).tobytes()
 
 
 def _mapper(window: int, buckets: int):
     def run(batches):
         for table in chunks(batches, CHUNK_BYTES):
             ids, sig = (table.column(c).to_numpy() for c in ("id", "sig"))
+            keys = np.column_stack([ids, sig])
             data, offsets = utf8(table.column("text"))
             start, end, bounds = word_spans(data, offsets)
             roll, row, spot = window_hashes(word_hashes(data, start, end), bounds, window)
@@ -75,20 +89,11 @@ def _mapper(window: int, buckets: int):
             owner[order] = np.repeat(least, np.diff(np.r_[begin, len(roll)]))
             lost = ids[row] > owner
             if lost.any():
-                which, packed = _packed(row[lost], spot[lost])
-                keys = np.column_stack([ids[which], sig[which]]).astype("<i8")
-                yield pa.record_batch(
-                    [
-                        pa.array(((ids[which] ^ sig[which]).astype(np.uint64) * _SPREAD >> np.uint64(33)).astype(np.int64) % buckets, pa.int32()),
-                        pa.array([k.tobytes() for k in keys], pa.binary()),
-                        pa.nulls(len(which), pa.binary()),
-                        pa.nulls(len(which), pa.binary()),
-                        pa.array(packed, pa.binary()),
-                    ],
-                    schema=_ENTRY,
-                )
+                some = [*_slots(keys, row[lost], spot[lost], buckets)]
+                slot, own, runs, spots = zip(*some, strict=True)
+                yield pa.record_batch([pa.array(slot, pa.int32()), pa.array(own, pa.binary()), pa.array(runs, pa.binary()), pa.nulls(len(some), pa.binary()), pa.array(spots, pa.binary())], schema=_ENTRY)
             roll, row, spot = roll[~lost], row[~lost], spot[~lost]
-            bucket = ((roll * _SPREAD) >> np.uint64(33)).astype(np.int64) % buckets
+            bucket, roll = _spread(roll, buckets), roll * _SPREAD
             order = np.argsort(bucket, kind="stable")
             roll, row, spot, bucket = roll[order], row[order], spot[order], bucket[order]
             begin = _runs(bucket)
@@ -97,9 +102,9 @@ def _mapper(window: int, buckets: int):
                 first = _runs(row[a:b])
                 which = row[a:b][first]
                 out["bucket"].append(int(bucket[a]))
-                out["ids"].append(np.column_stack([ids[which], sig[which]]).astype("<i8").tobytes())
+                out["ids"].append(keys[which].astype("<i8").tobytes())
                 out["runs"].append(np.diff(np.r_[first, b - a]).astype("<u4").tobytes())
-                out["hashes"].append(roll[a:b].astype("<u8").tobytes())
+                out["hashes"].append(roll[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes())
                 step = np.diff(spot[a:b], prepend=0)
                 step[first] = spot[a:b][first]
                 out["spots"].append(step.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
@@ -108,38 +113,56 @@ def _mapper(window: int, buckets: int):
     return run
 
 
-def _reducer(table: pa.Table) -> pa.Table:
-    found: list[pa.RecordBatch] = []
-    keys, rolls, docs, spots, n = [], [], [], [], 0
-    for packed, runs, hashes, places in zip(*(table.column(c) for c in ("ids", "runs", "hashes", "spots")), strict=True):
-        key = np.frombuffer(packed.as_buffer(), "<i8").reshape(-1, 2)
-        if not runs.is_valid:
-            found.append(pa.record_batch([pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array([places.as_py()], pa.binary())], schema=_HIT))
-            continue
-        run = np.frombuffer(runs.as_buffer(), "<u4").astype(np.int64)
-        step = np.frombuffer(places.as_buffer(), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
-        head = np.cumsum(run) - run
-        total = np.cumsum(step, dtype=np.int64)
-        spots.append((total - np.repeat(total[head] - step[head], run)).astype(np.int32))
-        docs.append(np.repeat(np.arange(n, n + len(key), dtype=np.int32), run))
-        rolls.append(np.frombuffer(hashes.as_buffer(), "<u8"))
-        keys.append(key)
-        n += len(key)
-    if keys:
+def _reducer(buckets: int):
+    def run(table: pa.Table) -> pa.Table:
+        found = table.filter(pc.is_null(table.column("hashes"))).select(["bucket", "ids", "runs", "spots"]).rename_columns(_HIT.names)
+        keys, rolls, docs, spots, n = [], [], [], [], 0
+        for packed, runs, hashes, places in zip(*(table.column(c) for c in ("ids", "runs", "hashes", "spots")), strict=True):
+            if not hashes.is_valid:
+                continue
+            key = np.frombuffer(packed.as_buffer(), "<i8").reshape(-1, 2)
+            run = np.frombuffer(runs.as_buffer(), "<u4").astype(np.int64)
+            step = np.frombuffer(places.as_buffer(), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+            head = np.cumsum(run) - run
+            total = np.cumsum(step, dtype=np.int64)
+            spots.append((total - np.repeat(total[head] - step[head], run)).astype(np.int32))
+            docs.append(np.repeat(np.arange(n, n + len(key), dtype=np.int32), run))
+            roll = np.zeros((len(step), 8), np.uint8)
+            roll[:, :7] = np.frombuffer(hashes.as_buffer(), np.uint8).reshape(-1, 7)
+            rolls.append(roll.view("<u8").ravel())
+            keys.append(key)
+            n += len(key)
+        if not keys:
+            return found.cast(_HIT)
         key, roll, doc, spot = (np.concatenate(x) for x in (keys, rolls, docs, spots))
+        del keys, rolls, docs, spots
         order = np.argsort(roll)
         begin = _runs(roll[order])
         size = np.diff(np.r_[begin, len(roll)])
-        again = np.repeat(size > 1, size)
-        order, size = order[again], size[size > 1]
+        order, size = order[np.repeat(size > 1, size)], size[size > 1]
         if len(order):
             ids = key[doc[order], 0]
             order = order[ids > np.repeat(np.minimum.reduceat(ids, np.cumsum(size) - size), size)]
-        if len(order):
-            pairs, where = np.unique(key, axis=0, return_inverse=True)
-            which, packed = _packed(where.ravel()[doc[order]], spot[order])
-            found.append(pa.record_batch([pa.array(pairs[which, 0]), pa.array(pairs[which, 1]), pa.array(packed, pa.binary())], schema=_HIT))
-    return pa.Table.from_batches(found, _HIT)
+        if not len(order):
+            return found.cast(_HIT)
+        slot, own, runs, places = zip(*_slots(key, doc[order], spot[order], buckets), strict=True)
+        more = pa.table([pa.array(slot, pa.int32()), pa.array(own, pa.binary()), pa.array(runs, pa.binary()), pa.array(places, pa.binary())], schema=_HIT)
+        return pa.concat_tables([found.cast(_HIT), more])
+
+    return run
+
+
+def _gather(table: pa.Table) -> pa.Table:
+    """All spots of each row of a slot."""
+    own, runs, spots = (b"".join(table.column(c).to_pylist()) for c in ("ids", "runs", "spots"))
+    key, run, spot = np.frombuffer(own, "<i8").reshape(-1, 2), np.frombuffer(runs, "<u4").astype(np.int64), np.frombuffer(spots, "<u4")
+    pairs, which = np.unique(key, axis=0, return_inverse=True)
+    row = np.repeat(which.ravel(), run)
+    order = np.argsort(row, kind="stable")
+    begin = np.searchsorted(row[order], np.arange(len(pairs) + 1))
+    spot = spot[order]
+    hits = [spot[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True)]
+    return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(hits, pa.binary())], schema=_ROW)
 
 
 def _remover(window: int):
@@ -149,8 +172,8 @@ def _remover(window: int):
             for key, text, hits in zip(*(table.column(c) for c in ("id", "text", "hits")), strict=True):
                 words = text.as_buffer().to_pybytes().split() if text.is_valid else []
                 kept, spans, gone = words, [], 0
-                if hits.is_valid and len(hits.values):
-                    spots = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in hits.values]).astype(np.int64)
+                if hits.is_valid:
+                    spots = np.frombuffer(hits.as_buffer(), "<u4").astype(np.int64)
                     edge = np.zeros(len(words) + 1, np.int64)
                     np.add.at(edge, spots, 1)
                     np.add.at(edge, spots + window, -1)
@@ -180,9 +203,9 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
     hits = (
         entries.repartition(buckets, "bucket")
         .groupBy("bucket")
-        .applyInArrow(_reducer, "id long, sig long, spots binary")
-        .groupBy("id", "sig")
-        .agg(F.collect_list("spots").alias("hits"))
+        .applyInArrow(_reducer(buckets), "slot int, ids binary, runs binary, spots binary")
+        .groupBy("slot")
+        .applyInArrow(_gather, "id long, sig long, hits binary")
     )
     joined = rows.join(hits, ["id", "sig"], "left").select("id", "text", "hits")
     return joined.mapInArrow(_remover(window), "id long, clean_text string, n_words long, n_removed long, spans array<array<long>>").withColumnRenamed("id", id_col)
