@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from siltstone.plans import analysis, dialogue, rasters, retrieval
+
+_ALL = (analysis.plans, rasters.plans, retrieval.plans, dialogue.plans)
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for p in _ALL for name, query in p.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for p in _ALL for name, sql in p.sql.items()}
