@@ -2,4 +2,73 @@
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+from siltstone.llm.queries import DOMAINS, EPOCHS, MIN_SITES, SEED, SHARE, WEIGHTS
+
+#: Words of a text, as the operators take them.
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+_TOP = """with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v from embeddings
+  where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(cast(x as double)))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as bigint) as score
+  from v q join v c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % 100 = 0),
+r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id) as rank, vec_id, score from s)
+select query_id, cast(rank as int) as rank, vec_id, score from r where rank <= 10"""
+
+_WINDOWS = rf"""with w as (select doc_id, {_WORDS} as w from documents),
+s as (select doc_id, i, array_to_string(w[i : i + 12], ' ') as s from (select doc_id, w, unnest(range(1, len(w) - 11)) as i from w where len(w) >= 13)),
+f as (select s, min(doc_id) as first from s group by 1),
+hit as (select doc_id, i from s join f using (s) where first < doc_id),
+gone as (select distinct doc_id, i + k as i from hit, range(0, 13) t(k)),
+words as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as i from w),
+kept as (select words.doc_id, count(*) as n, string_agg(word, ' ' order by i) as t from words left join gone using (doc_id, i) where gone.i is null group by 1)
+select doc_id, len(w) as n_words, len(w) - coalesce(n, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256 from w left join kept using (doc_id)"""
+
+_WARC = """with p as (select page_id, coalesce(html, '') as h from pages),
+k as (select page_id, strlen(h) as payload_bytes, sha1(h) as payload_digest, max(page_id) over (partition by h) as keep from p)
+select page_id, payload_bytes, payload_digest, case when payload_bytes >= 1000 and page_id <> keep then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 1000 and page_id <> keep then keep end as refers_to from k"""
+
+_SPREAD = f"""with c as (select doc_id, text, coalesce('s:' || source, 'n') as site, string_split(text, chr(10)) as cut from documents),
+l as (select distinct trim(unnest(cut), ' ') as line, substr(text, 1, 40) as opening, md5(site) as site from c),
+s as (select line, opening, min(site) as site from l where line <> '' group by 1, 2),
+b as (select list(line) as lines from (select line from s group by 1 having count(distinct site) >= {MIN_SITES}))
+select doc_id, coalesce(len(cut), 0) as n_lines, coalesce(len(cut) - len(kept), 0) as n_removed, sha256(array_to_string(kept, chr(10))) as kept_sha256
+from (select *, list_filter(cut, lambda x: not list_contains(coalesce(lines, []), trim(x, ' '))) as kept from c cross join b)"""
+
+
+def _weigh(level: str) -> str:
+    own = WEIGHTS.get(level, {})
+    return f"case {level} " + " ".join(f"when '{n}' then {w}" for n, w in own.items() if n != "*") + f" else {own.get('*', 1)} end"
+
+
+def _pour(level: str, above: list[str], source: str, name: str) -> str:
+    """The share of each child of its parent's budget, as nested windows."""
+    keys = [*above, level]
+    part = f"partition by {', '.join(above)}" if above else ""
+    join = f"join {source} using ({', '.join(above)})" if above else f"cross join {source}"
+    return f"""{name}0 as (select {', '.join(keys)}, sum(capacity) as capacity, {_weigh(level)} as weight from leaves group by {', '.join(keys)}),
+{name}1 as (select *, greatest(budget - coalesce(sum(capacity) over (w rows between unbounded preceding and 1 preceding), 0), 0) as lft,
+  sum(weight) over (w rows between current row and unbounded following) as beyond from {name}0 {join} window w as ({part} order by capacity / weight, {level})),
+{name}2 as (select *, capacity * beyond <= lft * weight as filled from {name}1),
+{name}3 as (select *, greatest(budget - coalesce(sum(case when filled then capacity end) over ({part}), 0), 0) as rest, case when filled then 0 else weight end as share from {name}2),
+{name}4 as (select *, sum(share) over ({part}) as shares, sum(share) over ({part} order by capacity / weight, {level} rows unbounded preceding) as run from {name}3),
+{name} as (select {', '.join(keys)}, cast(case when filled then capacity else rest * run // shares - rest * (run - share) // shares end as bigint) as budget from {name}4)"""
+
+
+_MIX = rf"""with d as (select doc_id, lang, source, len({_WORDS}) as n_tokens,
+  case when regexp_extract(source, '([0-9]+)$', 1) = '' then 'other' else 'domain' || (try_cast(regexp_extract(source, '([0-9]+)$', 1) as bigint) % {DOMAINS}) end as domain from documents),
+leaves as (select domain, lang, source, sum(n_tokens) as tokens, sum(n_tokens) * {EPOCHS} as capacity from d group by 1, 2, 3),
+top as (select cast(floor(sum(tokens) * {int(SHARE * 10)} / 10) as bigint) as budget from leaves),
+{_pour('domain', [], 'top', 'p')}, {_pour('lang', ['domain'], 'p', 'q')}, {_pour('source', ['domain', 'lang'], 'q', 'r')},
+plan as (select domain, lang, source, case when tokens > 0 then budget // tokens else 0 end as whole, case when tokens > 0 then budget % tokens else 0 end as rest from leaves join r using (domain, lang, source)),
+placed as (select *, md5('{SEED}:' || whole || ':' || doc_id) as place from d join plan using (domain, lang, source)),
+run as (select *, coalesce(sum(n_tokens) over (partition by domain, lang, source order by place, doc_id rows between unbounded preceding and 1 preceding), 0) as before from placed)
+select doc_id, domain, lang, source, n_tokens, cast(whole as bigint) as epochs, cast(greatest(0, least(n_tokens, rest - before)) as bigint) as partial from run"""
+
+SQL: dict[str, str] = {
+    "op2_exact_topk": _TOP,
+    "op3_substring_dedup": _WINDOWS,
+    "op6_mixing": _MIX,
+    "op7_warc": _WARC,
+    "op10_line_spread": _SPREAD,
+}
