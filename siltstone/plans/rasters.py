@@ -60,7 +60,7 @@ def zonal_remap(spark, d):
 @plans.add("select n_nationkey, cast(round(cast((min(c_acctbal) + max(c_acctbal)) / 2 as decimal(18, 4)), 2) as double) as midpoint, split_part(n_name, '_', 1) as zone from nation join customer on n_nationkey = c_nationkey group by 1, n_name")
 def interval_midpoints(spark, d):
     joined = table(spark, d, "nation").join(table(spark, d, "customer"), F.col("n_nationkey") == F.col("c_nationkey"))
-    found = joined.groupBy("n_nationkey", "n_name").agg(F.round((F.min("c_acctbal") + F.max("c_acctbal")) / 2, 2).alias("midpoint"))
+    found = joined.groupBy("n_nationkey", "n_name").agg(F.round(((F.min("c_acctbal") + F.max("c_acctbal")) / 2).cast("decimal(18,4)"), 2).cast("double").alias("midpoint"))
     return found.select("n_nationkey", "midpoint", F.split_part("n_name", F.lit("_"), F.lit(1)).alias("zone"))
 
 
