@@ -140,45 +140,71 @@ def _embed(plan, prints: int):
 
 def _deal(prints: int):
     """Deal the members of cells in `parts` parts out to the pairs of parts."""
-    names = ["cell", "i", "j", "members"]
+    names = ["cell", "i", "j", "part", "members"]
 
     def run(batches):
         for batch in batches:
             for cell, packed, parts in zip(*(batch.column(c) for c in ("cell", "members", "parts")), strict=True):
                 member, p = np.frombuffer(packed.as_buffer(), "<i8").reshape(-1, prints + 2), parts.as_py()
                 own = (member[:, prints].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % p
-                rows = [(min(a, b), max(a, b), some) for a in np.unique(own).tolist() for some in [member[own == a].tobytes()] for b in range(p)]
-                i, j, held = zip(*rows, strict=True)
-                yield pa.record_batch([pa.array([cell.as_py()] * len(rows), pa.int64()), pa.array(i, pa.int64()), pa.array(j, pa.int64()), pa.array(held, pa.binary())], names=names)
+                rows = [(min(a, b), max(a, b), a, some) for a in np.unique(own).tolist() for some in [member[own == a].tobytes()] for b in range(p)]
+                i, j, part, held = zip(*rows, strict=True)
+                columns = [pa.array(x, pa.int64()) for x in ([cell.as_py()] * len(rows), i, j, part)]
+                yield pa.record_batch([*columns, pa.array(held, pa.binary())], names=names)
 
     return run
 
 
-def link(fps: np.ndarray, home: np.ndarray, bits: int, total: int | None = None) -> np.ndarray:
-    """A label for each row of fingerprints: equal for those that chains of links join, one of each link at home.
-
-    Rows link within `bits` in their first print and, if given, within `total` over all prints.
+def near_pairs(fps: np.ndarray, home: np.ndarray, cut: int, bits: int, total: int | None = None):
+    """Yield (rows, columns) of linked pairs: between the rows before `cut` and those from it on, or, where cut is 0,
+    among all rows.  One of a pair must be at home.  Tiles of 64 by 4096 stay in the processor's cache."""
+    first = np.ascontiguousarray(fps[:, 0])
+    differ, count = np.empty((64, 4096), np.uint64), np.empty((64, 4096), np.uint8)
+    for a in range(0, cut or len(fps), 64):
+        left = first[a : min(a + 64, cut or len(fps)), None]
+        for b in range(cut or a, len(fps), 4096):
+            right = first[None, b : b + 4096]
+            x, n = differ[: len(left), : right.shape[1]], count[: len(left), : right.shape[1]]
+            np.bitwise_xor(left, right, out=x)
+            np.bitwise_count(x, out=n)
+            i, j = np.nonzero(n <= bits)
+            i, j = i + a, j + b
+            keep = home[i] | home[j] if cut else (i < j) & (home[i] | home[j])
+            i, j = i[keep], j[keep]
+            if total is not None and len(i):
+                near = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1) <= total
+                i, j = i[near], j[near]
+            if len(i):
+                yield i, j
+
+
+def link(fps: np.ndarray, home: np.ndarray, bits: int, total: int | None = None, cut: int = 0) -> np.ndarray:
+    """A label for each row of fingerprints: equal for those that chains of links join.
+
+    Rows link within `bits` in their first print and, if given, within `total` over all prints.  A tile's links are
+    merged row by row, so that dense groups, in which all pairs are links, cost no more than their members.
     """
     label = np.arange(len(fps))
-    fps = fps.astype(np.uint64)
-    first, own = np.ascontiguousarray(fps[:, 0]), np.flatnonzero(home)
-    for a in range(0, len(own), 64):
-        some = own[a : a + 64]
-        near = np.bitwise_count(first[some, None] ^ first[None, :]) <= bits
-        if total is not None:
-            i, j = np.nonzero(near)
-            near[i, j] = np.bitwise_count(fps[some[i]] ^ fps[j]).sum(axis=1) <= total
-        for i in np.flatnonzero(near.sum(axis=1) > 1):
-            labels = np.unique(label[near[i]])
+    for rows, columns in near_pairs(fps.astype(np.uint64), home, cut, bits, total):
+        begin = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+        for i, near in zip(rows[begin].tolist(), np.split(columns, begin[1:]), strict=True):
+            labels = np.unique(np.r_[label[i], label[near]])
             if len(labels) > 1:
                 label[np.isin(label, labels[1:])] = labels[0]
     return label
 
 
 def _verify(bits: int, prints: int, total: int | None):
-    def run(table: pa.Table) -> pa.Table:
-        member = np.concatenate([np.frombuffer(x.as_buffer(), "<i8").reshape(-1, prints + 2) for x in table.column("members")])
-        label = link(member[:, :prints], member[:, -1] == 1, bits, total)
+    def run(key, table):
+        _, i, j = (k.as_py() for k in key)
+        sides: tuple[list, list] = ([], [])
+        for part, x in zip(table.column("part").to_pylist(), table.column("members"), strict=True):
+            sides[int(part != i)].append(np.frombuffer(x.as_buffer(), "<i8").reshape(-1, prints + 2))
+        cut = 0 if i == j else sum(map(len, sides[0]))
+        if i != j and not (sides[0] and sides[1]):
+            return _EDGES.empty_table()
+        member = np.concatenate([*sides[0], *sides[1]])
+        label = link(member[:, :prints], member[:, -1] == 1, bits, total, cut)
         least = np.full(len(label), np.iinfo(np.int64).max)
         np.minimum.at(least, label, member[:, prints])
         root = least[label]
@@ -201,7 +227,7 @@ def near_links(nodes: DataFrame, bits: int, prints: int = 1, total: int | None =
         parts = sizes.select("cell", F.greatest(F.ceil(F.col("n") / (PART / 2)), F.least(F.lit(math.isqrt(4 * tasks)), F.ceil(F.col("n") / 64))).alias("parts"))
     dealt = packed.join(parts, "cell", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
     return (
-        dealt.mapInArrow(_deal(prints), "cell long, i long, j long, members binary")
+        dealt.mapInArrow(_deal(prints), "cell long, i long, j long, part long, members binary")
         .groupBy("cell", "i", "j")
         .applyInArrow(_verify(bits, prints, total), "u long, v long")
     )
