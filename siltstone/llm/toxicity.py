@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import chunks, mix, pick, utf8, word_hashes
+from siltstone.llm.common import chunks, durable, mix, pick, utf8, word_hashes
 
 #: Bounds of the training sample.
 MOST_POSITIVE, MOST_UNLABELLED = 3000, 9000
@@ -78,14 +78,16 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
 
 
-def _sampled(frame: DataFrame, most: int, seed: int) -> pa.Table:
-    """At most `most` rows, those of the least hash: their distinct features.
+def _sampled(rows: DataFrame, keys: DataFrame, most: int, seed: int) -> pa.Table:
+    """The distinct features of at most `most` of the rows (id, sig, text) that keys (id, sig) name, by the least hash.
 
-    A threshold on the hash leaves about twice as many rows before any row moves, so what is sorted is bounded too.
+    A threshold on the hash leaves about twice as many keys before any moves; texts are then fetched by the chosen keys,
+    whose number `most` bounds, so their broadcast is small at any input size and no text is shuffled but theirs.
     """
-    order = F.xxhash64(F.lit(seed), F.col("id"))
-    share = min(1.0, 2.0 * (most + 50) / max(frame.count(), 1))
-    some = frame.filter(F.pmod(order, F.lit(1 << 30)) < int(share * (1 << 30)))
+    keys = keys.distinct()
+    least = F.pmod(F.xxhash64(F.lit(seed), "id", "sig"), F.lit(1 << 30))
+    share = min(1.0, 2.0 * (most + 50) / max(keys.count(), 1))
+    chosen = durable(keys.filter(least < int(share * (1 << 30))).orderBy(least, "id", "sig").limit(most))
 
     def run(batches):
         for table in chunks(batches, 4 << 20):
@@ -93,8 +95,8 @@ def _sampled(frame: DataFrame, most: int, seed: int) -> pa.Table:
             ends = np.r_[0, np.cumsum(np.bincount(rows, minlength=table.num_rows))]
             yield pa.record_batch([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found))], names=["found"])
 
-    least = F.pmod(order, F.lit(1 << 30))
-    return some.orderBy(least, "id").limit(most).select("text").mapInArrow(run, "found array<int>").toArrow()
+    texts = rows.join(F.broadcast(chosen), ["id", "sig"], "left_semi").groupBy("id", "sig").agg(F.first("text").alias("text"))
+    return texts.select("text").mapInArrow(run, "found array<int>").toArrow()
 
 
 def fit(positive: pa.Table, unlabelled: pa.Table, prior: float, steps: int = 300, rate: float = 0.1, decay: float = 1e-3) -> Model:
@@ -144,13 +146,16 @@ def fit(positive: pa.Table, unlabelled: pa.Table, prior: float, steps: int = 300
 
 def train(docs: DataFrame, labels: DataFrame, training: Column, prior: float | None = None, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on the rows for which `training` (over id) holds.  The prior is the toxic share of their labels, if not given."""
-    rows = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long"), F.col("text").cast("string")).filter(F.col("id").isNotNull() & training)
+    rows = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string")).alias("sig"))
+    rows = rows.filter(F.col("id").isNotNull() & training)
+    keys = durable(rows.select("id", "sig"))
     marks = pick(labels, id=id_col, toxic=label_col).select(F.col("id").cast("long"), F.col("toxic").cast("int")).filter(F.col("id").isNotNull() & training & F.col("toxic").isNotNull())
     marks = marks.groupBy("id").agg(F.max("toxic").alias("toxic"))
     if prior is None:
         prior = marks.agg(F.avg("toxic")).first()[0] or 0.0
     toxic = marks.filter("toxic = 1").select("id")
-    return fit(_sampled(rows.join(toxic, "id", "left_semi"), MOST_POSITIVE, seed), _sampled(rows, MOST_UNLABELLED, seed), float(prior))
+    positive = _sampled(rows, keys.join(toxic, "id", "left_semi"), MOST_POSITIVE, seed)
+    return fit(positive, _sampled(rows, keys, MOST_UNLABELLED, seed), float(prior))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
