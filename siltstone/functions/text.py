@@ -27,7 +27,7 @@ def clean_jats(text: Column) -> Column:
     text = F.regexp_replace(text, r"(?is)<(ref-list|table-wrap|table|fig|disp-formula|inline-formula|tex-math)\b.*?</\1>", " ")
     text = F.regexp_replace(text, r"(?i)</(p|sec|title|abstract|list-item)>", "\n\n")
     text = unescape(F.regexp_replace(text, "<[^>]*>", " "))
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"\n\s*\n+", "\n\n"))
+    return F.btrim(F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r" ?\n\s*\n\s*", "\n\n"), F.lit(" \n"))
 
 
 def dehyphenate(text: Column) -> Column:
@@ -42,7 +42,7 @@ def trim_references(text: Column) -> Column:
 
 def paragraphs(text: Column) -> Column:
     """Parts between blank lines, and before lines that look like numbered headings."""
-    return F.filter(F.transform(F.split(text, r"\n{2,}|\n(?=\d+(?:\.\d+)*\.?\s+[A-Z])"), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(text, r"\n{2,}|\n(?=\d+(?:\.\d+)*\.?\s+[A-Z])"), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def words(text: Column) -> Column:

@@ -67,8 +67,12 @@ def rate_limit(events: DataFrame, client: str, event_id: str, time: str, span_s:
     return ordered.mapInPandas(run, "c long, e long, allowed boolean").toDF(client, event_id, "allowed")
 
 
-def rate_limit_stream(events: DataFrame, client: str, event_id: str, time: str, span_s: int, limit: int) -> DataFrame:
-    """The same over a stream: the times let through are a client's state, dropped when the span has passed."""
+def rate_limit_stream(events: DataFrame, client: str, event_id: str, time: str, span_s: int, limit: int, expire: bool = False) -> DataFrame:
+    """The same over a stream: the times let through, at most `limit` of them, are a client's state.
+
+    With `expire` the state of a client that stays away for the span goes; such a query runs until it is stopped, since
+    timeouts by processing time make Spark plan batches without end, also under an availableNow trigger.
+    """
     span = span_s * 1_000_000
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -79,11 +83,12 @@ def rate_limit_stream(events: DataFrame, client: str, event_id: str, time: str,
         rows = pd.concat(list(frames)).sort_values(["t", "e"])
         allowed, kept = _limited(rows["t"].tolist(), kept, span, limit)
         state.update((kept,))
-        state.setTimeoutDuration(span_s * 1000)
+        if expire:
+            state.setTimeoutDuration(span_s * 1000)
         yield pd.DataFrame({"c": rows["c"], "e": rows["e"], "allowed": allowed})
 
     rows = events.select(F.col(client).alias("c"), F.col(event_id).alias("e"), F.unix_micros(F.col(time).cast("timestamp")).alias("t"))
-    out = rows.groupBy("c").applyInPandasWithState(run, "c long, e long, allowed boolean", "kept array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    out = rows.groupBy("c").applyInPandasWithState(run, "c long, e long, allowed boolean", "kept array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout)
     return out.toDF(client, event_id, "allowed")
 
 
