@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siltstone.plans import analysis, dialogue, rasters, retrieval
+from siltstone.plans import analysis, dialogue, rasters, retrieval, serving
 
-_ALL = (analysis.plans, rasters.plans, retrieval.plans, dialogue.plans)
+_ALL = (analysis.plans, rasters.plans, retrieval.plans, dialogue.plans, serving.plans)
 
 
 def queries() -> dict:
