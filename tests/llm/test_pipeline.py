@@ -49,9 +49,12 @@ def test_stages(spark, tmp_path):
 
 
 def test_run_and_empty_tables(spark, tmp_path):
-    corpus(spark, tmp_path)
+    docs, _ = corpus(spark, tmp_path)
     out = P.run(spark, str(tmp_path))
     assert 150 < out.count() < 245 and out.filter("n_tokens <> size(ids)").count() == 0
+    odd = docs.select("*", *[F.lit(7).alias(n) for n in ("TEXT", "Doc_ID", "_sig", "_score", "sig", "score", "n")])
+    for _, stage in P.STAGES:
+        assert stage(spark, odd, str(tmp_path)).count() > 150
     empty = spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0)
     for _, stage in P.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
