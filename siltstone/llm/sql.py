@@ -65,7 +65,15 @@ placed as (select *, md5('{SEED}:' || whole || ':' || doc_id) as place from d jo
 run as (select *, coalesce(sum(n_tokens) over (partition by domain, lang, source order by place, doc_id rows between unbounded preceding and 1 preceding), 0) as before from placed)
 select doc_id, domain, lang, source, n_tokens, cast(whole as bigint) as epochs, cast(greatest(0, least(n_tokens, rest - before)) as bigint) as partial from run"""
 
+#: The article as the pages of the tables mark it; the operator itself reads any page.
+_ARTICLE = r"""with a as (select page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|<footer)', 1) as a from pages),
+b as (select page_id, url, regexp_replace(regexp_replace(a, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') as b from a),
+c as (select page_id, url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(b, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&#39;?', chr(39), 'g'), '&nbsp;?', ' ', 'g'), '&amp;?', '&', 'g') as c from b),
+d as (select page_id, url, trim(regexp_replace(c, '\s+', ' ', 'g')) as text from c)
+select page_id, url, text, length(text) as n_chars from d"""
+
 SQL: dict[str, str] = {
+    "op1_page_diff": _ARTICLE,
     "op2_exact_topk": _TOP,
     "op3_substring_dedup": _WINDOWS,
     "op6_mixing": _MIX,

@@ -409,6 +409,8 @@ def test_article_text():
     assert page_diff.lines_of("") == [] and page_diff.lines_of("<p") == [("<p", 0)]
     assert page_diff.main_text(page_diff.lines_of("<article><p>open <b>end"), set()) == "open end"
     assert page_diff.main_text(page_diff.lines_of("<article>a<script>x<!-- </article>"), set()) == "a"
+    assert page_diff.main_text(page_diff.lines_of("a<main>b<article>c</article>d</main>"), set()) == "c"
+    assert page_diff.main_text(page_diff.lines_of("a<main><header>b</header>c</main>"), set()) == "b c"
     assert page_diff.main_text(page_diff.lines_of("<article>" + "<div>" * 5000 + "deep"), set()) == "deep"
 
 
