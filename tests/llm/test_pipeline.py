@@ -58,3 +58,11 @@ def test_run_and_empty_tables(spark, tmp_path):
     empty = spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0)
     for _, stage in P.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_line_dedup_keeps_texts_under_one_header_apart(spark, tmp_path):
+    header = "A header line that opens very many different documents"
+    rows = [[i, f"{header}\nown {i}\nAll rights reserved.", "en", f"src{i % 12}", 0] for i in range(24)]
+    rows += [[100 + i, f"{header}\none page, copied", "en", f"src{i % 12}", 0] for i in range(24)]
+    got = {r.doc_id: r.text for r in P.line_dedup(spark, spark.createDataFrame(rows, DOCS), str(tmp_path)).collect()}
+    assert got == {i: f"own {i}" for i in range(24)} | {100 + i: "one page, copied" for i in range(24)}
