@@ -11,6 +11,9 @@ Equal fingerprints are one node, so copies never multiply pairs.  A cell with mo
 pairs of parts.  Wide thresholds leave no grid that prunes; then all pairs of parts are compared, which takes time with
 the square of the number of different texts.  Longer fingerprints (more `prints`) settle such pairs exactly as the
 longer sketch would.
+
+first_of_similar takes such components, of thresholds wide enough to miss no similar pair, only as groups in which to
+look: links are the pairs of texts in a group whose shingle sets have the similarity asked for.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ from siltstone.llm.graph import components
 
 #: Members of a cell that one task compares with each other at most; bytes of text fingerprinted at a time.
 PART, CHUNK_BYTES = 131072, 8 << 20
+#: Texts, and bytes of text, whose shingle sets one task compares with each other at most.
+GROUP, GROUP_BYTES = 512, 32 << 20
 #: Shingles hashed at a time.
 _BLOCK = 1 << 16
 _SEGMENTS = 32
@@ -36,11 +41,11 @@ _PACKED = pa.schema([("cell", pa.int64()), ("n", pa.int64()), ("members", pa.bin
 _EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
-def fingerprint(text: bytes, words: int, seed: int, prints: int = 1) -> bytes:
-    """`prints` times eight bytes, the most significant first; from the second on the hashes are mixed anew."""
+def shingle_hashes(text: bytes, words: int, seed: int) -> np.ndarray:
+    """The 64-bit hash of each run of `words` words in lower case; a shorter text is one shingle, one without words none."""
     tokens = text.lower().split()
     if not tokens:
-        return bytes(8 * prints)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(tokens)
     size = np.fromiter(map(len, tokens), np.int64, len(tokens))
     stop = np.cumsum(size + 1) - 1
@@ -49,17 +54,33 @@ def fingerprint(text: bytes, words: int, seed: int, prints: int = 1) -> bytes:
         start, stop = start[: len(tokens) - words + 1], stop[words - 1 :]
     else:
         start, stop = start[:1], stop[-1:]
-    ones = np.zeros((prints, 64), np.int64)
+    out = np.empty(len(start), np.uint64)
     for a in range(0, len(start), _BLOCK):
         spans = zip(start[a : a + _BLOCK].tolist(), stop[a : a + _BLOCK].tolist(), strict=True)
-        hashes = np.frombuffer(b"".join([xxhash.xxh64_digest(joined[b:e], seed) for b, e in spans]), ">u8")
+        out[a : a + _BLOCK] = np.frombuffer(b"".join([xxhash.xxh64_digest(joined[b:e], seed) for b, e in spans]), ">u8")
+    return out
+
+
+def fingerprint(text: bytes, words: int, seed: int, prints: int = 1, distinct: bool = False) -> bytes:
+    """`prints` times eight bytes, the most significant first; from the second on the hashes are mixed anew.
+
+    With `distinct` a shingle that a text repeats counts once.
+    """
+    hashes = shingle_hashes(text, words, seed)
+    if distinct:
+        hashes = np.unique(hashes)
+    if not len(hashes):
+        return bytes(8 * prints)
+    ones = np.zeros((prints, 64), np.int64)
+    for a in range(0, len(hashes), _BLOCK):
+        block = hashes[a : a + _BLOCK]
         for k in range(prints):
-            own = hashes if k == 0 else mix(hashes.astype(np.uint64) + np.uint64(k)).astype(">u8")
+            own = (block if k == 0 else mix(block + np.uint64(k))).astype(">u8")
             ones[k] += np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(ones * 2 > len(start)).tobytes()
+    return np.packbits(ones * 2 > len(hashes)).tobytes()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42, prints: int = 1) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42, prints: int = 1, distinct: bool = False) -> DataFrame:
     """id, sig, fp: the SimHash bytes of each row's whole text, and a hash of its text.
 
     A null text is as an empty one: zeros.  A null id stays null.
@@ -67,7 +88,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches):
         for table in chunks(batches, CHUNK_BYTES):
-            found = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", words, seed, prints) for t in table.column("text")]
+            found = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", words, seed, prints, distinct) for t in table.column("text")]
             yield pa.record_batch([table.column("id").combine_chunks(), table.column("sig").combine_chunks(), pa.array(found, pa.binary())], names=["id", "sig", "fp"])
 
     rows = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("sig"), F.col("text").cast("string"))
@@ -234,7 +255,15 @@ def near_links(nodes: DataFrame, bits: int, prints: int = 1, total: int | None =
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42, bits: int = 4, prints: int = 1, total: int | None = None
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words: int = 4,
+    seed: int = 42,
+    bits: int = 4,
+    prints: int = 1,
+    total: int | None = None,
+    distinct: bool = False,
 ) -> DataFrame:
     """Per row: id_col, sig (a hash of the text), fp (the bytes of its prints), component_id (the least id in reach).
 
@@ -242,9 +271,73 @@ def near_duplicates(
     `total`; rows without words have prints of zeros and link alike.  Rows that repeat an id each return.  A row with a
     null id links nothing and has a null component.
     """
-    rows = durable(fingerprints(docs, id_col, text_col, words, seed, prints))
+    rows = durable(fingerprints(docs, id_col, text_col, words, seed, prints, distinct))
     nodes = durable(rows.filter("id is not null").groupBy("fp").agg(F.min("id").alias("node")))
     roots = components(near_links(nodes, bits, prints, total))
     classes = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     found = rows.join(classes, "fp", "left")
     return found.select(F.col("id").alias(id_col), "sig", "fp", F.expr("if(id is null, null, component_id)").alias("component_id"))
+
+
+def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether two sets, each without repeats, have a Jaccard similarity of at least `least`; empty sets are equal."""
+    if min(len(a), len(b)) < least * max(len(a), len(b)) - 1e-9:
+        return False
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common >= least * (len(a) + len(b) - common) - 1e-9
+
+
+def _similar_links(words: int, seed: int, bits: int, prints: int, total: int, least: float):
+    """Stars u, v of the similar texts of a group, or between two parts of one."""
+
+    def run(key, table):
+        _, i, j = (k.as_py() for k in key)
+        table = table.combine_chunks()
+        order = np.argsort(table.column("part").to_numpy() != i, kind="stable")
+        table = table.take(pa.array(order))
+        cut = 0 if i == j else int((table.column("part").to_numpy() == i).sum())
+        if i != j and cut in (0, len(table)):
+            return _EDGES.empty_table()
+        sig = table.column("sig").to_numpy()
+        fps = np.frombuffer(b"".join(table.column("fp").to_pylist()), ">u8").astype(np.uint64).reshape(-1, prints)
+        sets = [np.unique(shingle_hashes(t.as_buffer().to_pybytes() if t.is_valid else b"", words, seed)) for t in table.column("text")]
+        label = np.arange(len(sig))
+        for rows, columns in near_pairs(fps, np.ones(len(sig), bool), cut, bits, total):
+            apart = label[rows] != label[columns]
+            for x, y in zip(rows[apart].tolist(), columns[apart].tolist(), strict=True):
+                if label[x] != label[y] and similar(sets[x], sets[y], least):
+                    label[label == label[y]] = label[x]
+        low = np.full(len(label), np.iinfo(np.int64).max)
+        np.minimum.at(low, label, sig)
+        root = low[label]
+        edge = root != sig
+        return pa.Table.from_arrays([pa.array(sig[edge]), pa.array(root[edge])], schema=_EDGES)
+
+    return run
+
+
+def first_of_similar(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, seed: int = 42, least: float = 0.8, bits: int = 24, prints: int = 4, total: int = 72
+) -> DataFrame:
+    """id, sig (a hash of the text), n: of each group of similar texts the row of the least id, and how many rows it stands for.
+
+    Texts link where the Jaccard similarity of their sets of `words`-word shingles is at least `least`, and chains of
+    links make a group.  Sketches choose the pairs that are looked at: their first prints differ in at most `bits` bits
+    and all prints in at most `total`, both far from what a similar pair reaches.  Texts without words are all similar.
+    Rows with a null id are left out.
+    """
+    found = near_duplicates(docs, id_col, text_col, words, seed, bits, prints, total, distinct=True).withColumnRenamed(id_col, "id").filter("id is not null")
+    rows = found.groupBy("id", "sig").agg(F.first("fp").alias("fp"), F.first("component_id").alias("cell"), F.count(F.lit(1)).alias("n"))
+    texts = durable(rows.groupBy("sig").agg(F.min(F.struct("id", "n", "cell", "fp")).alias("one")).select("sig", "one.*"))
+    several = texts.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("cell")
+    held = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long"), F.col("text").cast("string")).withColumn("sig", F.xxhash64("text"))
+    held = durable(held.join(texts.join(several, "cell").select("id", "sig", "cell", "fp"), ["id", "sig"]).dropDuplicates(["id", "sig"]))
+    sizes = held.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.sum(F.octet_length("text")).alias("bytes"))
+    large = sizes.filter((F.col("size") > GROUP) | (F.col("bytes") > GROUP_BYTES))
+    large = large.select("cell", F.ceil(F.greatest(F.col("size") / (GROUP / 2), F.col("bytes") / (GROUP_BYTES / 2))).cast("long").alias("parts"))
+    dealt = held.join(F.broadcast(large), "cell", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("sig"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    dealt = dealt.select("cell", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "sig", "fp", "text")
+    links = dealt.groupBy("cell", "i", "j").applyInArrow(_similar_links(words, seed, bits, prints, total, least), "u long, v long")
+    groups = texts.join(components(links), texts["sig"] == F.col("node"), "left").withColumn("group", F.coalesce("root", "sig"))
+    return groups.groupBy("group").agg(F.min(F.struct("id", "sig", "n")).alias("one")).select("one.*")

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
+from siltstone.llm import simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -66,3 +67,43 @@ def test_line_dedup_keeps_texts_under_one_header_apart(spark, tmp_path):
     rows += [[100 + i, f"{header}\none page, copied", "en", f"src{i % 12}", 0] for i in range(24)]
     got = {r.doc_id: r.text for r in P.line_dedup(spark, spark.createDataFrame(rows, DOCS), str(tmp_path)).collect()}
     assert got == {i: f"own {i}" for i in range(24)} | {100 + i: "one page, copied" for i in range(24)}
+
+
+def brute_first(rows, words=5):
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} if w else set()
+
+    sets, root = {i: shingles(t) for i, t in rows}, {i: i for i, _ in rows}
+    for a in sets:
+        for b in sets:
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    return sorted(set(root.values()))
+
+
+def edited_texts():
+    """Base texts, each with copies in which so many words in a row are others: similarities around 0.8 on both sides."""
+    rng = random.Random(9)
+    rows = []
+    for b in range(24):
+        words = [f"w{rng.randrange(5000)}" for _ in range(60 + 10 * (b % 6))]
+        rows.append((len(rows), " ".join(words)))
+        for share in (0.02, 0.06, 0.1, 0.13, 0.2):
+            n = round(share * len(words))
+            rows.append((len(rows), " ".join(words[: len(words) - n] + [f"v{rng.randrange(5000)}" for _ in range(n)])))
+            if share > 0.1:  # the same share in the middle, a near copy of none but perhaps the base
+                rows.append((len(rows), " ".join([*words[:20], *(f"u{rng.randrange(5000)}" for _ in range(n)), *words[20 + n :]])))
+    rows += [(len(rows) + k, t) for k, t in enumerate(["", "one two", "One  TWO", "one", "a b c d e f", "a b c d e f g", "x y " * 40, "x y " * 4])]
+    return rows
+
+
+def test_near_copies_are_verified(spark, tmp_path, monkeypatch):
+    rows = edited_texts()
+    docs = spark.createDataFrame([[i, t, "en", "src1", 0] for i, t in rows], DOCS)
+    want = brute_first(rows)
+    assert 24 < len(want) < len(rows) - 24
+    assert sorted(r.doc_id for r in P.near_dedup(spark, docs, str(tmp_path)).collect()) == want
+    monkeypatch.setattr(simhash, "GROUP", 4)
+    assert sorted(r.doc_id for r in P.near_dedup(spark, docs, str(tmp_path)).collect()) == want
