@@ -449,3 +449,10 @@ def test_pages_without_an_article_lose_shared_lines(spark):
     assert all(text[i] == f"text {i}" for i in range(20)) and text[52] == "text 1"
     assert text[50] == "Site name only Imprint" and text[51] == "" and text[None] == "a"
     assert page_diff.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_copies_of_a_page_are_cleaned_alike(spark):
+    frame = "<div>Site name</div><div>{}</div><div>Imprint</div>"
+    rows = [(i, f"http://h.example/en/{i // 7}?x={i}", frame.format(f"text {i // 7}")) for i in range(35)]
+    got = page_diff.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"text {i // 7}" for i in range(35)} and len(got) == 35
