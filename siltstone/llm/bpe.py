@@ -6,7 +6,10 @@ and only the pairs that touch a merged place are looked up again and indexed und
 pair of lower rank; it is then simply the next to be applied.  Where such a step merged several places of one piece,
 the order inside that piece could matter, and the piece is encoded again on its own, one merge at a time.
 
-Chunks are independent, so nothing is shuffled.  The rank table (under 1 MB for 50,000 tokens) is broadcast.
+A worker keeps the vocabulary that it has replayed, up to VOCABULARY bytes of pieces, from chunk to chunk and task to
+task, so a piece of the corpus is replayed once in a worker, not once in a chunk.  Nothing is shuffled: with one
+index over the whole corpus every text would travel to meet its pieces' ids.  The rank table (under 1 MB for 50,000
+tokens) is broadcast.
 """
 
 from __future__ import annotations
@@ -26,8 +29,10 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import chunks, pick, ragged
 
 _NONE = np.int32(2**31 - 1)
-#: Bytes of text that share one replay; pieces of a text taken at a time.
-CHUNK_BYTES, _PIECES = 12 << 20, 1 << 20
+#: Bytes of text that share one replay; pieces of a text taken at a time; ids in a batch of the output.
+CHUNK_BYTES, _PIECES, _IDS = 4 << 20, 1 << 18, 1 << 20
+#: Bytes of pieces that a worker keeps with their ids.
+VOCABULARY = 8 << 20
 _TABLES: dict[bytes, Merges] = {}
 
 
@@ -62,16 +67,29 @@ class Merges:
         return np.where(self.keys[at] == want, self.ranks[at], _NONE)
 
     def alone(self, piece: bytes) -> list[int]:
-        """One piece, the leftmost of its least pairs at a time."""
-        parts = [bytes([b]) for b in piece]
-        while len(parts) > 1:
-            ranks = [self.rank.get(a + b, _NONE) for a, b in zip(parts, parts[1:], strict=False)]
-            least = min(ranks)
-            if least == _NONE:
-                break
-            i = ranks.index(least)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [self.rank[p] for p in parts]
+        """One piece, the leftmost of its least pairs at a time, from a heap of (rank, place)."""
+        n = len(piece)
+        token = self.single[np.frombuffer(piece, np.uint8)].tolist()
+        after, before, size = [*range(1, n), -1], [*range(-1, n - 1)], [1] * n
+
+        def rank(i: int) -> int | None:
+            j = after[i]
+            return None if j < 0 else self.rank.get(piece[i : j + size[j]])
+
+        waiting = [(r, i) for i in range(n) if (r := rank(i)) is not None]
+        heapify(waiting)
+        while waiting:
+            r, i = heappop(waiting)
+            if token[i] < 0 or rank(i) != r:
+                continue
+            j = after[i]
+            token[i], token[j], size[i], after[i] = r, -1, size[i] + size[j], after[j]
+            if after[i] >= 0:
+                before[after[i]] = i
+            for k in (before[i], i):
+                if k >= 0 and (r := rank(k)) is not None:
+                    heappush(waiting, (r, k))
+        return [t for t in token if t >= 0]
 
     def replay(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all pieces, end to end, and how many each piece has."""
@@ -177,6 +195,7 @@ def merges(lines: bytes) -> Merges:
     key = hashlib.sha1(lines).digest()
     if key not in _TABLES:
         _TABLES[key] = Merges(lines)
+        _TABLES[key].key = key
     return _TABLES[key]
 
 
@@ -186,45 +205,75 @@ def read_ranks(path: str) -> bytes:
         return file.read()
 
 
-def _codes(match, text: str, number) -> np.ndarray:
-    """Numbers of the pieces of one text, a bounded count at a time."""
-    if len(text) < 1 << 20:
-        return np.array([number[p] for p in match.findall(text)], np.int32)
-    pieces, parts = match.finditer(text), []
-    while len(part := np.fromiter((number[m[0]] for m in islice(pieces, _PIECES)), np.int32)):
-        parts.append(part)
-    return np.concatenate(parts)
+class Vocabulary:
+    """The pieces that a worker has replayed: a number for each, and by number the ids."""
+
+    def __init__(self, table: Merges):
+        self.table = table
+        self.clear()
+
+    def clear(self):
+        self.number: dict[str, int] = defaultdict()
+        self.number.default_factory = self.number.__len__
+        self.ids, self.begin, self.count, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+
+    def codes(self, match, text: str) -> np.ndarray:
+        """Numbers of the pieces of one text, a bounded count of pieces at a time."""
+        number = self.number
+        if len(text) < 1 << 18:
+            return np.array([number[p] for p in match.findall(text)], np.int32)
+        pieces, parts = match.finditer(text), []
+        while len(part := np.fromiter((number[m[0]] for m in islice(pieces, _PIECES)), np.int32)):
+            parts.append(part)
+        return np.concatenate(parts) if parts else np.zeros(0, np.int32)
+
+    def learn(self):
+        """Replay the pieces that have a number but no ids yet."""
+        fresh = [p.encode() for p in islice(self.number, len(self.count), None)]
+        if fresh:
+            ids, count = self.table.replay(fresh)
+            self.begin = np.r_[self.begin, len(self.ids) + np.cumsum(count) - count]
+            self.count, self.ids, self.size = np.r_[self.count, count], np.r_[self.ids, ids], self.size + sum(map(len, fresh))
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        return ragged(self.ids, self.begin[codes], self.count[codes])
+
+
+_VOCABULARIES: dict[tuple[bytes, str], Vocabulary] = {}
 
 
-def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """id_col, ids: the token ids of each row's whole text (null and empty text: no ids), without special tokens.
 
     pattern splits the text; each match is encoded on its own.  One row for each input row, repeats and null ids too.
+    With `decoded` a third column has the bytes that the ids stand for, as decode() gives them, from the same pass.
     """
     held = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches):
         table, match = merges(held.value), regex.compile(pattern)
+        vocabulary = _VOCABULARIES.setdefault((table.key, pattern), Vocabulary(table))
         for chunk in chunks(batches, CHUNK_BYTES):
-            number: dict[str, int] = defaultdict()
-            number.default_factory = number.__len__
-            codes = [_codes(match, t.as_py(), number) if t.is_valid else np.zeros(0, np.int32) for t in chunk.column("text")]
-            ids, count = table.replay([p.encode() for p in number])
-            del number
-            begin = np.cumsum(count) - count
+            codes = [vocabulary.codes(match, t.as_py()) if t.is_valid else np.zeros(0, np.int32) for t in chunk.column("text")]
+            vocabulary.learn()
             key = chunk.column("id").combine_chunks()
-            size = np.cumsum([len(c) for c in codes])
+            size = np.cumsum([int(vocabulary.count[c].sum()) for c in codes])
             a = 0
             while a < len(codes):
-                b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + (1 << 20), "right")))
-                flat = np.concatenate(codes[a:b])
-                ends = np.r_[0, np.cumsum([int(count[c].sum()) for c in codes[a:b]])]
-                values = pa.array(ragged(ids, begin[flat], count[flat]))
-                yield pa.record_batch([key.slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], names=["id", "ids"])
+                b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + _IDS, "right")))
+                ids = vocabulary.of(np.concatenate(codes[a:b]))
+                ends = np.r_[0, size[a:b] - (size[a - 1] if a else 0)]
+                columns = [key.slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))]
+                if decoded:
+                    columns.append(pa.array([table.decode(ids[x:y]) for x, y in zip(ends[:-1], ends[1:], strict=True)], pa.binary()))
+                yield pa.record_batch(columns, names=names)
                 a = b
+            if vocabulary.size > VOCABULARY:
+                vocabulary.clear()
 
+    names = ["id", "ids", "decoded"][: 2 + decoded]
     rows = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "id long, ids array<int>").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, "id long, ids array<int>" + ", decoded binary" * decoded).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, ranks: bytes, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

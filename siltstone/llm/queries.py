@@ -39,11 +39,10 @@ def op9_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_byte_bpe(spark: SparkSession, sf_dir: str, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
     import public_tokenizers
 
-    from siltstone.llm.bpe import decode, encode, read_ranks
+    from siltstone.llm.bpe import encode, read_ranks
 
     ranks = read_ranks(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    encoded = encode(_table(spark, sf_dir, "documents"), ranks, pattern or public_tokenizers.PATTERN, "doc_id", "text")
-    both = decode(encoded, ranks, "doc_id", "ids")
+    both = encode(_table(spark, sf_dir, "documents"), ranks, pattern or public_tokenizers.PATTERN, "doc_id", "text", decoded=True)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -195,15 +195,41 @@ def test_replay_equals_merging_alone(tokens):
 
 
 def test_long_texts_are_cut_in_pieces(tokens):
-    from collections import defaultdict
-
     import regex
 
-    number = defaultdict()
-    number.default_factory = number.__len__
+    vocabulary = bpe.Vocabulary(bpe.merges(tokens[0]))
     text = "some words " * 120000
-    codes = bpe._codes(regex.compile(tokens[1]), text, number)
-    assert "".join(list(number)[c] for c in codes) == text
+    codes = vocabulary.codes(regex.compile(tokens[1]), text)
+    assert "".join(list(vocabulary.number)[c] for c in codes) == text
+
+
+def test_merging_alone_is_fast_and_right(tokens):
+    table, library = bpe.merges(tokens[0]), tokens[2]
+    rng = random.Random(12)
+    for n in (0, 1, 2, 50, 700):
+        piece = "".join(rng.choice("abn e") for _ in range(n))
+        assert table.alone(piece.encode()) == (library._encode_single_piece(piece) if n else [])
+    whole = bytes(rng.randrange(256) for _ in range(200000))
+    assert b"".join(table.token[i] for i in table.alone(whole)) == whole
+
+
+@pytest.mark.parametrize("kept", [0, 1 << 30])
+def test_a_vocabulary_lasts_over_chunks(spark, tokens, monkeypatch, kept):
+    lines, pattern, library = tokens
+    import regex
+
+    monkeypatch.setattr(bpe, "VOCABULARY", kept)
+    vocabulary = bpe.Vocabulary(bpe.merges(lines))
+    for text in ("strange wordlings", "strange wordlings and otherlings", "otherlings " * 3):
+        codes = vocabulary.codes(regex.compile(pattern), text)
+        vocabulary.learn()
+        assert vocabulary.of(codes).tolist() == library.encode_ordinary(text)
+        if vocabulary.size > bpe.VOCABULARY:
+            vocabulary.clear()
+    rows = sample_texts()
+    got = bpe.encode(documents(spark, rows), lines, pattern, decoded=True).collect()
+    assert {r.doc_id: (list(r.ids), bytes(r.decoded)) for r in got} == {i: (library.encode_ordinary(t or ""), (t or "").encode()) for i, t in rows}
+    assert bpe.encode(documents(spark, []), lines, pattern, decoded=True).columns == ["doc_id", "ids", "decoded"]
 
 
 # ---------------------------------------------------------------- vectors
