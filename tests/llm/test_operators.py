@@ -331,7 +331,7 @@ def brute_lines(rows, least):
     seen = {}
     for _, t, s in rows:
         for line in {x.strip(" ") for x in (t or "").split("\n")} - {""} if t is not None else ():
-            key = (line, t[:40])
+            key = (line, t)
             seen[key] = min(seen.get(key, site(s)), site(s))
     sites = {}
     for (line, _), s in seen.items():
@@ -353,9 +353,20 @@ def test_line_spread(spark):
     assert line_spread.remove_spread_lines(docs.limit(0), 10).count() == 0
 
 
+def test_a_banner_over_many_sites_goes(spark):
+    banner = "Welcome to the network of sites that all begin with this line"
+    rows = [(i, f"{banner}\nbody {i}\n{banner}\n\nfooter of all", f"src{i % 20}") for i in range(200)]
+    rows += [(300, "\n".join(f"line {k % 7000}" if k % 3 else "footer of all" for k in range(60000)), "src1"), (301, "w" * 3_000_000 + "\n" + banner, "src2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: (r.clean_text, r.n_lines, r.n_removed) for r in line_spread.remove_spread_lines(docs, 10).collect()}
+    assert all(got[i] == (f"body {i}\n", 5, 3) for i in range(200))
+    assert got[300][1:] == (60000, 20000) and "footer" not in got[300][0]
+    assert got[301] == ("w" * 3_000_000, 2, 1)
+
+
 def test_near_threshold_lines_are_counted_exactly(spark):
     rows = [(f"{n}", f"o{k}", k * 7919 + n) for n in range(1, 40) for k in range(n)]
-    lines = spark.createDataFrame([(int(a), i, s) for i, (a, _, s) in enumerate(rows)], "line long, opening long, site long")
+    lines = spark.createDataFrame([(int(a), i, s) for i, (a, _, s) in enumerate(rows)], "line long, copy long, site long")
     assert sorted(r.line for r in line_spread.spread_lines(lines, 20).collect()) == list(range(20, 40))
 
 
