@@ -1,16 +1,20 @@
 """SimHash near-dedup: segment-popcount embedding, grid range-join under Manhattan distance, exact check.
 
-A 64-bit fingerprint maps to the bit counts of 32 segments of two bits.  The Manhattan distance of two such vectors
-is at most the Hamming distance of the fingerprints, so it serves as a lower bound.  The segments fall into groups
-with radii whose sum plus number exceeds the threshold: two fingerprints within the threshold are within the radius
-in one group at least.  A fingerprint lies in one grid cell of each group and looks into the cells within the radius.
-The cells' members are then compared bit by bit, and each cell returns a star for each of its components, at most a
-link a member.  Which groups are used depends on the number of fingerprints only; every choice finds all pairs.
+A fingerprint maps to the bit counts of segments of its bits.  The Manhattan distance of two such vectors is at most
+the Hamming distance of the fingerprints, so it serves as a lower bound.  A grid takes some segments and a radius: a
+fingerprint lies in one cell and looks into the cells within the radius, and the members of a cell are then compared
+bit by bit.  Each cell returns a star for each of its components, at most a link a member.
+
+Narrow thresholds: the 32 segments of two bits fall into grids with radii whose sum plus number exceeds the threshold,
+so two fingerprints within it are within the radius in one grid at least.  Every choice of grids finds all pairs.
+
+Wide thresholds, at which texts of a similarity of 0.8 differ in 39 of 256 bits, leave no such grid that prunes.  There
+each grid draws its segments, of one bit, from all bits; grids are as fine as keeps about CELL members in a cell, and so
+many that a pair which differs in DIFFER of its bits shares a cell with a probability of SURE.  Their number grows with
+the 0.27th power of the number of fingerprints, work and shuffle with the 1.27th.
 
 Equal fingerprints are one node, so copies never multiply pairs.  A cell with more than PART members is dealt out as
-pairs of parts.  Wide thresholds leave no grid that prunes; then all pairs of parts are compared, which takes time with
-the square of the number of different texts.  Longer fingerprints (more `prints`) settle such pairs exactly as the
-longer sketch would.
+pairs of parts.  In a cell, the members near a few pivots become stars first, and stars are not compared within.
 
 first_of_similar takes such components, of thresholds wide enough to miss no similar pair, only as groups in which to
 look: links are the pairs of texts in a group whose shingle sets have the similarity asked for.
@@ -27,16 +31,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import chunks, durable, mix, pick
+from siltstone.llm.common import chunks, durable, mix, pick, ragged
 from siltstone.llm.graph import components
 
 #: Members of a cell that one task compares with each other at most; bytes of text fingerprinted at a time.
 PART, CHUNK_BYTES = 131072, 8 << 20
 #: Texts, and bytes of text, whose shingle sets one task compares with each other at most.
-GROUP, GROUP_BYTES = 512, 32 << 20
+GROUP, GROUP_BYTES = 8192, 24 << 20
+#: Wide thresholds: members of a cell aimed at; the share of differing bits for which a shared cell is SURE.
+CELL, DIFFER, SURE = 1024, 0.17, 0.99
+#: Pivots tried in a cell, and members that make a star.
+_PIVOTS, _STAR = 16, 64
 #: Shingles hashed at a time.
 _BLOCK = 1 << 16
-_SEGMENTS = 32
+_SEGMENTS = np.arange(64).reshape(32, 2)
 _PACKED = pa.schema([("cell", pa.int64()), ("n", pa.int64()), ("members", pa.binary())])
 _EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
@@ -95,24 +103,33 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, "id long, sig long, fp binary")
 
 
-def _plan(n: float, bits: int) -> list[tuple[list[int], int]]:
-    """Groups of segments, each with its radius: the cheapest of a few choices for n fingerprints.
+def _plan(n: float, bits: int) -> list[tuple[np.ndarray, int]] | None:
+    """Grids (bits of each segment, radius) that find all pairs within `bits` of 64: the cheapest for n fingerprints.
 
-    One group of no segments, a single cell for all, is the choice where the threshold is too wide for any grid.
+    None where the threshold is too wide for these grids.
     """
 
-    def groups(radii):
-        cut = np.linspace(0, _SEGMENTS, len(radii) + 1).round().astype(int)
-        return [(list(range(a, b)), r) for a, b, r in zip(cut[:-1], cut[1:], radii, strict=True)]
+    def grids(radii):
+        return [(own, r) for own, r in zip(np.array_split(_SEGMENTS, len(radii)), radii, strict=True)]
 
     def cost(choice):
         looks = [sum(_ways(len(s), d) for d in range(r + 1)) for s, r in choice]
         return sum(400 * n * x + n * n * x * 0.375 ** len(s) for x, (s, _) in zip(looks, choice, strict=True))
 
-    choices = [[([], 0)], groups([0] * (bits + 1))]
-    choices += [groups([1] * (bits // 2) + [0] * (bits % 2 + 1))] if bits > 1 else []
-    choices += [groups([2, 1])] if bits <= 4 else []
-    return min((c for c in choices if sum(r + 1 for _, r in c) > bits or not c[0][0]), key=cost)
+    if bits > 8:
+        return None
+    choices = [[(_SEGMENTS[:0], 0)], grids([0] * (bits + 1))]
+    choices += [grids([1] * (bits // 2) + [0] * (bits % 2 + 1))] if bits > 1 else []
+    choices += [grids([2, 1])] if bits <= 4 else []
+    return min((c for c in choices if sum(r + 1 for _, r in c) > bits or not len(c[0][0])), key=cost)
+
+
+def wide_plan(n: float, prints: int, seed: int = 5) -> list[tuple[np.ndarray, int]]:
+    """Grids of one-bit segments drawn from all bits; a single cell for all where n is at most CELL."""
+    fine = min(max(0, math.ceil(math.log2(max(n, 1) / CELL))), 32 * prints)
+    many = math.ceil(math.log(1 - SURE) / math.log1p(-((1 - DIFFER) ** fine))) if fine else 1
+    rng = np.random.default_rng(seed)
+    return [(rng.permutation(64 * prints)[:fine, None], 0) for _ in range(many)]
 
 
 def _ways(dims: int, distance: int) -> int:
@@ -125,35 +142,34 @@ def _shifts(dims: int, radius: int) -> np.ndarray:
     found = {(0,) * dims}
     for _ in range(radius):
         found |= {x[:i] + (x[i] + s,) + x[i + 1 :] for x, i, s in product(found, range(dims), (-1, 1))}
-    return np.array(sorted(found, key=lambda x: sum(map(abs, x))), np.int64)
+    return np.array(sorted(found, key=lambda x: sum(map(abs, x))), np.int64).reshape(len(found), dims)
 
 
-def _counts(fp: np.ndarray) -> np.ndarray:
-    bits = fp.astype(np.uint64)
-    pairs = (bits & np.uint64(0x5555555555555555)) + ((bits >> np.uint64(1)) & np.uint64(0x5555555555555555))
-    return np.stack([(pairs >> np.uint64(2 * k)) & np.uint64(3) for k in range(_SEGMENTS)], axis=1).astype(np.int64)
+def _counts(bits: np.ndarray, segments: np.ndarray) -> np.ndarray:
+    """Bit counts of each segment, a row for each fingerprint."""
+    return bits[:, segments].sum(axis=2, dtype=np.int64)
 
 
 def _embed(plan, prints: int):
-    """Map fingerprints with their node to packed members of cells; a member is (prints, node, at home)."""
+    """Map fingerprints with their node to packed members of cells; a member is (prints, node)."""
 
     def run(batches):
         for batch in batches:
-            fps = np.frombuffer(b"".join(batch.column("fp").to_pylist()), ">i8").astype(np.int64).reshape(-1, prints)
-            node = batch.column("node").to_numpy()
-            counts = _counts(fps[:, 0])
+            raw = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint8).reshape(-1, 8 * prints)
+            bits = np.unpackbits(raw, axis=1)
+            member = np.column_stack([raw.view(">i8").astype("<i8"), batch.column("node").to_numpy()])
             for g, (segments, radius) in enumerate(plan):
-                base = 3 ** np.arange(len(segments), dtype=np.int64)
-                for k, shift in enumerate(_shifts(len(segments), radius)):
-                    at = counts[:, segments] + shift
-                    inside = ((at >= 0) & (at <= 2)).all(axis=1)
+                wide = segments.shape[1]
+                counts, base = _counts(bits, segments), (wide + 1) ** np.arange(len(segments), dtype=np.int64)
+                for shift in _shifts(len(segments), radius):
+                    at = counts + shift
+                    inside = np.flatnonzero(((at >= 0) & (at <= wide)).all(axis=1))
                     cell = (at[inside] @ base) * len(plan) + g
-                    member = np.column_stack([fps[inside], node[inside], np.full(len(cell), int(k == 0))]).astype("<i8")
                     order = np.argsort(cell, kind="stable")
-                    cell, member = cell[order], member[order]
+                    cell, own = cell[order], member[inside[order]]
                     begin = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
                     end = np.r_[begin[1:], len(cell)]
-                    packed = [member[x:y].tobytes() for x, y in zip(begin, end, strict=True)]
+                    packed = [own[x:y].tobytes() for x, y in zip(begin, end, strict=True)]
                     yield pa.record_batch([pa.array(cell[begin]), pa.array(end - begin), pa.array(packed, pa.binary())], schema=_PACKED)
 
     return run
@@ -166,7 +182,7 @@ def _deal(prints: int):
     def run(batches):
         for batch in batches:
             for cell, packed, parts in zip(*(batch.column(c) for c in ("cell", "members", "parts")), strict=True):
-                member, p = np.frombuffer(packed.as_buffer(), "<i8").reshape(-1, prints + 2), parts.as_py()
+                member, p = np.frombuffer(packed.as_buffer(), "<i8").reshape(-1, prints + 1), parts.as_py()
                 own = (member[:, prints].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % p
                 rows = [(min(a, b), max(a, b), a, some) for a in np.unique(own).tolist() for some in [member[own == a].tobytes()] for b in range(p)]
                 i, j, part, held = zip(*rows, strict=True)
@@ -176,43 +192,72 @@ def _deal(prints: int):
     return run
 
 
-def near_pairs(fps: np.ndarray, home: np.ndarray, cut: int, bits: int, total: int | None = None):
-    """Yield (rows, columns) of linked pairs: between the rows before `cut` and those from it on, or, where cut is 0,
-    among all rows.  One of a pair must be at home.  Tiles of 64 by 4096 stay in the processor's cache."""
+def _near(fps: np.ndarray, i, j, bits: int, total: int | None) -> np.ndarray:
+    """Whether rows i and j of fingerprints are within `bits` in the first print and, if given, `total` in all."""
+    near = np.bitwise_count(fps[i, 0] ^ fps[j, 0]) <= bits
+    return near if total is None else near & (np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1) <= total)
+
+
+def _stars(fps: np.ndarray, bits: int, total: int | None) -> np.ndarray:
+    """A label for each row: those near one of a few pivots have its label, the others their own."""
+    label, rest = np.arange(len(fps)), np.arange(len(fps))
+    for k in range(_PIVOTS):
+        if len(rest) < 2 * _STAR:
+            break
+        pivot = rest[(2 * k + 1) * len(rest) // (2 * _PIVOTS)]
+        near = _near(fps, rest, np.full(len(rest), pivot), bits, total)
+        if near.sum() >= _STAR:
+            label[rest[near]], rest = pivot, rest[~near]
+    return label
+
+
+def link(fps: np.ndarray, bits: int, total: int | None = None, cut: int = 0) -> np.ndarray:
+    """A label for each row of fingerprints: equal for those that chains of links join.
+
+    Rows link within `bits` in their first print and, if given, within `total` over all prints.  Where cut is not 0, all
+    links between the rows before it and those from it on are found, and of the others perhaps some.  Tiles of 64 by 4096
+    stay in the processor's cache; a tile whose rows and columns are one component already is left out.
+    """
+    fps = fps.astype(np.uint64)
+    label = np.concatenate([_stars(fps[:cut], bits, total), cut + _stars(fps[cut:], bits, total)])
+    order = np.concatenate([np.argsort(label[:cut], kind="stable"), cut + np.argsort(label[cut:], kind="stable")])
+    fps, label = fps[order], label[order]
     first = np.ascontiguousarray(fps[:, 0])
     differ, count = np.empty((64, 4096), np.uint64), np.empty((64, 4096), np.uint8)
+    parent = list(range(len(fps)))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
     for a in range(0, cut or len(fps), 64):
-        left = first[a : min(a + 64, cut or len(fps)), None]
+        stop = min(a + 64, cut or len(fps))
+        own, joins = label[a:stop], []
         for b in range(cut or a, len(fps), 4096):
-            right = first[None, b : b + 4096]
-            x, n = differ[: len(left), : right.shape[1]], count[: len(left), : right.shape[1]]
-            np.bitwise_xor(left, right, out=x)
+            theirs = label[b : b + 4096]
+            if own[0] == theirs[0] and (own == own[0]).all() and (theirs == own[0]).all():
+                continue
+            x, n = differ[: stop - a, : len(theirs)], count[: stop - a, : len(theirs)]
+            np.bitwise_xor(first[a:stop, None], first[None, b : b + 4096], out=x)
             np.bitwise_count(x, out=n)
             i, j = np.nonzero(n <= bits)
-            i, j = i + a, j + b
-            keep = home[i] | home[j] if cut else (i < j) & (home[i] | home[j])
-            i, j = i[keep], j[keep]
+            apart = own[i] != theirs[j]
+            i, j = i[apart] + a, j[apart] + b
             if total is not None and len(i):
                 near = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1) <= total
                 i, j = i[near], j[near]
             if len(i):
-                yield i, j
-
-
-def link(fps: np.ndarray, home: np.ndarray, bits: int, total: int | None = None, cut: int = 0) -> np.ndarray:
-    """A label for each row of fingerprints: equal for those that chains of links join.
-
-    Rows link within `bits` in their first print and, if given, within `total` over all prints.  A tile's links are
-    merged row by row, so that dense groups, in which all pairs are links, cost no more than their members.
-    """
-    label = np.arange(len(fps))
-    for rows, columns in near_pairs(fps.astype(np.uint64), home, cut, bits, total):
-        begin = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-        for i, near in zip(rows[begin].tolist(), np.split(columns, begin[1:]), strict=True):
-            labels = np.unique(np.r_[label[i], label[near]])
-            if len(labels) > 1:
-                label[np.isin(label, labels[1:])] = labels[0]
-    return label
+                joins.append(label[i] * len(fps) + label[j])
+        if joins:
+            for x, y in (divmod(p, len(fps)) for p in np.unique(np.concatenate(joins)).tolist()):
+                x, y = find(x), find(y)
+                parent[max(x, y)] = min(x, y)
+            names, place = np.unique(label, return_inverse=True)
+            label = np.array([find(x) for x in names.tolist()])[place]
+    out = np.empty(len(fps), np.int64)
+    out[order] = label
+    return out
 
 
 def _verify(bits: int, prints: int, total: int | None):
@@ -220,28 +265,31 @@ def _verify(bits: int, prints: int, total: int | None):
         _, i, j = (k.as_py() for k in key)
         sides: tuple[list, list] = ([], [])
         for part, x in zip(table.column("part").to_pylist(), table.column("members"), strict=True):
-            sides[int(part != i)].append(np.frombuffer(x.as_buffer(), "<i8").reshape(-1, prints + 2))
-        cut = 0 if i == j else sum(map(len, sides[0]))
+            sides[int(part != i)].append(np.frombuffer(x.as_buffer(), "<i8").reshape(-1, prints + 1))
         if i != j and not (sides[0] and sides[1]):
             return _EDGES.empty_table()
         member = np.concatenate([*sides[0], *sides[1]])
-        label = link(member[:, :prints], member[:, -1] == 1, bits, total, cut)
-        least = np.full(len(label), np.iinfo(np.int64).max)
-        np.minimum.at(least, label, member[:, prints])
-        root = least[label]
-        edge = root != member[:, prints]
-        return pa.Table.from_arrays([pa.array(member[edge, prints]), pa.array(root[edge])], schema=_EDGES)
+        return _edges(link(member[:, :prints], bits, total, 0 if i == j else sum(map(len, sides[0]))), member[:, prints])
 
     return run
 
 
+def _edges(label: np.ndarray, node: np.ndarray) -> pa.Table:
+    """A link from each node to the least of its label."""
+    _, place = np.unique(label, return_inverse=True)
+    least = np.full(place.max(initial=-1) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, place, node)
+    edge = least[place] != node
+    return pa.Table.from_arrays([pa.array(node[edge]), pa.array(least[place][edge])], schema=_EDGES)
+
+
 def near_links(nodes: DataFrame, bits: int, prints: int = 1, total: int | None = None) -> DataFrame:
-    """Links u, v that join all nodes (node, fp; fp distinct) within `bits` of each other, as stars of each grid cell."""
+    """Links u, v that join the nodes (node, fp; fp distinct) within `bits` of each other, as stars of each grid cell."""
     n = nodes.count()
-    plan = _plan(n, bits)
+    plan = _plan(n, bits) or wide_plan(n, prints)
     packed = nodes.mapInArrow(_embed(plan, prints), "cell long, n long, members binary")
     sizes = packed.groupBy("cell").agg(F.sum("n").alias("n"))
-    if plan[0][0]:
+    if len(plan[0][0]):
         parts = sizes.filter(F.col("n") > PART).select("cell", F.ceil(F.col("n") / (PART / 2)).alias("parts"))
     else:  # one cell: its pairs of parts are all the tasks there are
         tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -279,39 +327,48 @@ def near_duplicates(
     return found.select(F.col("id").alias(id_col), "sig", "fp", F.expr("if(id is null, null, component_id)").alias("component_id"))
 
 
-def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
-    """Whether two sets, each without repeats, have a Jaccard similarity of at least `least`; empty sets are equal."""
-    if min(len(a), len(b)) < least * max(len(a), len(b)) - 1e-9:
-        return False
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return common >= least * (len(a) + len(b) - common) - 1e-9
+def similar_groups(sets: list[np.ndarray], fps: np.ndarray, bits: int, total: int, least: float) -> np.ndarray:
+    """A label for each set: equal for those that chains of links join.
+
+    Sets, each without repeats, link where their Jaccard similarity is at least `least`, and are looked at where their
+    fingerprints are within `bits` and `total`; empty sets are equal.  A set that is reached is compared only with those
+    not reached yet, so a group of many near copies costs little more than its members.
+    """
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    end = np.cumsum(size)
+    _, values = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True)
+    held = np.zeros(values.max(initial=-1) + 1, bool)
+    label, rest = np.empty(len(sets), np.int64), np.arange(len(sets))
+    while len(rest):
+        seed, rest = rest[0], rest[1:]
+        label[seed], reached = seed, [seed]
+        while reached and len(rest):
+            x = reached.pop()
+            near = rest[_near(fps, rest, np.full(len(rest), x), bits, total)]
+            near = near[np.minimum(size[near], size[x]) >= least * np.maximum(size[near], size[x]) - 1e-9]
+            if not len(near):
+                continue
+            own = values[end[x] - size[x] : end[x]]
+            held[own] = True
+            stop = np.cumsum(size[near])
+            inside = np.r_[0, np.cumsum(held[ragged(values, end[near] - size[near], size[near])])]
+            held[own] = False
+            common = inside[stop] - inside[stop - size[near]]
+            near = near[common >= least * (size[near] + size[x] - common) - 1e-9]
+            label[near] = seed
+            reached += near.tolist()
+            rest = rest[~np.isin(rest, near)] if len(near) else rest
+    return label
 
 
 def _similar_links(words: int, seed: int, bits: int, prints: int, total: int, least: float):
-    """Stars u, v of the similar texts of a group, or between two parts of one."""
+    """Stars u, v of the similar texts of a group, or of two parts of one."""
 
-    def run(key, table):
-        _, i, j = (k.as_py() for k in key)
-        table = table.combine_chunks()
-        order = np.argsort(table.column("part").to_numpy() != i, kind="stable")
-        table = table.take(pa.array(order))
-        cut = 0 if i == j else int((table.column("part").to_numpy() == i).sum())
-        if i != j and cut in (0, len(table)):
-            return _EDGES.empty_table()
+    def run(table):
         sig = table.column("sig").to_numpy()
         fps = np.frombuffer(b"".join(table.column("fp").to_pylist()), ">u8").astype(np.uint64).reshape(-1, prints)
         sets = [np.unique(shingle_hashes(t.as_buffer().to_pybytes() if t.is_valid else b"", words, seed)) for t in table.column("text")]
-        label = np.arange(len(sig))
-        for rows, columns in near_pairs(fps, np.ones(len(sig), bool), cut, bits, total):
-            apart = label[rows] != label[columns]
-            for x, y in zip(rows[apart].tolist(), columns[apart].tolist(), strict=True):
-                if label[x] != label[y] and similar(sets[x], sets[y], least):
-                    label[label == label[y]] = label[x]
-        low = np.full(len(label), np.iinfo(np.int64).max)
-        np.minimum.at(low, label, sig)
-        root = low[label]
-        edge = root != sig
-        return pa.Table.from_arrays([pa.array(sig[edge]), pa.array(root[edge])], schema=_EDGES)
+        return _edges(similar_groups(sets, fps, bits, total, least), sig)
 
     return run
 
@@ -337,7 +394,7 @@ def first_of_similar(
     large = large.select("cell", F.ceil(F.greatest(F.col("size") / (GROUP / 2), F.col("bytes") / (GROUP_BYTES / 2))).cast("long").alias("parts"))
     dealt = held.join(F.broadcast(large), "cell", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("sig"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    dealt = dealt.select("cell", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "sig", "fp", "text")
+    dealt = dealt.select("cell", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "sig", "fp", "text")
     links = dealt.groupBy("cell", "i", "j").applyInArrow(_similar_links(words, seed, bits, prints, total, least), "u long, v long")
     groups = texts.join(components(links), texts["sig"] == F.col("node"), "left").withColumn("group", F.coalesce("root", "sig"))
     return groups.groupBy("group").agg(F.min(F.struct("id", "sig", "n")).alias("one")).select("one.*")

@@ -116,24 +116,40 @@ def test_simhash(spark, bits):
     assert {r.doc_id: r.component_id for r in got} == brute_components(prints, bits)
 
 
+def flipped(rng, a, bits, wide=64):
+    """Copies of fingerprints (bytes in rows) with so many bits flipped."""
+    out = np.unpackbits(a, axis=1)
+    for row in out:
+        row[rng.choice(wide, bits, replace=False)] ^= 1
+    return np.packbits(out, axis=1)
+
+
 @pytest.mark.parametrize("n", [10, 1e6, 1e9])
 def test_every_grid_finds_every_pair(n):
     rng = np.random.default_rng(3)
     for bits in (0, 1, 2, 3, 4, 7):
         plan = simhash._plan(n, bits)
-        assert sum(r + 1 for _, r in plan) > bits or not plan[0][0]
-        a = rng.integers(-(2**63), 2**63 - 1, 200)
-        flip = np.zeros(200, np.int64)
-        for k in range(200):
-            for b in rng.choice(64, bits, replace=False):
-                flip[k] ^= np.int64(np.uint64(1) << np.uint64(b))
-        x, y = simhash._counts(a), simhash._counts(a ^ flip)
+        assert sum(r + 1 for _, r in plan) > bits or not len(plan[0][0])
+        a = rng.integers(0, 256, (200, 8), dtype=np.uint8)
+        x, y = np.unpackbits(a, axis=1), np.unpackbits(flipped(rng, a, bits), axis=1)
         near = np.zeros(200, bool)
         for segments, radius in plan:
-            near |= np.abs(x[:, segments] - y[:, segments]).sum(axis=1) <= radius
+            near |= np.abs(simhash._counts(x, segments) - simhash._counts(y, segments)).sum(axis=1) <= radius
         assert near.all()
 
 
+@pytest.mark.parametrize("n", [1000, 200_000, 10**8])
+def test_wide_grids_find_nearly_every_pair(n):
+    rng = np.random.default_rng(4)
+    plan = simhash.wide_plan(n, 4)
+    a = rng.integers(0, 256, (1000, 32), dtype=np.uint8)
+    x, y = np.unpackbits(a, axis=1), np.unpackbits(flipped(rng, a, 39, 256), axis=1)
+    near = np.zeros(1000, bool)
+    for segments, _ in plan:
+        near |= (simhash._counts(x, segments) == simhash._counts(y, segments)).all(axis=1)
+    assert near.mean() > 0.98
+
+
 def test_simhash_splits_large_cells(spark, monkeypatch):
     monkeypatch.setattr(simhash, "PART", 16)
     rows = sample_texts(n=95)
@@ -141,6 +157,39 @@ def test_simhash_splits_large_cells(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == brute_components({i: brute_print(t, 4) for i, t in rows}, 4)
 
 
+@pytest.mark.parametrize("radii, bits", [([0] * 5, 4), ([1, 1, 0], 4), ([2, 1], 4), ([0, 0], 1)])
+@pytest.mark.parametrize("part", [16, 131072])
+def test_each_grid_end_to_end(spark, monkeypatch, radii, bits, part):
+    rng = np.random.default_rng(len(radii) + part)
+    base = rng.integers(0, 256, (40, 8), dtype=np.uint8)
+    fps = np.unique(np.concatenate([base, *(flipped(rng, base, k) for k in (1, 2, 3, 4, 4, 5, 6))]), axis=0)
+    monkeypatch.setattr(simhash, "PART", part)
+    monkeypatch.setattr(simhash, "_plan", lambda n, b: list(zip(np.array_split(simhash._SEGMENTS, len(radii)), radii, strict=True)))
+    nodes = spark.createDataFrame([(i, bytearray(f.tobytes())) for i, f in enumerate(fps)], "node long, fp binary").repartition(3)
+    roots = {r.node: r.root for r in components(simhash.near_links(nodes, bits)).collect()}
+    want = brute_components({i: int.from_bytes(f.tobytes(), "big") for i, f in enumerate(fps)}, bits)
+    assert {i: roots.get(i, i) for i in want} == want and len(set(want.values())) > 20
+
+
+@pytest.mark.parametrize("cut", [0, 700])
+def test_dense_cells_are_linked_right(cut):
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 256, (3, 8), dtype=np.uint8)
+    near = [flipped(rng, np.repeat(base[k : k + 1], n, axis=0), 2) for k, n in enumerate((600, 500, 3))]
+    fps = np.concatenate([*near, rng.integers(0, 256, (300, 8), dtype=np.uint8)]).view(">u8").astype(np.uint64)
+    fps = fps[rng.permutation(len(fps))]
+    label = simhash.link(fps, 4, cut=cut)
+    want = brute_components(dict(enumerate(fps[:, 0].tolist())), 4)
+    assert len(set(label.tolist())) == len(set(want.values()))
+    assert len({(label[i], want[i]) for i in want}) == len(set(want.values()))
+
+
+def test_very_long_texts_are_hashed_in_blocks(spark):
+    text = " ".join(f"w{k * k % 9973}" for k in range(150_000))
+    got = simhash.near_duplicates(documents(spark, [(1, text), (2, text + " more"), (3, "short")])).collect()
+    assert {r.doc_id: int.from_bytes(r.fp, "big") for r in got} == {1: brute_print(text, 4), 2: brute_print(text + " more", 4), 3: brute_print("short", 4)}
+
+
 def test_simhash_edges(spark):
     got = simhash.near_duplicates(documents(spark, [(None, "a b"), (3, "a b"), (3, "a b"), (2, None), (1, "")])).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, r.component_id or 0) for r in got) == [(False, 1, 1), (False, 2, 1), (False, 3, 3), (False, 3, 3), (True, 0, 0)]

@@ -107,3 +107,20 @@ def test_near_copies_are_verified(spark, tmp_path, monkeypatch):
     assert sorted(r.doc_id for r in P.near_dedup(spark, docs, str(tmp_path)).collect()) == want
     monkeypatch.setattr(simhash, "GROUP", 4)
     assert sorted(r.doc_id for r in P.near_dedup(spark, docs, str(tmp_path)).collect()) == want
+
+
+def test_wide_grids_find_the_near_copies(spark, tmp_path, monkeypatch):
+    rows = edited_texts()
+    docs = spark.createDataFrame([[i, t, "en", "src1", 0] for i, t in rows], DOCS)
+    monkeypatch.setattr(simhash, "CELL", 4)
+    assert simhash.wide_plan(len(rows), 4)[0][0].shape == (6, 1)
+    found, want = {r.doc_id for r in P.near_dedup(spark, docs, str(tmp_path)).collect()}, set(brute_first(rows))
+    assert want <= found and len(found) <= len(want) + 0.02 * len(rows)
+
+
+def test_repeated_ids_and_very_long_texts(spark, tmp_path):
+    long = " ".join(f"w{k * k % 9973}" for k in range(100_000))
+    rows = [[1, "a text of one kind", "en", "s2", 1], [1, "another of the same id", "en", "s1", 2], [2, "another of the same id", "de", "s1", 3]]
+    rows += [[3, long, "en", "s1", 4], [4, long + " end", "en", "s1", 5], [1, "a text of one kind", "en", "s1", 1]]
+    got = P.near_dedup(spark, spark.createDataFrame(rows, DOCS), str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.source, r.n_chars) for r in got) == [(1, "s1", 1), (1, "s1", 2), (3, "s1", 4)]
