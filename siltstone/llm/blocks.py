@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.common import pick
 
-#: Candidates of a group, in memory at once; queries of a block.
-GROUP, BLOCK = 65536, 512
+#: Bytes of a group's candidates, in memory at once; queries of a block.
+GROUP_BYTES, BLOCK = 32 << 20, 512
 _PACKED = pa.schema([("dim", pa.int32()), ("g", pa.int32()), ("kind", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary())])
 
 
@@ -66,16 +66,16 @@ def search(
 
     make_index(ids, matrix) holds a group and is asked index(query_id, vector, k) for ids and scores, best first.  Only
     vectors of the same dimension meet; a query's own id is no candidate.  Queries with an equal id count once.
-    Candidates are dealt by id to groups of at most about GROUP rows and every group meets all query blocks; a group's
+    Candidates are dealt by id to groups of about GROUP_BYTES at most and every group meets all query blocks; a group's
     candidates are in memory, its queries come as a stream.
     """
     rows = usable(vectors, id_col, vec_col, zero)
-    n = rows.count()
+    n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(8.0 * F.size("v") + 8), F.lit(0.0))).first()
     session = vectors.sparkSession
-    groups = max(-(-n // GROUP), min(session.sparkContext.defaultParallelism, -(-n // 1024)), 1)
+    groups = max(-(-int(size) // GROUP_BYTES), min(session.sparkContext.defaultParallelism, -(-n // 1024)), 1)
     asked = rows.withColumn(id_col, F.col("id")).filter(queries).groupBy("id").agg(F.min("v").alias("v"))
     pack = "dim int, g int, kind int, ids binary, vectors binary"
-    here = rows.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")).mapInArrow(_pack(0, GROUP), pack)
+    here = rows.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")).mapInArrow(_pack(0, 4096), pack)
     there = asked.withColumn("g", F.lit(0)).mapInArrow(_pack(1, BLOCK), pack).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
 
     def run(batches):
@@ -101,7 +101,7 @@ def search(
                     names=["query_id", "vec_id", "score"],
                 )
 
-    met = here.unionByName(there).repartition(groups, "g").sortWithinPartitions("g", "dim", "kind")
+    met = here.unionByName(there).repartitionById(groups, "g").sortWithinPartitions("g", "dim", "kind")
     best = met.mapInArrow(run, f"query_id long, vec_id long, score {score_type}")
     order = F.col("score").desc() if largest else F.col("score").asc()
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(order, "vec_id")))

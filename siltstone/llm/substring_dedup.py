@@ -8,8 +8,9 @@ positions where larger ones start, packed by slots of rows, so that what travels
 pairs of bucket and slot.  A slot's positions are put together by row, meet the texts, overlap into intervals, and the
 words go.
 
-An entry keeps 56 bits of its hash, and its bucket tells more: with 52 buckets windows are told apart by 61.7 bits, and
-n windows have about n*n/2**62.7 chance pairs, 0.003 for 140 million windows; from 256 buckets on it is 64 bits.
+An entry keeps the low 56 bits of its hash, and its bucket is the whole hash modulo an odd number, so both together tell
+hashes apart by 56 bits and the logarithm of the number of buckets: by 61.7 bits with 53 buckets, where n windows have
+about n*n/2**62.7 chance pairs, 0.003 for 140 million windows; by all 64 bits from 257 buckets on.
 """
 
 from __future__ import annotations
@@ -93,7 +94,8 @@ def _mapper(window: int, buckets: int):
                 slot, own, runs, spots = zip(*some, strict=True)
                 yield pa.record_batch([pa.array(slot, pa.int32()), pa.array(own, pa.binary()), pa.array(runs, pa.binary()), pa.nulls(len(some), pa.binary()), pa.array(spots, pa.binary())], schema=_ENTRY)
             roll, row, spot = roll[~lost], row[~lost], spot[~lost]
-            bucket, roll = _spread(roll, buckets), roll * _SPREAD
+            roll = roll * _SPREAD
+            bucket = (roll % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             roll, row, spot, bucket = roll[order], row[order], spot[order], bucket[order]
             begin = _runs(bucket)
@@ -198,12 +200,13 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
     """
     rows = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("sig", F.xxhash64("text"))
-    buckets = parts_for(rows, F.octet_length("text"), BUCKET_BYTES)
+    buckets = parts_for(rows, F.octet_length("text"), BUCKET_BYTES) | 1
     entries = rows.filter("id is not null and text is not null").mapInArrow(_mapper(window, buckets), "bucket int, ids binary, runs binary, hashes binary, spots binary")
     hits = (
-        entries.repartition(buckets, "bucket")
+        entries.repartitionById(buckets, "bucket")
         .groupBy("bucket")
         .applyInArrow(_reducer(buckets), "slot int, ids binary, runs binary, spots binary")
+        .repartitionById(buckets, "slot")
         .groupBy("slot")
         .applyInArrow(_gather, "id long, sig long, hits binary")
     )
