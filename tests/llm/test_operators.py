@@ -481,6 +481,66 @@ def test_toxicity_without_labels(spark):
     assert all(r.score < 0.5 for r in toxicity.score(docs, model).collect())
 
 
+def dense_descent(x_p, x_u, prior, steps=300, rate=0.1, decay=1e-3):
+    """Non-negative positive-unlabelled risk on dense matrices, its gradient by the chain rule, row by row."""
+    d = x_p.shape[1]
+    theta, m, v = np.zeros(d + 1), np.zeros(d + 1), np.zeros(d + 1)
+    theta[d] = math.log(prior / (1 - prior))
+    for t in range(1, steps + 1):
+        s_p = [1 / (1 + math.exp(-min(max(float(r @ theta[:d] + theta[d]), -40), 40))) for r in x_p]
+        s_u = [1 / (1 + math.exp(-min(max(float(r @ theta[:d] + theta[d]), -40), 40))) for r in x_u]
+        as_clean_p, as_clean_u = sum(s_p) / len(s_p), sum(s_u) / len(s_u)
+        up, down = np.zeros(d + 1), np.zeros(d + 1)  # gradients of R_p(+) and of R_u(-) - prior * R_p(-)
+        for r, s in zip(x_p, s_p, strict=True):
+            slope = s * (1 - s) / len(s_p) * np.append(r, 1)
+            up -= slope
+            down -= prior * slope
+        for r, s in zip(x_u, s_u, strict=True):
+            down += s * (1 - s) / len(s_u) * np.append(r, 1)
+        grad = prior * up + down if as_clean_u >= prior * as_clean_p else -down
+        grad[:d] += decay * theta[:d] / d
+        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
+        theta -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+        theta[:d] = np.maximum(theta[:d], 0)
+    return theta[:d], theta[d]
+
+
+def test_descent_equals_a_dense_one():
+    rng = np.random.default_rng(3)
+    x_p, x_u = (rng.random((40, 6)) < 0.8).astype(float), (rng.random((90, 6)) < 0.1).astype(float)
+    x_u[:20] = x_p[:20]
+    lists = [(*np.nonzero(x), len(x)) for x in (x_p, x_u)]
+    for prior, steps in ((0.2, 60), (0.7, 60)):  # at 0.7 the clean risk goes below zero
+        w, b = toxicity.descend(*lists, 6, prior, steps)
+        dense_w, dense_b = dense_descent(x_p, x_u, prior, steps)
+        assert np.allclose(w, dense_w, atol=1e-9) and abs(b - dense_b) < 1e-9 and w.max() > 0.1
+
+
+def test_feature_counts_cover_all_rows(spark):
+    texts = ["idiot fool", "fool fool", None, "", "other"] * 40
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(7)
+    counts = {r.feature: r.n for r in toxicity._counts(df).collect()}
+    import pyarrow as pa
+
+    word = set(toxicity.features(pa.array(["fool"]))[1].tolist())
+    assert counts[-1] == 200 and all(counts[f] == 80 for f in word)
+
+
+def test_toxicity_edges(spark, monkeypatch):
+    rows, marks = toxic_rows(240)
+    rows += [(0, rows[0][1]), (0, rows[0][1]), (1000, "plain words " * 200_000), (1001, "plain words " * 200_000 + "idiot scum! idiotea")]
+    marks += [(0, 1, 0), (3, 1, 0), (3, 1, 0)]  # an id of two labels counts as toxic
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    model = toxicity.train(documents(spark, rows), labels, F.lit(True))
+    got = [(r.doc_id, r.score) for r in toxicity.score(documents(spark, rows), model).collect()]
+    assert len(got) == len(rows)
+    by_id = dict(got)
+    assert by_id[0] > 0.5 > by_id[1] and by_id[1000] < 0.5
+    monkeypatch.setattr(toxicity, "MOST_UNLABELLED", 50)
+    few = toxicity.train(documents(spark, rows), labels, F.lit(True))
+    assert np.isfinite(few.weights).all() and few.weights.max() > 0  # the counts still choose the same features
+
+
 # ---------------------------------------------------------------- pages
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="with-sidebar">
