@@ -597,6 +597,67 @@ def test_pages_without_an_article_lose_shared_lines(spark):
     assert page_diff.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def brute_extract(rows):
+    """Each page without an article element against its nearest-URL page that is no copy, all pages of a host at hand."""
+    lines = {i: page_diff.lines_of(h or "") for i, _, h in rows}
+    out = {}
+    for i, url, _ in rows:
+        own, host, path = lines[i], *page_diff._place(url)
+        if any(p == page_diff._ARTICLE for _, p in own):
+            out[i] = " ".join(t for t, p in own if p == page_diff._ARTICLE)
+            continue
+        body = page_diff._MAIN if any(p == page_diff._MAIN for _, p in own) else page_diff._PLAIN
+        others = [(page_diff._common(path, page_diff._place(u)[1]), lines[j]) for j, u, _ in rows if page_diff._place(u)[0] == host and lines[j] != own]
+        best = max(others, key=lambda x: x[0], default=(0, []))[1]
+        kept = [x for x in own if x not in best and x[1] == body]  # lines stand once in a page of this fixture: shared means common
+        assert len(own) == len(set(own)) and brute_lcs([x for x in own if x in best], [x for x in best if x in own]) == sum(x in best for x in own)
+        out[i] = " ".join(t for t, _ in kept)
+    return out
+
+
+def site_pages():
+    """Hosts of pages in sections with a template of their own; some with main or article elements, some of template lines only."""
+    rng, rows = random.Random(8), []
+    for h in range(4):
+        for section in range(5):
+            frame = f"<div>Site {h}</div><div>Section {section} of {h}</div>{{}}<p>Contact {h}</p><nav>menu {{}}</nav>"
+            for k in range(6):
+                i = len(rows)
+                text = "".join(f"<p>text {i} {j} {rng.random()}</p>" for j in range(rng.randrange(1, 6)))
+                inner = ["<div>{}</div>", "<main><h2>Our main {h}</h2>{}</main>", "<article>{}</article>"][i % 3 if h == 3 else 0].replace("{}", text).replace("{h}", str(h))
+                rows.append((i, f"http://h{h}.example/s{section}/page{k}/x", frame.format("" if h == 2 and k == 2 else inner, i)))
+    return rows
+
+
+def test_differencing_against_brute_force(spark):
+    rows = site_pages()
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = {r.page_id: r.text for r in page_diff.extract(pages).collect()}
+    assert got == brute_extract(rows)
+    assert [i for i, u, _ in rows if not got[i]] == [i for i, u, _ in rows if "h2.example" in u and "/page2/" in u]
+    off = {r.page_id: r.text for r in page_diff.extract(pages, near=0).collect()}
+    assert all((off[i] != got[i]) == ("<article>" not in h) for i, _, h in rows if "<main>" not in h)
+
+
+def test_partners_are_sought_past_copies():
+    def entry(path, *texts):
+        return {"host": "h", "path": path, "lines": b"".join(xxhash.xxh64_digest(t) + bytes([0]) for t in texts)}
+
+    page, copy, near, other = entry("/a/1", *"TabcF"), entry("/a/2", *"TbacF"), entry("/a/3", *"TabcF", *"x"), entry("/b/1", *"TzF")
+    places = lambda around: np.frombuffer(page_diff.template_lines("h", "/a/1", page["lines"], around), "<u4").tolist()
+    assert places([copy, other]) == [0, 4] and places([copy]) == [] and places([]) == []
+    many = [str(k) for k in range(30)]
+    page, near = entry("/a/1", *many), entry("/a/2", *many, "x")
+    assert places([near, entry("/b", "0", "z")]) == [0] and places([near]) == list(range(30))
+
+
+def test_a_very_long_page(spark):
+    body = "".join(f"<p>line {k}</p>" for k in range(40_000))
+    rows = [(1, "http://h.e/a", f"<div>top</div>{body}<div>end</div>"), (2, "http://h.e/b", "<div>top</div><p>own</p><div>end</div>")]
+    got = {r.page_id: r.text for r in page_diff.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[2] == "own" and got[1] == " ".join(f"line {k}" for k in range(40_000))
+
+
 def test_copies_of_a_page_are_cleaned_alike(spark):
     frame = "<div>Site name</div><div>{}</div><div>Imprint</div>"
     rows = [(i, f"http://h.example/en/{i // 7}?x={i}", frame.format(f"text {i // 7}")) for i in range(35)]
