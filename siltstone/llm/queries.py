@@ -86,7 +86,7 @@ def domain_of_source():
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.mixing import mix
 
-    budget = F.floor(F.col("tokens") * int(SHARE * 10) / 10)
+    budget = F.floor(F.col("tokens") * round(SHARE * 100) / 100)
     found = mix(_table(spark, sf_dir, "documents"), domain_of_source(), WEIGHTS, budget, EPOCHS, SEED)
     return found.select("doc_id", "domain", "lang", "source", "n_tokens", "epochs", "partial")
 

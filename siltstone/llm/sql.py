@@ -55,10 +55,12 @@ def _pour(level: str, above: list[str], source: str, name: str) -> str:
 {name} as (select {', '.join(keys)}, cast(case when filled then capacity else rest * run // shares - rest * (run - share) // shares end as bigint) as budget from {name}4)"""
 
 
-_MIX = rf"""with d as (select doc_id, lang, source, len({_WORDS}) as n_tokens,
+def mix_sql(share: float, epochs: int) -> str:
+    """The mixture of a share of all tokens, every row at most so many times."""
+    return rf"""with d as (select doc_id, lang, source, len({_WORDS}) as n_tokens,
   case when regexp_extract(source, '([0-9]+)$', 1) = '' then 'other' else 'domain' || (try_cast(regexp_extract(source, '([0-9]+)$', 1) as bigint) % {DOMAINS}) end as domain from documents),
-leaves as (select domain, lang, source, sum(n_tokens) as tokens, sum(n_tokens) * {EPOCHS} as capacity from d group by 1, 2, 3),
-top as (select cast(floor(sum(tokens) * {int(SHARE * 10)} / 10) as bigint) as budget from leaves),
+leaves as (select domain, lang, source, sum(n_tokens) as tokens, sum(n_tokens) * {epochs} as capacity from d group by 1, 2, 3),
+top as (select cast(floor(sum(tokens) * {round(share * 100)} / 100) as bigint) as budget from leaves),
 {_pour('domain', [], 'top', 'p')}, {_pour('lang', ['domain'], 'p', 'q')}, {_pour('source', ['domain', 'lang'], 'q', 'r')},
 plan as (select domain, lang, source, case when tokens > 0 then budget // tokens else 0 end as whole, case when tokens > 0 then budget % tokens else 0 end as rest from leaves join r using (domain, lang, source)),
 placed as (select *, md5('{SEED}:' || whole || ':' || doc_id) as place from d join plan using (domain, lang, source)),
@@ -76,7 +78,7 @@ SQL: dict[str, str] = {
     "op1_page_diff": _ARTICLE,
     "op2_exact_topk": _TOP,
     "op3_substring_dedup": _WINDOWS,
-    "op6_mixing": _MIX,
+    "op6_mixing": mix_sql(SHARE, EPOCHS),
     "op7_warc": _WARC,
     "op10_line_spread": _SPREAD,
 }
