@@ -7,7 +7,8 @@ up by siblings first, and only what a whole subtree cannot take reaches its ance
 
 A leaf's budget is read as whole epochs and a last, partial one: rows in the order of a hash of seed, epoch and row,
 up to the row in which the budget ends, which gives its first tokens only.  The place where the budget ends is found
-from sums by hash slot, so no leaf, however large, is ordered in one task.
+from sums by hash slot, digit by digit: DEPTH times the slot in which it ends is split into 64.  Only the rows of the
+last slot, a 262,144th of the leaf, are ordered one by one.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import WORD, durable, pick
 
 _LEVELS = ("domain", "lang", "source")
-#: Hash slots of a leaf's last epoch; only one slot of each leaf is ordered row by row.
-SLOTS = 4096
+#: Bits of the hash that a step of the search for a budget's end takes, and steps.
+DIGIT, DEPTH = 6, 3
 
 
 def _pour(nodes: DataFrame, parent: list[str], child: str) -> DataFrame:
@@ -71,6 +72,16 @@ def leaf_budgets(leaves: DataFrame, weights: Mapping[str, Mapping[str, int]], bu
     return leaves.select(*_LEVELS, "tokens").join(given, list(_LEVELS))
 
 
+def _slot(step: int) -> Column:
+    """The slot of a row after so many steps: the first digits of its hash."""
+    return F.shiftright("hash", 32 - DIGIT * step)
+
+
+def _at_end(mixed: DataFrame, step: int) -> DataFrame:
+    """The rows of the slot in which their leaf's budget ends."""
+    return mixed.filter(_slot(step) == F.col("end_slot"))
+
+
 def mix(
     docs: DataFrame,
     domain: Column,
@@ -104,16 +115,19 @@ def mix(
     plan = durable(plan.withColumn("rest", F.col("budget") - F.col("whole") * F.col("tokens")).select(*_LEVELS, "whole", "rest"))
     mixed = rows.join(plan, list(_LEVELS), "left").fillna({"whole": 0, "rest": 0})
     mixed = mixed.withColumn("place", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit("")))))
-    mixed = mixed.withColumn("slot", (F.conv(F.substring("place", 1, 8), 16, 10).cast("long") * SLOTS / 2**32).cast("int"))
-    sums = mixed.groupBy(*_LEVELS, "rest", "slot").agg(F.sum("n_tokens").alias("n"))
+    mixed = mixed.withColumn("hash", F.conv(F.substring("place", 1, 8), 16, 10).cast("long"))
     before = Window.partitionBy(*_LEVELS).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    ends = durable(sums.filter("before < rest and before + n >= rest").select(*_LEVELS, F.col("slot").alias("end_slot"), "before"))
-    mixed = mixed.join(ends, list(_LEVELS), "left")
-    at_end = mixed.filter(F.col("slot") == F.col("end_slot"))
+    ends = None
+    for step in range(1, DEPTH + 1):
+        inside = mixed.withColumn("sofar", F.lit(0).cast("long")) if ends is None else _at_end(mixed.join(ends, list(_LEVELS)), step - 1)
+        sums = inside.withColumn("slot", _slot(step)).groupBy(*_LEVELS, "rest", "sofar", "slot").agg(F.sum("n_tokens").alias("n"))
+        sums = sums.withColumn("sofar", F.col("sofar") + F.coalesce(F.sum("n").over(before), F.lit(0)))
+        ends = durable(sums.filter("sofar < rest and sofar + n >= rest").select(*_LEVELS, F.col("slot").alias("end_slot"), "sofar"))
+    mixed = mixed.join(ends, list(_LEVELS), "left").withColumn("slot", _slot(DEPTH))
+    at_end = _at_end(mixed, DEPTH)
     order = Window.partitionBy(*_LEVELS).orderBy("place", "sig").rowsBetween(Window.unboundedPreceding, -1)
-    taken = at_end.withColumn("before", F.col("before") + F.coalesce(F.sum("n_tokens").over(order), F.lit(0)))
-    taken = taken.withColumn("partial", F.greatest(F.lit(0), F.least("n_tokens", F.col("rest") - F.col("before"))))
+    taken = at_end.withColumn("sofar", F.col("sofar") + F.coalesce(F.sum("n_tokens").over(order), F.lit(0)))
+    taken = taken.withColumn("partial", F.greatest(F.lit(0), F.least("n_tokens", F.col("rest") - F.col("sofar"))))
     others = mixed.filter(~F.coalesce(F.col("slot") == F.col("end_slot"), F.lit(False)))
     others = others.withColumn("partial", F.when(F.col("slot") < F.col("end_slot"), F.col("n_tokens")).otherwise(0))
     out = ["id", "sig", *_LEVELS, "n_tokens", F.col("whole").alias("epochs"), F.col("partial").cast("long").alias("partial")]
