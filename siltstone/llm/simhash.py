@@ -40,6 +40,8 @@ PART, CHUNK_BYTES = 131072, 8 << 20
 GROUP, GROUP_BYTES = 8192, 24 << 20
 #: Wide thresholds: members of a cell aimed at; the share of differing bits for which a shared cell is SURE.
 CELL, DIFFER, SURE = 1024, 0.17, 0.99
+#: Parts that the texts of a group are dealt to where they meet a list of groups.
+SALTS = 16
 #: Pivots tried in a cell, and members that make a star.
 _PIVOTS, _STAR = 16, 64
 #: Shingles hashed at a time.
@@ -386,9 +388,11 @@ def first_of_similar(
     found = near_duplicates(docs, id_col, text_col, words, seed, bits, prints, total, distinct=True).withColumnRenamed(id_col, "id").filter("id is not null")
     rows = found.groupBy("id", "sig").agg(F.first("fp").alias("fp"), F.first("component_id").alias("cell"), F.count(F.lit(1)).alias("n"))
     texts = durable(rows.groupBy("sig").agg(F.min(F.struct("id", "n", "cell", "fp")).alias("one")).select("sig", "one.*"))
-    several = texts.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("cell")
+    several = texts.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    several = several.select("cell", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))  # a cell may hold very many texts
+    grouped = texts.withColumn("salt", F.pmod("sig", F.lit(SALTS)).cast("int")).join(several, ["cell", "salt"])
     held = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long"), F.col("text").cast("string")).withColumn("sig", F.xxhash64("text"))
-    held = durable(held.join(texts.join(several, "cell").select("id", "sig", "cell", "fp"), ["id", "sig"]).dropDuplicates(["id", "sig"]))
+    held = durable(held.join(grouped.select("id", "sig", "cell", "fp"), ["id", "sig"]).dropDuplicates(["id", "sig"]))
     sizes = held.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.sum(F.octet_length("text")).alias("bytes"))
     large = sizes.filter((F.col("size") > GROUP) | (F.col("bytes") > GROUP_BYTES))
     large = large.select("cell", F.ceil(F.greatest(F.col("size") / (GROUP / 2), F.col("bytes") / (GROUP_BYTES / 2))).cast("long").alias("parts"))
