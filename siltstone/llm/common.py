@@ -43,9 +43,17 @@ def shared_dir(spark) -> str:
     return at.rstrip("/")
 
 
+def shared_path(spark, kind: str) -> str:
+    """A new path in the shared folder, whose files go when the driver ends."""
+    at = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(path)
+    return at
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it again: lineage ends there and lost executors cost nothing."""
-    at = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    at = shared_path(df.sparkSession, "table")
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 

@@ -52,12 +52,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str, ranks_path: str | None = None
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
-    from siltstone.llm.common import shared_dir
+    from siltstone.llm.common import shared_path
     from siltstone.llm.warc import read_archives, write_archives
 
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = shared_path(spark, "warc")
     write_archives(_table(spark, sf_dir, "pages"), path, min_bytes=1000)
     return read_archives(spark, path, payloads=False).drop("payload", "url")
 
