@@ -52,6 +52,32 @@ def word_value(word: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for k, v in WORD_VALUES.items() for x in (k, float(v))]), word)
 
 
+def safe_int(text: Column) -> Column:
+    """The whole number a cell holds, cut towards zero, or null."""
+    return text.try_cast("double").try_cast("bigint")
+
+
+def safe_float(text: Column, places: int = 2) -> Column:
+    """The number a cell holds, rounded half to even, or null."""
+    return F.bround(text.try_cast("double"), places)
+
+
+def year_of_parts(candidates: Column) -> Column:
+    """The first year in an array of date-parts arrays, in order; empty and null parts are passed over."""
+    return F.get(F.filter(F.transform(candidates, lambda c: F.get(F.get(c, F.lit(0)), F.lit(0))), lambda y: y.isNotNull()), F.lit(0)).cast("int")
+
+
+def scaled(value: Column, nodata: Column, factor: float = 0.1) -> Column:
+    """A stored value in its unit; the mark of no data and NaN become null."""
+    return F.when(~value.eqNullSafe(nodata) & ~F.isnan(value.cast("double")), value * factor)
+
+
+def multi_year_mean(values: Column) -> Column:
+    """The mean over years; a negative value stands for no data and leaves no mean."""
+    bad = F.exists(values, lambda v: v.isNull() | (v < 0))
+    return F.when((F.size(values) > 0) & ~bad, F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / F.size(values))
+
+
 def variants(value: Column) -> Column:
     """A number and the rounded forms in which a text may state it."""
     return F.array_distinct(F.array(value, F.abs(value), F.bround(value, 0), F.bround(value, 1), F.bround(value, 2), F.bround(F.abs(value), 0)))

@@ -22,32 +22,59 @@ def clean_html(text: Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(text, r"\s+", " ")), F.lit(""))
 
 
+# The parts of an article that hold its text, those that go, those whose end ends a paragraph; headings of
+# references; how a line begins that is taken for a heading.
+JATS_KEPT = ("abstract", "body")
+JATS_DROPPED = ("ref-list", "back", "xref", "table-wrap", "fig", "disp-formula", "inline-formula")
+JATS_BLOCKS = ("p", "sec", "title", "abstract")
+REFERENCES = ("references", "literature cited", "bibliography")
+HEADING = r"[A-Z0-9][^a-z]{0,3}\s"
+
+
+def elements(names: tuple[str, ...]) -> str:
+    """A pattern of whole elements of these names."""
+    return "(?s)(" + "|".join(rf"<{n}\b.*?</{n}>" for n in names) + ")"
+
+
 def clean_jats(text: Column) -> Column:
-    """Article XML to text: without reference lists, tables, figures and formulas; closed blocks end paragraphs."""
-    text = F.regexp_replace(text, r"(?is)<(ref-list|table-wrap|table|fig|disp-formula|inline-formula|tex-math)\b.*?</\1>", " ")
-    text = F.regexp_replace(text, r"(?i)</(p|sec|title|abstract|list-item)>", "\n\n")
-    text = unescape(F.regexp_replace(text, "<[^>]*>", " "))
-    return F.btrim(F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r" ?\n\s*\n\s*", "\n\n"), F.lit(" \n"))
+    """Article XML to text: abstract and body only (all where there is neither), without references, tables, figures and
+    formulas; closed blocks end paragraphs."""
+    kept = F.array_join(F.regexp_extract_all(text, F.lit(elements(JATS_KEPT)), 1), "\n\n")
+    text = F.regexp_replace(F.when(kept == "", text).otherwise(kept), elements(JATS_DROPPED), " ")
+    text = F.regexp_replace(text, f"(?i)</({'|'.join(JATS_BLOCKS)})>", "\n\n")
+    text = unescape(F.regexp_replace(text, "<[^>]+>", " "))
+    return strip(trim_references(F.regexp_replace(text, r"[ \t]+", " ")))
+
+
+def strip(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
 def dehyphenate(text: Column) -> Column:
+    """Words that a line break cuts, in one piece."""
     return F.regexp_replace(text, r"(\w)-\n(\w)", "$1$2")
 
 
 def trim_references(text: Column) -> Column:
     """Text before the last references heading that stands alone on a line."""
-    before = F.regexp_extract(text, r"(?is)^(.*)\n\s*(?:references|bibliography|literature cited)\s*:?\s*\n", 1)
-    return F.when(before == "", text).otherwise(before)
+    heading = rf"(?is)^(.*)\n\s*(?:{'|'.join(REFERENCES)})\s*\n"
+    return F.when(F.regexp_like(text, F.lit(heading)), F.regexp_extract(text, heading, 1)).otherwise(text)
 
 
 def paragraphs(text: Column) -> Column:
-    """Parts between blank lines, and before lines that look like numbered headings."""
-    return F.filter(F.transform(F.split(text, r"\n{2,}|\n(?=\d+(?:\.\d+)*\.?\s+[A-Z])"), lambda p: F.trim(p)), lambda p: p != "")
+    """Parts between blank lines, and before lines that begin like headings."""
+    return F.filter(F.transform(F.split(text, rf"\n{{2,}}|\n(?={HEADING})"), strip), lambda p: p != "")
+
+
+def cased_words(text: Column) -> Column:
+    """Runs without white space."""
+    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
 def words(text: Column) -> Column:
     """Lower-case runs without white space."""
-    return F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+    return cased_words(F.lower(text))
 
 
 def norm_match(text: Column) -> Column:
@@ -102,6 +129,16 @@ def ellipsis(text: Column, most: int = 22, keep: int = 20) -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, keep), F.lit("…"))).otherwise(text)
 
 
+def joined(values: Column) -> Column:
+    """The filled parts of an array, or the values of a map, as one text."""
+    return F.nullif(F.array_join(F.filter(F.transform(values, lambda v: F.trim(v.cast("string"))), lambda v: v != ""), "; "), F.lit(""))
+
+
+def embedded(text: Column, most: int = 7000) -> Column:
+    """What of a text goes into an embedding; null counts as empty."""
+    return F.substring(F.coalesce(text, F.lit("")), 1, most)
+
+
 def strip_leaks(text: Column) -> Column:
     """Text without leaked tool markup and code fences."""
     text = F.regexp_replace(text, r"(?is)<(tool_call|function_call|think)\b[^>]*>.*?</\1>", "")

@@ -7,36 +7,48 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import occurrences, words
+from siltstone.functions.text import cased_words, occurrences, words
 
 SIZE, STEP, CARRY = 380, 320, 60
 
 
 def windows(df: DataFrame, id_col: str, text_col: str, size: int = SIZE, step: int = STEP) -> DataFrame:
-    """id_col, pos, n_words, chunk: overlapping windows of lower-case words; the last may be short."""
-    rows = df.select(id_col, words(F.col(text_col)).alias("w")).filter(F.size("w") > 0)
+    """id_col, pos, n_words, chunk: overlapping windows of words as they are written; the last may be short."""
+    rows = df.select(id_col, cased_words(F.col(text_col)).alias("w")).filter(F.size("w") > 0)
     last = F.greatest(F.ceil((F.size("w") - size) / step), F.lit(0)).cast("int")
     parts = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice("w", i * step + 1, F.lit(size)))
     return rows.select(id_col, F.posexplode(parts).alias("pos", "c")).select(id_col, F.col("pos").cast("long").alias("pos"), F.size("c").cast("long").alias("n_words"), F.array_join("c", " ").alias("chunk"))
 
 
 def greedy(df: DataFrame, id_col: str, paragraphs: Column, size: int = SIZE, carry: int = CARRY) -> DataFrame:
-    """id_col, pos, n_words, chunk: paragraphs packed until `size` words are reached; a chunk begins with the last `carry`
-    words of the one before.  A remainder that is only carried words is dropped, unless nothing else was packed."""
-    rows = df.select(id_col, F.filter(F.transform(paragraphs, lambda p: F.filter(F.split(p, r"\s+"), lambda w: w != "")), lambda p: F.size(p) > 0).alias("ps"))
-    none = F.array().cast("array<string>")
-    empty = F.struct(F.array().cast("array<array<string>>").alias("done"), none.alias("open"))
-
-    def pack(state, p):
-        joined = F.concat(state["open"], p)
-        tail = F.slice(joined, F.greatest(F.size(joined) - carry + 1, F.lit(1)), F.lit(carry))
-        full = F.size(joined) >= size
-        return F.struct(F.when(full, F.concat(state["done"], F.array(joined))).otherwise(state["done"]).alias("done"), F.when(full, tail).otherwise(joined).alias("open"))
-
-    packed = rows.select(id_col, F.aggregate("ps", empty, pack).alias("s"))
-    keep = (F.size("s.open") > carry) | ((F.size("s.done") == 0) & (F.size("s.open") > 0))
-    chunks = F.when(keep, F.concat("s.done", F.array("s.open"))).otherwise(F.col("s.done"))
-    out = packed.select(id_col, F.posexplode(chunks).alias("pos", "c"))
+    """id_col, pos, n_words, chunk: paragraphs packed into chunks of at most `size` words.
+
+    A chunk is closed before the paragraph that would overfill it, and the next begins with its last `carry` words.  A
+    longer paragraph closes the chunk too and is cut into windows of its own, after which nothing is carried.  A
+    remainder of at most `carry` words is dropped, unless there is nothing else.  A chunk is a range of the text's words,
+    so only the ends of ranges are carried along and words are cut out once.
+    """
+    rows = df.select(id_col, F.transform(paragraphs, cased_words).alias("ps"))
+    rows = rows.select(id_col, F.flatten("ps").alias("w"), F.filter(F.transform("ps", F.size), lambda n: n > 0).alias("sizes")).filter(F.size("w") > 0)
+    spans = F.array().cast("array<struct<a:int,b:int>>")
+    empty = F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), spans.alias("done"))
+    step = size - carry
+    one = lambda a, b: F.array(F.struct(a.cast("int").alias("a"), b.cast("int").alias("b")))
+
+    def pack(s, n):
+        a, b, done = s["a"], s["b"], s["done"]
+        closed = F.when(b > a, F.concat(done, one(a, b))).otherwise(done)
+        starts = F.sequence(F.lit(0), F.ceil((n - size) / step).cast("int"))
+        cut = F.transform(starts, lambda i: F.struct((b + i * step).cast("int").alias("a"), F.least(b + i * step + size, b + n).cast("int").alias("b")))
+        over = (b > a) & (b - a + n > size)
+        start = F.when(n > size, b + n).when(over, F.greatest(a, b - carry)).otherwise(a)
+        out = F.when(n > size, F.concat(closed, cut)).when(over, closed).otherwise(done)
+        return F.struct(start.cast("int").alias("a"), (b + n).cast("int").alias("b"), out.alias("done"))
+
+    packed = rows.select(id_col, "w", F.aggregate("sizes", empty, pack).alias("s"))
+    keep = (F.col("s.b") - F.col("s.a") > carry) | (F.size("s.done") == 0)
+    spans = F.when(keep, F.concat("s.done", one(F.col("s.a"), F.col("s.b")))).otherwise(F.col("s.done"))
+    out = packed.select(id_col, "w", F.posexplode(spans).alias("pos", "c")).select(id_col, "pos", F.slice("w", F.col("c.a") + 1, F.col("c.b") - F.col("c.a")).alias("c"))
     return out.select(id_col, F.col("pos").cast("long").alias("pos"), F.size("c").cast("long").alias("n_words"), F.array_join("c", " ").alias("chunk"))
 
 

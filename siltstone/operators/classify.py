@@ -74,11 +74,26 @@ def family(text: Column, keywords: Sequence[tuple[str, str]], soft: Mapping[str,
     )
 
 
+#: Aliases that every text is compared with; a longer list is met by the beginnings of its aliases.
+FEW_NAMES = 2000
+
+
 def gazetteer(texts: DataFrame, id_col: str, text_col: str, names: DataFrame) -> DataFrame:
     """id_col, alias, place of the longest alias in each text, the first of equally long ones; matching is by substring.
 
-    names (pos, alias, place) is a fixed list of places; each text meets it in one expression of a bounded array.
+    names (pos, alias, place): a short list is one array that each text meets; a longer one is joined on the first three
+    characters, which a text must have as a run somewhere.
     """
+    if names.count() > FEW_NAMES:
+        rows = texts.select(id_col, norm_place(F.col(text_col)).alias("t"))
+        runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("t"), F.lit(1))), lambda i: F.substring("t", i, F.lit(3))))
+        begun = names.withColumn("run", F.substring("alias", 1, 3))
+        tails = F.when(F.length("t") > 1, F.array(F.substring("t", -1, 1), F.substring("t", -2, 2))).otherwise(F.array("t"))
+        short = F.transform(F.sequence(F.lit(1), F.greatest(F.length("t"), F.lit(1))), lambda i: F.substring("t", i, F.lit(2)))
+        single = F.transform(F.sequence(F.lit(1), F.greatest(F.length("t"), F.lit(1))), lambda i: F.substring("t", i, F.lit(1)))
+        met = rows.withColumn("run", F.explode(F.array_distinct(F.concat(runs, tails, short, single)))).join(begun, "run").filter(F.contains("t", F.col("alias")))
+        best = F.max(F.struct(F.length("alias").alias("n"), (-F.col("pos")).alias("p"), "alias", "place")).alias("b")
+        return met.groupBy(id_col).agg(best).select(id_col, F.col("b.alias").alias("alias"), F.col("b.place").alias("place"))
     table = names.agg(F.array_sort(F.collect_list(F.struct("pos", "alias", "place"))).alias("g"))
     rows = texts.select(id_col, norm_place(F.col(text_col)).alias("t")).crossJoin(F.broadcast(table))
     hits = F.filter("g", lambda x: F.contains(F.col("t"), x["alias"]))
@@ -99,6 +114,18 @@ def carry_forward(turns: DataFrame, conv: str, turn: str, columns: list[str]) ->
     return turns.withColumns({c: F.last(c, ignorenulls=True).over(upto) for c in columns})
 
 
+def follow_ups(turns: DataFrame, conv: str, turn: str, text: str, recommendation: str) -> DataFrame:
+    """Each turn with the last recommendation before it and the branch it takes: explain what was recommended, advise, or ask.
+
+    A turn that follows up reuses the conversation's state; without one before it, it is a request for advice.
+    """
+    before = Window.partitionBy(conv).orderBy(turn).rowsBetween(Window.unboundedPreceding, -1)
+    follow, advice = intents(F.col(text))
+    prior = F.last(recommendation, ignorenulls=True).over(before)
+    branch = F.when(follow & F.col("prior").isNotNull(), "explain").when(advice, "advise").otherwise("ask")
+    return turns.withColumn("prior", prior).withColumn("branch", branch)
+
+
 def last_turns(turns: DataFrame, conv: str, turn: str, n: int = 20) -> DataFrame:
     """The last n turns of each conversation."""
     back = Window.partitionBy(conv).orderBy(F.desc(turn))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,29 +19,63 @@ def hash_fold(key: Column, folds: int, seed: str = "") -> Column:
     return F.pmod(hash_number(key, seed), F.lit(folds))
 
 
+def _loads(sizes: list[tuple[int, int]], folds: int) -> list[tuple[int, list[int]]]:
+    """For each size, largest first: the folds' loads before its groups are dealt.
+
+    Groups of one size go to the least of load + k * size, so all of them are counted at once, by the level they reach.
+    """
+    load, out = [0] * folds, []
+    for size, n in sizes:
+        out.append((size, list(load)))
+        low, high = 0, max(load) + n * size
+        while low < high:  # the least level at which the folds take n groups
+            mid = (low + high) // 2
+            if sum(max(0, (mid - x) // size + 1) for x in load) >= n:
+                high = mid
+            else:
+                low = mid + 1
+        taken = [max(0, (low - 1 - x) // size + 1) for x in load]
+        left = n - sum(taken)
+        for i in range(folds):  # those at the level itself, by number of fold
+            if left and load[i] <= low and (low - load[i]) % size == 0:
+                taken[i] += 1
+                left -= 1
+        load = [x + t * size for x, t in zip(load, taken, strict=True)]
+    return out
+
+
 def greedy_folds(df: DataFrame, group: str, folds: int) -> DataFrame:
     """group, n, fold: groups by size, largest first (ties by name), each to the fold with the fewest rows so far.
 
-    The rule is sequential over group sizes; the fold runs over the distinct sizes with their counts, never over rows.
+    Only the distinct sizes, with how many groups have them, come to the driver: N rows have at most sqrt(2 N) of them.
+    Within a size the k-th group by name takes the k-th of the folds' turns, in order of load and number.
     """
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    place = F.row_number().over(Window.orderBy(F.desc("n"), group))
-    ordered = sizes.withColumn("_place", place)
-    flat = ordered.agg(F.array_sort(F.collect_list(F.struct("_place", "n"))).alias("s"))
-    empty = F.struct(F.array(*[F.lit(0).cast("long")] * folds).alias("load"), F.array().cast("array<bigint>").alias("fold"))
-
-    def put(state, x):
-        least = F.array_position(state["load"], F.array_min(state["load"])) - 1
-        load = F.transform(state["load"], lambda v, i: F.when(i == least, v + x["n"]).otherwise(v))
-        return F.struct(load.alias("load"), F.concat(state["fold"], F.array(least)).alias("fold"))
-
-    fold = flat.select(F.posexplode(F.aggregate("s", empty, put)["fold"]).alias("_spot", "fold"))
-    return ordered.join(fold, F.col("_place") == F.col("_spot") + 1).select(group, "n", "fold")
+    counted = [(r["n"], r["c"]) for r in sizes.groupBy("n").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("n")).toLocalIterator()]
+    turns = [(size, i, x) for size, load in _loads(counted, folds) for i, x in enumerate(load)]
+    loads = df.sparkSession.createDataFrame(turns, "n long, fold int, load long").join(sizes.groupBy("n").agg(F.count(F.lit(1)).alias("c")), "n")
+    # a fold takes no more turns of a size than there are groups, and none above the level of the last one
+    loads = loads.withColumn("top", F.max("load").over(Window.partitionBy("n")))
+    most = F.least("c", F.ceil((F.col("top") - F.col("load")) / F.col("n")) + F.ceil(F.col("c") / folds) + 1)
+    turn = loads.select("n", "fold", F.explode(F.sequence(F.lit(0).cast("long"), most.cast("long"))).alias("k"), "load")
+    turn = turn.withColumn("spot", F.row_number().over(Window.partitionBy("n").orderBy(F.col("load") + F.col("k") * F.col("n"), "fold")))
+    named = sizes.withColumn("spot", F.row_number().over(Window.partitionBy("n").orderBy(group)))
+    return named.join(turn, ["n", "spot"]).select(group, "n", F.col("fold").cast("long").alias("fold"))
 
 
 def shuffle_split(df: DataFrame, group: str, share: float, seed: str) -> DataFrame:
-    """Add test: whether a row's group is among the given share of groups, in md5 order."""
-    return df.withColumn("test", hash_number(F.col(group), seed) < int(256 * share))
+    """Add test: whether a row's group is among the given share of the groups, rounded up, by md5 order."""
+    groups = df.select(group).distinct()
+    n = groups.count()
+    order = F.md5(F.concat(F.lit(seed), F.col(group).cast("string")))
+    test = groups.orderBy(order, group).limit(math.ceil(n * share)).withColumn("test", F.lit(True))
+    return df.join(test, group, "left").withColumn("test", F.coalesce("test", F.lit(False)))
+
+
+def fold_means(df: DataFrame, fold: str, actual: str, predicted: str) -> DataFrame:
+    """n_folds, r2, rmse: the plain means of each fold's own figures."""
+    own = df.groupBy(fold).agg(*metrics(actual, predicted))
+    return own.agg(F.count(F.lit(1)).alias("n_folds"), F.round(F.avg("r2"), 6).alias("r2"), F.round(F.avg("rmse"), 6).alias("rmse"))
 
 
 def oof_mean(df: DataFrame, keys: list[str], fold: str, value: str) -> DataFrame:

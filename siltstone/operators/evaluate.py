@@ -31,13 +31,19 @@ def score(ranked: DataFrame, relevant: DataFrame, levels: tuple[int, ...] = LEVE
 
 def report(scored: DataFrame, groups: list[str], values: list[str]) -> DataFrame:
     """Means over all rows and over each group, at 4 places, in one pass: scope, name, n and the values."""
-    view = "siltstone_scored"
-    scored.createOrReplaceTempView(view)
-    sets = ", ".join(["()", *[f"({g})" for g in groups]])
-    scope = "case " + " ".join(f"when grouping({g}) = 0 then '{g}'" for g in groups) + " else 'all' end as scope"
-    name = "coalesce(" + ", ".join(f"case when grouping({g}) = 0 then cast({g} as string) end" for g in groups) + ", 'all') as name"
-    means = ", ".join(f"bround(avg({v}), 4) as {v}" for v in values)
-    return scored.sparkSession.sql(f"select {scope}, {name}, count(*) as n, {means} from {view} group by grouping sets ({sets})")
+    own = [F.when(F.grouping(g) == 0, F.lit(g)) for g in groups], [F.when(F.grouping(g) == 0, F.col(g).cast("string")) for g in groups]
+    scope, name = (F.coalesce(*held, F.lit("all")) for held in own)
+    sets = scored.groupingSets([[], *[[F.col(g)] for g in groups]], *[F.col(g) for g in groups])
+    found = sets.agg(F.count(F.lit(1)).alias("n"), *[F.bround(F.avg(v), 4).alias(v) for v in values], scope.alias("scope"), name.alias("name"))
+    return found.select("scope", "name", "n", *values)
+
+
+def score_levels(ranked: DataFrame, strict: DataFrame, family: DataFrame, levels: tuple[int, ...] = LEVELS) -> DataFrame:
+    """score() by strict labels and, as family_*, by family labels; a query without family labels keeps its strict ones."""
+    without = strict.join(family.select("query_id").distinct(), "query_id", "left_anti")
+    wide = score(ranked, family.select("query_id", "study").unionByName(without.select("query_id", "study")), levels)
+    wide = wide.select("query_id", *[F.col(c).alias(f"family_{c}") for c in wide.columns if c != "query_id"])
+    return score(ranked, strict, levels).join(wide, "query_id", "full").fillna(0)
 
 
 def silver_labels(rows: DataFrame, corpus: DataFrame, study: str) -> DataFrame:

@@ -14,12 +14,13 @@ DIRECTIONS = {"yield": 1, "biomass yield": 1, "income": 1, "water use efficiency
 
 
 def direction(indicator: Column, signs: Mapping[str, int]) -> Column:
-    """+1 where more is better, -1 where less is."""
-    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in signs.items() for x in pair]), indicator), F.lit(1))
+    """+1 where more is better, -1 where less is; an unknown indicator is an error."""
+    known = F.element_at(F.create_map(*[F.lit(x) for pair in signs.items() for x in pair]), indicator)
+    return F.coalesce(known, F.raise_error(F.concat(F.lit("unknown indicator: "), F.coalesce(indicator, F.lit("null")))).cast("int"))
 
 
 def goal_word(sign: Column) -> Column:
-    return F.when(sign > 0, "increase").otherwise("reduction")
+    return F.when(sign > 0, "increase").otherwise("reduce")
 
 
 def evidence(df: DataFrame, family: str, practice: str, indicator: str, value: str) -> DataFrame:
@@ -57,6 +58,41 @@ def recommend(ranked: DataFrame, top: int = 3) -> DataFrame:
     return folded.select("family", "indicator", short.alias("recommendations"), F.struct(count.alias("n_candidates"), F.size(F.filter("ranked", lambda x: x["n_evidence"] > 0)).cast("long").alias("n_grounded"), F.col("ranked")).alias("details"))
 
 
+def first_match(lookup: DataFrame, key: str, value: str, order: str, wanted: DataFrame, column: str) -> DataFrame:
+    """wanted with the value of the first row, in order, whose key is equal in lower case; null where there is none."""
+    found = lookup.filter(F.col(key).isNotNull()).groupBy(F.lower(key).alias("_low")).agg(F.min_by(value, order).alias(value))
+    return wanted.join(found, F.lower(column) == F.col("_low"), "left").drop("_low")
+
+
+def score_candidates(named: DataFrame, contexts: DataFrame, model, n: str = "n") -> DataFrame:
+    """Candidates (family, practice, indicator, n) in each context, with the model's log ratio as mean: context columns,
+    family, practice, indicator, n_evidence, mean.  Contexts are few and stated; they are paired with the family's candidates."""
+    paired = named.join(contexts, ["family", "indicator"])
+    scored = model.transform(paired.withColumnRenamed(n, "n_evidence"))
+    return scored.withColumn("mean", F.col("prediction")).select(*[c for c in contexts.columns if c not in ("family", "indicator")], "family", "practice", "indicator", "n_evidence", "mean")
+
+
+def recommend_by_model(scored: DataFrame, request: str, signs: Mapping[str, int], confidence: DataFrame, top: int = 3) -> DataFrame:
+    """request, family, indicator, recommendations, goal_direction, details of scored candidates with evidence.
+
+    Practices are ranked by the model's log ratio (4 places) in the indicator's good direction within their family; those
+    without evidence count as candidates only, and a request none of whose candidates has evidence is an error.
+    confidence: (indicator, confidence); a missing one is low.
+    """
+    sign = direction(F.col("indicator"), signs).cast("int")
+    rows = scored.withColumns({"log_ratio": F.bround("mean", 4), "pct_change": pct_change(F.col("mean")), "direction": sign})
+    order = F.struct((-F.col("direction") * F.col("log_ratio")).alias("k"), "practice", "pct_change", "log_ratio", "n_evidence")
+    folded = rows.groupBy(request, "family", "indicator", "direction").agg(F.count(F.lit(1)).alias("n_candidates"), F.array_sort(F.collect_list(F.when(F.col("n_evidence") > 0, order))).alias("ranked"))
+    none = F.concat(F.lit("no evidence for "), "family", F.lit(" with "), "indicator")
+    grounded = F.when(F.size("ranked") > 0, F.size("ranked").cast("long")).otherwise(F.raise_error(none).cast("long"))
+    goal, best = goal_word(F.col("direction")), F.slice("ranked", 1, top)
+    lines = F.transform(best, lambda x: F.struct(x["practice"].alias("practice"), effect_text(x["pct_change"], goal, F.col("indicator")).alias("effect")))
+    shown = F.transform(best, lambda x: F.struct(x["practice"].alias("practice"), x["pct_change"].alias("pct_change"), x["log_ratio"].alias("log_ratio"), x["n_evidence"].alias("n_evidence")))
+    out = folded.withColumn("n_grounded", grounded).join(confidence, "indicator", "left")
+    details = F.struct(F.coalesce("confidence", F.lit("low")).alias("confidence"), shown.alias("ranked"), "n_candidates", "n_grounded")
+    return out.select(request, "family", "indicator", goal.alias("goal_direction"), lines.alias("recommendations"), details.alias("details"))
+
+
 def outside_family(ranked: DataFrame, df: DataFrame, family: str, practice: str) -> DataFrame:
     """Ranked rows whose practice the data do not have in that family; must be empty."""
     return ranked.join(df.select(F.col(family).alias("family"), F.col(practice).alias("practice")).distinct(), ["family", "practice"], "left_anti")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: The square that a wide search tries first.
+FINE = 4
 #: The reference grid: left edge, top edge, degrees of a cell, rows, columns.
 LEFT, TOP, RES, ROWS, COLS = 32.9, 14.901, 0.00225, 5156, 6800
 
@@ -38,8 +42,16 @@ def nearest_valid(points: DataFrame, cells: DataFrame, radius: int, value: str =
     """point_id, value, d2 of the nearest cell with a value within `radius` cells either way; ties in row-major order.
 
     Both sides fall into blocks of radius cells; a point looks into the nine blocks around it, so the range join is an
-    equi-join on the block.  Points without a valid cell in reach have null.
+    equi-join on the block.  A wide radius is tried as a narrow one first.  Points without a valid cell in reach have null.
     """
+    if radius > 2 * FINE:
+        close = nearest_valid(points, cells, FINE, value)
+        sure = close.filter(F.col("d2") < (FINE + 1) ** 2)  # nothing beyond the small square is as near
+        return sure.unionByName(_nearest(points.join(sure.select("point_id"), "point_id", "left_anti"), cells, radius, value))
+    return _nearest(points, cells, radius, value)
+
+
+def _nearest(points: DataFrame, cells: DataFrame, radius: int, value: str) -> DataFrame:
     side = max(radius, 1)
     valid = cells.filter(F.col(value).isNotNull()).select(F.col("row").alias("r"), F.col("col").alias("c"), F.col(value).alias("v"), F.floor(F.col("row") / side).alias("br"), F.floor(F.col("col") / side).alias("bc"))
     around = F.array(*[F.struct((F.floor(F.col("row") / side) + i).alias("br"), (F.floor(F.col("col") / side) + j).alias("bc")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
@@ -50,6 +62,13 @@ def nearest_valid(points: DataFrame, cells: DataFrame, radius: int, value: str =
     return points.join(best, "point_id", "left").select("point_id", F.col("b.v").alias(value), F.col("b.d2").alias("d2"))
 
 
+def stack(layers: dict[str, DataFrame]) -> DataFrame:
+    """row, col and a column for each layer (row, col, value): one shuffle for all layers; cells that a layer lacks are null."""
+    tagged = [df.select("row", "col", F.lit(i).alias("k"), F.col("value").cast("double").alias("v")) for i, df in enumerate(layers.values())]
+    one = lambda i: F.max(F.when(F.col("k") == i, F.col("v")))
+    return reduce(DataFrame.unionByName, tagged).groupBy("row", "col").agg(*[one(i).alias(n) for i, n in enumerate(layers)])
+
+
 def sample_or_nearest(points: DataFrame, cells: DataFrame, radius: int, value: str = "value") -> DataFrame:
     """point_id, value: of the cell itself, or of the nearest valid one; only points that need it are searched for."""
     here = sample(points, cells.select("row", "col", value))

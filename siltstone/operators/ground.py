@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions.numbers import NUMBER, all_variants, grounded, tokens, word_tokens, word_value
+from siltstone.functions.numbers import NUMBER, all_variants, grounded, tokens, variants, word_tokens, word_value
 from siltstone.functions.text import sentences
 
 SNIPPET = 240
@@ -22,11 +22,13 @@ def citations(hits: DataFrame, request: str, key: str, pos: str, text: str) -> D
     return first.withColumn("place", F.row_number().over(Window.partitionBy(request).orderBy("first"))).drop("first")
 
 
-def allowed_numbers(*texts: Column) -> Column:
-    """All forms of the numbers in texts, JSON texts included."""
-    whole = F.concat_ws(" ", *texts)
-    signed = F.regexp_extract_all(whole, F.lit(rf"(-?{NUMBER})"), 1)
-    return F.array_union(all_variants(signed), all_variants(F.regexp_extract_all(whole, F.lit(f"({NUMBER})"), 1)))
+def allowed_numbers(*texts: Column, values: Column | None = None) -> Column:
+    """All forms of the numbers in texts, where a hyphen is no sign, and of an array of numbers, which keep theirs.
+
+    An address is none of the texts: its digits never stand in what is quoted.
+    """
+    written = all_variants(F.regexp_extract_all(F.concat_ws(" ", *texts), F.lit(f"({NUMBER})"), 1))
+    return written if values is None else F.array_union(written, all_variants(values))
 
 
 def all_grounded(text: Column, allowed: Column) -> Column:
@@ -37,21 +39,45 @@ def ungrounded(text: Column, allowed: Column) -> Column:
     return F.filter(tokens(text), lambda t: ~grounded(t, allowed))
 
 
-def ungrounded_words(text: Column, allowed: Column) -> Column:
-    """Number words beyond the free ones whose value is not allowed."""
+def ungrounded_words(text: Column, allowed: Column, quoted: Column | None = None) -> Column:
+    """Number words beyond the free ones that the quoted text does not have and whose value, in any form, is not allowed."""
+    held = F.lit(False) if quoted is None else None
+
     def ok(w):
         value = word_value(w)
-        return ((value == F.floor(value)) & value.between(0, 10)) | F.array_contains(allowed, value)
+        there = held if held is not None else F.array_contains(word_tokens(quoted), w)
+        return there | ((value == F.floor(value)) & value.between(0, 10)) | F.arrays_overlap(variants(value), allowed)
 
     return F.filter(word_tokens(text), lambda w: ~ok(w))
 
 
+def verdict(text: Column, allowed: Column, quoted: Column | None = None) -> Column:
+    digits, named = F.size(ungrounded(text, allowed)) > 0, F.size(ungrounded_words(text, allowed, quoted)) > 0
+    return F.when(digits & named, "fail_both").when(digits, "fail_digits").when(named, "fail_wordform").otherwise("pass")
+
+
 def audit(texts: DataFrame, id_col: str, text_col: str, allowed: str) -> DataFrame:
     """id_col, sentence_idx, sentence, n_digits, n_words, verdict of every sentence."""
     rows = texts.select(id_col, allowed, F.posexplode(sentences(F.col(text_col))).alias("sentence_idx", "sentence"))
     bad, badw = F.size(ungrounded(F.col("sentence"), F.col(allowed))), F.size(ungrounded_words(F.col("sentence"), F.col(allowed)))
-    verdict = F.when((bad > 0) & (badw > 0), "fail_both").when(bad > 0, "fail_digits").when(badw > 0, "fail_wordform").otherwise("pass")
-    return rows.select(id_col, F.col("sentence_idx").cast("long").alias("sentence_idx"), "sentence", bad.cast("long").alias("n_digits"), badw.cast("long").alias("n_words"), verdict.alias("verdict"))
+    return rows.select(id_col, F.col("sentence_idx").cast("long").alias("sentence_idx"), "sentence", bad.cast("long").alias("n_digits"), badw.cast("long").alias("n_words"), verdict(F.col("sentence"), F.col(allowed)).alias("verdict"))
+
+
+def audit_claims(sentence: Column, base: Column, evidence: Column, guidance: Column) -> Column:
+    """struct<n_numbers, verdict, cited_support> of a sentence with numbers; null of one without.
+
+    base: allowed numbers that every claim may state; evidence and guidance: arrays of passage texts that [n] and [Gn]
+    name, from 1.  The verdict is by all passages; support is by those that the sentence cites: yes, no, or no_marker
+    where it cites none that there is.
+    """
+    marks = lambda pattern: F.transform(F.regexp_extract_all(sentence, F.lit(pattern), 1), lambda m: m.try_cast("int"))
+    valid = lambda ns, held: F.transform(F.filter(ns, lambda n: n.between(1, F.size(held))), lambda n: F.get(held, n - 1))
+    cited = F.concat(valid(marks(r"\[(\d+)\]"), evidence), valid(marks(r"\[G(\d+)\]"), guidance))
+    quoted, every = F.lower(F.array_join(cited, " ")), F.lower(F.array_join(F.concat(evidence, guidance), " "))
+    whole, some = (F.array_union(base, allowed_numbers(t)) for t in (every, quoted))
+    support = F.when(F.size(cited) == 0, "no_marker").when(verdict(sentence, some, quoted) == "pass", "yes").otherwise("no")
+    n = F.size(tokens(sentence)) + F.size(word_tokens(sentence))
+    return F.when(n > 0, F.struct(n.cast("long").alias("n_numbers"), verdict(sentence, whole, every).alias("verdict"), support.alias("cited_support")))
 
 
 def audit_summary(audited: DataFrame) -> DataFrame:
@@ -66,6 +92,21 @@ def cited_support(markers: DataFrame, passages: DataFrame) -> DataFrame:
     return markers.join(numbered, ["id", "n"])
 
 
+def passages_for(practices: DataFrame, passages: DataFrame, request: str, practice: str, pool: str) -> DataFrame:
+    """Each request's practices with the passages found for them; a practice without any gets the request's whole pool."""
+    own = practices.join(passages.withColumnRenamed(pool, "_pool"), [request, practice])
+    without = practices.join(passages.select(request, practice).distinct(), [request, practice], "left_anti")
+    others = without.join(passages.drop(practice).withColumnRenamed(pool, "_pool").dropDuplicates([request, "_pool"]), request)
+    return own.unionByName(others).withColumnRenamed("_pool", pool)
+
+
+def two_tiers(passages: DataFrame, tier: str, request: str, evidence: str, order: str) -> DataFrame:
+    """request, passages: the evidence tier's in order, then the other tier's, each ranked within its own tier."""
+    line = F.struct((F.col(tier) != evidence).alias("_second"), F.col(order).alias("_place"), *[c for c in passages.columns if c not in (request, order)])
+    held = passages.groupBy(request).agg(F.array_sort(F.collect_list(line)).alias("_all"))
+    return held.select(request, F.transform("_all", lambda x: x.dropFields("_second", "_place")).alias("passages"))
+
+
 def explain(has_chunks: Column, llm_text: Column, llm_grounded: Column, fallback: Column) -> Column:
     """struct<text, source, grounded>: nothing to cite: ungrounded; model text that is grounded; else the template."""
     made = llm_text.isNotNull() & F.coalesce(llm_grounded, F.lit(False))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.functions.numbers import confidence
 from siltstone.operators.crossval import metrics
 
 
@@ -34,13 +35,42 @@ def out_of_fold(df: DataFrame, fold: str, folds: int, stages: Pipeline) -> DataF
     return reduce(DataFrame.unionByName, parts)
 
 
+def select_and_refit(df: DataFrame, regressors: dict, categories: list[str], numbers: list[str], label: str, fold: str, folds: int, by: str):
+    """The regressor of highest out-of-fold R2, fitted on all rows, and its figures.
+
+    Returns (fitted pipeline, figures): figures has scope ("all" or a value of `by`), model, n, r2, rmse, confidence.
+    """
+    written = df.sparkSession.sparkContext.getCheckpointDir() is not None
+    held = {}
+    for name, r in regressors.items():
+        found = out_of_fold(df, fold, folds, pipeline(r, categories, numbers, label))
+        held[name] = found.checkpoint() if written else found.persist()
+    name = best_by_r2(held, label).first()["model"]
+    whole = held[name].agg(*metrics(label, "predicted")).withColumn("scope", F.lit("all"))
+    parts = held[name].groupBy(F.col(by).cast("string").alias("scope")).agg(*metrics(label, "predicted"))
+    figures = whole.unionByName(parts).select("scope", F.lit(name).alias("model"), "n", "r2", "rmse", confidence(F.col("r2")).alias("confidence"))
+    return pipeline(regressors[name], categories, numbers, label).fit(df), figures
+
+
+def save(model, figures: DataFrame, path: str) -> None:
+    """A fitted pipeline and its figures under one folder."""
+    model.write().overwrite().save(f"{path}/model")
+    figures.coalesce(1).write.mode("overwrite").json(f"{path}/figures")
+
+
+def load(spark, path: str):
+    """The fitted pipeline and its figures that save() wrote."""
+    schema = "scope string, model string, n long, r2 double, rmse double, confidence string"
+    return PipelineModel.load(f"{path}/model"), spark.read.schema(schema).json(f"{path}/figures")
+
+
 def best_by_r2(scores: dict[str, DataFrame], label: str) -> DataFrame:
     """model, n, r2, rmse of the model with the highest R2."""
     rows = [df.agg(*metrics(label, "predicted")).withColumn("model", F.lit(m)) for m, df in scores.items()]
     return reduce(DataFrame.unionByName, rows).orderBy(F.desc("r2"), "model").limit(1)
 
 
-def permutation_importance(model, df: DataFrame, columns: list[str], label: str, repeats: int = 1, seed: int = 42) -> DataFrame:
+def permutation_importance(model, df: DataFrame, columns: list[str], label: str, repeats: int = 10, seed: int = 42) -> DataFrame:
     """column, importance: the R2 lost, on average, when a column's values are dealt anew.
 
     Values move by a join of two orders of row hashes, ranked within hash slots, so no column is ordered in one task.

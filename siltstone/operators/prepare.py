@@ -28,7 +28,42 @@ def no_outlier(treated: Column, control: Column, most: float = 20) -> Column:
 def canonical(df: DataFrame, column: str, labels: DataFrame) -> DataFrame:
     """Replace raw labels by canonical ones (labels: raw, label), matched trimmed and in lower case; others are out of scope."""
     key = labels.select(F.lower(F.trim("raw")).alias("_key"), "label")
-    return df.withColumn("_key", F.lower(F.trim(column))).join(F.broadcast(key), "_key").withColumn(column, F.col("label")).drop("_key", "label")
+    return df.withColumn("_key", F.lower(F.trim(column))).join(key, "_key").withColumn(column, F.col("label")).drop("_key", "label")
+
+
+def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Raw column names as canonical ones; names that are not there are passed over."""
+    return df.withColumnsRenamed(names)
+
+
+def without(df: DataFrame, leaks: list[str]) -> DataFrame:
+    """Rows without the columns that tell the answer."""
+    return df.drop(*leaks)
+
+
+def optional(df: DataFrame, **wanted) -> DataFrame:
+    """Rows equal in the given columns; a None asks for nothing."""
+    return reduce(lambda out, kv: out.filter(F.col(kv[0]) == F.lit(kv[1])), ((k, v) for k, v in wanted.items() if v is not None), df)
+
+
+def at_points(df: DataFrame, lat: str, lon: str, sample) -> DataFrame:
+    """df with what sample (a function of distinct points (lat, lon)) finds: each point is sampled once."""
+    return df.join(sample(df.select(lat, lon).distinct()), [lat, lon], "left")
+
+
+def crop_name(raw: Column, synonyms: dict[str, str]) -> Column:
+    """A crop in one spelling: trimmed, single spaces, lower case, synonyms replaced, first letter large; blank is null."""
+    low = F.nullif(F.trim(F.regexp_replace(F.lower(raw), r"\s+", " ")), F.lit(""))
+    if synonyms:
+        low = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in synonyms.items() for x in kv]), low), low)
+    return F.concat(F.upper(F.substring(low, 1, 1)), F.substring(low, 2, 1 << 20))
+
+
+def crop_group(name: Column, groups: dict[str, list[str]], other: str = "Other") -> Column:
+    """The group of a crop; names that join several crops are intercrops."""
+    several = F.regexp_like(name, F.lit(r"(?i)[/+&]|\bintercrop|\band\b"))
+    found = reduce(lambda out, kv: out.when(F.lower(name).isin([c.lower() for c in kv[1]]), kv[0]), groups.items(), F.when(several, "Intercrop"))
+    return F.when(name.isNotNull(), found.otherwise(other))
 
 
 def funnel(df: DataFrame, steps: list[tuple[str, Column]]) -> DataFrame:

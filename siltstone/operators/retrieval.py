@@ -11,14 +11,19 @@ from siltstone.functions.text import words
 K1, B, EPSILON, CANDIDATES, FUSION = 1.5, 0.75, 0.25, 40, 60
 
 
-def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, term, tf, dl: how often each term stands in each document, and the document's length.
+def _tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"))
 
-    Counted inside the row, so one shuffle less than by grouping words.
+
+def postings(docs: DataFrame, id_col: str, text_col: str, asked: DataFrame | None = None) -> DataFrame:
+    """id, term, tf, dl: how often each term, or each asked one, stands in each document, and the document's length.
+
+    Postings are dealt by document, and terms that are not asked for fall away before that.
     """
-    tokens = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"))
-    pairs = tokens.select("id", F.size("w").alias("dl"), F.explode("w").alias("term"))
-    return pairs.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").cast("long").alias("dl"))
+    pairs = _tokens(docs, id_col, text_col).select("id", F.size("w").cast("long").alias("dl"), F.explode("w").alias("term"))
+    if asked is not None:
+        pairs = pairs.join(asked.select("term").distinct(), "term", "left_semi")
+    return pairs.repartition("id").groupBy("id", "term", "dl").agg(F.count(F.lit(1)).alias("tf")).select("id", "term", "tf", "dl")
 
 
 def corpus_stats(docs: DataFrame, text_col: str) -> DataFrame:
@@ -26,10 +31,14 @@ def corpus_stats(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.size(words(F.col(text_col))).alias("dl")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
-def term_weights(posted: DataFrame, stats: DataFrame) -> DataFrame:
-    """term, df, idf; negative idf becomes EPSILON times the mean idf over all terms."""
-    df = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats.select("n_docs")))
-    raw = df.withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+def document_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """term, df: in how many documents each term stands, counted in each task before anything moves."""
+    return _tokens(docs, id_col, text_col).select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def term_weights(counts: DataFrame, stats: DataFrame) -> DataFrame:
+    """term, df, idf of document counts; negative idf becomes EPSILON times the mean idf over all terms."""
+    raw = counts.crossJoin(F.broadcast(stats.select("n_docs"))).withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean_idf"))
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
 
@@ -37,13 +46,15 @@ def term_weights(posted: DataFrame, stats: DataFrame) -> DataFrame:
 def bm25(queries: DataFrame, docs: DataFrame, query_id: str, query_text: str, doc_id: str, doc_text: str, k: int = CANDIDATES) -> DataFrame:
     """query_id, doc_id, score, rank: the k best documents with a positive score; ties by id.
 
-    A query's repeated terms count as often as they stand.  Only postings of query terms meet the queries.
+    A query's repeated terms count as often as they stand.  A document's postings stay together, so scores are summed
+    and each task's k best are chosen where the postings are; only those are shuffled by query.
     """
-    posted, stats = postings(docs, doc_id, doc_text), corpus_stats(docs, doc_text)
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(words(F.col(query_text))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    weighted = asked.join(term_weights(posted, stats), "term")
+    stats = corpus_stats(docs, doc_text)
+    posted = postings(docs, doc_id, doc_text, asked).crossJoin(F.broadcast(stats.select("avgdl")))
+    weighted = asked.join(term_weights(document_counts(docs, doc_id, doc_text), stats), "term")
     one = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = posted.join(weighted, "term").crossJoin(F.broadcast(stats.select("avgdl"))).withColumn("part", F.col("qtf") * one)
+    scored = posted.join(weighted, "term").withColumn("part", F.col("qtf") * one)
     total = scored.groupBy("query_id", F.col("id").alias("doc_id")).agg(F.round(F.sum("part"), 6).alias("score")).filter("score > 0")
     return top(total, "query_id", F.col("score").desc(), "doc_id", k)
 
@@ -58,12 +69,13 @@ def _unit(vec: Column) -> Column:
     return F.transform(vec, lambda x: x / norm)
 
 
-def cosine(queries: DataFrame, vectors: DataFrame, id_col: str, vec_col: str, k: int = CANDIDATES, blocks: int = 16) -> DataFrame:
+def cosine(queries: DataFrame, vectors: DataFrame, id_col: str, vec_col: str, k: int = CANDIDATES, size: int = 4096) -> DataFrame:
     """query_id, doc_id, score, rank: the k vectors of highest cosine for each query, others than itself; ties by id.
 
-    The stated queries meet all vectors in blocks: vectors are dealt to blocks, queries go to every block, and each
-    block keeps its k best, so what is ranked at last is bounded by queries, blocks and k.
+    The stated queries meet all vectors in blocks of about `size`: vectors are dealt to blocks, queries go to every
+    block, and each block keeps its k best, so what is ranked at last is bounded by queries, blocks and k.
     """
+    blocks = -(-vectors.count() // size) or 1
     wide = F.col(vec_col).cast("array<double>")
     here = vectors.filter(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("doc_id"), _unit(wide).alias("v"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("block"))
     there = queries.filter(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("query_id"), _unit(wide).alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))

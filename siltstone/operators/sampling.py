@@ -16,6 +16,22 @@ def quota(df: DataFrame, strata: list[str], key: str, n: int, seed: str) -> Data
     return df.withColumn("pick", F.row_number().over(order)).filter(F.col("pick") <= n)
 
 
+def quota_by_study(df: DataFrame, strata: list[str], study: str, key: str, n: int, seed: str) -> DataFrame:
+    """At most n rows of each stratum by md5 order, a row of each study before a second one of any."""
+    order = hash_order(F.col(key), seed)
+    turn = F.row_number().over(Window.partitionBy(*strata, study).orderBy(order, key))
+    picked = df.withColumn("_turn", turn)
+    place = F.row_number().over(Window.partitionBy(*strata).orderBy("_turn", order, key))
+    return picked.withColumn("pick", place).filter(F.col("pick") <= n).drop("_turn")
+
+
+def build_report(rows: DataFrame, picked: DataFrame, strata: list[str]) -> DataFrame:
+    """n, n_cells and the distinct values of each stratum among picked rows, and n_skipped: rows that were not picked."""
+    cells = F.count_distinct(F.concat_ws("|", *strata)).alias("n_cells")
+    found = picked.agg(F.count(F.lit(1)).alias("n"), cells, *[F.count_distinct(s).alias(f"n_{s}") for s in strata])
+    return found.crossJoin(rows.agg(F.count(F.lit(1)).alias("_all"))).withColumn("n_skipped", F.col("_all") - F.col("n")).drop("_all")
+
+
 def round_robin(df: DataFrame, cells: list[str], key: str, n: int) -> DataFrame:
     """n rows that take one of each cell in turn; a top-n, so no global sort."""
     place = F.row_number().over(Window.partitionBy(*cells).orderBy(key))

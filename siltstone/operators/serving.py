@@ -74,13 +74,30 @@ def first_success(candidates: DataFrame, key: str, priority: str, ok: str, value
     return candidates.filter(ok).groupBy(key).agg(F.min_by(value, priority).alias(value))
 
 
-def contexts(points: DataFrame, layers: Mapping[str, DataFrame], radius: int, rounded: int = 3) -> DataFrame:
-    """point_id and a column for each layer: the point's cell, or the nearest valid one, rounded half to even."""
-    out = points.select("point_id")
-    for name, cells in layers.items():
-        found = grid.sample_or_nearest(points, cells, radius).select("point_id", F.bround("value", rounded).alias(name))
-        out = out.join(found, "point_id", "left")
-    return out
+def contexts(points: DataFrame, layers: Mapping[str, DataFrame], radius: int, rounded: int = 3, whole: tuple[str, ...] = ("land_cover",)) -> DataFrame:
+    """point_id and a column for each layer: the point's cell, or the nearest valid one, rounded half to even or, for the
+    layers in `whole`, as a whole number.  What the layers find is put together in one grouping."""
+    found = [grid.sample_or_nearest(points, cells, radius).select("point_id", F.lit(i).alias("k"), F.col("value").cast("double").alias("v")) for i, cells in enumerate(layers.values())]
+    one = lambda i: F.max(F.when(F.col("k") == i, F.col("v")))
+    put = [(one(i).cast("int") if n in whole else F.bround(one(i), rounded)).alias(n) for i, n in enumerate(layers)]
+    return reduce(DataFrame.unionByName, found).groupBy("point_id").agg(*put)
+
+
+def counters(answers: DataFrame, flags: dict[str, Column]) -> DataFrame:
+    """One row: how many answers there are, and how many each flag holds for."""
+    return answers.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(f"n_{k}") for k, c in flags.items()])
+
+
+def run_steps(spark, steps: Mapping[str, object]) -> DataFrame:
+    """step, status, message: each step is called in order; one that fails is recorded and the others still run."""
+    done = []
+    for name, step in steps.items():
+        try:
+            step()
+            done.append((name, "done", None))
+        except Exception as error:  # a step's own failure is its result
+            done.append((name, "failed", str(error)[:500]))
+    return spark.createDataFrame(done, "step string, status string, message string")
 
 
 def metadata(df: DataFrame, family: str, practice: str, indicator: str) -> DataFrame:

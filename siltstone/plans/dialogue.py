@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import numbers, text
 from siltstone.operators import classify, ground, sampling
 from siltstone.plans.base import Plans
-from siltstone.sources.files import table
+from siltstone.sources.files import shape_works, table
 from siltstone.streaming import events as streams
 
 plans = Plans()
@@ -68,11 +68,24 @@ def dehyphenate(spark, d):
     return docs.select("doc_id", F.md5(text.dehyphenate(F.col("text"))).alias("joined"), F.size(text.pieces(F.col("text"))).cast("double").alias("n_pieces"))
 
 
-@plans.add()
+_JATS = ("'<article><front><title>Meta ' || source || '</title></front><abstract><p>In ' || lang || '</p></abstract><body><sec><title>1 Text</title><p>' || replace(text, chr(10), '</p><p>') || ' <xref>[1]</xref></p>"
+    "<fig><p>a figure</p></fig></sec></body><back><ref-list>back</ref-list></back></article>'")
+
+
+def _elements(names) -> str:
+    return "(?s)(?:" + "|".join(rf"<{n}\b.*?</{n}>" for n in names) + ")"
+
+
+@plans.add(f"""with x as (select doc_id, {_JATS} as x from documents), k as (select doc_id, array_to_string(regexp_extract_all(x, '{_elements(text.JATS_KEPT)}'), chr(10) || chr(10)) as x from x),
+d as (select doc_id, regexp_replace(regexp_replace(x, '{_elements(text.JATS_DROPPED)}', ' ', 'g'), '(?i)</(?:{'|'.join(text.JATS_BLOCKS)})>', chr(10) || chr(10), 'g') as x from k),
+t as (select doc_id, regexp_replace({_UNESCAPE.replace("replace(x", "replace(regexp_replace(x, '<[^>]+>', ' ', 'g')", 1)}, '[ \\t]+', ' ', 'g') as x from d),
+s as (select doc_id, regexp_replace(x, '^\\s+|\\s+$', '', 'g') as x from t)
+select doc_id, md5(x) as digest, len(list_filter(regexp_split_to_array(x, '\\n{{2,}}'), lambda p: regexp_replace(p, '^\\s+|\\s+$', '', 'g') <> '')) as n_paragraphs from s""")
 def jats_clean(spark, d):
-    """Pages as if they were article XML, and their paragraphs, cut at the last references heading."""
-    body = text.trim_references(text.clean_jats(F.col("html")))
-    return table(spark, d, "pages").select("page_id", body.alias("text"), F.size(text.paragraphs(body)).alias("n_paragraphs"))
+    """Documents as article XML, their text without front matter, figures and references, and its paragraphs."""
+    xml = F.expr(_JATS.replace("chr(10)", "char(10)"))
+    body = text.clean_jats(xml)
+    return table(spark, d, "documents").select("doc_id", F.md5(body).alias("digest"), F.size(text.paragraphs(body)).cast("long").alias("n_paragraphs"))
 
 
 @plans.add(r"""with w as (select doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') as w from documents)
@@ -112,10 +125,11 @@ def number_guardrail(spark, d):
 
 
 @plans.add("""select conv_id, source, place, n_passages, snippet from (select c.conv_id, d.source, count(*) as n_passages, arg_min(substr(d.text, 1, 240), c.turn) as snippet,
-  row_number() over (partition by c.conv_id order by min(c.turn)) as place from conversations c join documents d on d.doc_id = (c.conv_id + c.turn * 3) % 200 group by 1, 2)""")
+  row_number() over (partition by c.conv_id order by min(c.turn)) as place from conversations c join documents d on d.doc_id = (c.conv_id + c.turn * 3) % (select max(doc_id) + 1 from documents) group by 1, 2)""")
 def citations_dedupe(spark, d):
     """One citation for each source that a conversation's passages come from, in order of the first."""
-    hits = table(spark, d, "conversations").select("conv_id", "turn", ((F.col("conv_id") + F.col("turn") * 3) % 200).alias("doc_id"))
+    n = table(spark, d, "documents").agg((F.max("doc_id") + 1).alias("n"))
+    hits = table(spark, d, "conversations").crossJoin(F.broadcast(n)).select("conv_id", "turn", ((F.col("conv_id") + F.col("turn") * 3) % F.col("n")).alias("doc_id"))
     hits = hits.join(table(spark, d, "documents").select("doc_id", "source", "text"), "doc_id")
     return ground.citations(hits, "conv_id", "source", "turn", "text").select("conv_id", "source", "place", "n_passages", "snippet")
 
@@ -125,17 +139,103 @@ def _audited(spark, d):
     return ground.audit(docs, "doc_id", "text", "allowed")
 
 
-@plans.add()
+_SENTENCES = r"""l as (select doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x: replace(regexp_replace(regexp_replace(x, '^\s*[#>*•\-]+\s*', ''), '^\s*\d{1,2}[.)]\s+', ''), '**', '')), chr(10)) as x from documents),
+p as (select doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(x, '([.!?;])\s+', '\1' || chr(10), 'g'), '\n+'), lambda q: trim(q, ' -*•' || chr(9))), lambda q: q <> '') as p from l),
+s as (select doc_id, unnest(p) as sentence, generate_subscripts(p, 1) - 1 as sentence_idx from p)"""
+_VALUE = "case w " + " ".join(f"when '{k}' then {float(v)!r}" for k, v in numbers.WORD_VALUES.items()) + " end"
+_OPEN = "not ((v = floor(v) and v between 0 and 10) or list_has_any([v, round_even(v, 0), round_even(v, 1), round_even(v, 2)], [2024.0, 100.0]))"
+_AUDIT = rf"""with {_SENTENCES}, n as (select *, list_transform(regexp_extract_all(regexp_replace(sentence, '\[G?\d+\]', ' ', 'g'), '\d+(?:\.\d+)?'), lambda t: cast(t as double)) as d,
+  list_transform(list_transform(regexp_extract_all(regexp_replace(sentence, '[^\x00-\x7F]', 'x', 'g'), '{numbers.WORD_NUMBER}', 1), lambda t: lower(t)), lambda w: {_VALUE}) as w from s),
+c as (select doc_id, sentence_idx, len(list_filter(d, lambda v: {_OPEN})) as n_digits, len(list_filter(w, lambda v: {_OPEN})) as n_words from n),
+v as (select *, case when n_digits > 0 and n_words > 0 then 'fail_both' when n_digits > 0 then 'fail_digits' when n_words > 0 then 'fail_wordform' else 'pass' end as verdict from c)"""
+
+
+@plans.add(f"{_AUDIT} select * from v")
 def sentence_audit(spark, d):
     """Every sentence of every document with its numbers that are not allowed."""
     return _audited(spark, d).select("doc_id", "sentence_idx", "n_digits", "n_words", "verdict")
 
 
-@plans.add()
+@plans.add(f"{_AUDIT} select verdict, count(*) as n, round_even(count(*) / sum(count(*)) over (), 3) as rate from v group by 1")
 def audit_summary(spark, d):
     return ground.audit_summary(_audited(spark, d))
 
 
+_CLAIM = "'About ' || (c_custkey % 40) || '% more, or twenty sites [' || (c_custkey % 4) || '] and [G' || (c_custkey % 3) || ']'"
+
+
+@plans.add(f"""with c as (select c_custkey, c_custkey % 40 as pct, c_custkey % 4 as n, c_custkey % 3 as g from customer),
+w as (select *, pct <= 10 or pct in (12, 25) as all_ok, n between 1 and 2 or g = 1 as cited, pct <= 10 or (pct = 12 and n = 1) or (pct = 25 and g = 1) as digit_ok, n = 2 as word_ok from c)
+select c_custkey, 2 as n_numbers, case when all_ok then 'pass' else 'fail_digits' end as verdict, case when not cited then 'no_marker' when digit_ok and word_ok then 'yes' else 'no' end as cited_support from w""")
+def claim_support(spark, d):
+    """Claims with citation marks: whether the passages hold their numbers, and whether those that are cited do."""
+    said = F.expr(_CLAIM)
+    held = [F.array(F.lit("A gain of 12 percent in 2019-03."), F.lit("Twenty sites were seen.")), F.array(F.lit("It is 25 in all."))]
+    found = ground.audit_claims(said, F.array().cast("array<double>"), *held)
+    return table(spark, d, "customer").select("c_custkey", F.inline(F.array(found))).select("c_custkey", F.col("n_numbers").cast("int").alias("n_numbers"), "verdict", "cited_support")
+
+
+@plans.add("""with p as (select conv_id, turn % 3 as practice, turn as passage from conversations where role = 'user' and turn % 3 < 2), a as (select distinct conv_id, k as practice from conversations, range(0, 3) t(k)),
+own as (select conv_id, practice, passage from a join p using (conv_id, practice)), others as (select a.conv_id, a.practice, passage from a join p using (conv_id) where not exists (select 1 from p x where x.conv_id = a.conv_id and x.practice = a.practice))
+select * from own union all select * from others""")
+def practice_passages(spark, d):
+    """Passages of each practice; one without any gets all of its request."""
+    turns = table(spark, d, "conversations")
+    asked = turns.select("conv_id").distinct().withColumn("practice", F.explode(F.sequence(*[F.lit(k).cast("long") for k in (0, 2)])))
+    found = turns.filter("role = 'user' and turn % 3 < 2").select("conv_id", (F.col("turn") % 3).alias("practice"), F.col("turn").alias("passage"))
+    return ground.passages_for(asked, found, "conv_id", "practice", "passage")
+
+
+@plans.add("""select conv_id, string_agg(role || turn, ' ' order by role <> 'assistant', turn) as passages from conversations group by 1""")
+def two_tiers(spark, d):
+    """Passages of the first tier in order, then those of the second."""
+    rows = table(spark, d, "conversations").select("conv_id", "role", "turn", F.concat("role", F.col("turn").cast("string")).alias("name"))
+    out = ground.two_tiers(rows, "role", "conv_id", "assistant", "turn")
+    return out.select("conv_id", F.array_join(F.transform("passages", lambda x: x["name"]), " ").alias("passages"))
+
+
+@plans.add(rf"""with t as (select conv_id, turn, case when role = 'assistant' then 'r' || turn end as rec, regexp_matches(text, '{classify.FOLLOW_UP}') as f, regexp_matches(text, '{classify.ADVICE}') as a from conversations),
+p as (select *, last_value(rec ignore nulls) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding) as prior from t)
+select conv_id, turn, prior, case when f and prior is not null then 'explain' when a or not f then 'advise' else 'ask' end as branch from p""")
+def follow_up_branch(spark, d):
+    """What a turn does with the recommendation before it."""
+    turns = table(spark, d, "conversations").withColumn("rec", F.when(F.col("role") == "assistant", F.concat(F.lit("r"), F.col("turn").cast("string"))))
+    return classify.follow_ups(turns, "conv_id", "turn", "text", "rec").select("conv_id", "turn", "prior", "branch")
+
+
+@plans.add("""with t as (select *, row_number() over (partition by lang, source, n_chars % 7 order by md5('42' || cast(doc_id as varchar)), doc_id) as turn from documents),
+k as (select *, row_number() over (partition by lang, source order by turn, md5('42' || cast(doc_id as varchar)), doc_id) as pick from t)
+select doc_id, lang, source, pick from k where pick <= 3""")
+def quota_by_study(spark, d):
+    """Three documents of each language and source, of different studies first."""
+    rows = table(spark, d, "documents").withColumn("study", F.col("n_chars") % 7)
+    return sampling.quota_by_study(rows, ["lang", "source"], "study", "doc_id", 3, "42").select("doc_id", "lang", "source", "pick")
+
+
+@plans.add("""with k as (select *, row_number() over (partition by lang, source order by md5('42' || cast(doc_id as varchar)), doc_id) as pick from documents)
+select count(*) filter (where pick <= 2) as n, count(distinct lang || '|' || source) as n_cells, count(distinct lang) as n_lang, count(distinct source) as n_source, count(*) filter (where pick > 2) as n_skipped from k""")
+def build_report(spark, d):
+    rows = table(spark, d, "documents")
+    return sampling.build_report(rows, sampling.quota(rows, ["lang", "source"], "doc_id", 2, "42"), ["lang", "source"])
+
+
+_WORK = ("'{\"DOI\": \"10.1/AB' || p_partkey || '\", \"title\": [\"' || p_name || '\"], \"published-online\": {\"date-parts\": [[' || (1990 + p_size) || ', 1]]}, \"issued\": {\"date-parts\": [[1900]]}, "
+    "\"author\": [{\"given\": \"A\", \"family\": \"' || p_type || '\"}, {\"family\": \"Z\"}], \"abstract\": \"<p>On ' || p_brand || '</p>\"}'")
+
+
+@plans.add("""select p_partkey, '10.1/ab' || p_partkey as doi, p_name as title, cast(null as varchar) as journal, 1990 + p_size as year, 'A ' || p_type || '; Z' as authors, 'On ' || p_brand as abstract from part""")
+def paper_records(spark, d):
+    """Answers of a registry of papers as flat records."""
+    return shape_works(table(spark, d, "part").select("p_partkey", F.expr(_WORK).alias("answer")), "answer", "p_partkey")
+
+
+@plans.add("select doc_id, len(text[1:7000]) as n_chars, md5(text[1:7000]) as digest from documents")
+def embedded_text(spark, d):
+    """What of each text goes into an embedding."""
+    part = text.embedded(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.length(part).cast("long").alias("n_chars"), F.md5(part).alias("digest"))
+
+
 @plans.add("select c_custkey, case when c_acctbal < 0 then 'none' when c_acctbal > 5000 then 'model' else 'template' end as source, c_acctbal >= 0 as grounded from customer")
 def explain_decision(spark, d):
     balance = F.col("c_acctbal")
@@ -232,9 +332,13 @@ def gazetteer_longest(spark, d):
     return classify.gazetteer(table(spark, d, "documents"), "doc_id", "text", names)
 
 
-@plans.add()
+@plans.add(r"""with a as (select doc_id, regexp_extract_all(regexp_replace(text, '[^\x00-\x7F]', '_', 'g'), '(?i)\b(?:in|near|at|around|from)\s+([A-Za-z][A-Za-z'' ]+)', 1) as a from documents),
+b as (select doc_id, list_filter(list_transform(a, lambda x: trim(regexp_split_to_array(x, '(?i)\b(?:and|with|for|to|on|where|because|but|my|the)\b')[1])), lambda x: len(x) >= 3) as b from a)
+select doc_id, array_to_string(list_sort(list_distinct(b)), '|') as places from b""")
 def place_candidates(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.array_join(classify.place_candidates(F.col("text")), "|").alias("places"))
+    """Phrases of each document that may name a place, sorted; letters beyond ASCII end a phrase."""
+    plain = F.regexp_replace("text", r"[^\x00-\x7F]", "_")
+    return table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(classify.place_candidates(plain)), "|").alias("places"))
 
 
 @plans.add("select doc_id, lang, source, pick from (select *, row_number() over (partition by lang, source order by md5('42' || cast(doc_id as varchar)), doc_id) as pick from documents) where pick <= 2")

@@ -44,10 +44,14 @@ def tokenize(spark, d):
     return rows.select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct"))
 
 
-@plans.add(f"with {_BM25} select term, df, round(idf, 6) as idf from idf join (select term, df from raw) using (term)")
+@plans.add(rf"""with toks as (select doc_id, list_distinct({_TOKENS.format('text')}) as w from documents),
+df as (select term, count(*) as df from (select unnest(w) as term from toks) group by 1),
+raw as materialized (select term, df, ln((select count(*) from documents) - df + 0.5) - ln(df + 0.5) as raw from df),
+mean as materialized (select avg(raw) as m from raw)
+select term, df, round(case when raw < 0 then 0.25 * m else raw end, 6) as idf from raw, mean""")
 def term_weights(spark, d):
     docs = table(spark, d, "documents")
-    found = retrieval.term_weights(retrieval.postings(docs, "doc_id", "text"), retrieval.corpus_stats(docs, "text"))
+    found = retrieval.term_weights(retrieval.document_counts(docs, "doc_id", "text"), retrieval.corpus_stats(docs, "text"))
     return found.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
@@ -115,13 +119,17 @@ scored as (select query_id, round(coalesce(h4 / nullif(n, 0), 0), 6) as recall_4
   from ids left join sizes using (query_id) left join found using (query_id))"""
 
 
-def _scored(spark, d):
+def _labelled(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", "label")
     study = lambda c: F.concat(F.lit("s"), (F.col(c) % 97).cast("string"))
     ranked = dense(spark, d).select("query_id", study("doc_id").alias("study"), "rank")
     q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label")
     relevant = q.join(e, "label").filter("query_id <> vec_id").select("query_id", study("vec_id").alias("study"))
-    return evaluate.score(ranked, relevant)
+    return ranked, relevant
+
+
+def _scored(spark, d):
+    return evaluate.score(*_labelled(spark, d))
 
 
 @plans.add(f"with {_SCORED} select * from scored")
@@ -139,6 +147,19 @@ def retrieval_report(spark, d):
     return evaluate.report(rows, ["family", "indicator"], ["recall_4", "success_8", "mrr"])
 
 
+@plans.add(f"""with {_SCORED}, wide as (select distinct q.vec_id as query_id, 's' || (e.vec_id % 97) as study from embeddings q join embeddings e on q.label % 5 = e.label % 5 and q.vec_id <> e.vec_id where q.vec_id % 100 = 0
+  union all select query_id, study from relevant where query_id % 100 <> 0), whits as (select * from firsts join wide using (query_id, study)),
+wfound as (select query_id, min(rank) as first, count(*) filter (where rank <= 8) as h8 from whits group by 1), wsizes as (select query_id, count(*) as n from wide group by 1)
+select query_id, recall_8, mrr, round(coalesce(h8 / nullif(n, 0), 0), 6) as family_recall_8, round(coalesce(1 / first, 0), 6) as family_mrr from scored left join wsizes using (query_id) left join wfound using (query_id)""")
+def family_levels(spark, d):
+    """Quality by strict and by family labels; queries without family labels keep their strict ones."""
+    ranked, relevant = _labelled(spark, d)
+    e = table(spark, d, "embeddings").select("vec_id", "label")
+    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), (F.col("label") % 5).alias("k"))
+    wide = q.join(e.withColumn("k", F.col("label") % 5), "k").filter("query_id <> vec_id").select("query_id", F.concat(F.lit("s"), (F.col("vec_id") % 97).cast("string")).alias("study"))
+    return evaluate.score_levels(ranked, relevant, wide).select("query_id", "recall_8", "mrr", "family_recall_8", "family_mrr")
+
+
 @plans.add("select s.doc_id, substr(study, 5) as study from (select doc_id, 'ERA_' || source as study from documents) s where substr(study, 5) in (select 'src' || (label * 2) from embeddings)")
 def silver_labels(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.concat(F.lit("ERA_"), F.col("source")).alias("era"))
@@ -146,33 +167,34 @@ def silver_labels(spark, d):
     return evaluate.silver_labels(rows, corpus, "era").select("doc_id", "study")
 
 
-_WORDS = rf"w as (select doc_id, {_TOKENS.format('text')} as w from documents)"
+_WORDS = r"w as (select doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') as w from documents)"
 
 
 @plans.add(rf"""with {_WORDS}, p as (select doc_id, w, unnest(range(0, cast(greatest(ceil((len(w) - 380) / 320.0), 0) as bigint) + 1)) as pos from w where len(w) > 0)
 select doc_id, pos, len(w[pos * 320 + 1 : pos * 320 + 380]) as n_words, md5(array_to_string(w[pos * 320 + 1 : pos * 320 + 380], ' ')) as digest from p""")
 def chunk_windows(spark, d):
-    """Overlapping word windows of every document."""
+    """Overlapping word windows of every document, as written."""
     return chunking.windows(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "pos", "n_words", F.md5("chunk").alias("digest"))
 
 
-def _greedy(spark, d):
-    return chunking.greedy(table(spark, d, "documents"), "doc_id", F.split("text", "\n"))
+_CASED = r"list_filter(regexp_split_to_array({0}, '\s+'), lambda w: w <> '')"
 
 
-@plans.add(r"""with recursive p as (select doc_id, n, list_filter(regexp_split_to_array(x, '\s+'), lambda w: w <> '') as w
-  from (select doc_id, unnest(string_split(text, chr(10))) as x, generate_subscripts(string_split(text, chr(10)), 1) as n from documents)),
-q as (select doc_id, w, row_number() over (partition by doc_id order by n) as n from p where len(w) > 0),
-f as (select doc_id, cast(0 as bigint) as n, cast([] as varchar[]) as open, cast(null as varchar[]) as done from (select distinct doc_id from q)
-  union all select f.doc_id, q.n, case when len(f.open) + len(q.w) >= 380 then list_concat(f.open, q.w)[greatest(len(f.open) + len(q.w) - 59, 1) :] else list_concat(f.open, q.w) end,
-    case when len(f.open) + len(q.w) >= 380 then list_concat(f.open, q.w) end from f join q on f.doc_id = q.doc_id and q.n = f.n + 1),
-ends as (select doc_id, max(n) as last, count(done) as n_done from f group by 1),
-c as (select doc_id, n, done as c from f where done is not null
-  union all select f.doc_id, f.n + 1, f.open from f join ends on f.doc_id = ends.doc_id and f.n = last where len(f.open) > 60 or (n_done = 0 and len(f.open) > 0))
-select doc_id, row_number() over (partition by doc_id order by n) - 1 as pos, len(c) as n_words, md5(array_to_string(c, ' ')) as digest from c""")
+@plans.add(rf"""with recursive p as (select doc_id, n, {_CASED.format('x')} as w from (select doc_id, unnest(string_split(text, chr(10))) as x, generate_subscripts(string_split(text, chr(10)), 1) as n from documents)),
+q as (select doc_id, w, row_number() over (partition by doc_id order by n) as n, cast(sum(len(w)) over (partition by doc_id order by n) as bigint) as b from p where len(w) > 0),
+f as (select doc_id, cast(0 as bigint) as n, cast(0 as bigint) as a, cast(0 as bigint) as b, false as shut, cast(0 as bigint) as x, cast(0 as bigint) as y from (select distinct doc_id from q)
+  union all select f.doc_id, q.n, case when len(q.w) > 380 then q.b when f.b > f.a and f.b - f.a + len(q.w) > 380 then greatest(f.a, f.b - 60) else f.a end, q.b,
+    f.b > f.a and (len(q.w) > 380 or f.b - f.a + len(q.w) > 380), f.a, f.b from f join q on f.doc_id = q.doc_id and q.n = f.n + 1),
+c as (select doc_id, n, 0 as i, x, y from f where shut
+  union all select doc_id, n, i + 1, b - len(w) + i * 320, least(b - len(w) + i * 320 + 380, b) from (select *, unnest(range(0, cast(ceil((len(w) - 380) / 320.0) as bigint) + 1)) as i from q where len(w) > 380)),
+ends as (select doc_id, max_by(n, n) as n, max_by(a, n) as a, max_by(b, n) as b from f group by 1),
+every as (select * from c union all select doc_id, n + 1, 0, a, b from ends where b - a > 60 or (b > a and not exists (select 1 from c where c.doc_id = ends.doc_id))),
+words as (select doc_id, flatten(list(w order by n)) as w from q group by 1)
+select doc_id, row_number() over (partition by doc_id order by n, i) - 1 as pos, y - x as n_words, md5(array_to_string(w[x + 1 : y], ' ')) as digest from every join words using (doc_id)""")
 def chunk_greedy(spark, d):
     """Paragraphs packed greedily, each chunk beginning with the end of the one before."""
-    return _greedy(spark, d).select("doc_id", "pos", "n_words", F.md5("chunk").alias("digest"))
+    found = chunking.greedy(table(spark, d, "documents"), "doc_id", F.split("text", "\n"))
+    return found.select("doc_id", "pos", "n_words", F.md5("chunk").alias("digest"))
 
 
 _KEYS = ["the", "tion", "keit"]
@@ -180,7 +202,7 @@ _KEYS = ["the", "tion", "keit"]
 
 @plans.add(rf"""with {_WORDS}, p as (select doc_id, w, unnest(range(0, cast(greatest(ceil((len(w) - 380) / 320.0), 0) as bigint) + 1)) as pos from w where len(w) > 0),
 c as (select doc_id, pos, array_to_string(w[pos * 320 + 1 : pos * 320 + 380], ' ') as chunk from p),
-k as (select *, (len(chunk) - len(replace(chunk, 'the', ''))) // 3 as a, (len(chunk) - len(replace(chunk, 'tion', ''))) // 4 as b, (len(chunk) - len(replace(chunk, 'keit', ''))) // 4 as e from c),
+k as (select *, (len(chunk) - len(replace(chunk, 'the', ''))) // 3 as a, (len(chunk) - len(replace(chunk, 'tion', ''))) // 4 as b, (len(chunk) - len(replace(chunk, 'keit', ''))) // 4 as e from (select doc_id, pos, lower(chunk) as chunk from c)),
 s as (select doc_id, pos, cast(a > 0 as int) + cast(b > 0 as int) + cast(e > 0 as int) as kw_distinct, a + b + e as kw_hits from k)
 select doc_id, pos, kw_distinct, kw_hits, doc_id || '_' || lpad(cast(row_number() over (partition by doc_id order by pos) - 1 as varchar), 3, '0') as chunk_id from
   (select *, row_number() over (partition by doc_id order by kw_distinct desc, kw_hits desc, pos) as n from s where kw_distinct > 0) where n <= 3""")

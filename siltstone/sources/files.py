@@ -7,6 +7,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siltstone.functions.numbers import year_of_parts
+from siltstone.functions.text import clean_html, joined
+
 #: The evidence table, one row for each paired observation.
 EVIDENCE_SCHEMA = (
     "source string, Study_No_ string, latitude double, longitude double, CSA_practices string, practice_family string, Crop_group string, "
@@ -41,9 +44,60 @@ def sniffed(column: Column) -> Column:
     return column.try_cast("double")
 
 
-def lookup(df: DataFrame, key: str, value: str) -> DataFrame:
-    """A two-column lookup: the last row of each key wins."""
-    return df.groupBy(F.col(key).cast("int").alias("code")).agg(F.last(value).alias("name"))
+def lookup(df: DataFrame, key: str, value: str, order: str | None = None) -> DataFrame:
+    """A two-column lookup: the last row of each key wins, in the order of a column or else of the file.
+
+    Rows of one file are read in place order, and the place of a row is taken before anything is shuffled.
+    """
+    placed = df.withColumn("_place", F.col(order) if order else F.monotonically_increasing_id())
+    return placed.groupBy(F.col(key).cast("int").alias("code")).agg(F.max_by(value, "_place").alias("name"))
+
+
+def read_stream(spark: SparkSession, path: str, schema: str, files: int = 100) -> DataFrame:
+    """JSON lines as they arrive in a folder, so many files at a time."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).json(path)
+
+
+def stored_ids(spark: SparkSession, path: str, key: str = "chunk_id") -> DataFrame:
+    """The ids of a vector store: one column of its parquet files."""
+    return spark.read.parquet(path).select(key)
+
+
+def add_vectors(df: DataFrame, path: str, key: str = "chunk_id") -> None:
+    """Append the rows that a vector store does not have yet; a store that is not there is begun."""
+    spark = df.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(hadoop)
+    (new_rows(df, stored_ids(spark, path, key), key) if there else df).write.mode("append").parquet(path)
+
+
+#: What the registries of papers answer, as far as it is used.
+WORK_SCHEMA = (
+    "DOI string, title array<string>, `container-title` array<string>, `published-print` struct<`date-parts`:array<array<int>>>, "
+    "`published-online` struct<`date-parts`:array<array<int>>>, issued struct<`date-parts`:array<array<int>>>, author array<struct<given:string,family:string>>, "
+    "abstract string"
+)
+
+
+def shape_works(df: DataFrame, column: str, key: str) -> DataFrame:
+    """key, doi, title, journal, year, authors, abstract of JSON answers; what is malformed or absent is null."""
+    w = F.from_json(column, WORK_SCHEMA)
+    dates = F.array(*[w[d]["date-parts"] for d in ("published-print", "published-online", "issued")])
+    names = F.transform(w["author"], lambda a: F.trim(F.concat_ws(" ", a["given"], a["family"])))
+    return df.select(
+        key, F.lower(w["DOI"]).alias("doi"), F.get(w["title"], F.lit(0)).alias("title"), F.get(w["container-title"], F.lit(0)).alias("journal"),
+        year_of_parts(dates).alias("year"), joined(names).alias("authors"), clean_html(w["abstract"]).alias("abstract"),
+    )
+
+
+def readable(files: DataFrame, magic: bytes, again: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(good, bad) of binary files (path, content): a bad one is looked for once in a second delivery before it counts."""
+    good = valid_content(files, magic)
+    bad = files.join(good.select("path"), "path", "left_anti").select("path")
+    if again is None:
+        return good, bad
+    second = valid_content(again.join(bad, "path", "left_semi"), magic)
+    return good.unionByName(second), bad.join(second.select("path"), "path", "left_anti")
 
 
 def latest(df: DataFrame, key: str, order: str) -> DataFrame:

@@ -129,6 +129,12 @@ def sessions(events: DataFrame, time: str, gap: str, key: str) -> DataFrame:
     return found.select(key, F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
 
 
+def latencies(spark, query) -> DataFrame:
+    """batch_id, n_rows, took_ms of a streaming query's batches, as its progress reports them."""
+    rows = [(p["batchId"], p["numInputRows"], p["durationMs"].get("triggerExecution", 0)) for p in query.recentProgress]
+    return spark.createDataFrame(rows, "batch_id long, n_rows long, took_ms long")
+
+
 def latest_user_turn(turns: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
     """The most recent user turn of each conversation."""
     return turns.filter(F.col(role) == "user").groupBy(conv).agg(F.max(turn).alias(turn), F.max_by(text, turn).alias(text))

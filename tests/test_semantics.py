@@ -23,8 +23,9 @@ def test_text_functions(spark):
     assert one(spark, text.dehyphenate(t), t="soil ero-\nsion") == "soil erosion"
     assert one(spark, text.trim_references(t), t="a\nReferences\nb\nReferences\nc") == "a\nReferences\nb"
     assert one(spark, text.trim_references(t), t="no heading") == "no heading"
-    assert one(spark, text.clean_jats(t), t="<body><p>One</p><table><tr>x</tr></table><p>Two</p></body>") == "One\n\nTwo"
-    assert one(spark, text.paragraphs(t), t="a\n\n\nb\n2.1 Results\nc") == ["a", "b", "2.1 Results\nc"]
+    assert one(spark, text.clean_jats(t), t="<article><front><title>Meta</title></front><body><p>One</p><fig><p>x</p></fig><p>Two <xref>[1]</xref></p></body><back><p>b</p></back></article>").split() == ["One", "Two"]
+    assert one(spark, text.clean_jats(t), t="<p>no body</p>\nReferences\nA") == "no body"
+    assert one(spark, text.paragraphs(t), t="a\n\n\nb\n2.1 Results\nc\nIV x") == ["a", "b", "2.1 Results\nc", "IV x"]
     assert one(spark, text.norm_match(t), t="  Water-use / Efficiency;; now ") == "water use efficiency now"
     assert one(spark, text.norm_place(t), t="Debré  Márkos!") == "debre markos"
     assert one(spark, text.occurrences(t, "aa"), t="aaaaa") == 2
@@ -68,7 +69,7 @@ def test_rank_ties_go_by_name(spark):
     assert [r.practice for r in ranked.filter("indicator = 'yield'").orderBy("rank").collect()] == ["c", "a", "b"]
     assert [r.practice for r in ranked.filter("indicator = 'soil loss'").orderBy("rank").collect()] == ["z", "y"]
     nested = evidence.recommend(ranked, 1).filter("indicator = 'soil loss'").first()
-    assert nested.recommendations[0].effect == "~10% reduction in soil loss" and nested.details.n_candidates == 2
+    assert nested.recommendations[0].effect == "~10% reduce in soil loss" and nested.details.n_candidates == 2
 
 
 def test_greedy_folds_balance(spark):
@@ -135,10 +136,117 @@ def test_chunks(spark):
     rows = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(10))), (2, "")], "d long, t string")
     assert [r.n_words for r in chunking.windows(rows, "d", "t", 4, 3).orderBy("pos").collect()] == [4, 4, 4]
     packed = chunking.greedy(spark.createDataFrame([(1, "a b c\nd e f\ng"), (2, "x")], "d long, t string"), "d", F.split("t", "\n"), 5, 2).orderBy("d", "pos").collect()
-    assert [(r.d, r.chunk) for r in packed] == [(1, "a b c d e f"), (1, "e f g"), (2, "x")]
+    assert [(r.d, r.chunk) for r in packed] == [(1, "a b c"), (1, "b c d e f"), (1, "e f g"), (2, "x")]
     assert one(spark, F.struct(*chunking.keyword_stats(F.lit("bund and bund, mulch"), ["bund", "mulch", "tree"]))) == (2, 3)
 
 
+def test_greedy_chunks_follow_the_source_rule(spark):
+    import random
+
+    def packed(paragraphs, size, carry):
+        chunks, cur = [], []
+        for words in paragraphs:
+            if len(words) > size:
+                chunks += [cur] if cur else []
+                cur, i = [], 0
+                while True:
+                    chunks.append(words[i : i + size])
+                    if i + size >= len(words):
+                        break
+                    i += size - carry
+                continue
+            if cur and len(cur) + len(words) > size:
+                chunks.append(cur)
+                cur = cur[-carry:]
+            cur = cur + words
+        return [" ".join(c) for c in chunks + ([cur] if len(cur) > carry or not chunks else []) if c]
+
+    rng = random.Random(2)
+    texts = {i: [[f"W{i}x{j}y{k}" for k in range(rng.choice([1, 2, 3, 5, 8, 13, 30]))] for j in range(rng.randrange(1, 12))] for i in range(60)}
+    rows = spark.createDataFrame([(i, "\n".join(" ".join(p) for p in ps)) for i, ps in texts.items()], "d long, t string")
+    got = chunking.greedy(rows, "d", F.split("t", "\n"), 12, 4).collect()
+    assert {i: [r.chunk for r in sorted((r for r in got if r.d == i), key=lambda r: r.pos)] for i in texts} == {i: packed(ps, 12, 4) for i, ps in texts.items()}
+
+
+def test_recommendation_by_a_model(spark):
+    import pytest
+    from pyspark.ml.feature import SQLTransformer
+
+    rows = spark.createDataFrame([("F", "p", "yield"), ("F", "p", "yield"), ("F", "q", "soil loss"), ("F", "r", "yield")], "family string, practice string, indicator string")
+    model = SQLTransformer(statement="select *, case practice when 'p' then 0.1 when 'q' then 0.5 else 0.2 end * rain as prediction from __THIS__")
+    asked = spark.createDataFrame([(1, "F", "yield", 1.0), (2, "F", "yield", -1.0)], "request long, family string, indicator string, rain double")
+    scored = evidence.score_candidates(evidence.candidates(rows, "family", "practice", "indicator"), asked, model)
+    sure = spark.createDataFrame([("soil loss", "high")], "indicator string, confidence string")
+    got = {r.request: r for r in evidence.recommend_by_model(scored, "request", evidence.DIRECTIONS, sure).collect()}
+    assert [x.practice for x in got[1].recommendations] == ["r", "p"] and [x.practice for x in got[2].recommendations] == ["p", "r"]
+    assert got[1].recommendations[0].effect == "~22% increase in yield" and got[1].details.confidence == "low"
+    assert (got[1].details.n_candidates, got[1].details.n_grounded, got[1].details.ranked[0].log_ratio) == (3, 2, 0.2)
+    bare = scored.withColumn("n_evidence", F.lit(0).cast("long"))
+    with pytest.raises(Exception, match="no evidence for F with yield"):
+        evidence.recommend_by_model(bare, "request", evidence.DIRECTIONS, sure).collect()
+    with pytest.raises(Exception, match="unknown indicator: x"):
+        evidence.recommend_by_model(scored.withColumn("indicator", F.lit("x")), "request", evidence.DIRECTIONS, sure).collect()
+
+
+def test_models_are_chosen_saved_and_loaded(spark, tmp_path):
+    rows = spark.createDataFrame([("a" if i % 2 else "b", float(i % 7), float(i % 7) * 3, i % 3) for i in range(120)], "c string, x double, y double, fold int")
+    kinds = {"deep": models.forest(trees=10, depth=6), "flat": models.forest(trees=1, depth=1)}
+    model, figures = models.select_and_refit(rows, kinds, ["c"], ["x"], "y", "fold", 3, "c")
+    assert {(r.scope, r.model) for r in figures.collect()} == {("all", "deep"), ("a", "deep"), ("b", "deep")}
+    models.save(model, figures, str(tmp_path / "m"))
+    again, held = models.load(spark, str(tmp_path / "m"))
+    assert sorted(r.prediction for r in again.transform(rows).collect()) == sorted(r.prediction for r in model.transform(rows).collect())
+    assert {(r.scope, r.n, r.confidence) for r in held.collect()} == {(r.scope, r.n, r.confidence) for r in figures.collect()}
+
+
+def test_wide_and_narrow_searches_agree(spark):
+    import random
+
+    rng = random.Random(7)
+    cells = spark.createDataFrame(sorted({(rng.randrange(80), rng.randrange(80)) for _ in range(60)}), "row long, col long").withColumn("value", F.col("row") * 100.0 + F.col("col"))
+    points = spark.createDataFrame([(i, rng.randrange(80), rng.randrange(80)) for i in range(80)], "point_id long, row long, col long")
+    wide = {r.point_id: (r.value, r.d2) for r in grid.nearest_valid(points, cells, 30).collect()}
+    assert wide == {r.point_id: (r.value, r.d2) for r in grid._nearest(points, cells, 30, "value").collect()}
+    both = grid.stack({"a": cells, "b": cells.filter("row < 40")})
+    assert both.count() == cells.count() and both.filter("b is null").count() == cells.filter("row >= 40").count()
+
+
+def test_long_gazetteers_give_the_same_places(spark, monkeypatch):
+    names = spark.createDataFrame([(1, "ambo", "Ambo"), (2, "addis", "Addis"), (3, "addis ababa", "Ababa"), (4, "x", "X"), (5, "bo", "Bo")], "pos int, alias string, place string")
+    texts = spark.createDataFrame([(1, "bamboo plots"), (2, "Addis, Ambo"), (3, "in addis ababa"), (4, "fax"), (5, "hobo"), (6, "none"), (7, ""), (8, None)], "i long, t string")
+    short = {(r.i, r.place) for r in classify.gazetteer(texts, "i", "t", names).collect()}
+    monkeypatch.setattr(classify, "FEW_NAMES", 0)
+    assert {(r.i, r.place) for r in classify.gazetteer(texts, "i", "t", names).collect()} == short and len(short) == 5
+
+
+def test_sources_of_records_and_vectors(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "chunk_id string, v double")
+    files.add_vectors(rows, str(tmp_path / "v"))
+    files.add_vectors(rows.unionByName(spark.createDataFrame([("c", 3.0)], "chunk_id string, v double")), str(tmp_path / "v"))
+    assert sorted(r.chunk_id for r in files.stored_ids(spark, str(tmp_path / "v")).collect()) == ["a", "b", "c"]
+    found = spark.createDataFrame([("p1", bytearray(b"%PDF1")), ("p2", bytearray(b"junk")), ("p3", bytearray(b"junk"))], "path string, content binary")
+    again = spark.createDataFrame([("p2", bytearray(b"%PDF2")), ("p3", bytearray(b""))], "path string, content binary")
+    good, bad = files.readable(found, b"%PDF", again)
+    assert sorted(r.path for r in good.collect()) == ["p1", "p2"] and [r.path for r in bad.collect()] == ["p3"]
+    lookup = files.lookup(spark.createDataFrame([("1", "x"), ("2", "y"), ("1", "z")], "k string, n string").coalesce(1), "k", "n")
+    assert {r.code: r.name for r in lookup.collect()} == {1: "z", 2: "y"}
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"d": 1}\n{"d": 2}\n')
+    query = files.read_stream(spark, str(tmp_path / "in"), "d int").writeStream.format("memory").queryName("arrived").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sum(r.n_rows for r in events.latencies(spark, query).collect()) == 2
+    shaped = files.shape_works(spark.createDataFrame([(1, "{bad"), (2, '{"issued": {"date-parts": [[null]]}}')], "k int, j string"), "j", "k").collect()
+    assert all(r.year is None and r.doi is None for r in shaped)
+
+
+def test_steps_that_fail_are_recorded(spark):
+    from siltstone.operators import serving
+
+    done = []
+    out = serving.run_steps(spark, {"a": lambda: done.append(1), "b": lambda: 1 / 0, "c": lambda: done.append(2)}).collect()
+    assert [(r.step, r.status) for r in out] == [("a", "done"), ("b", "failed"), ("c", "done")] and done == [1, 2]
+
+
 def test_rules(spark):
     t = F.col("t")
     at = classify.coordinates(t)
@@ -162,9 +270,16 @@ def test_grounding(spark):
     assert one(spark, ground.ungrounded(F.lit("grew 55% [2]"), allowed)) == ["55"]
     texts = spark.createDataFrame([(1, "Gain of 12.3%. Then forty more; 77 too.")], "i long, t string").withColumn("a", allowed)
     assert [r.verdict for r in ground.audit(texts, "i", "t", "a").orderBy("sentence_idx").collect()] == ["pass", "fail_wordform", "fail_digits"]
-    marks = spark.createDataFrame([(1, 1), (1, 5)], "id long, n int")
-    passages = spark.createDataFrame([(1, 10, "p")], "id long, place int, passage string")
-    assert ground.cited_support(marks, passages).count() == 1
+    assert sorted(one(spark, ground.allowed_numbers(F.lit("2019-03"), values=F.array(F.lit(-3.0))))) == [-3.0, 3.0, 2019.0]
+    held = [F.array(F.lit("A gain of 12 percent, twenty sites.")), F.array(F.lit("Or 25."))]
+
+    def claim(sentence):
+        return one(spark, ground.audit_claims(F.lit(sentence), F.array().cast("array<double>"), *held))
+
+    assert claim("No numbers [1].") is None
+    assert tuple(claim("Twenty sites gained 12% [1].")) == (2, "pass", "yes")
+    assert tuple(claim("They gained 25% [1].")) == (1, "pass", "no") and tuple(claim("They gained 25% [G1].")) == (1, "pass", "yes")
+    assert tuple(claim("They gained 33% [7].")) == (1, "fail_digits", "no_marker") and tuple(claim("Thirty of 33 [1]")) == (2, "fail_both", "no")
 
 
 def test_sampling_is_deterministic(spark):
