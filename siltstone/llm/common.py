@@ -44,11 +44,13 @@ def shared_dir(spark) -> str:
 
 
 def shared_path(spark, kind: str) -> str:
-    """A new path in the shared folder, whose files go when the driver ends."""
+    """A new folder within the shared one, which goes with its files when the driver ends."""
     at = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(path)
-    return at
+    files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return f"{at}/files"
 
 
 def durable(df: DataFrame) -> DataFrame:
