@@ -36,7 +36,8 @@ def effect_text(pct: Column, goal: Column, indicator: Column) -> Column:
 
 
 def signed_pct(value: Column) -> Column:
-    return F.format_string("%+.1f%%", value)
+    """One decimal with a sign; zero has none."""
+    return F.concat(F.when(value > 0, "+").otherwise(""), F.format_string("%.1f%%", value))
 
 
 def tokens(text: Column) -> Column:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: The square that a wide search tries first.
 FINE = 4
+#: Kilometres of a degree.
+KM_LAT, KM_LON = 110.57, 111.32
 #: The reference grid: left edge, top edge, degrees of a cell, rows, columns.
 LEFT, TOP, RES, ROWS, COLS = 32.9, 14.901, 0.00225, 5156, 6800
 
@@ -27,6 +29,12 @@ def grid(spark, rows: int = ROWS, cols: int = COLS) -> DataFrame:
     return spark.range(rows * cols).select(F.floor(F.col("id") / cols).alias("row"), (F.col("id") % cols).alias("col"))
 
 
+def zone_cells(zones: DataFrame, south: float, west: float, north: float, east: float, res: float = 1 / 480) -> DataFrame:
+    """Zones (lat_min, lon_min, lat_max, lon_max, area_km2) with whether they lie in a raster's extent, and about how many of its cells they cover."""
+    inside = (F.col("lat_min") >= south) & (F.col("lon_min") >= west) & (F.col("lat_max") <= north) & (F.col("lon_max") <= east)
+    return zones.withColumn("within_extent", inside).withColumn("n_cells", F.round(F.col("area_km2") / (KM_LAT * KM_LON * res * res)).cast("long"))
+
+
 def is_nodata(value: Column, nodata: float | None = None) -> Column:
     """Null, not a number, or the layer's mark."""
     bad = value.isNull() | F.isnan(value)

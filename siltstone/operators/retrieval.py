@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,25 +66,55 @@ def top(scored: DataFrame, group: str, order: Column, tie: str, k: int) -> DataF
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(order, tie))).filter(F.col("rank") <= k)
 
 
-def _unit(vec: Column) -> Column:
-    norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(vec, lambda x: x / norm)
+def _matrix(table: pa.Table) -> np.ndarray:
+    flat = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    rows = flat.reshape(table.num_rows, -1)
+    return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
-def cosine(queries: DataFrame, vectors: DataFrame, id_col: str, vec_col: str, k: int = CANDIDATES, size: int = 4096) -> DataFrame:
+def _best_of_block(k: int):
+    """The k best of a block of vectors for each query of a block of queries."""
+
+    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        out: list[list] = [[], [], []]
+        if asked.num_rows and held.num_rows:
+            ids = held.column("id").to_numpy()
+            order = np.argsort(ids, kind="stable")
+            ids, scores = ids[order], np.round(_matrix(asked) @ _matrix(held)[order].T, 6)
+            for query, row in zip(asked.column("id").to_pylist(), scores, strict=True):
+                others = np.flatnonzero(ids != query)
+                best = others[np.argsort(-row[others], kind="stable")[:k]]
+                out = [[*out[0], np.full(len(best), query)], [*out[1], ids[best]], [*out[2], row[best]]]
+        columns = [np.concatenate([np.zeros(0, t), *x]) for x, t in zip(out, (np.int64, np.int64, np.float64), strict=True)]
+        return pa.Table.from_arrays([pa.array(c) for c in columns], names=["query_id", "doc_id", "score"])
+
+    return run
+
+
+def cosine(queries: DataFrame, vectors: DataFrame, id_col: str, vec_col: str, k: int = CANDIDATES, size: int = 4096, asked: int = 1024) -> DataFrame:
     """query_id, doc_id, score, rank: the k vectors of highest cosine for each query, others than itself; ties by id.
 
-    The stated queries meet all vectors in blocks of about `size`: vectors are dealt to blocks, queries go to every
-    block, and each block keeps its k best, so what is ranked at last is bounded by queries, blocks and k.
+    The stated queries meet all vectors in blocks, of about `asked` queries and `size` vectors: each pair of blocks keeps
+    its k best, so what is ranked at last is bounded by queries, blocks and k.  Vectors that are null, empty, zero or
+    hold null components have no direction and take no part; only vectors of one dimension meet.
     """
-    blocks = -(-vectors.count() // size) or 1
-    wide = F.col(vec_col).cast("array<double>")
-    here = vectors.filter(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("doc_id"), _unit(wide).alias("v"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("block"))
-    there = queries.filter(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("query_id"), _unit(wide).alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    met = there.join(here, "block").filter("query_id <> doc_id").select("query_id", "block", "doc_id", F.round(dot, 6).alias("score"))
-    best = met.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "block").orderBy(F.desc("score"), "doc_id"))).filter(F.col("rank") <= k).drop("rank", "block")
-    return top(best, "query_id", F.col("score").desc(), "doc_id", k)
+    def usable(df):
+        v = F.col(vec_col).cast("array<double>")
+        return df.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).filter(F.exists("v", lambda x: x != 0) & F.forall("v", lambda x: x.isNotNull()))
+
+    def number(n):
+        return F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+
+    def every(n):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    here, there = usable(vectors), usable(queries)
+    many, few = (-(-df.count() // most) or 1 for df, most in ((here, size), (there, asked)))
+    here = here.withColumn("dim", F.size("v")).withColumn("block", number(many)).withColumn("part", every(few))
+    there = there.withColumn("dim", F.size("v")).withColumn("part", number(few)).withColumn("block", every(many))
+    keys = ("dim", "block", "part")
+    met = there.groupBy(*keys).cogroup(here.groupBy(*keys)).applyInArrow(_best_of_block(k), "query_id long, doc_id long, score double")
+    return top(met, "query_id", F.col("score").desc(), "doc_id", k).withColumn("score", F.round("score", 6))
 
 
 def fuse(dense: DataFrame, lexical: DataFrame, k: int, constant: int = FUSION) -> DataFrame:

@@ -10,6 +10,14 @@ def hash_order(key: Column, seed: str) -> Column:
     return F.md5(F.concat(F.lit(seed), key.cast("string")))
 
 
+def scan_caps(df: DataFrame, order: str, wanted: Column, scan: int, keep: int) -> DataFrame:
+    """The first `keep` wanted ones of the first `scan` rows in order; the caps are what is asked for.
+
+    Each task keeps only its own first rows, so no more than `scan` of them meet.
+    """
+    return df.orderBy(order).limit(scan).filter(wanted).orderBy(order).limit(keep)
+
+
 def quota(df: DataFrame, strata: list[str], key: str, n: int, seed: str) -> DataFrame:
     """At most n rows of each stratum, by md5 order."""
     order = Window.partitionBy(*strata).orderBy(hash_order(F.col(key), seed), key)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from siltstone.operators import grid
 from siltstone.operators.prepare import LAT, LON, missing_names
@@ -107,18 +110,30 @@ def metadata(df: DataFrame, family: str, practice: str, indicator: str) -> DataF
 
 
 def signed_ranks(pairs: DataFrame, left: str, right: str) -> DataFrame:
-    """n, median_difference, w_plus, w_minus: the signed-rank statistics of paired scores; ties share mean ranks.
+    """n, median_difference, w_plus, w_minus, z, effect: the signed-rank statistics of paired scores; ties share mean ranks.
 
-    Ranks come from counts of equal distances, so only distinct distances are ordered.
+    z is the normal approximation of w_plus with the correction for ties, effect the rank-biserial correlation; both are
+    null where every pair is equal.  Ranks come from counts of equal distances, so only distinct distances are ordered.
     """
     d = pairs.select((F.col(left) - F.col(right)).alias("d")).filter("d is not null")
     counted = d.filter("d <> 0").groupBy(F.abs("d").alias("a")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("d") > 0).alias("up"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("a").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = counted.withColumn("rank", before + (F.col("n") + 1) / 2)
-    sums = ranked.agg(F.coalesce(F.sum(F.col("rank") * F.col("up")), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum(F.col("rank") * (F.col("n") - F.col("up"))), F.lit(0.0)).alias("w_minus"))
+    n, total = F.col("n").cast("double"), lambda c: F.coalesce(F.sum(c), F.lit(0.0))
+    sums = ranked.agg(total(F.col("rank") * F.col("up")).alias("w_plus"), total(F.col("rank") * (n - F.col("up"))).alias("w_minus"), total(n).alias("m"), total(n * n * n - n).alias("ties"))
+    m, both = F.col("m"), F.col("w_plus") + F.col("w_minus")
+    spread = F.sqrt(m * (m + 1) * (2 * m + 1) / 24 - F.col("ties") / 48)
+    z = (F.col("w_plus") - m * (m + 1) / 4) / F.nullif(spread, F.lit(0.0))
+    sums = sums.select("w_plus", "w_minus", z.alias("z"), ((F.col("w_plus") - F.col("w_minus")) / F.nullif(both, F.lit(0.0))).alias("effect"))
     return d.agg(F.count(F.lit(1)).alias("n"), F.percentile("d", 0.5).alias("median_difference")).crossJoin(F.broadcast(sums))
 
 
+@F.pandas_udf(DoubleType())
+def two_sided_p(z: pd.Series) -> pd.Series:
+    """The two-sided probability of a normal z, or of one further out; null stays null."""
+    return z.map(lambda x: math.erfc(abs(x) / math.sqrt(2)), na_action="ignore")
+
+
 def nominal_alpha(ratings: DataFrame, item: str, value: str) -> DataFrame:
     """alpha: Krippendorff's agreement for categories over items with two ratings or more."""
     cells = ratings.filter(F.col(value).isNotNull()).groupBy(item, value).agg(F.count(F.lit(1)).alias("c"))
@@ -128,3 +143,20 @@ def nominal_alpha(ratings: DataFrame, item: str, value: str) -> DataFrame:
     totals = held.groupBy(value).agg(F.sum("c").alias("t"))
     expected = totals.crossJoin(F.broadcast(observed)).agg(F.first("do").alias("do"), F.first("n").alias("n"), F.sum(F.col("t") * (F.col("n") - F.col("t"))).alias("de"))
     return expected.select(F.round(1 - (F.col("n") - 1) * F.col("do") / F.nullif(F.col("de"), F.lit(0)), 6).alias("alpha"))
+
+
+def ordinal_alpha(ratings: DataFrame, item: str, value: str) -> DataFrame:
+    """alpha: Krippendorff's agreement for ordered categories over items with two ratings or more; null if all are equal.
+
+    The ordinal distance of two categories is the distance of their mean ranks, so sums of squares serve for all pairs.
+    """
+    cells = ratings.filter(F.col(value).isNotNull()).groupBy(item, value).agg(F.count(F.lit(1)).alias("c"))
+    held = cells.join(cells.groupBy(item).agg(F.sum("c").alias("m")).filter("m > 1"), item)
+    totals = held.groupBy(value).agg(F.sum("c").cast("double").alias("t"))
+    order, whole = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow), Window.partitionBy(F.lit(0))
+    places = totals.select(value, (F.sum("t").over(order) - F.col("t") / 2 - F.sum("t").over(whole) / 2).alias("x"))
+    x, c = F.col("x"), F.col("c")
+    items = held.join(places, value).groupBy(item).agg(F.sum(c).alias("m"), F.sum(c * x).alias("s"), F.sum(c * x * x).alias("q"))
+    sums = items.agg(F.sum((F.col("m") * F.col("q") - F.col("s") * F.col("s")) / (F.col("m") - 1)).alias("do"), F.sum("m").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
+    de = F.col("n") * F.col("q") - F.col("s") * F.col("s")
+    return sums.select(F.round(1 - (F.col("n") - 1) * F.col("do") / F.nullif(de, F.lit(0.0)), 6).alias("alpha"))

@@ -106,12 +106,16 @@ def scenarios(spark, d):
     return picks.select(F.concat(F.lit("S"), F.lpad(place.cast("string"), 3, "0")).alias("scenario_id"), "doc_id", "lang", "source")
 
 
-@plans.add("""with d as (select l_quantity - l_tax * 500 as d from lineitem), nz as (select d, rank() over (order by abs(d)) + (count(*) over (partition by abs(d)) - 1) / 2.0 as r from d where d <> 0)
-select (select count(*) from d) as n, (select round(median(d), 6) from d) as median_difference, (select sum(r) from nz where d > 0) as w_plus, (select sum(r) from nz where d < 0) as w_minus""")
+@plans.add("""with d as (select l_quantity - l_tax * 500 as d from lineitem), nz as (select d, abs(d) as a, rank() over (order by abs(d)) + (count(*) over (partition by abs(d)) - 1) / 2.0 as r from d where d <> 0),
+t as (select sum(c * c * c - c) as ties from (select cast(count(*) as double) as c from nz group by a)),
+s as (select cast(count(*) as double) as m, coalesce(sum(r) filter (where d > 0), 0) as w_plus, coalesce(sum(r) filter (where d < 0), 0) as w_minus from nz)
+select (select count(*) from d) as n, (select round(median(d), 6) from d) as median_difference, w_plus, w_minus,
+  round((w_plus - m * (m + 1) / 4) / sqrt(m * (m + 1) * (2 * m + 1) / 24 - ties / 48), 6) as z, round((w_plus - w_minus) / (w_plus + w_minus), 6) as effect from s, t""")
 def signed_ranks(spark, d):
     """Signed-rank statistics of paired scores."""
     pairs = table(spark, d, "lineitem").select("l_quantity", (F.col("l_tax") * 500).alias("other"))
-    return serving.signed_ranks(pairs, "l_quantity", "other").withColumn("median_difference", F.round("median_difference", 6))
+    found = serving.signed_ranks(pairs, "l_quantity", "other")
+    return found.withColumns({c: F.round(c, 6) for c in ("median_difference", "z", "effect")})
 
 
 @plans.add("""with c as (select l_orderkey as item, l_returnflag as v, count(*) as c from lineitem group by 1, 2), m as (select item, sum(c) as m from c group by 1 having sum(c) > 1), h as (select * from c join m using (item)),
@@ -119,3 +123,14 @@ t as (select v, sum(c) as t from h group by 1), n as (select sum(c) as n, sum(c
 def agreement(spark, d):
     """Agreement of ratings over items."""
     return serving.nominal_alpha(table(spark, d, "lineitem"), "l_orderkey", "l_returnflag")
+
+
+@plans.add("""with r as (select l_orderkey as item, cast(floor(l_quantity / 10) as int) as v from lineitem), c as (select item, v, count(*) as c from r group by 1, 2),
+m as (select item, sum(c) as m from c group by 1 having sum(c) > 1), h as (select * from c join m using (item)), t as (select v, cast(sum(c) as double) as t from h group by 1),
+d as (select a.v as x, b.v as y, any_value(a.t) as tx, any_value(b.t) as ty, power(sum(g.t) - (any_value(a.t) + any_value(b.t)) / 2, 2) as d2 from t a join t b on a.v < b.v join t g on g.v between a.v and b.v group by 1, 2),
+o as (select sum(a.c * b.c * d2 / (a.m - 1)) as o from h a join h b on a.item = b.item and a.v < b.v join d on d.x = a.v and d.y = b.v)
+select round(1 - ((select sum(t) from t) - 1) * (select o from o) / sum(tx * ty * d2), 6) as alpha from d""")
+def ordinal_agreement(spark, d):
+    """Agreement of ordered ratings over items."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", F.floor(F.col("l_quantity") / 10).cast("int").alias("v"))
+    return serving.ordinal_alpha(rows, "l_orderkey", "v")

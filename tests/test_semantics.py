@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from siltstone.functions import climate, numbers, text
-from siltstone.operators import chunking, classify, crossval, evaluate, evidence, grid, ground, models, prepare, quality, retrieval, sampling
+from siltstone.operators import chunking, classify, crossval, evaluate, evidence, grid, ground, models, prepare, quality, retrieval, sampling, serving, slots
 from siltstone.sources import files
 from siltstone.streaming import events
 
@@ -51,7 +51,7 @@ def test_numbers(spark):
     assert [one(spark, numbers.confidence(v), v=x) for x in (0.1, 0.0, -0.1)] == ["high", "medium", "low"]
     assert one(spark, numbers.pct_change(v), v=math.log(1.5)) == 50.0
     assert one(spark, numbers.effect_text(v, F.lit("increase"), F.lit("yield")), v=-12.5) == "~12% increase in yield"
-    assert one(spark, numbers.signed_pct(v), v=3.0) == "+3.0%"
+    assert [one(spark, numbers.signed_pct(v), v=x) for x in (3.0, 0.0, -2.5)] == ["+3.0%", "0.0%", "-2.5%"]
     assert one(spark, numbers.log_ratio(F.lit(0.0), F.lit(1.0))) is None
 
 
@@ -264,6 +264,37 @@ def test_rules(spark):
     assert {r.i: r.place for r in classify.gazetteer(texts, "i", "t", names).collect()} == {1: "Ambo", 2: "Addis"}
 
 
+def test_slots_of_a_conversation(spark):
+    said = [
+        (1, 1, "My farm at 9.03, 38.74 grows teff"), (1, 2, "runoff on the steep slope"), (1, 3, "ok"), (2, 1, "I lose ground to erosion control"),
+        (2, 2, "the soil is gone"), (3, 1, None), (4, 1, "increase income"),
+    ]
+    rows = slots.conversation_slots(spark.createDataFrame(said, "c int, n int, t string"), "c", "n", "t").collect()
+    found = {(r.c, r.n): (r.family, r.indicator, r.lat, r.crop) for r in rows}
+    assert found[1, 1] == (None, None, 9.03, "Teff")
+    assert found[1, 2] == found[1, 3] == (slots.EROSION, "runoff", 9.03, "Teff")
+    assert found[2, 2] == (slots.EROSION, "soil loss", None, None)
+    assert found[3, 1] == (None, None, None, None)
+    assert found[4, 1] == (slots.CROP, "income", None, None)
+    label = slots.family_label(F.col("f"), F.lit("yield"), F.lit("Increase crop yield"))
+    assert [one(spark, label, f=x) for x in (slots.FOREST, slots.CROP)] == ["Increase crop & tree productivity", "Increase crop yield"]
+
+
+def test_expert_statistics(spark):
+    pairs = spark.createDataFrame([(x, 0.0) for x in (1.0, 2.0, -2.0, 3.0, 0.0)], "a double, b double")
+    row = serving.signed_ranks(pairs, "a", "b").first()
+    assert (row.n, row.w_plus, row.w_minus, row.effect) == (5, 7.5, 2.5, 0.5)
+    assert math.isclose(row.z, (7.5 - 5) / math.sqrt(4 * 5 * 9 / 24 - 6 / 48))
+    assert math.isclose(one(spark, serving.two_sided_p(F.col("z")), z=-1.959963985), 0.05, rel_tol=1e-6)
+    assert serving.signed_ranks(pairs.filter("a = b"), "a", "b").first().z is None
+    rated = spark.createDataFrame([(i, v) for i, vs in enumerate([(1, 1), (2, 3), (3, 3), (1, 2), (3,)]) for v in vs], "i int, v int")
+    totals, units = {1: 3, 2: 2, 3: 3}, [(1, 1), (2, 3), (3, 3), (1, 2)]
+    far = lambda c, k: (sum(totals[g] for g in range(min(c, k), max(c, k) + 1)) - (totals[c] + totals[k]) / 2) ** 2
+    expected = 1 - 7 * sum(far(a, b) for a, b in units if a != b) / sum(totals[a] * totals[b] * far(a, b) for a in totals for b in totals if a < b)
+    assert math.isclose(serving.ordinal_alpha(rated, "i", "v").first().alpha, round(expected, 6))
+    assert serving.ordinal_alpha(rated.filter("v = 1"), "i", "v").first().alpha is None
+
+
 def test_grounding(spark):
     allowed = ground.allowed_numbers(F.lit('{"pct": 12.34, "n": -3}'))
     assert one(spark, ground.all_grounded(F.lit("about 12.3% over 9 sites"), allowed))
