@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +18,11 @@ PAIR = r"(-?\d{1,2}(?:\.\d+)?)\s*[,;\s]\s*(-?\d{1,2}(?:\.\d+)?)"
 FARM_AT = r"(?i)(?:farm|field|plot|location|pin)?\s*(?:is\s+)?(?:at|@)\s*(-?\d{1,2}(?:\.\d+)?)\s*[,;]\s*(-?\d{1,2}(?:\.\d+)?)"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def by_priority(text: Column, rules: Mapping[str, Sequence[str]], priority: Sequence[str], default: str) -> tuple[Column, Column, Column]:
     """Class, whether several classes matched, and whether none did: keywords count anywhere in the lower-case text."""
     low = F.lower(text)
@@ -54,15 +59,22 @@ def first_word(text: Column, listed: Sequence[str]) -> Column:
 
 def longest_phrase(text: Column, phrases: Sequence[tuple[str, str]]) -> Column:
     """struct<key, confidence> of the longest phrase in the normalised text, the first of equally long ones."""
-    norm = norm_match(text)
-    best = [F.when(F.contains(norm, F.lit(p)), F.struct(F.lit(len(p)).alias("n"), F.lit(-i).alias("i"), F.lit(k).alias("key"))) for i, (p, k) in enumerate(phrases)]
-    top = F.array_max(F.array_compact(F.array(*best)))
+    def best(norm):
+        return F.array_max(F.array_compact(F.array(*[F.when(F.contains(norm, F.lit(p)), F.struct(F.lit(len(p)).alias("n"), F.lit(-i).alias("i"), F.lit(k).alias("key"))) for i, (p, k) in enumerate(phrases)])))
+
+    return let(let(norm_match(text), best), _found)
+
+
+def _found(top: Column) -> Column:
     return F.when(top.isNotNull(), F.struct(top["key"].alias("key"), F.when(top["n"] >= 8, "high").otherwise("medium").alias("confidence")))
 
 
 def family(text: Column, keywords: Sequence[tuple[str, str]], soft: Mapping[str, Sequence[str]]) -> Column:
     """struct<family, confidence>: the first keyword decides; else the most soft cues, two or more, or one without rival."""
-    low = F.lower(F.trim(text))
+    return let(F.lower(F.trim(text)), lambda low: _family(low, keywords, soft))
+
+
+def _family(low: Column, keywords: Sequence[tuple[str, str]], soft: Mapping[str, Sequence[str]]) -> Column:
     named = F.coalesce(*[F.when(F.contains(low, F.lit(k)), F.lit(f)) for k, f in keywords])
     counts = F.array(*[F.struct(sum((F.contains(low, F.lit(w)).cast("int") for w in words), F.lit(0)).alias("n"), F.lit(-i).alias("i"), F.lit(f).alias("f")) for i, (f, words) in enumerate(soft.items())])
     ranked = F.sort_array(counts, asc=False)

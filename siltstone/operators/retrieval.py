@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +15,9 @@ from siltstone.functions.text import words
 #: BM25's usual parameters; the share of the mean idf that replaces negative ones; candidates of each list; the fusion constant.
 K1, B, EPSILON, CANDIDATES, FUSION = 1.5, 0.75, 0.25, 40, 60
 
+#: Weights of query terms that are sent to all tasks at most; scores of queries and texts in memory at once.
+MOST_ASKED, _SCORES = 200_000, 1 << 21
+
 
 def _tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"))
@@ -48,19 +54,69 @@ def term_weights(counts: DataFrame, stats: DataFrame) -> DataFrame:
 def bm25(queries: DataFrame, docs: DataFrame, query_id: str, query_text: str, doc_id: str, doc_text: str, k: int = CANDIDATES) -> DataFrame:
     """query_id, doc_id, score, rank: the k best documents with a positive score; ties by id.
 
-    A query's repeated terms count as often as they stand.  A document's postings stay together, so scores are summed
-    and each task's k best are chosen where the postings are; only those are shuffled by query.
+    A query's repeated terms count as often as they stand.  Up to MOST_ASKED weights of query terms go to all tasks,
+    which score texts where they are read and shuffle their k best only.  More of them meet postings in a join.
     """
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(words(F.col(query_text))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     stats = corpus_stats(docs, doc_text)
+    weighted = asked.join(term_weights(document_counts(docs, doc_id, doc_text), stats), "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
+    some = weighted.limit(MOST_ASKED + 1).toArrow()
+    if some.num_rows <= MOST_ASKED:
+        schema = f"query_id {queries.schema[query_id].dataType.simpleString()}, doc_id {docs.schema[doc_id].dataType.simpleString()}, score double"
+        total = _tokens(docs, doc_id, doc_text).mapInArrow(_score_texts(some, stats.first()["avgdl"], k), schema)
+        return top(total, "query_id", F.col("score").desc(), "doc_id", k).withColumn("score", F.round("score", 6))
     posted = postings(docs, doc_id, doc_text, asked).crossJoin(F.broadcast(stats.select("avgdl")))
-    weighted = asked.join(term_weights(document_counts(docs, doc_id, doc_text), stats), "term")
-    one = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = posted.join(weighted, "term").withColumn("part", F.col("qtf") * one)
+    one = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    scored = posted.join(weighted, "term").withColumn("part", one)
     total = scored.groupBy("query_id", F.col("id").alias("doc_id")).agg(F.round(F.sum("part"), 6).alias("score")).filter("score > 0")
     return top(total, "query_id", F.col("score").desc(), "doc_id", k)
 
 
+def _score_texts(asked: pa.Table, avgdl: float | None, k: int):
+    """Batches of (id, w: words) to the k best texts of a task for each query (asked: query_id, term, weight)."""
+    names, query = np.unique(asked.column("query_id").to_numpy(zero_copy_only=False), return_inverse=True)
+    terms, term = np.unique(asked.column("term").to_numpy(zero_copy_only=False), return_inverse=True)
+    order = np.argsort(term, kind="stable")
+    query, weight, first = query[order], asked.column("weight").to_numpy()[order], np.searchsorted(term[order], np.arange(len(terms) + 1))
+    rows = max(64, _SCORES // max(len(names), 1))
+
+    def scores(held: pa.ListArray) -> np.ndarray:
+        length = pc.fill_null(pc.list_value_length(held), 0).to_numpy(zero_copy_only=False)
+        at = pc.fill_null(pc.index_in(held.flatten(), value_set=pa.array(terms, pa.string())), -1).to_numpy(zero_copy_only=False)
+        key, tf = np.unique((at.astype(np.int64) * len(held) + np.repeat(np.arange(len(held)), length))[at >= 0], return_counts=True)
+        t, doc = np.divmod(key, len(held))
+        part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / (avgdl or 1)))
+        out, ends = np.zeros((len(names), len(held))), np.flatnonzero(np.diff(t, prepend=-1, append=-1))
+        for a, b in pairwise(ends.tolist()):
+            own = slice(first[t[a]], first[t[a] + 1])
+            out[query[own, None], doc[a:b]] += weight[own, None] * part[a:b]
+        return np.round(out, 6)
+
+    def run(batches):
+        best: list[tuple] = [(np.zeros(0, object), np.zeros(0))] * len(names)
+        kind = (pa.string(), pa.string())
+        for batch in batches:
+            kind = asked.column("query_id").type, batch.column("id").type
+            for a in range(0, batch.num_rows, rows):
+                part = batch.slice(a, rows)
+                ids, found = part.column("id").to_numpy(zero_copy_only=False), scores(part.column("w"))
+                for q, row in enumerate(found):
+                    hit = np.flatnonzero(row > 0)
+                    every, score = np.r_[best[q][0], ids[hit].astype(object)], np.r_[best[q][1], row[hit]]
+                    if len(every) > k:
+                        near = np.flatnonzero(score >= np.partition(score, -k)[-k])
+                        near = near[np.argsort(every[near], kind="stable")]
+                        near = near[np.argsort(-score[near], kind="stable")][:k]
+                        every, score = every[near], score[near]
+                    best[q] = every, score
+        size = [len(x[0]) for x in best]
+        if sum(size):
+            columns = [pa.array(np.repeat(names, size), kind[0]), pa.array(np.concatenate([x[0] for x in best]), kind[1]), pa.array(np.concatenate([x[1] for x in best]))]
+            yield pa.record_batch(columns, names=["query_id", "doc_id", "score"])
+
+    return run
+
+
 def top(scored: DataFrame, group: str, order: Column, tie: str, k: int) -> DataFrame:
     """Add rank and keep the first k of each group."""
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(order, tie))).filter(F.col("rank") <= k)

@@ -67,13 +67,17 @@ def _sure(key: Column) -> Column:
 
 def indicator(text: Column) -> Column:
     """struct<key, confidence>: a stated objective by phrase or label, then a label anywhere, then the longest phrase; null if none."""
-    said, whole = F.regexp_extract(F.coalesce(text, F.lit("")), OBJECTIVE, 1), norm_match(text)
-    rest = norm_match(said)
     labels = [(norm_match(F.lit(x)), k) for x, k in LABELS]
-    stated = [F.when(F.contains(rest, F.lit(p)) | (rest == norm_match(F.lit(k))), F.lit(k)) for p, k in PHRASES]
-    stated += [F.when(F.contains(rest, x) | F.contains(x, rest), F.lit(k)) for x, k in labels]
-    short = [F.when(F.contains(whole, x) | (whole == norm_match(F.lit(k))), F.lit(k)) for x, k in labels]
-    return F.coalesce(_sure(F.when(said != "", F.coalesce(*stated))), _sure(F.coalesce(*short)), classify.longest_phrase(text, PHRASES))
+
+    def stated(rest):
+        found = [F.when(F.contains(rest, F.lit(p)) | (rest == norm_match(F.lit(k))), F.lit(k)) for p, k in PHRASES]
+        return F.coalesce(*found, *[F.when(F.contains(rest, x) | F.contains(x, rest), F.lit(k)) for x, k in labels])
+
+    def short(whole):
+        return F.coalesce(*[F.when(F.contains(whole, x) | (whole == norm_match(F.lit(k))), F.lit(k)) for x, k in labels])
+
+    said = F.regexp_extract(F.coalesce(text, F.lit("")), OBJECTIVE, 1)
+    return F.coalesce(_sure(F.when(said != "", classify.let(norm_match(said), stated))), _sure(classify.let(norm_match(text), short)), classify.longest_phrase(text, PHRASES))
 
 
 def family(text: Column) -> Column:

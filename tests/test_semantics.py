@@ -132,6 +132,25 @@ def test_bm25_counts_repeated_query_terms(spark):
     assert abs(got[2] - 2 * got[1]) < 1e-5
 
 
+def test_bm25_by_broadcast_and_by_join(spark, monkeypatch):
+    texts = [(i, " ".join("abcdefgh"[(i * j) % 8] for j in range(1, 2 + i % 7))) for i in range(60)] + [(60, None), (61, "")]
+    docs = spark.createDataFrame(texts, "d long, t string").repartition(3)
+    asked = spark.createDataFrame([(1, "a b b"), (2, "zzz"), (3, "h c a"), (4, None)], "q int, t string")
+    near = [tuple(r) for r in retrieval.bm25(asked, docs, "q", "t", "d", "t", 7).orderBy("query_id", "rank").select("query_id", "doc_id", "score", "rank").collect()]
+    monkeypatch.setattr(retrieval, "MOST_ASKED", 0)
+    far = [tuple(r) for r in retrieval.bm25(asked, docs, "q", "t", "d", "t", 7).orderBy("query_id", "rank").select("query_id", "doc_id", "score", "rank").collect()]
+    assert near == far and {r[0] for r in near} == {1, 3}
+    named = retrieval.bm25(asked, docs.withColumn("d", F.col("d").cast("string")), "q", "t", "d", "t", 7)
+    assert named.schema["doc_id"].dataType.simpleString() == "string" and named.count() == len(near)
+
+
+def test_cosine_leaves_out_what_has_no_direction(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, 1.0]), (5, [2.0, 2.0]), (6, [1.0]), (7, [None, 1.0])]
+    vectors = spark.createDataFrame(rows, "i long, v array<double>")
+    found = retrieval.cosine(vectors.filter("i in (1, 2)"), vectors, "i", "v", 5, size=2, asked=1).collect()
+    assert sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in found) == [(1, 1, 4, 0.707107), (1, 2, 5, 0.707107)]
+
+
 def test_chunks(spark):
     rows = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(10))), (2, "")], "d long, t string")
     assert [r.n_words for r in chunking.windows(rows, "d", "t", 4, 3).orderBy("pos").collect()] == [4, 4, 4]
