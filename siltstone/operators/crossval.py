@@ -44,23 +44,48 @@ def _loads(sizes: list[tuple[int, int]], folds: int) -> list[tuple[int, list[int
     return out
 
 
-def greedy_folds(df: DataFrame, group: str, folds: int) -> DataFrame:
+def _turns(load: list[int], size: int, n: int) -> list[tuple[int, int, list[int]]]:
+    """Stretches (from, until, folds) of n groups of one size: within one, folds take turns in a fixed order.
+
+    A stretch ends where the level reaches the load of a fold that took no part so far, so there is one a fold at most.
+    """
+    levels, out, start = sorted(set(load)), [], 0
+    for level, until in zip(levels, [*levels[1:], None], strict=True):
+        first = sorted((x - (x - level) // size * size, f) for f, x in enumerate(load) if x <= level)
+        count = n - start if until is None else sum(max(0, -((r - until) // size)) for r, _ in first)
+        if min(count, n - start) > 0:
+            out.append((start, min(n, start + count), [f for _, f in first]))
+        start += count
+    return out
+
+
+def _places(df: DataFrame, within: str, by: str, parts: int) -> DataFrame:
+    """Add place, from 0: a row's number within `within` in order of `by`, whose values differ, in even parts of the values.
+
+    The parts end at the values of least hash, a fixed sample of bounded size.
+    """
+    ends = sorted(r[0] for r in df.filter(F.col(by).isNotNull()).orderBy(F.xxhash64(by)).limit(parts - 1).select(by).collect())
+    part = F.size(F.filter(F.array(*[F.lit(x) for x in ends]), lambda x: x <= F.col(by))) if ends else F.lit(0)
+    rows = df.withColumn("_part", F.when(F.col(by).isNull(), 0).otherwise(part))
+    before = Window.partitionBy(within).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counted = rows.groupBy(within, "_part").agg(F.count(F.lit(1)).alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
+    own = F.row_number().over(Window.partitionBy(within, "_part").orderBy(by)) - 1
+    return rows.withColumn("_own", own).join(counted, [within, "_part"]).withColumn("place", F.col("_before") + F.col("_own")).drop("_part", "_own", "_before")
+
+
+def greedy_folds(df: DataFrame, group: str, folds: int, parts: int = 128) -> DataFrame:
     """group, n, fold: groups by size, largest first (ties by name), each to the fold with the fewest rows so far.
 
     Only the distinct sizes, with how many groups have them, come to the driver: N rows have at most sqrt(2 N) of them.
-    Within a size the k-th group by name takes the k-th of the folds' turns, in order of load and number.
+    Within a size the k-th group by name takes the k-th turn of the folds; groups of one size are numbered in `parts`
+    ranges of their names, so no task holds all of them.
     """
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
     counted = [(r["n"], r["c"]) for r in sizes.groupBy("n").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("n")).toLocalIterator()]
-    turns = [(size, i, x) for size, load in _loads(counted, folds) for i, x in enumerate(load)]
-    loads = df.sparkSession.createDataFrame(turns, "n long, fold int, load long").join(sizes.groupBy("n").agg(F.count(F.lit(1)).alias("c")), "n")
-    # a fold takes no more turns of a size than there are groups, and none above the level of the last one
-    loads = loads.withColumn("top", F.max("load").over(Window.partitionBy("n")))
-    most = F.least("c", F.ceil((F.col("top") - F.col("load")) / F.col("n")) + F.ceil(F.col("c") / folds) + 1)
-    turn = loads.select("n", "fold", F.explode(F.sequence(F.lit(0).cast("long"), most.cast("long"))).alias("k"), "load")
-    turn = turn.withColumn("spot", F.row_number().over(Window.partitionBy("n").orderBy(F.col("load") + F.col("k") * F.col("n"), "fold")))
-    named = sizes.withColumn("spot", F.row_number().over(Window.partitionBy("n").orderBy(group)))
-    return named.join(turn, ["n", "spot"]).select(group, "n", F.col("fold").cast("long").alias("fold"))
+    turns = [(size, *t) for (size, load), (_, n) in zip(_loads(counted, folds), counted, strict=True) for t in _turns(load, size, n)]
+    turns = df.sparkSession.createDataFrame(turns, "n long, start long, until long, folds array<int>")
+    named = _places(sizes, "n", group, parts).join(turns, "n").filter((F.col("place") >= F.col("start")) & (F.col("place") < F.col("until")))
+    return named.select(group, "n", F.get("folds", ((F.col("place") - F.col("start")) % F.size("folds")).cast("int")).cast("long").alias("fold"))
 
 
 def shuffle_split(df: DataFrame, group: str, share: float, seed: str) -> DataFrame:

@@ -77,6 +77,20 @@ def test_greedy_folds_balance(spark):
     assert {r.g: r.fold for r in crossval.greedy_folds(rows, "g", 2).collect()} == {"a": 0, "b": 1, "c": 1, "d": 0}
 
 
+def test_greedy_folds_by_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    for folds, sizes in ((3, [40, 7, 7, 7] + [3] * 9 + [1] * 50), (4, [rng.randrange(1, 9) for _ in range(60)]), (5, [2, 2]), (2, [])):
+        groups = [(f"g{i:03d}", n) for i, n in enumerate(sizes)]
+        rows = spark.createDataFrame([(g,) for g, n in groups for _ in range(n)], "g string")
+        load, expected = [0] * folds, {}
+        for g, n in sorted(groups, key=lambda x: (-x[1], x[0])):
+            expected[g] = load.index(min(load))
+            load[expected[g]] += n
+        assert {r.g: r.fold for r in crossval.greedy_folds(rows, "g", folds, parts=4).collect()} == expected
+
+
 def test_oof_mean_leaves_the_fold_out(spark):
     rows = spark.createDataFrame([("p", 0, 1.0), ("p", 1, 3.0), ("p", 1, 5.0), ("q", 0, 10.0)], "k string, fold int, y double")
     got = {(r.k, r.fold): r.predicted for r in crossval.oof_mean(rows, ["k"], "fold", "y").collect()}
