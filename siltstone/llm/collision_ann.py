@@ -43,26 +43,26 @@ class SortedLines:
         self.reach, self.growth = _reach(lines, self.need, sure), growth
         self.scale = float(np.abs(matrix).max(initial=0)) or 1.0
         projected = (matrix / self.scale @ self.directions).T
-        self.order = np.argsort(projected, axis=1).astype(np.int32)
-        self.sorted = np.take_along_axis(projected, self.order, axis=1)
+        order = np.argsort(projected, axis=1).astype(np.int32)
+        # the arrays lie in one, each moved beyond the one before, so a window's ends are found in all of them at once
+        self.gap = np.arange(lines) * (2 * float(np.abs(projected).max(initial=0)) + 1)
+        self.order, self.sorted = order.ravel(), (np.take_along_axis(projected, order, axis=1) + self.gap[:, None]).ravel()
         spread = float(np.median(np.abs(projected - np.median(projected, axis=1, keepdims=True))))
         self.start = spread / 4 or 1e-9
 
     def __call__(self, query_id: int, vector: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         n = len(self.ids)
-        at = vector / self.scale @ self.directions
+        at = vector / self.scale @ self.directions + self.gap
         half, count = self.start, np.zeros(n, np.int64)
-        low = high = None
+        first = np.arange(len(at)) * n
+        low = high = np.clip(np.searchsorted(self.sorted, at), first, first + n)
         seen = self.ids == query_id
         found, distance = np.zeros(0, np.int64), np.zeros(0)
         while True:
-            left = np.array([np.searchsorted(s, x - half, "left") for s, x in zip(self.sorted, at, strict=True)])
-            right = np.array([np.searchsorted(s, x + half, "right") for s, x in zip(self.sorted, at, strict=True)])
-            if low is None:
-                fresh = [o[a:b] for o, a, b in zip(self.order, left, right, strict=True)]
-            else:
-                fresh = [o[a:b] for o, x, y, c, d in zip(self.order, left, low, high, right, strict=True) for a, b in ((x, y), (c, d))]
-            count += np.bincount(np.concatenate(fresh), minlength=n)
+            left = np.clip(np.searchsorted(self.sorted, at - half, "left"), first, first + n)
+            right = np.clip(np.searchsorted(self.sorted, at + half, "right"), first, first + n)
+            ends = zip(np.r_[left, high].tolist(), np.r_[low, right].tolist(), strict=True)
+            count += np.bincount(np.concatenate([self.order[a:b] for a, b in ends]), minlength=n)
             low, high = left, right
             new = np.flatnonzero((count >= self.need) & ~seen)
             if len(new):
