@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Odd multipliers of the 64-bit mixers.
@@ -66,6 +66,40 @@ def parts_for(df: DataFrame, size: Column, target: int) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total // target) + 1)
 
 
+def ranges(df: DataFrame, *order: Column | str) -> DataFrame:
+    """df as a written table in ranges of `order`, with _at: ascending in that order, the range in the bits above 33.
+
+    Rows that repeat in all of `order` are split like others, so no range is larger for them.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(c) if isinstance(c, str) else c for c in order] + [F.col("_tie")]
+    placed = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    return durable(placed.drop("_tie").withColumn("_at", F.monotonically_increasing_id()))
+
+
+def same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys where null equals null; the right side's keys are dropped."""
+    right = right.select(*[F.col(k).alias(f"_r{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    on = [F.col(k).eqNullSafe(F.col(f"_r{i}")) for i, k in enumerate(keys)]
+    return left.join(right, on, how).drop(*[f"_r{i}" for i in range(len(keys))])
+
+
+def numbered(df: DataFrame, group: list[str], order: list[str], base: DataFrame | None = None) -> DataFrame:
+    """df with pos, the place of each row in its group from 0, and size, the rows of the group.
+
+    Rows are ranged by group and order, so a group is dealt to as many tasks as its rows need.  A row's place is its
+    place in its range plus what the group has in earlier ranges; those counts are one row for each group and range.
+    base: a first place (column `first`) for each group.
+    """
+    rows = ranges(df, *group, *order).withColumn("_range", F.shiftright("_at", 33))
+    runs = rows.groupBy(*group, "_range").agg(F.min("_at").alias("_from"), F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy(*group)
+    runs = runs.withColumn("size", F.sum("_n").over(whole)).withColumn("_before", F.coalesce(F.sum("_n").over(whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    runs = same(runs, base, group) if base is not None else runs.withColumn("first", F.lit(0).cast("long"))
+    runs = durable(runs.select(*group, "_range", "size", (F.col("first") + F.col("_before") - F.col("_from")).alias("_shift")))
+    return same(rows, runs, [*group, "_range"]).withColumn("pos", F.col("_at") + F.col("_shift")).drop("_at", "_range", "_shift")
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; null reads as empty."""
     column = pc.fill_null(column.cast(pa.large_string()), "")

@@ -108,3 +108,35 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train(docs, _table(spark, sf_dir, "labels"), ~held_out(F.col("id")))
     found = score(docs, model)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+#: What a leaf of the manifest holds, in order.
+LEAF = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.merkle import fold, leaf_digest, manifest, proof_digest
+
+    changed = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.lit(False)) & (F.instr("text", "\n") > 0)
+    tampered = F.when(changed, F.unhex(leaf_digest(*LEAF[:-1], F.replace(F.col("text"), F.lit("\n"), F.lit("")))))
+    found = manifest(_table(spark, sf_dir, "documents"), LEAF, carry={"tampered": tampered})
+    folded = fold(F.coalesce(F.lower(F.hex("tampered")), "leaf"), "proof")
+    found = found.select("doc_id", "leaf", "subroot", "root", proof_digest("proof").alias("proof_sha256"), folded.alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+#: Hosts, paths with which a URL's path must start, and verdicts.
+RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.url_filter import judge
+
+    return judge(_table(spark, sf_dir, "pages"), spark.createDataFrame(RULES, "host string, path string, verdict string"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.importance import resample
+
+    found = resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=10, least_words=20, seed=2024, buckets=10_000, runs=1)
+    return found.select("doc_id", "n_features", "weight", "score", "rank")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstone.llm.queries import DOMAINS, EPOCHS, MIN_SITES, SEED, SHARE, WEIGHTS
+from siltstone.llm.queries import DOMAINS, EPOCHS, MIN_SITES, RULES, SEED, SHARE, WEIGHTS
 
 #: Words of a text, as the operators take them.
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -74,6 +74,65 @@ c as (select page_id, url, regexp_replace(regexp_replace(regexp_replace(regexp_r
 d as (select page_id, url, trim(regexp_replace(c, '\s+', ' ', 'g')) as text from c)
 select page_id, url, text, length(text) as n_chars from d"""
 
+#: CRC-32: the table of its bytes, by its rule, and a string's value by that table.
+_CRC = "crc as (select list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, _: xor(c >> 1, (c & 1) * 3988292384))) as t)"
+
+
+def _crc(text: str) -> str:
+    octets = f"list_transform(regexp_extract_all(hex({text}), '..'), lambda h: cast('0x' || h as bigint))"
+    return f"xor(list_reduce(list_prepend(4294967295, {octets}), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)"
+
+
+def _tree(name: str, nodes: str) -> str:
+    """Levels of 3-ary trees over nodes (g, pos, n, d): name(g, lvl, pos, n, d), the leaves at level 0."""
+    return f"""{name} as (select g, 0 as lvl, pos, n, d from {nodes}
+  union all select g, lvl + 1, pos // 3, any_value((n + 2) // 3), sha256(string_agg(d, '' order by pos)) from {name} where n > 1 group by g, lvl, pos // 3)"""
+
+
+#: Rows are leaves of their source's tree, sources of the whole's; steps holds what stands left and right of a row's path.
+_MERKLE = f"""with recursive {_CRC}, f as (select doc_id, coalesce('s' || source, '') as g, text, coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+    || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') as head from documents),
+h as (select doc_id, g, sha256(head || coalesce(strlen(text) || ':' || text, '-')) as d, replace(text, chr(10), '') as cut, head from f),
+leaves as (select *, row_number() over (partition by g order by doc_id) - 1 as pos, count(*) over (partition by g) as n from h),
+{_tree("a", "leaves")},
+tops as (select g as source, row_number() over (order by g) - 1 as pos, count(*) over () as n, d, '' as g from a where n = 1),
+{_tree("b", "tops")},
+depth as (select g, max(lvl) as top from a group by g),
+path as (select doc_id, lvl, pos, any_value(left_) as left_, any_value(right_) as right_ from (
+  select l.doc_id, x.lvl, x.pos, string_agg(y.d, '' order by y.pos) filter (y.pos < x.pos) as left_, string_agg(y.d, '' order by y.pos) filter (y.pos > x.pos) as right_
+  from leaves l join a x on x.g = l.g and x.n > 1 and x.pos = l.pos // cast(pow(3, x.lvl) as bigint) join a y on y.g = x.g and y.lvl = x.lvl and y.pos // 3 = x.pos // 3 group by all
+  union all select l.doc_id, depth.top + x.lvl, x.pos, string_agg(y.d, '' order by y.pos) filter (y.pos < x.pos), string_agg(y.d, '' order by y.pos) filter (y.pos > x.pos)
+  from leaves l join depth using (g) join tops t on t.source = l.g join b x on x.n > 1 and x.pos = t.pos // cast(pow(3, x.lvl) as bigint) join b y on y.lvl = x.lvl and y.pos // 3 = x.pos // 3 group by all) group by all),
+steps as materialized (select doc_id, lvl, coalesce(left_, '') as l, coalesce(right_, '') as r from path),
+proofs as (select doc_id, sha256(coalesce(string_agg(l || r, '' order by lvl), '')) as proof_sha256, max(lvl) as last from leaves left join steps using (doc_id) group by doc_id),
+fold as (select doc_id, 0 as lvl, case when {_crc('doc_id::varchar')} % 2 = 0 then sha256(head || coalesce(strlen(cut) || ':' || cut, '-')) else d end as d from leaves cross join crc
+  union all select doc_id, lvl + 1, sha256(l || d || r) from fold join steps using (doc_id, lvl)),
+ends as (select doc_id, arg_max(d, lvl) as folded_root from fold group by doc_id),
+whole as (select d as root from b where n = 1)
+select l.doc_id, l.d as leaf, t.d as subroot, root, proof_sha256, folded_root, folded_root = root as verified
+from leaves l join tops t on t.source = l.g cross join whole join proofs using (doc_id) join ends using (doc_id)"""
+
+_URLS = """with u as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+p as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u),
+rules(h, p, verdict) as (values """ + ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES) + """),
+m as (select page_id, host, path, h || p as rule, verdict, row_number() over (partition by page_id order by length(h || p) desc nulls last) as k
+  from p left join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p))
+select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from m where k = 1"""
+
+_GAIN = r"""cast(floor(1000.0::double * ln((coalesce(t, 0) + 1.0::double) * ((select sum(s) from h) + 10000.0::double) / ((coalesce(s, 0) + 1.0::double) * ((select sum(t) from h) + 10000.0::double)))) as bigint)"""
+
+_RESAMPLE = rf"""with {_CRC}, d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+e as (select regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+x as (select doc_id, unnest(w) as w from d), y as (select unnest(w) as w from e),
+v as materialized (select w, {_crc("w")} % 10000 as b from (select w from x union select w from y) cross join crc),
+h as materialized (select b, cast(sum(s) as bigint) as s, cast(sum(t) as bigint) as t from (select b, 1 as s, 0 as t from x join v using (w) union all select b, 0, 1 from y join v using (w)) group by b),
+g as materialized (select b, {_GAIN} as gain from h),
+n as (select doc_id, cast(sum(gain) as bigint) as weight from x join v using (w) join g using (b) group by 1),
+u as (select doc_id, len(w) as n_features, coalesce(weight, 0) as weight, (cast('0x' || substr(sha256('2024:' || doc_id), 1, 8) as bigint) + 0.5::double) / 4294967296.0::double as u from d left join n using (doc_id)),
+s as (select doc_id, n_features, weight, weight + cast(floor(-1000.0::double * ln(-ln(u))) as bigint) as score from u),
+r as (select doc_id, row_number() over (order by score desc, doc_id) as rank, count(*) over () as n from s where n_features >= 20)
+select s.doc_id, n_features, weight, score, case when rank <= 10 * n // 100 then rank end as rank from s left join r using (doc_id)"""
+
 SQL: dict[str, str] = {
     "op1_page_diff": _ARTICLE,
     "op2_exact_topk": _TOP,
@@ -81,4 +140,7 @@ SQL: dict[str, str] = {
     "op6_mixing": mix_sql(SHARE, EPOCHS),
     "op7_warc": _WARC,
     "op10_line_spread": _SPREAD,
+    "op11_merkle": _MERKLE,
+    "op12_url_filter": _URLS,
+    "op13_importance": _RESAMPLE,
 }
