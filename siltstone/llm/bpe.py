@@ -1,22 +1,25 @@
 """Byte-level BPE by corpus-level merge replay.
 
-The distinct pieces of a chunk of rows form one flat vocabulary.  An inverted index from rank to the places where the
-pair of that rank stands drives the replay: the least rank that stands anywhere is applied at all its places at once,
-and only the pairs that touch a merged place are looked up again and indexed under their new ranks.  A step may make a
-pair of lower rank; it is then simply the next to be applied.  Where such a step merged several places of one piece,
-the order inside that piece could matter, and the piece is encoded again on its own, one merge at a time.
-
-A worker keeps the vocabulary that it has replayed, up to VOCABULARY bytes of pieces, from chunk to chunk and task to
-task, so a piece of the corpus is replayed once in a worker, not once in a chunk.  Nothing is shuffled: with one
-index over the whole corpus every text would travel to meet its pieces' ids.  The rank table (under 1 MB for 50,000
-tokens) is broadcast.
+The distinct pieces of the corpus form one vocabulary: each task counts its pieces, Spark adds the counts up and deals
+the pieces out by themselves.  In each part of the vocabulary an inverted index from rank to the places where the pair
+of that rank stands drives the replay: the least rank that stands anywhere is applied at all its places at once, and
+only the pairs that touch a merged place are looked up again and indexed under their new ranks.  A step may make a pair
+of lower rank; it is then simply the next to be applied.  Where such a step merged several places of one piece, the
+order inside that piece could matter, and the piece is encoded again on its own, one merge at a time.
+
+The pieces with their ids are sent to all tasks, the most frequent ones up to SHARED bytes, and a second pass over the
+texts puts their ids together.  So a piece is replayed once for the corpus.  Only pieces beyond SHARED bytes, which are
+the rarest, are replayed where they are met; a worker keeps up to VOCABULARY bytes of those.  Texts are read twice and
+never shuffled.  The rank table (under 1 MB for 50,000 tokens) is broadcast.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from collections import defaultdict
+import uuid
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
 from itertools import islice
 
@@ -26,13 +29,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import chunks, pick, ragged
+from siltstone.llm.common import chunks, durable, pick, ragged
 
 _NONE = np.int32(2**31 - 1)
-#: Bytes of text that share one replay; pieces of a text taken at a time; ids in a batch of the output.
-CHUNK_BYTES, _PIECES, _IDS = 4 << 20, 1 << 18, 1 << 20
-#: Bytes of pieces that a worker keeps with their ids.
-VOCABULARY = 8 << 20
+#: Bytes of text or pieces taken together; characters from which a text is taken in parts, of so many pieces; ids in a
+#: batch of the output.
+CHUNK_BYTES, LONG, _PIECES, _IDS = 4 << 20, 1 << 18, 1 << 18, 1 << 20
+#: Bytes of pieces that every task gets with their ids; of others that a worker keeps; different pieces that a task counts
+#: before it hands them on.
+SHARED, VOCABULARY, COUNTED = 16 << 20, 4 << 20, 1 << 18
 _TABLES: dict[bytes, Merges] = {}
 
 
@@ -205,29 +210,38 @@ def read_ranks(path: str) -> bytes:
         return file.read()
 
 
-class Vocabulary:
-    """The pieces that a worker has replayed: a number for each, and by number the ids."""
+def parts_of(match, text: str) -> Iterator[list[str]]:
+    """The pieces of a text, a bounded count at a time."""
+    if len(text) < LONG:
+        yield match.findall(text)
+        return
+    pieces = match.finditer(text)
+    while part := [m[0] for m in islice(pieces, _PIECES)]:
+        yield part
+
 
-    def __init__(self, table: Merges):
-        self.table = table
-        self.clear()
+class Vocabulary:
+    """Pieces by number with their ids: those of the corpus, and after them the ones met here and not among those."""
 
-    def clear(self):
-        self.number: dict[str, int] = defaultdict()
+    def __init__(self, table: Merges, pieces: list[str], ids: np.ndarray, count: np.ndarray):
+        self.table, self.shared = table, len(pieces)
+        self.number: dict[str, int] = defaultdict(None, zip(pieces, range(len(pieces)), strict=True))
         self.number.default_factory = self.number.__len__
-        self.ids, self.begin, self.count, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        self.ids, self.count, self.size = ids, count, 0
+        self.begin = np.cumsum(count) - count
+
+    def clear(self) -> None:
+        """Forget what the corpus does not share."""
+        for piece in list(islice(self.number, self.shared, None)):
+            del self.number[piece]
+        self.begin, self.count, self.size = self.begin[: self.shared], self.count[: self.shared], 0
+        self.ids = self.ids[: int(self.count.sum())]
 
-    def codes(self, match, text: str) -> np.ndarray:
-        """Numbers of the pieces of one text, a bounded count of pieces at a time."""
+    def codes(self, pieces: list[str]) -> np.ndarray:
         number = self.number
-        if len(text) < 1 << 18:
-            return np.array([number[p] for p in match.findall(text)], np.int32)
-        pieces, parts = match.finditer(text), []
-        while len(part := np.fromiter((number[m[0]] for m in islice(pieces, _PIECES)), np.int32)):
-            parts.append(part)
-        return np.concatenate(parts) if parts else np.zeros(0, np.int32)
-
-    def learn(self):
+        return np.array([number[p] for p in pieces], np.int32)
+
+    def learn(self) -> None:
         """Replay the pieces that have a number but no ids yet."""
         fresh = [p.encode() for p in islice(self.number, len(self.count), None)]
         if fresh:
@@ -238,8 +252,83 @@ class Vocabulary:
     def of(self, codes: np.ndarray) -> np.ndarray:
         return ragged(self.ids, self.begin[codes], self.count[codes])
 
+    def encode(self, match, texts: Iterable[str | None]) -> list[np.ndarray]:
+        """The ids of each text.  What is not shared is learnt for all short texts at once, and for a long one in parts."""
+        out: list[np.ndarray] = []
+        held: list[tuple[int, np.ndarray]] = []
+
+        def settle() -> None:
+            self.learn()
+            for i, codes in held:
+                out[i] = self.of(codes)
+            held.clear()
+            if self.size > VOCABULARY:
+                self.clear()
+
+        for i, text in enumerate(texts):
+            out.append(np.zeros(0, np.int32))
+            if text and len(text) < LONG:
+                held.append((i, self.codes(match.findall(text))))
+            elif text:
+                settle()
+                parts = []
+                for pieces in parts_of(match, text):
+                    codes = self.codes(pieces)
+                    self.learn()
+                    parts.append(self.of(codes))
+                    if self.size > VOCABULARY:
+                        self.clear()
+                out[i] = np.concatenate(parts) if parts else out[i]
+        settle()
+        return out
+
+
+#: The vocabulary of the encoding that this worker is at.
+_VOCABULARY: dict[str, Vocabulary] = {}
+
+
+def replayed(texts: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
+    """piece, n, ids: the distinct pieces of all texts (column text), how often they stand there, and their token ids.
+
+    A written table; each piece is in one row and was replayed once, together with the others of its part.
+    """
+    held = texts.sparkSession.sparkContext.broadcast(ranks)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        match, seen = regex.compile(pattern), Counter()
+        row = lambda: pa.record_batch([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["piece", "n"])
+        for batch in batches:
+            for text in batch.column("text"):
+                for pieces in parts_of(match, text.as_py()) if text.is_valid else ():
+                    seen.update(pieces)
+                    if len(seen) > COUNTED:
+                        yield row()
+                        seen.clear()
+        yield row()
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = merges(held.value)
+        for chunk in chunks(batches, CHUNK_BYTES, "piece"):
+            chunk = chunk.combine_chunks()
+            ids, count = table.replay([p.encode() for p in chunk.column("piece").to_pylist()])
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count)], pa.int32()), pa.array(ids))
+            yield from chunk.append_column("ids", lists).to_batches()
+
+    counted = texts.select("text").mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    return durable(counted.mapInArrow(replay, "piece string, n long, ids array<int>"))
+
 
-_VOCABULARIES: dict[tuple[bytes, str], Vocabulary] = {}
+def most_frequent(vocabulary: DataFrame, bound: int) -> pa.Table:
+    """piece and ids of the most frequent pieces, all that stand at least 2 ** k times, for the least k that stays in the bound."""
+    level = F.floor(F.log2(F.col("n").cast("double")) + 1e-9)
+    sizes = {r.k: r.b for r in vocabulary.groupBy(level.alias("k")).agg(F.sum(F.octet_length("piece") + 4 * F.size("ids")).alias("b")).collect()}  # 63 rows at most
+    least, total = 63, 0
+    for k in range(62, -1, -1):
+        total += sizes.get(k, 0)
+        if total > bound:
+            break
+        least = k
+    return vocabulary.filter(level >= least).select("piece", "ids").toArrow()
 
 
 def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
@@ -248,31 +337,33 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
     pattern splits the text; each match is encoded on its own.  One row for each input row, repeats and null ids too.
     With `decoded` a third column has the bytes that the ids stand for, as decode() gives them, from the same pass.
     """
-    held = docs.sparkSession.sparkContext.broadcast(ranks)
+    rows = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long"), F.col("text").cast("string"))
+    context, key = docs.sparkSession.sparkContext, uuid.uuid4().hex
+    found = most_frequent(replayed(rows, ranks, pattern), SHARED).combine_chunks()
+    lists = pa.concat_arrays(found.column("ids").chunks) if found.num_rows else pa.array([], pa.list_(pa.int32()))
+    shared = context.broadcast((found.column("piece").to_pylist(), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32), np.diff(lists.offsets.to_numpy()).astype(np.int64) if len(lists) else np.zeros(0, np.int64)))
+    held = context.broadcast(ranks)
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, match = merges(held.value), regex.compile(pattern)
-        vocabulary = _VOCABULARIES.setdefault((table.key, pattern), Vocabulary(table))
+        if key not in _VOCABULARY:
+            _VOCABULARY.clear()
+            _VOCABULARY[key] = Vocabulary(table, *shared.value)
         for chunk in chunks(batches, CHUNK_BYTES):
-            codes = [vocabulary.codes(match, t.as_py()) if t.is_valid else np.zeros(0, np.int32) for t in chunk.column("text")]
-            vocabulary.learn()
-            key = chunk.column("id").combine_chunks()
-            size = np.cumsum([int(vocabulary.count[c].sum()) for c in codes])
+            ids = _VOCABULARY[key].encode(match, (t.as_py() for t in chunk.column("text")))
+            keys = chunk.column("id").combine_chunks()
+            size = np.cumsum([len(x) for x in ids])
             a = 0
-            while a < len(codes):
+            while a < len(ids):
                 b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + _IDS, "right")))
-                ids = vocabulary.of(np.concatenate(codes[a:b]))
                 ends = np.r_[0, size[a:b] - (size[a - 1] if a else 0)]
-                columns = [key.slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))]
+                columns = [keys.slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids[a:b])))]
                 if decoded:
-                    columns.append(pa.array([table.decode(ids[x:y]) for x, y in zip(ends[:-1], ends[1:], strict=True)], pa.binary()))
+                    columns.append(pa.array([table.decode(x) for x in ids[a:b]], pa.binary()))
                 yield pa.record_batch(columns, names=names)
                 a = b
-            if vocabulary.size > VOCABULARY:
-                vocabulary.clear()
 
     names = ["id", "ids", "decoded"][: 2 + decoded]
-    rows = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(run, "id long, ids array<int>" + ", decoded binary" * decoded).withColumnRenamed("id", id_col)
 
 

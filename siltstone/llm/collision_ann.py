@@ -42,6 +42,8 @@ class SortedLines:
         self.directions = np.random.default_rng([seed, matrix.shape[1]]).standard_normal((matrix.shape[1], lines))
         self.reach, self.growth = _reach(lines, self.need, sure), growth
         self.scale = float(np.abs(matrix).max(initial=0)) or 1.0
+        power = math.frexp(self.scale)[1]
+        self.factor = 2.0**-power if abs(power) > 400 else 1.0  # a power of two, where squares would leave the doubles' range
         projected = (matrix / self.scale @ self.directions).T
         order = np.argsort(projected, axis=1).astype(np.int32)
         # the arrays lie in one, each moved beyond the one before, so a window's ends are found in all of them at once
@@ -68,14 +70,14 @@ class SortedLines:
             if len(new):
                 seen[new] = True
                 with np.errstate(over="ignore"):
-                    away = np.sqrt(((self.matrix[new] - vector) ** 2).sum(axis=1))
+                    away = np.sqrt(((self.matrix[new] * self.factor - vector * self.factor) ** 2).sum(axis=1))
                 found, distance = np.r_[found, new], np.r_[distance, away]
                 best = np.lexsort((self.ids[found], distance))[:k]
                 found, distance = found[best], distance[best]
-            enough = len(found) == k and half >= self.reach * distance[-1] / self.scale
-            if enough or (right - left).min() == n:
-                return self.ids[found], distance
-            half = max(half * self.growth, min(half * self.growth**4, self.reach * distance[-1] / self.scale)) if len(found) == k else half * self.growth
+            far = self.reach * distance[-1] / self.scale / self.factor if len(found) == k else np.inf
+            if half >= far or (right - left).min() == n:
+                return self.ids[found], distance / self.factor
+            half = max(half * self.growth, min(half * self.growth**4, far)) if len(found) == k else half * self.growth
 
 
 def nearest(

@@ -136,7 +136,7 @@ def manifest(
         *[c.alias(n) for n, c in carried.items()],
     )
     span = arity**height
-    leaves = _blocks(numbered(leaves, ["grp"], ["id", "digest"]), arity, height)
+    leaves = _blocks(numbered(durable(leaves), ["grp"], ["id", "digest"]), arity, height)
     above = climb(_tops(leaves, span), arity, height)
     groups = above.filter("pos = 0").select(F.lit(0).alias("all"), F.col("grp").alias("name"), F.col("root").alias("digest"))
     groups = numbered(groups, ["all"], ["name"]).withColumnRenamed("all", "grp")

@@ -29,9 +29,8 @@ select page_id, payload_bytes, payload_digest, case when payload_bytes >= 1000 a
   case when payload_bytes >= 1000 and page_id <> keep then keep end as refers_to from k"""
 
 _SPREAD = f"""with c as (select doc_id, text, coalesce('s:' || source, 'n') as site, string_split(text, chr(10)) as cut from documents),
-l as (select distinct trim(unnest(cut), ' ') as line, md5(text) as copy, md5(site) as site from c),
-s as (select line, copy, min(site) as site from l where line <> '' group by 1, 2),
-b as (select list(line) as lines from (select line from s group by 1 having count(distinct site) >= {MIN_SITES}))
+l as (select trim(unnest(cut), ' ') as line, text as copy, site from c),
+b as (select list(line) as lines from (select line from l where line <> '' group by 1 having count(distinct copy) > 1 and count(distinct site) >= {MIN_SITES}))
 select doc_id, coalesce(len(cut), 0) as n_lines, coalesce(len(cut) - len(kept), 0) as n_removed, sha256(array_to_string(kept, chr(10))) as kept_sha256
 from (select *, list_filter(cut, lambda x: not list_contains(coalesce(lines, []), trim(x, ' '))) as kept from c cross join b)"""
 

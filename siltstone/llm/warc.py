@@ -29,6 +29,8 @@ _EMPTY_FRAME = "P*M\x18\x00\x00\x00\x00"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Bytes of payload in an archive; bytes and number of records that a dictionary is trained on.
 ARCHIVE_BYTES, SAMPLE_BYTES, DICTIONARY_BYTES = 16 << 20, 1 << 20, 16 << 10
+#: Bytes of a record at most, which is what a row of Spark can hold; bytes read from a frame at a time.
+MOST_RECORD, _READ = 2**31 - 1, 4 << 20
 _RECORD = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
 
@@ -92,6 +94,18 @@ def frame_end(data: memoryview, at: int) -> int:
             return pos + 4 * (flags >> 2 & 1)
 
 
+def _decoded(reader: zstandard.ZstdDecompressor, frame: memoryview) -> bytes:
+    """A frame's content, whether or not the frame states its size, up to MOST_RECORD bytes."""
+    out, size = [], 0
+    with reader.stream_reader(frame) as stream:
+        while part := stream.read(_READ):
+            out.append(part)
+            size += len(part)
+            if size > MOST_RECORD:
+                raise ValueError(f"a record of more than {MOST_RECORD} bytes")
+    return b"".join(out)
+
+
 def frames(data: memoryview):
     """The decoded records of an archive, each with its place."""
     at, reader = 0, None
@@ -110,7 +124,7 @@ def frames(data: memoryview):
         end = frame_end(data, at)
         if end > len(data):
             raise ValueError(f"cut off in the frame at byte {at}")
-        yield at, reader.decompress(data[at:end])
+        yield at, _decoded(reader, data[at:end])
         at = end
 
 
@@ -150,17 +164,18 @@ def parse(data: bytes) -> tuple:
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 1000, date: str = "1970-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     """Write a record for each row into archives under path.
 
-    A null html is an empty payload; a null url has no target.  Equal payloads of at least min_bytes: the largest id's
+    A null html is an empty payload; a null url has no target.  Equal payloads (in length, SHA-1 and SHA-256) of at least min_bytes: the largest id's
     record is the response (all rows that repeat that id), others revisit it; where all ids are null all are responses.
     """
     rows = pick(pages, id=id_col, url=url_col, html=html_col).select(
         F.col("id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload")
     )
     rows = rows.withColumn("size", F.octet_length("payload").cast("long")).withColumn("digest", F.sha1("payload"))
-    again = rows.filter(F.col("size") >= min_bytes).groupBy("digest").agg(F.max("id").alias("keep"), F.count(F.lit(1)).alias("n"))
-    again = durable(again.filter("n > 1 and keep is not null").select("digest", "keep"))
+    rows = rows.withColumn("same", F.sha2("payload", 256))
+    again = rows.filter(F.col("size") >= min_bytes).groupBy("digest", "size", "same").agg(F.max("id").alias("keep"), F.count(F.lit(1)).alias("n"))
+    again = durable(again.filter("n > 1 and keep is not null").select("digest", "size", "same", "keep"))
     revisit = F.col("keep").isNotNull() & ~F.col("id").eqNullSafe(F.col("keep"))
-    told = rows.join(again, "digest", "left").select(
+    told = rows.join(again, ["digest", "size", "same"], "left").select(
         "id", "url", "size", "digest", F.when(revisit, F.col("keep")).alias("refers_to"), F.when(~revisit, F.col("payload")).alias("payload")
     )
 

@@ -243,13 +243,71 @@ def test_replay_equals_merging_alone(tokens):
         assert own.tolist() == ([table.rank[piece]] if piece in table.rank else table.alone(piece))
 
 
-def test_long_texts_are_cut_in_pieces(tokens):
+def bare(lines):
+    """A vocabulary without shared pieces."""
+    return bpe.Vocabulary(bpe.merges(lines), [], np.zeros(0, np.int32), np.zeros(0, np.int64))
+
+
+def test_long_texts_are_taken_in_parts(tokens, monkeypatch):
+    import regex
+
+    monkeypatch.setattr(bpe, "LONG", 1000)
+    monkeypatch.setattr(bpe, "_PIECES", 70)
+    monkeypatch.setattr(bpe, "VOCABULARY", 300)
+    text, vocabulary = " ".join(f"word{i % 900}x" for i in range(2000)), bare(tokens[0])
+    sizes = []
+    monkeypatch.setattr(vocabulary, "clear", lambda clear=vocabulary.clear: (sizes.append(vocabulary.size), clear()))
+    assert [x.tolist() for x in vocabulary.encode(regex.compile(tokens[1]), ["short", None, text, "", "short one"])] == [tokens[2].encode_ordinary(t) for t in ("short", "", text, "", "short one")]
+    assert sizes and max(sizes) < 2000  # what is learnt from one text stays bounded
+
+
+def test_a_text_of_50_megabytes(tokens):
     import regex
 
-    vocabulary = bpe.Vocabulary(bpe.merges(tokens[0]))
-    text = "some words " * 120000
-    codes = vocabulary.codes(regex.compile(tokens[1]), text)
-    assert "".join(list(vocabulary.number)[c] for c in codes) == text
+    lines, pattern, library = tokens
+    text = " ".join(f"{i % 70001:x}th wordling, {i % 13}" for i in range(2_700_000))
+    assert len(text) > 50_000_000
+    (got,) = bare(lines).encode(regex.compile(pattern), [text])
+    assert np.array_equal(got, np.array(library.encode_ordinary(text), np.int32))
+    assert bpe.merges(lines).decode(got) == text.encode()
+
+
+def test_a_text_longer_than_a_chunk(spark, tokens):
+    lines, pattern, library = tokens
+    text = " ".join(f"{i % 70001:x}th wordling, {i % 13}" for i in range(300_000))
+    assert len(text) > bpe.CHUNK_BYTES
+    got = {r.doc_id: r for r in bpe.encode(documents(spark, [(1, text), (2, "x")]), lines, pattern, decoded=True).collect()}
+    assert list(got[1].ids) == library.encode_ordinary(text) and bytes(got[1].decoded) == text.encode()
+
+
+def test_each_piece_of_the_corpus_is_replayed_once(spark, tokens, monkeypatch):
+    import collections
+
+    import regex
+
+    lines, pattern, library = tokens
+    rows = [(i, f"{t or ''} oddword{i % 7} weirdling") for i, t in sample_texts()]
+    texts = documents(spark, rows).select("text").repartition(7)
+    found = bpe.replayed(texts, lines, pattern).collect()
+    want = collections.Counter(p for _, t in rows for p in regex.findall(pattern, t))
+    assert {r.piece: r.n for r in found} == dict(want) and len(found) == len(want)
+    assert all(list(r.ids) == library.encode_ordinary(r.piece) for r in found)
+    shared = bpe.most_frequent(bpe.replayed(texts, lines, pattern), 1 << 20)
+    ids = shared.column("ids").to_pylist()
+    vocabulary = bpe.Vocabulary(bpe.merges(lines), shared.column("piece").to_pylist(), np.array([x for i in ids for x in i], np.int32), np.array([len(i) for i in ids], np.int64))
+    monkeypatch.setattr(bpe.Merges, "replay", lambda *_: pytest.fail("a piece is replayed again"))
+    assert [x.tolist() for x in vocabulary.encode(regex.compile(pattern), [t for _, t in rows])] == [library.encode_ordinary(t) for _, t in rows]
+
+
+def test_only_the_most_frequent_pieces_are_shared(spark, tokens, monkeypatch):
+    lines, pattern, library = tokens
+    rows = [(i, "common words here " * 20 + f"rare{i}piece") for i in range(40)]
+    held = bpe.replayed(documents(spark, rows).select("text"), lines, pattern)
+    assert set(bpe.most_frequent(held, 40).column("piece").to_pylist()) <= {" common", " words", " here"}
+    assert bpe.most_frequent(held, 0).num_rows == 0
+    for bound in (0, 40):
+        monkeypatch.setattr(bpe, "SHARED", bound)
+        assert {r.doc_id: list(r.ids) for r in bpe.encode(documents(spark, rows), lines, pattern).collect()} == {i: library.encode_ordinary(t) for i, t in rows}
 
 
 def test_merging_alone_is_fast_and_right(tokens):
@@ -268,13 +326,10 @@ def test_a_vocabulary_lasts_over_chunks(spark, tokens, monkeypatch, kept):
     import regex
 
     monkeypatch.setattr(bpe, "VOCABULARY", kept)
-    vocabulary = bpe.Vocabulary(bpe.merges(lines))
+    vocabulary = bare(lines)
     for text in ("strange wordlings", "strange wordlings and otherlings", "otherlings " * 3):
-        codes = vocabulary.codes(regex.compile(pattern), text)
-        vocabulary.learn()
-        assert vocabulary.of(codes).tolist() == library.encode_ordinary(text)
-        if vocabulary.size > bpe.VOCABULARY:
-            vocabulary.clear()
+        assert vocabulary.encode(regex.compile(pattern), [text])[0].tolist() == library.encode_ordinary(text)
+        assert (len(vocabulary.number) == 0) == (kept == 0)
     rows = sample_texts()
     got = bpe.encode(documents(spark, rows), lines, pattern, decoded=True).collect()
     assert {r.doc_id: (list(r.ids), bytes(r.decoded)) for r in got} == {i: (library.encode_ordinary(t or ""), (t or "").encode()) for i, t in rows}
@@ -284,6 +339,15 @@ def test_a_vocabulary_lasts_over_chunks(spark, tokens, monkeypatch, kept):
 # ---------------------------------------------------------------- vectors
 
 
+def test_large_and_tiny_components_keep_their_order(spark):
+    for size in (1e200, 1.5e307, 1e-200):
+        rows = [(0, [size, 0.0]), *((i, [size, size * i / 8]) for i in range(1, 8))]
+        got = collision_ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, 7).orderBy("rank").collect()
+        assert [r.vec_id for r in got] == [1, 2, 3, 4, 5, 6, 7]
+        assert [r.score for r in got] == pytest.approx([size * i / 8 for i in range(1, 8)], rel=1e-12)
+
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
 
@@ -374,21 +438,39 @@ def test_warc_empty_and_broken(spark, tmp_path):
 
 
 def brute_lines(rows, least):
-    def site(s):
-        return hashlib.md5(("n" if s is None else f"s:{s}").encode()).hexdigest()
-
-    seen = {}
+    """Lines of two or more different texts that stand on `least` sites go."""
+    texts, sites = {}, {}
     for _, t, s in rows:
-        for line in {x.strip(" ") for x in (t or "").split("\n")} - {""} if t is not None else ():
-            key = (line, t)
-            seen[key] = min(seen.get(key, site(s)), site(s))
-    sites = {}
-    for (line, _), s in seen.items():
-        sites.setdefault(line, set()).add(s)
-    gone = {line for line, s in sites.items() if len(s) >= least}
+        for line in {x.strip(" ") for x in (t or "").split("\n")} - {""}:
+            texts.setdefault(line, set()).add(t)
+            sites.setdefault(line, set()).add(s)
+    gone = {line for line, s in sites.items() if len(s) >= least and len(texts[line]) > 1}
     return [(i, None if t is None else "\n".join(x for x in t.split("\n") if x.strip(" ") not in gone)) for i, t, _ in rows]
 
 
+def test_boilerplate_of_syndicated_texts_goes(spark):
+    """Articles that each stand on all sites: their common line is boilerplate, their own lines are not."""
+    rows = [(20 * a + s, f"Article {a} begins\nSubscribe to our newsletter\nand ends {a}", f"site{s}") for a in range(50) for s in range(20)]
+    got = line_spread.remove_spread_lines(spark.createDataFrame(rows, "doc_id long, text string, source string"), 10).collect()
+    assert sorted((r.doc_id, r.clean_text, r.n_removed) for r in got) == [(i, t.replace("Subscribe to our newsletter\n", ""), 1) for i, t, _ in rows]
+
+
+def test_hot_and_cold_lines_are_found_alike(spark, monkeypatch):
+    rows = [(i, f"own {i}\nall\n{'half' if i % 2 else 'other'}\nfew {i % 40}", f"s{i % 15}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sorted(brute_lines(rows, 12))
+    for share in (3, 10, 100_000):
+        monkeypatch.setattr(line_spread, "HOT", share)
+        assert sorted((r.doc_id, r.clean_text) for r in line_spread.remove_spread_lines(docs, 12).collect()) == want
+
+
+def test_frames_without_their_size_are_read():
+    import zstandard
+
+    whole = zstandard.ZstdCompressor(write_content_size=False).compress(b"x" * 100000)
+    assert list(warc.frames(memoryview(whole + whole))) == [(0, b"x" * 100000), (len(whole), b"x" * 100000)]
+
+
 def test_line_spread(spark):
     rng = random.Random(4)
     rows = [(i, "\n".join([f"own {i} {rng.random()}", *(rng.choice(["menu", " menu ", "all rights", "", "rare a"]) for _ in range(4))]), f"s{i % 12}") for i in range(150)]
