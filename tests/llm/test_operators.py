@@ -459,6 +459,7 @@ def test_hot_and_cold_lines_are_found_alike(spark, monkeypatch):
     rows = [(i, f"own {i}\nall\n{'half' if i % 2 else 'other'}\nfew {i % 40}", f"s{i % 15}") for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     want = sorted(brute_lines(rows, 12))
+    monkeypatch.setattr(line_spread, "HOT_ROWS", 0)
     for share in (3, 10, 100_000):
         monkeypatch.setattr(line_spread, "HOT", share)
         assert sorted((r.doc_id, r.clean_text) for r in line_spread.remove_spread_lines(docs, 12).collect()) == want
