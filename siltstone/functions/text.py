@@ -5,15 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The entities that plain text of pages and papers uses.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
-
-
-def unescape(text: Column) -> Column:
-    for entity, char in ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
-
+from siltstone.functions.markup import article, unescape
 
 def clean_html(text: Column) -> Column:
     """Twice unescape and strip tags, since markup may be escaped itself; collapse white space; empty is null."""
@@ -22,28 +14,14 @@ def clean_html(text: Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(text, r"\s+", " ")), F.lit(""))
 
 
-# The parts of an article that hold its text, those that go, those whose end ends a paragraph; headings of
-# references; how a line begins that is taken for a heading.
-JATS_KEPT = ("abstract", "body")
-JATS_DROPPED = ("ref-list", "back", "xref", "table-wrap", "fig", "disp-formula", "inline-formula")
-JATS_BLOCKS = ("p", "sec", "title", "abstract")
+# Headings of references; how a line begins that is taken for a heading.
 REFERENCES = ("references", "literature cited", "bibliography")
 HEADING = r"[A-Z0-9][^a-z]{0,3}\s"
 
 
-def elements(names: tuple[str, ...]) -> str:
-    """A pattern of whole elements of these names."""
-    return "(?s)(" + "|".join(rf"<{n}\b.*?</{n}>" for n in names) + ")"
-
-
 def clean_jats(text: Column) -> Column:
-    """Article XML to text: abstract and body only (all where there is neither), without references, tables, figures and
-    formulas; closed blocks end paragraphs."""
-    kept = F.array_join(F.regexp_extract_all(text, F.lit(elements(JATS_KEPT)), 1), "\n\n")
-    text = F.regexp_replace(F.when(kept == "", text).otherwise(kept), elements(JATS_DROPPED), " ")
-    text = F.regexp_replace(text, f"(?i)</({'|'.join(JATS_BLOCKS)})>", "\n\n")
-    text = unescape(F.regexp_replace(text, "<[^>]+>", " "))
-    return strip(trim_references(F.regexp_replace(text, r"[ \t]+", " ")))
+    """Article XML to the text of its abstract and body, in paragraphs, without what follows its last references heading."""
+    return strip(trim_references(F.regexp_replace(article(text), r"[ \t]+", " ")))
 
 
 def strip(text: Column) -> Column:
@@ -83,15 +61,6 @@ def norm_match(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"[/|,;:]+", " "), r"\s+", " "))
 
 
-_ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-
-
-def norm_place(text: Column) -> Column:
-    """Lower case without Latin accents and punctuation."""
-    text = F.translate(F.lower(F.coalesce(text, F.lit(""))), *_ACCENTS)
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[^a-z0-9 ]", " "), r"\s+", " "))
-
-
 def occurrences(text: Column, keyword: Column | str) -> Column:
     """Occurrences of a keyword that do not overlap."""
     keyword = F.lit(keyword) if isinstance(keyword, str) else keyword

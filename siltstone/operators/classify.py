@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import reduce
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import norm_match, norm_place
+from siltstone.functions.places import Names
+from siltstone.functions.text import norm_match
 from siltstone.operators.prepare import LAT, LON
 
 # Patterns and word lists.
@@ -86,31 +90,69 @@ def _family(low: Column, keywords: Sequence[tuple[str, str]], soft: Mapping[str,
     )
 
 
-#: Aliases that every text is compared with; a longer list is met by the beginnings of its aliases.
-FEW_NAMES = 2000
+#: Bytes of names that a task holds at once; a longer list is searched in parts of that size, one after another.
+NAME_BYTES = 16 << 20
+_HIT = "by_text boolean, phrase int, exact boolean, n int, pos long, alias string, place string"
 
 
-def gazetteer(texts: DataFrame, id_col: str, text_col: str, names: DataFrame) -> DataFrame:
-    """id_col, alias, place of the longest alias in each text, the first of equally long ones; matching is by substring.
+def gazetteer(texts: DataFrame, id_col: str, text_col: str, names: DataFrame, phrases: Column | None = None) -> DataFrame:
+    """id_col, alias, place for the texts that name a place in names (pos, alias, place).
 
-    names (pos, alias, place): a short list is one array that each text meets; a longer one is joined on the first three
-    characters, which a text must have as a run somewhere.
+    Texts and aliases are folded, in any script.  The longest alias that stands in the text counts, the first of equally
+    long ones; without one, the first of `phrases` (an array of strings) that is an alias, holds one or stands in one.
+    Every text is read where it lies, once for each part of the names; parts meet by id, which is to be unique.
     """
-    if names.count() > FEW_NAMES:
-        rows = texts.select(id_col, norm_place(F.col(text_col)).alias("t"))
-        runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("t"), F.lit(1))), lambda i: F.substring("t", i, F.lit(3))))
-        begun = names.withColumn("run", F.substring("alias", 1, 3))
-        tails = F.when(F.length("t") > 1, F.array(F.substring("t", -1, 1), F.substring("t", -2, 2))).otherwise(F.array("t"))
-        short = F.transform(F.sequence(F.lit(1), F.greatest(F.length("t"), F.lit(1))), lambda i: F.substring("t", i, F.lit(2)))
-        single = F.transform(F.sequence(F.lit(1), F.greatest(F.length("t"), F.lit(1))), lambda i: F.substring("t", i, F.lit(1)))
-        met = rows.withColumn("run", F.explode(F.array_distinct(F.concat(runs, tails, short, single)))).join(begun, "run").filter(F.contains("t", F.col("alias")))
-        best = F.max(F.struct(F.length("alias").alias("n"), (-F.col("pos")).alias("p"), "alias", "place")).alias("b")
-        return met.groupBy(id_col).agg(best).select(id_col, F.col("b.alias").alias("alias"), F.col("b.place").alias("place"))
-    table = names.agg(F.array_sort(F.collect_list(F.struct("pos", "alias", "place"))).alias("g"))
-    rows = texts.select(id_col, norm_place(F.col(text_col)).alias("t")).crossJoin(F.broadcast(table))
-    hits = F.filter("g", lambda x: F.contains(F.col("t"), x["alias"]))
-    best = F.array_max(F.transform(hits, lambda x: F.struct(F.length(x["alias"]).alias("n"), (-x["pos"]).alias("p"), x["alias"].alias("alias"), x["place"].alias("place"))))
-    return rows.withColumn("b", best).filter("b is not null").select(id_col, F.col("b.alias").alias("alias"), F.col("b.place").alias("place"))
+    size = names.agg(F.coalesce(F.sum(F.octet_length("alias") + F.octet_length("place") + 100), F.lit(0))).first()[0]
+    parts = int(size // NAME_BYTES) + 1
+    rows = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (F.array().cast("array<string>") if phrases is None else phrases).alias("phrases"))
+    found = [_search(rows, names.filter(F.pmod(F.xxhash64("alias"), F.lit(parts)) == k)) for k in range(parts)]
+    if parts > 1:
+        best = F.max(F.struct("by_text", (-F.col("phrase")).alias("p"), "exact", "n", (-F.col("pos")).alias("q"), "alias", "place")).alias("b")
+        return reduce(DataFrame.unionByName, found).groupBy("id").agg(best).select(F.col("id").alias(id_col), "b.alias", "b.place")
+    return found[0].select(F.col("id").alias(id_col), "alias", "place")
+
+
+def _search(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """id and _HIT of the rows (id, text, phrases) that a part of the names is found in."""
+    listed = rows.sparkSession.sparkContext.broadcast([(r.pos, r.alias, r.place) for r in names.select("pos", "alias", "place").collect()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Names(listed.value)
+        for b in batches:
+            hits = [held.find(t, p or ()) for t, p in zip(b.column("text").to_pylist(), b.column("phrases").to_pylist(), strict=True)]
+            at = [i for i, h in enumerate(hits) if h]
+            keys = [held.order[hits[i][0]] for i in at]
+            columns = [
+                b.column("id").take(pa.array(at, pa.int64())), pa.array([hits[i][2] < 0 for i in at], pa.bool_()), pa.array([hits[i][2] for i in at], pa.int32()), pa.array([hits[i][1] for i in at], pa.bool_()),
+                pa.array([len(k) for k in keys], pa.int32()), pa.array([held.held[k][0] for k in keys], pa.int64()), pa.array(keys, pa.string()), pa.array([held.held[k][1] for k in keys], pa.string()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "by_text", "phrase", "exact", "n", "pos", "alias", "place"])
+
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, {_HIT}")
+
+
+def place_finder(names: DataFrame, phrases: bool = True) -> Callable[[Column], Column]:
+    """A function from a text to struct<place, lat, lon> of the place it names, as gazetteer() finds it, with its phrases or not.
+
+    names: pos, alias, lat, lon.  The list is held by every task, so one above NAME_BYTES is an error: gazetteer() takes those.
+    """
+    size = names.agg(F.coalesce(F.sum(F.octet_length("alias") + 100), F.lit(0))).first()[0]
+    if size > NAME_BYTES:
+        raise ValueError(f"{size} bytes of names; gazetteer() searches lists of any length")
+    listed = names.sparkSession.sparkContext.broadcast([(r.pos, r.alias, (r.lat, r.lon)) for r in names.select("pos", "alias", "lat", "lon").collect()])
+
+    @F.pandas_udf("place string, lat double, lon double")
+    def find(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        held = Names(listed.value)
+        for texts, phrases in batches:
+            hits = [held.find(t, p if p is not None else ()) for t, p in zip(texts, phrases, strict=True)]
+            rows = [(None, None, None) if h is None else (held.order[h[0]].title(), *held.held[held.order[h[0]]][1]) for h in hits]
+            yield pd.DataFrame(rows, columns=["place", "lat", "lon"]).astype({"place": object, "lat": float, "lon": float})
+
+    def finder(text: Column) -> Column:
+        return let(find(text, place_candidates(text) if phrases else F.array().cast("array<string>")), lambda x: F.when(x["place"].isNotNull(), x))
+
+    return finder
 
 
 def place_candidates(text: Column) -> Column:

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The square that a wide search tries first.
-FINE = 4
+#: The radius up to which a point looks at all cells around it.
+FINE = 8
+#: Points whose columns are looked at together within a tile.
+_TOGETHER = 4096
 #: Kilometres of a degree.
 KM_LAT, KM_LON = 110.57, 111.32
 #: The reference grid: left edge, top edge, degrees of a cell, rows, columns.
@@ -49,14 +53,13 @@ def sample(points: DataFrame, cells: DataFrame) -> DataFrame:
 def nearest_valid(points: DataFrame, cells: DataFrame, radius: int, value: str = "value") -> DataFrame:
     """point_id, value, d2 of the nearest cell with a value within `radius` cells either way; ties in row-major order.
 
-    Both sides fall into blocks of radius cells; a point looks into the nine blocks around it, so the range join is an
-    equi-join on the block.  A wide radius is tried as a narrow one first.  Points without a valid cell in reach have null.
+    A narrow search is an equi-join on blocks of radius cells; a wide one is the transform of nearest_layers().  Points
+    without a valid cell in reach have null.
     """
-    if radius > 2 * FINE:
-        close = nearest_valid(points, cells, FINE, value)
-        sure = close.filter(F.col("d2") < (FINE + 1) ** 2)  # nothing beyond the small square is as near
-        return sure.unionByName(_nearest(points.join(sure.select("point_id"), "point_id", "left_anti"), cells, radius, value))
-    return _nearest(points, cells, radius, value)
+    if radius <= FINE:
+        return _nearest(points, cells, radius, value)
+    found = nearest_layers(points, cells, [value], radius).select("row", "col", F.col(value), F.col(f"d2_{value}").alias("d2"))
+    return points.select("point_id", "row", "col").join(found, ["row", "col"]).select("point_id", value, "d2")
 
 
 def _nearest(points: DataFrame, cells: DataFrame, radius: int, value: str) -> DataFrame:
@@ -70,6 +73,74 @@ def _nearest(points: DataFrame, cells: DataFrame, radius: int, value: str) -> Da
     return points.join(best, "point_id", "left").select("point_id", F.col("b.v").alias(value), F.col("b.d2").alias("d2"))
 
 
+def _columns(valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each cell the nearest row with a valid cell in its column, at or above it and at or below it; far away if none."""
+    rows, far = np.arange(len(valid))[:, None], 1 << 20
+    up = np.maximum.accumulate(np.where(valid, rows, -far), 0)
+    down = np.minimum.accumulate(np.where(valid, rows, far)[::-1], 0)[::-1]
+    return up, down
+
+
+def distance_transform(values: np.ndarray, row: np.ndarray, col: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """The value and squared distance of the valid cell nearest to each place of a dense tile; not a number if none is in reach.
+
+    Two passes: down the columns once for all places, then along a place's row over the 2 radius + 1 nearest rows found
+    there.  values has a margin of radius cells around all places.
+    """
+    up, down = _columns(~np.isnan(values))
+    width, (height, line) = np.arange(-radius, radius + 1), values.shape
+    value, d2 = np.full(len(row), np.nan), np.full(len(row), np.nan)
+    for first in range(0, len(row), _TOGETHER):
+        r, c = row[first : first + _TOGETHER, None], col[first : first + _TOGETHER, None] + width
+        above, below = r - up[r, c], down[r, c] - r
+        near = np.where(above <= below, r - above, r + below)
+        away = np.minimum(above, below)
+        key = np.where(away <= radius, ((away * away + width * width) * height + near) * line + c, np.iinfo(np.int64).max)
+        best = key.argmin(1)
+        at = np.arange(len(r))
+        found = away[at, best] <= radius
+        value[first : first + len(r)][found] = values[near[at, best], c[at, best]][found]
+        d2[first : first + len(r)][found] = (away[at, best] ** 2 + width[best] ** 2)[found]
+    return value, d2
+
+
+def nearest_layers(points: DataFrame, cells: DataFrame, layers: list[str], radius: int, tile: int | None = None) -> DataFrame:
+    """row, col of the points' cells, each once, with the nearest valid value of every layer and its squared distance, d2_<layer>.
+
+    cells: row, col and the layers, null or not a number where a cell has no value.  A cell goes to each tile within
+    `radius` of it, if some point lies in that tile; a tile with its margin is transformed in one task, for all layers.
+    So there are as many shuffles for eleven layers as for one, and a tile's size is bounded by its sides.
+    """
+    side = tile or max(64, 4 * radius)
+    block = lambda c: F.floor(c / side)
+    at = points.select(F.col("row").cast("long"), F.col("col").cast("long")).distinct().withColumns({"ti": block(F.col("row")), "tj": block(F.col("col"))})
+    spread = cells.select(F.col("row").cast("long").alias("r"), F.col("col").cast("long").alias("c"), *[F.nanvl(F.col(n).cast("double"), F.lit(None)).alias(f"v{i}") for i, n in enumerate(layers)])
+    for name, place in (("ti", "r"), ("tj", "c")):
+        spread = spread.withColumn(name, F.explode(F.sequence(block(F.col(place) - radius), block(F.col(place) + radius))))
+    spread = spread.join(at.select("ti", "tj").distinct(), ["ti", "tj"], "left_semi")
+    n = len(layers)
+
+    def search(asked: pa.Table, held: pa.Table) -> pa.Table:
+        names = ["row", "col", *[f"{k}{i}" for i in range(n) for k in ("v", "d")]]
+        row, col = asked.column("row").to_numpy(), asked.column("col").to_numpy()
+        if not len(row):
+            return pa.table([pa.array([], t) for t in [pa.int64()] * 2 + [pa.float64(), pa.int64()] * n], names)
+        top, left = row[0] // side * side - radius, col[0] // side * side - radius
+        r, c = held.column("r").to_numpy() - top, held.column("c").to_numpy() - left
+        out = [row, col]
+        for i in range(n):
+            values = np.full((side + 2 * radius, side + 2 * radius), np.nan)
+            values[r, c] = held.column(f"v{i}").to_numpy()
+            value, d2 = distance_transform(values, row - top, col - left, radius)
+            none = np.isnan(value)
+            out += [pa.array(value, mask=none), pa.array(np.nan_to_num(d2).astype(np.int64), mask=none)]
+        return pa.table(out, names)
+
+    schema = ", ".join(["row long", "col long", *[f"v{i} double, d{i} long" for i in range(n)]])
+    found = at.groupBy("ti", "tj").cogroup(spread.groupBy("ti", "tj")).applyInArrow(search, schema)
+    return found.toDF("row", "col", *[x for name in layers for x in (name, f"d2_{name}")])
+
+
 def stack(layers: dict[str, DataFrame]) -> DataFrame:
     """row, col and a column for each layer (row, col, value): one shuffle for all layers; cells that a layer lacks are null."""
     tagged = [df.select("row", "col", F.lit(i).alias("k"), F.col("value").cast("double").alias("v")) for i, df in enumerate(layers.values())]
@@ -78,10 +149,8 @@ def stack(layers: dict[str, DataFrame]) -> DataFrame:
 
 
 def sample_or_nearest(points: DataFrame, cells: DataFrame, radius: int, value: str = "value") -> DataFrame:
-    """point_id, value: of the cell itself, or of the nearest valid one; only points that need it are searched for."""
-    here = sample(points, cells.select("row", "col", value))
-    found = nearest_valid(here.filter(F.col(value).isNull()).drop(value), cells, radius, value).select("point_id", value)
-    return here.filter(F.col(value).isNotNull()).select("point_id", value).unionByName(found)
+    """point_id, value: of the cell itself, or of the nearest valid one."""
+    return nearest_valid(points, cells.select("row", "col", value), radius, value).select("point_id", value)
 
 
 def remap(cells: DataFrame, code: str, attributes: DataFrame) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.functions.nested import record_numbers
 from siltstone.functions.numbers import NUMBER, all_variants, grounded, tokens, variants, word_tokens, word_value
 from siltstone.functions.text import sentences
 
@@ -22,13 +25,15 @@ def citations(hits: DataFrame, request: str, key: str, pos: str, text: str) -> D
     return first.withColumn("place", F.row_number().over(Window.partitionBy(request).orderBy("first"))).drop("first")
 
 
-def allowed_numbers(*texts: Column, values: Column | None = None) -> Column:
-    """All forms of the numbers in texts, where a hyphen is no sign, and of an array of numbers, which keep theirs.
+def allowed_numbers(*texts: Column, values: Column | None = None, record: Column | None = None) -> Column:
+    """All forms of the numbers in texts, where a hyphen is no sign, of an array of numbers, which keep theirs, and of a
+    nested record, harvested whole: values, strings and names at every depth.
 
     An address is none of the texts: its digits never stand in what is quoted.
     """
     written = all_variants(F.regexp_extract_all(F.concat_ws(" ", *texts), F.lit(f"({NUMBER})"), 1))
-    return written if values is None else F.array_union(written, all_variants(values))
+    more = [values, record_numbers(record) if record is not None else None]
+    return reduce(F.array_union, [written, *[all_variants(F.coalesce(m, F.array().cast("array<double>"))) for m in more if m is not None]])
 
 
 def all_grounded(text: Column, allowed: Column) -> Column:
@@ -86,12 +91,6 @@ def audit_summary(audited: DataFrame) -> DataFrame:
     return counted.withColumn("rate", F.bround(F.try_divide(F.col("n").cast("double"), F.sum("n").over(Window.partitionBy(F.lit(0)))), 3))
 
 
-def cited_support(markers: DataFrame, passages: DataFrame) -> DataFrame:
-    """Citation marks (id, n) with the passage of that place, from 1; marks beyond the list fall away."""
-    numbered = passages.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("place")))
-    return markers.join(numbered, ["id", "n"])
-
-
 def passages_for(practices: DataFrame, passages: DataFrame, request: str, practice: str, pool: str) -> DataFrame:
     """Each request's practices with the passages found for them; a practice without any gets the request's whole pool."""
     own = practices.join(passages.withColumnRenamed(pool, "_pool"), [request, practice])

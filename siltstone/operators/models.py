@@ -2,31 +2,62 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import asdict, dataclass
 from functools import reduce
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml import Estimator, Pipeline, PipelineModel
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.numbers import confidence
+from siltstone.operators import boosting as trees
 from siltstone.operators.crossval import metrics
+from siltstone.session import settled
 
 
 def forest(trees: int = 150, leaf: int = 3, depth: int = 12, seed: int = 42, bins: int = 64) -> RandomForestRegressor:
     return RandomForestRegressor(featuresCol="features", numTrees=trees, minInstancesPerNode=leaf, maxDepth=depth, seed=seed, maxBins=bins)
 
 
-def boosting(rounds: int = 60, step: float = 0.06, leaf: int = 20, depth: int = 5, seed: int = 42, bins: int = 64) -> GBTRegressor:
-    return GBTRegressor(featuresCol="features", maxIter=rounds, stepSize=step, minInstancesPerNode=leaf, maxDepth=depth, seed=seed, maxBins=bins)
+@dataclass(frozen=True)
+class Boosting:
+    """The settings of histogram boosting; see siltstone.operators.boosting."""
+
+    rounds: int = 400
+    step: float = 0.06
+    l2: float = 1.0
+    least: int = 20
+    depth: int = 5
+    bins: int = trees.MISSING
+
+
+boosting = Boosting
+
+
+class Codes(Estimator):
+    """Adds <column>_code: the place of a category among the training rows' in order of name, -1 for any other and for null.
+
+    The categories become a literal of the fitted stage, so their number is to stay in the thousands.
+    """
+
+    def __init__(self, columns: list[str]) -> None:
+        super().__init__()
+        self.columns = columns
+
+    def _fit(self, df: DataFrame) -> SQLTransformer:
+        seen = df.agg(*[F.sort_array(F.collect_set(F.col(c).cast("string"))).alias(c) for c in self.columns]).first()
+        quoted = lambda c: json.dumps(seen[c]).replace("\\", "\\\\").replace("'", "\\'")
+        code = lambda c: f"cast(coalesce(array_position(from_json('{quoted(c)}', 'array<string>'), cast(`{c}` as string)) - 1, -1) as double) as `{c}_code`"
+        return SQLTransformer(statement=f"select *, {', '.join(map(code, self.columns))} from __THIS__")
 
 
 def pipeline(regressor, categories: list[str], numbers: list[str], label: str) -> Pipeline:
-    """Index categories in order of name, unseen ones apart, assemble, and regress."""
+    """Categories by their codes, -1 where training rows have them not, assembled and regressed."""
     codes = [f"{c}_code" for c in categories]
-    index = StringIndexer(inputCols=categories, outputCols=codes, stringOrderType="alphabetAsc", handleInvalid="keep")
-    return Pipeline(stages=[index, VectorAssembler(inputCols=[*codes, *numbers], outputCol="features", handleInvalid="keep"), regressor.copy({regressor.labelCol: label})])
+    return Pipeline(stages=[*([Codes(categories)] if categories else []), VectorAssembler(inputCols=[*codes, *numbers], outputCol="features", handleInvalid="keep"), regressor.copy({regressor.labelCol: label})])
 
 
 def out_of_fold(df: DataFrame, fold: str, folds: int, stages: Pipeline) -> DataFrame:
@@ -35,33 +66,49 @@ def out_of_fold(df: DataFrame, fold: str, folds: int, stages: Pipeline) -> DataF
     return reduce(DataFrame.unionByName, parts)
 
 
+def fit(df: DataFrame, regressor, categories: list[str], numbers: list[str], label: str):
+    """A fitted model with transform(), of either kind."""
+    if isinstance(regressor, Boosting):
+        return trees.fit(df, categories, numbers, label, **asdict(regressor))
+    return pipeline(regressor, categories, numbers, label).fit(df)
+
+
+def held_out(df: DataFrame, regressor, categories: list[str], numbers: list[str], label: str, fold: str, folds: int) -> DataFrame:
+    """Rows with `predicted` by a model of either kind that has not seen their fold."""
+    if isinstance(regressor, Boosting):
+        return trees.out_of_fold(df, categories, numbers, label, fold, folds, df.columns, **asdict(regressor)).select(*df.columns, "predicted")
+    return out_of_fold(df, fold, folds, pipeline(regressor, categories, numbers, label))
+
+
 def select_and_refit(df: DataFrame, regressors: dict, categories: list[str], numbers: list[str], label: str, fold: str, folds: int, by: str):
     """The regressor of highest out-of-fold R2, fitted on all rows, and its figures.
 
-    Returns (fitted pipeline, figures): figures has scope ("all" or a value of `by`), model, n, r2, rmse, confidence.
+    Returns (fitted model, figures): figures has scope ("all" or a value of `by`), model, n, r2, rmse, confidence.
     """
-    written = df.sparkSession.sparkContext.getCheckpointDir() is not None
-    held = {}
-    for name, r in regressors.items():
-        found = out_of_fold(df, fold, folds, pipeline(r, categories, numbers, label))
-        held[name] = found.checkpoint() if written else found.persist()
+    held = {name: settled(held_out(df, r, categories, numbers, label, fold, folds)) for name, r in regressors.items()}
     name = best_by_r2(held, label).first()["model"]
     whole = held[name].agg(*metrics(label, "predicted")).withColumn("scope", F.lit("all"))
     parts = held[name].groupBy(F.col(by).cast("string").alias("scope")).agg(*metrics(label, "predicted"))
     figures = whole.unionByName(parts).select("scope", F.lit(name).alias("model"), "n", "r2", "rmse", confidence(F.col("r2")).alias("confidence"))
-    return pipeline(regressors[name], categories, numbers, label).fit(df), figures
+    return fit(df, regressors[name], categories, numbers, label), figures
 
 
 def save(model, figures: DataFrame, path: str) -> None:
-    """A fitted pipeline and its figures under one folder."""
-    model.write().overwrite().save(f"{path}/model")
+    """A fitted model and its figures under one folder."""
+    if isinstance(model, trees.Boosted):
+        model.save(figures.sparkSession, f"{path}/boosted")
+    else:
+        model.write().overwrite().save(f"{path}/model")
     figures.coalesce(1).write.mode("overwrite").json(f"{path}/figures")
 
 
 def load(spark, path: str):
-    """The fitted pipeline and its figures that save() wrote."""
+    """The fitted model and its figures that save() wrote."""
     schema = "scope string, model string, n long, r2 double, rmse double, confidence string"
-    return PipelineModel.load(f"{path}/model"), spark.read.schema(schema).json(f"{path}/figures")
+    figures = spark.read.schema(schema).json(f"{path}/figures")
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/boosted")
+    boosted = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+    return trees.Boosted.load(spark, f"{path}/boosted") if boosted else PipelineModel.load(f"{path}/model"), figures
 
 
 def best_by_r2(scores: dict[str, DataFrame], label: str) -> DataFrame:

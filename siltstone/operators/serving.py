@@ -79,11 +79,10 @@ def first_success(candidates: DataFrame, key: str, priority: str, ok: str, value
 
 def contexts(points: DataFrame, layers: Mapping[str, DataFrame], radius: int, rounded: int = 3, whole: tuple[str, ...] = ("land_cover",)) -> DataFrame:
     """point_id and a column for each layer: the point's cell, or the nearest valid one, rounded half to even or, for the
-    layers in `whole`, as a whole number.  What the layers find is put together in one grouping."""
-    found = [grid.sample_or_nearest(points, cells, radius).select("point_id", F.lit(i).alias("k"), F.col("value").cast("double").alias("v")) for i, cells in enumerate(layers.values())]
-    one = lambda i: F.max(F.when(F.col("k") == i, F.col("v")))
-    put = [(one(i).cast("int") if n in whole else F.bround(one(i), rounded)).alias(n) for i, n in enumerate(layers)]
-    return reduce(DataFrame.unionByName, found).groupBy("point_id").agg(*put)
+    layers in `whole`, as a whole number.  All layers are stacked and searched together, and each cell of a point once."""
+    found = grid.nearest_layers(points, grid.stack(layers), list(layers), radius)
+    put = [(F.col(n).cast("int") if n in whole else F.bround(n, rounded)).alias(n) for n in layers]
+    return points.select("point_id", "row", "col").join(found, ["row", "col"]).select("point_id", *put)
 
 
 def counters(answers: DataFrame, flags: dict[str, Column]) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import norm_match
 from siltstone.operators import classify
+from siltstone.operators.evidence import DIRECTIONS
 
 # Patterns, word lists and labels.
 OBJECTIVE = r"(?i)^\s*my objective is to\s+(.+?)\.?\s*$"
@@ -102,24 +103,88 @@ def _any(text: Column, words: Sequence[str]) -> Column:
     return F.greatest(*[F.contains(low, F.lit(w)) for w in words], F.lit(False))
 
 
-def conversation_slots(turns: DataFrame, conv: str, turn: str, text: str, most: int = 20) -> DataFrame:
-    """conv, turn, family, indicator, lat, lon, crop, and how family and indicator were found, for each message of a user.
+#: Weights of how a slot was found, where two do not belong together.
+STRENGTH = {"high": 3, "medium": 2, "inferred": 1, "prior": 0, "low": 0}
+#: What a recommendation was asked for, as later messages know it.
+PRIOR = "struct<family: string, indicator: string, lat: double, lon: double, crop: string>"
 
-    The message itself comes first; what it leaves open is read from all of the last `most` messages together.  A clear
-    objective brings its usual family, and the erosion family an objective where the message speaks of the ground.
-    """
+
+def remembered(turns: DataFrame, conv: str, turn: str, text: str, user: Column, prior: Column | None = None, most: int = 20) -> DataFrame:
+    """conv, turn, own, whole, prior for each message of a user: itself, the last `most` messages together, and the last
+    recommendation (a PRIOR at the turn that gave it) before it."""
+    before = Window.partitionBy(conv).orderBy(turn).rowsBetween(Window.unboundedPreceding, -1)
     back = Window.partitionBy(conv).orderBy(turn).rowsBetween(1 - most, Window.currentRow)
-    rows = turns.select(conv, turn, F.coalesce(F.col(text), F.lit("")).alias("own"))
-    rows = rows.withColumn("all", F.array_join(F.collect_list("own").over(back), "\n"))
-    read = lambda one: F.coalesce(one(F.col("own")), one(F.col("all")))
-    rows = rows.withColumns({"f": read(family), "i": read(indicator), "at": read(classify.coordinates), "crop": read(lambda t: classify.first_word(t, classify.CROPS))})
-    usual = F.coalesce(*[F.when(F.col("i.key") == k, F.lit(f)) for k, f in DEFAULT_FAMILY.items()])
-    clear = ~F.col("i.key").isin("soil loss", "runoff") | _any(F.col("own"), SOFT[EROSION]) | (F.col("i.confidence") == "high")
-    inferred = F.lit("inferred").alias("confidence")
-    rows = rows.withColumn("f", F.coalesce("f", F.when(usual.isNotNull() & clear, F.struct(usual.alias("family"), inferred))))
-    ground = (F.col("f.family") == EROSION) & _any(F.col("own"), TERRAIN)
+    known = F.lit(None).cast(PRIOR) if prior is None else prior
+    rows = turns.select(conv, turn, F.coalesce(F.col(text), F.lit("")).alias("own"), user.alias("_user"), known.alias("_given"))
+    rows = rows.withColumn("prior", F.last("_given", ignorenulls=True).over(before)).filter("_user")
+    return rows.select(conv, turn, "own", F.array_join(F.collect_list("own").over(back), "\n").alias("whole"), "prior")
+
+
+def _belong(chosen: Column, key: Column, supported: Sequence[tuple[str, str]] | None) -> Column:
+    """Whether the evidence has the family with the indicator."""
+    if supported is None:
+        return F.lit(True)
+    return F.coalesce(F.array_contains(F.array(*[F.lit(f"{f}|{k}") for f, k in supported]), F.concat_ws("|", chosen, key)), F.lit(False)) if supported else F.lit(False)
+
+
+def _strength(by: Column) -> Column:
+    return F.coalesce(*[F.when(by == k, F.lit(v)) for k, v in STRENGTH.items()], F.lit(0))
+
+
+def supported_pairs(df: DataFrame, family: str, indicator: str) -> list[tuple[str, str]]:
+    """The (family, indicator) pairs of an evidence table among the known ones; at most as many as there are of those."""
+    known = df.filter(F.col(family).isin(*FAMILIES) & F.col(indicator).isin(*DIRECTIONS))
+    return sorted((r[0], r[1]) for r in known.select(family, indicator).distinct().collect())
+
+
+def read_slots(rows: DataFrame, supported: Sequence[tuple[str, str]] | None = None, place: Callable[[Column], Column] | None = None) -> DataFrame:
+    """rows (own, whole, prior and others) with the slots of each message; for batches and streams alike.
+
+    family, indicator, lat, lon, crop, place, each with what it was found by (_by) but crop and place; inferred and
+    missing, arrays of names; complete.  The message itself decides, then the recommendation before it, then the last
+    messages together.  place(text) gives a struct<place, lat, lon>, used where no coordinates are known.  A clear objective
+    brings its usual family, and the erosion family an objective where the message speaks of the ground.  Of a family and
+    an indicator that the evidence has not together, the weaker goes, the indicator if they are equal; an indicator
+    left alone gets its usual family back if that one is supported.
+    """
+    both = lambda one: (one(F.col("own")), one(F.col("whole")))
+    (own_f, all_f), (own_i, all_i) = both(family), both(indicator)
+    by = lambda value, name, how: F.when(value.isNotNull(), F.struct(value.alias(name), F.lit(how).alias("confidence")))
+    prior_f = F.when(F.col("prior.family").isin(*FAMILIES), F.col("prior.family"))
+    prior_i = F.when(F.col("prior.indicator").isin(*DIRECTIONS), F.col("prior.indicator"))
+    prior_at = F.when(F.col("prior.lat").isNotNull() & F.col("prior.lon").isNotNull(), F.struct(F.col("prior.lat").alias("lat"), F.col("prior.lon").alias("lon"), F.lit("prior").alias("by")))
+    found = lambda at, how="high": F.when(at.isNotNull(), F.struct(at["lat"].alias("lat"), at["lon"].alias("lon"), F.lit(how).alias("by")))
+    (own_at, all_at), (own_c, all_c) = both(classify.coordinates), both(lambda t: classify.first_word(t, classify.CROPS))
+    rows = rows.withColumns({
+        "_f": F.coalesce(own_f, by(prior_f, "family", "prior"), all_f), "_i": F.coalesce(own_i, by(prior_i, "key", "prior"), all_i),
+        "_at": F.coalesce(found(own_at), prior_at, found(all_at)), "crop": F.coalesce(own_c, F.nullif(F.col("prior.crop"), F.lit("")), all_c),
+    })
+    rows = rows.withColumn("_place", F.when(F.col("_at").isNull(), F.coalesce(*both(place))) if place else F.lit(None).cast("struct<place: string, lat: double, lon: double>"))
+    usual = F.coalesce(*[F.when(F.col("_i.key") == k, F.lit(f)) for k, f in DEFAULT_FAMILY.items()])
+    fits = usual.isNotNull() & _belong(usual, F.col("_i.key"), supported)
+    clear = ~F.col("_i.key").isin("soil loss", "runoff") | _any(F.col("own"), SOFT[EROSION]) | (F.col("_i.confidence") == "high")
+    rows = rows.withColumn("_f", F.coalesce("_f", by(F.when(fits & clear, usual), "family", "inferred")))
+    ground = (F.col("_f.family") == EROSION) & _any(F.col("own"), TERRAIN)
     meant = F.when(_any(F.col("own"), ["runoff"]), "runoff").otherwise("soil loss")
-    rows = rows.withColumn("i", F.coalesce("i", F.when(ground, F.struct(meant.alias("key"), inferred))))
-    return rows.select(
-        conv, turn, "f.family", F.col("f.confidence").alias("family_by"), F.col("i.key").alias("indicator"), F.col("i.confidence").alias("indicator_by"), "at.lat", "at.lon", "crop"
-    )
+    rows = rows.withColumn("_i", F.coalesce("_i", by(F.when(ground, meant), "key", "inferred")))
+    apart = F.col("_f").isNotNull() & F.col("_i").isNotNull() & ~_belong(F.col("_f.family"), F.col("_i.key"), supported)
+    rows = rows.withColumn("_keep", F.when(~apart, "both").when(_strength(F.col("_f.confidence")) >= _strength(F.col("_i.confidence")), "family").otherwise("indicator"))
+    rows = rows.withColumns({"_f": F.when(F.col("_keep") != "indicator", F.col("_f")), "_i": F.when(F.col("_keep") != "family", F.col("_i"))})
+    rows = rows.withColumn("_f", F.coalesce("_f", by(F.when(fits, usual), "family", "inferred")))
+    named = F.col("_place").isNotNull()
+    guessed = {"location": named, "practice_family": F.col("_f.confidence") == "inferred", "indicator": F.col("_i.confidence") == "inferred"}
+    lacking = {"challenge": F.col("_f").isNull(), "objective": F.col("_i").isNull(), "location": F.col("_at").isNull() & ~named}
+    listed = lambda flags: F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in flags.items()]))
+    return rows.withColumns({
+        "family": F.col("_f.family"), "family_by": F.col("_f.confidence"), "indicator": F.col("_i.key"), "indicator_by": F.col("_i.confidence"),
+        "lat": F.coalesce("_at.lat", "_place.lat"), "lon": F.coalesce("_at.lon", "_place.lon"), "location_by": F.coalesce("_at.by", F.when(named, "high")), "place": F.col("_place.place"),
+        "inferred": listed(guessed), "missing": listed(lacking), "complete": F.size(listed(lacking)) == 0,
+    }).drop("_f", "_i", "_at", "_place", "_keep", "own", "whole", "prior")
+
+
+def conversation_slots(
+    turns: DataFrame, conv: str, turn: str, text: str, most: int = 20, user: Column | None = None, prior: Column | None = None, supported: Sequence[tuple[str, str]] | None = None, place: Callable[[Column], Column] | None = None
+) -> DataFrame:
+    """conv, turn and the slots of read_slots() for each message of a user (all rows, if `user` is left out)."""
+    rows = remembered(turns, conv, turn, text, F.lit(True) if user is None else F.coalesce(user, F.lit(False)), prior, most)
+    return read_slots(rows, supported, place)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siltstone.functions import numbers, text
-from siltstone.operators import classify, ground, sampling
+from siltstone.functions import nested, numbers, text
+from siltstone.operators import classify, evidence, ground, sampling
+from siltstone.plans import analysis
 from siltstone.plans.base import Plans
 from siltstone.sources.files import shape_works, table
 from siltstone.streaming import events as streams
@@ -34,9 +35,10 @@ def default_names(spark, d):
     return table(spark, d, "part").filter(none).groupBy("p_name").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Character references as pages have them, with and without a semicolon.
 _UNESCAPE = "x"
-for _e, _c in text.ENTITIES.items():
-    _UNESCAPE = "replace(" + _UNESCAPE + f", '{_e}', '{_c.replace(chr(39), chr(39) * 2)}')"
+for _e, _c in {"&lt;?": "<", "&gt;?": ">", "&quot;?": '"', "&#39;?": "'", "&apos;": "'", "&nbsp;?": "\u00a0", "&copy;?": "©", "&middot;?": "·", "&#8211;?": "–", "&amp;?": "&"}.items():
+    _UNESCAPE = "regexp_replace(" + _UNESCAPE + f", '{_e}', '{_c.replace(chr(39), chr(39) * 2)}', 'g')"
 _CLEAN = f"regexp_replace({_UNESCAPE}, '<[^>]*>', ' ', 'g')"
 
 
@@ -68,21 +70,18 @@ def dehyphenate(spark, d):
     return docs.select("doc_id", F.md5(text.dehyphenate(F.col("text"))).alias("joined"), F.size(text.pieces(F.col("text"))).cast("double").alias("n_pieces"))
 
 
-_JATS = ("'<article><front><title>Meta ' || source || '</title></front><abstract><p>In ' || lang || '</p></abstract><body><sec><title>1 Text</title><p>' || replace(text, chr(10), '</p><p>') || ' <xref>[1]</xref></p>"
-    "<fig><p>a figure</p></fig></sec></body><back><ref-list>back</ref-list></back></article>'")
+_FIGURES = "<fig><p>a figure</p></fig></sec><sec><table-wrap><fig id=\"f>1\"><fig>inner</fig><p>outer</p></fig><fig>next</fig><p>table</p></table-wrap>"
+_JATS = (f"'<article><front><title>Meta ' || source || '</title></front><abstract><p>In &#8211; ' || lang || '</p></abstract><body><sec><title>1 Text</title><p>' || replace(text, chr(10), '</p><p>') || ' <xref>[1]</xref></p>"
+    f"{_FIGURES}</sec></body><back><ref-list>back</ref-list></back></article>'")
 
 
-def _elements(names) -> str:
-    return "(?s)(?:" + "|".join(rf"<{n}\b.*?</{n}>" for n in names) + ")"
-
-
-@plans.add(f"""with x as (select doc_id, {_JATS} as x from documents), k as (select doc_id, array_to_string(regexp_extract_all(x, '{_elements(text.JATS_KEPT)}'), chr(10) || chr(10)) as x from x),
-d as (select doc_id, regexp_replace(regexp_replace(x, '{_elements(text.JATS_DROPPED)}', ' ', 'g'), '(?i)</(?:{'|'.join(text.JATS_BLOCKS)})>', chr(10) || chr(10), 'g') as x from k),
-t as (select doc_id, regexp_replace({_UNESCAPE.replace("replace(x", "replace(regexp_replace(x, '<[^>]+>', ' ', 'g')", 1)}, '[ \\t]+', ' ', 'g') as x from d),
+@plans.add(f"""with x as (select doc_id, replace({_JATS}, '{_FIGURES}', ' </sec><sec> ') as x from documents), k as (select doc_id, array_to_string(regexp_extract_all(x, '(?s)<(?:abstract|body)>.*?</(?:abstract|body)>'), chr(10) || chr(10)) as x from x),
+d as (select doc_id, regexp_replace(regexp_replace(x, '<xref>.*?</xref>', ' ', 'g'), '</(?:p|sec|title|abstract)>', chr(10) || chr(10), 'g') as x from k),
+t as (select doc_id, regexp_replace({_UNESCAPE.replace("regexp_replace(x,", "regexp_replace(regexp_replace(x, '<[^>]+>', ' ', 'g'),", 1)}, '[ \\t]+', ' ', 'g') as x from d),
 s as (select doc_id, regexp_replace(x, '^\\s+|\\s+$', '', 'g') as x from t)
 select doc_id, md5(x) as digest, len(list_filter(regexp_split_to_array(x, '\\n{{2,}}'), lambda p: regexp_replace(p, '^\\s+|\\s+$', '', 'g') <> '')) as n_paragraphs from s""")
 def jats_clean(spark, d):
-    """Documents as article XML, their text without front matter, figures and references, and its paragraphs."""
+    """Documents as article XML, their text without front matter, nested figures and references, and its paragraphs."""
     xml = F.expr(_JATS.replace("chr(10)", "char(10)"))
     body = text.clean_jats(xml)
     return table(spark, d, "documents").select("doc_id", F.md5(body).alias("digest"), F.size(text.paragraphs(body)).cast("long").alias("n_paragraphs"))
@@ -124,6 +123,47 @@ def number_guardrail(spark, d):
     return docs.select("doc_id", F.size(numbers.tokens(F.col("text"))).cast("long").alias("n_numbers"), F.size(ground.ungrounded(F.col("text"), F.col("allowed"))).cast("long").alias("n_ungrounded"))
 
 
+_TREE = r"""select j.id, cast(unnest(case when type in ('UBIGINT', 'BIGINT', 'DOUBLE') then [atom] when type = 'VARCHAR' then regexp_extract_all(atom, '\d+(?:\.\d+)?') else [] end
+    || case when key is not null and fullkey not like '%]' then regexp_extract_all(key, '\d+(?:\.\d+)?') else [] end) as double) as v from j, json_tree(j.j)"""
+
+
+@plans.add(rf"""with l as (select l_orderkey, list(struct_pack(l_linenumber := l_linenumber, "2nd" := struct_pack(price := -l_extendedprice, late := l_discount > 0.05, note := l_returnflag || ' 7.25 v' || l_suppkey)) order by l_linenumber) as lines from lineitem group by 1),
+j as (select l_orderkey as id, to_json(struct_pack(lines := lines, total99 := null, cut := [[1.5, len(lines)], [2500]])) as j from l), v as (select distinct id, v from ({_TREE}))
+select id as l_orderkey, count(*) as n, round(sum(v), 2) as total, max(v) as highest from v group by 1""")
+def nested_numbers(spark, d):
+    """The different numbers of each order as a nested record: values, strings and names at every depth."""
+    line = F.struct("l_linenumber", F.struct((-F.col("l_extendedprice")).alias("price"), (F.col("l_discount") > 0.05).alias("late"), F.concat("l_returnflag", F.lit(" 7.25 v"), F.col("l_suppkey").cast("string")).alias("note")).alias("2nd"))
+    orders = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    cut = F.array(F.array(F.lit(1.5), F.size("lines").cast("double")), F.array(F.lit(2500.0)))
+    found = nested.record_numbers(F.struct("lines", F.lit(None).cast("double").alias("total99"), cut.alias("cut")))
+    orders = orders.select("l_orderkey", found.alias("v"))
+    return orders.select("l_orderkey", F.size("v").cast("long").alias("n"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 2).alias("total"), F.array_max("v").alias("highest"))
+
+
+_ASKED = f"""with {analysis._RANKED}, lines as (select *, practice || ': ~' || cast(cast(round_even(abs(pct_change), 0) as bigint) as varchar) || '% ' || case when direction > 0 then 'increase' else 'reduce' end || ' in ' || indicator as effect from ranked),
+j as (select family || '/' || indicator as id, to_json(struct_pack(family := family, indicator := indicator, recommendations := list(effect order by rank) filter (rank <= 3),
+  details := struct_pack(n_candidates := count(*), n_grounded := count(*) filter (n_evidence > 0), ranked := list(struct_pack(rank := rank, practice := practice, pct_change := pct_change, log_ratio := log_ratio, n_evidence := n_evidence, effect := effect))))) as j from lines group by family, indicator),
+v as (select distinct id, unnest([v, abs(v), round_even(v, 0), round_even(v, 1), round_even(v, 2), round_even(abs(v), 0)]) as v from ({_TREE}))"""
+
+
+@plans.add(rf"""{_ASKED}, a as (select id, list(v) as allowed from v group by 1), ids as (select *, row_number() over (order by id) - 1 as k, count(*) over () as m from a),
+t as (select doc_id, id, allowed, regexp_extract_all(regexp_replace(text, '\[G?\d+\]', ' ', 'g'), '\d+(?:\.\d+)?') as toks from documents join ids on doc_id % m = k)
+select doc_id, id, len(toks) as n_numbers, len(list_filter(toks, lambda t: not ((cast(t as double) = floor(cast(t as double)) and cast(t as double) between 0 and 10)
+  or list_has_any([cast(t as double), round_even(cast(t as double), 0), round_even(cast(t as double), 1), round_even(cast(t as double), 2)], allowed)))) as n_ungrounded from t""")
+def recommendation_guardrail(spark, d):
+    """Numbers of documents held against a whole nested recommendation each, given in turn."""
+    from pyspark.sql import Window
+
+    found = evidence.recommend(analysis.ranked(spark, d), 3)
+    record = F.struct("family", "indicator", "recommendations", "details")
+    asked = found.select(F.concat_ws("/", "family", "indicator").alias("id"), ground.allowed_numbers(record=record).alias("allowed"))
+    whole = Window.partitionBy(F.lit(0))  # a row for each family and indicator
+    asked = asked.withColumns({"k": F.row_number().over(whole.orderBy("id")) - 1, "m": F.count(F.lit(1)).over(whole)})
+    docs = table(spark, d, "documents").join(F.broadcast(asked.agg(F.max("m").alias("m"))), F.lit(True))
+    met = docs.select("doc_id", "text", (F.col("doc_id") % F.col("m")).alias("k")).join(asked.drop("m"), "k")
+    return met.select("doc_id", "id", F.size(numbers.tokens(F.col("text"))).cast("long").alias("n_numbers"), F.size(ground.ungrounded(F.col("text"), F.col("allowed"))).cast("long").alias("n_ungrounded"))
+
+
 @plans.add("""select conv_id, source, place, n_passages, snippet from (select c.conv_id, d.source, count(*) as n_passages, arg_min(substr(d.text, 1, 240), c.turn) as snippet,
   row_number() over (partition by c.conv_id order by min(c.turn)) as place from conversations c join documents d on d.doc_id = (c.conv_id + c.turn * 3) % (select max(doc_id) + 1 from documents) group by 1, 2)""")
 def citations_dedupe(spark, d):

@@ -88,6 +88,27 @@ def point_contexts(spark, d):
     return serving.contexts(rasters.points(spark, d), layers, 8)
 
 
+#: Eleven layers over the orders as cells, each valid where its number divides; the last ones have a value in few cells.
+_LAYERS, _REACH = {f"layer{i}": 1 + 3 * i * i for i in range(11)}, 120
+
+
+def layer_cells(spark, d) -> dict[str, DataFrame]:
+    rows = table(spark, d, "orders").select(F.expr("o_orderkey div 500").alias("row"), (F.col("o_orderkey") % 500).alias("col"), "o_totalprice", "o_custkey")
+    return {n: rows.filter(F.col("o_custkey") % k == 0).select("row", "col", (F.col("o_totalprice") * (i + 1)).alias("value")) for i, (n, k) in enumerate(_LAYERS.items())}
+
+
+@plans.add(f"""with p as (select s_suppkey, s_suppkey * 13 % (select max(o_orderkey) // 500 from orders) as row, s_suppkey * 37 % 500 as col from supplier),
+c as (select o_orderkey // 500 as row, o_orderkey % 500 as col, o_totalprice as v, o_custkey as k from orders)
+select s_suppkey, {', '.join(f"round_even(cast((arg_min(v, ((c.row - p.row) * (c.row - p.row) + (c.col - p.col) * (c.col - p.col)) * 1000000000000 + c.row * 1000 + c.col) filter (k % {k} = 0)) * {i + 1} as double), 3) as {n}" for i, (n, k) in enumerate(_LAYERS.items()))}
+from p left join c on abs(c.row - p.row) <= {_REACH} and abs(c.col - p.col) <= {_REACH} group by 1""")
+def layer_contexts(spark, d):
+    """Suppliers as points in eleven layers at once, each from the nearest valid cell within 120."""
+    cells = layer_cells(spark, d)
+    last = table(spark, d, "orders").agg(F.expr("max(o_orderkey) div 500").alias("last"))
+    points = table(spark, d, "supplier").join(F.broadcast(last), F.lit(True)).select(F.col("s_suppkey").alias("point_id"), (F.col("s_suppkey") * 13 % F.col("last")).alias("row"), (F.col("s_suppkey") * 37 % 500).alias("col"))
+    return serving.contexts(points, cells, _REACH, whole=()).withColumnRenamed("point_id", "s_suppkey")
+
+
 @plans.add(f"with {analysis._OBSERVED} select family, string_agg(distinct practice, ',' order by practice) as practices, string_agg(distinct indicator, ',' order by indicator) as indicators from observed group by 1")
 def metadata(spark, d):
     found = serving.metadata(analysis.observed(spark, d), "family", "practice", "indicator")

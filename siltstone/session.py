@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str = "local[8]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -18,3 +20,17 @@ def session(master: str = "local[8]", shuffle_partitions: int = 8, **conf: str)
     }.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder and read from there: its lineage ends, and a lost executor costs nothing.
+
+    The folder is spark.checkpoint.dir; a local session that has none gets one.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if at is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(at or tempfile.mkdtemp(prefix="siltstone-"))
+    return df.checkpoint()

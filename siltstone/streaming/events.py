@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def chat_events(turns: DataFrame, keys: list[str], slots: Column, recommendation: Column, tokens: Column) -> DataFrame:
@@ -32,7 +31,7 @@ def parse_sse(lines: DataFrame, column: str) -> DataFrame:
     return blocks.select(F.col("seq").cast("long").alias("seq"), F.coalesce(field("event"), F.lit("message")).alias("event"), field("data").alias("data")).filter("data is not null")
 
 
-def _limited(times: list[int], kept: list[int], span: int, limit: int) -> tuple[list[bool], list[int]]:
+def limited(times: list[int], kept: list[int], span: int, limit: int) -> tuple[list[bool], list[int]]:
     """Which of the times, in order, are let through; those that are not do not count."""
     out = []
     for t in times:
@@ -59,7 +58,7 @@ def rate_limit(events: DataFrame, client: str, event_id: str, time: str, span_s:
             for c, t in zip(batch["c"], batch["t"], strict=True):
                 if c != at:
                     at, kept = c, []
-                (ok,), kept = _limited([t], kept, span, limit)
+                (ok,), kept = limited([t], kept, span, limit)
                 out.append(ok)
             yield pd.DataFrame({"c": batch["c"], "e": batch["e"], "allowed": out})
 
@@ -67,48 +66,6 @@ def rate_limit(events: DataFrame, client: str, event_id: str, time: str, span_s:
     return ordered.mapInPandas(run, "c long, e long, allowed boolean").toDF(client, event_id, "allowed")
 
 
-def rate_limit_stream(events: DataFrame, client: str, event_id: str, time: str, span_s: int, limit: int, expire: bool = False) -> DataFrame:
-    """The same over a stream: the times let through, at most `limit` of them, are a client's state.
-
-    With `expire` the state of a client that stays away for the span goes; such a query runs until it is stopped, since
-    timeouts by processing time make Spark plan batches without end, also under an availableNow trigger.
-    """
-    span = span_s * 1_000_000
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        kept = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(frames)).sort_values(["t", "e"])
-        allowed, kept = _limited(rows["t"].tolist(), kept, span, limit)
-        state.update((kept,))
-        if expire:
-            state.setTimeoutDuration(span_s * 1000)
-        yield pd.DataFrame({"c": rows["c"], "e": rows["e"], "allowed": allowed})
-
-    rows = events.select(F.col(client).alias("c"), F.col(event_id).alias("e"), F.unix_micros(F.col(time).cast("timestamp")).alias("t"))
-    out = rows.groupBy("c").applyInPandasWithState(run, "c long, e long, allowed boolean", "kept array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout)
-    return out.toDF(client, event_id, "allowed")
-
-
-def slot_state_stream(turns: DataFrame, conv: str, turn: str, slot: str) -> DataFrame:
-    """conv, turn, slot over a stream: the latest value of a slot so far is a conversation's state."""
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get[0] if state.exists else None
-        rows, out = pd.concat(list(frames)).sort_values("t"), []
-        for value in rows["s"]:
-            held = held if pd.isna(value) else value
-            out.append(held)
-        state.update((held,))
-        yield pd.DataFrame({"c": rows["c"], "t": rows["t"], "s": out})
-
-    rows = turns.select(F.col(conv).alias("c"), F.col(turn).alias("t"), F.col(slot).alias("s"))
-    out = rows.groupBy("c").applyInPandasWithState(run, "c long, t long, s string", "held string", "append", GroupStateTimeout.NoTimeout)
-    return out.toDF(conv, turn, slot)
-
-
 def tumbling(events: DataFrame, time: str, width: str, keys: list[str], value: str, late: str = "1 hour") -> DataFrame:
     """Counts and sums by window, for batches and streams."""
     rows = events.withColumn("_t", F.col(time).cast("timestamp")).withWatermark("_t", late)
@@ -138,7 +95,3 @@ def latencies(spark, query) -> DataFrame:
 def latest_user_turn(turns: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
     """The most recent user turn of each conversation."""
     return turns.filter(F.col(role) == "user").groupBy(conv).agg(F.max(turn).alias(turn), F.max_by(text, turn).alias(text))
-
-
-def running_place(turns: DataFrame, conv: str, turn: str) -> DataFrame:
-    return turns.withColumn("place", F.row_number().over(Window.partitionBy(conv).orderBy(turn)))

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from siltstone.functions import climate, numbers, text
+from siltstone.functions import climate, numbers, places, text
 from siltstone.operators import chunking, classify, crossval, evaluate, evidence, grid, ground, models, prepare, quality, retrieval, sampling, serving, slots
 from siltstone.sources import files
 from siltstone.streaming import events
@@ -27,7 +27,7 @@ def test_text_functions(spark):
     assert one(spark, text.clean_jats(t), t="<p>no body</p>\nReferences\nA") == "no body"
     assert one(spark, text.paragraphs(t), t="a\n\n\nb\n2.1 Results\nc\nIV x") == ["a", "b", "2.1 Results\nc", "IV x"]
     assert one(spark, text.norm_match(t), t="  Water-use / Efficiency;; now ") == "water use efficiency now"
-    assert one(spark, text.norm_place(t), t="Debré  Márkos!") == "debre markos"
+    assert one(spark, places.norm_place(t), t="Debré  Márkos!") == "debre markos"
     assert one(spark, text.occurrences(t, "aa"), t="aaaaa") == 2
     assert one(spark, text.slug(t), t="10.1016/j.x (2)") == "10_1016_j_x_2"
     assert one(spark, text.year_of(t), t="in 1899 and 2019, 2020") == 2019
@@ -248,10 +248,32 @@ def test_long_gazetteers_give_the_same_places(spark, monkeypatch):
     names = spark.createDataFrame([(1, "ambo", "Ambo"), (2, "addis", "Addis"), (3, "addis ababa", "Ababa"), (4, "x", "X"), (5, "bo", "Bo")], "pos int, alias string, place string")
     texts = spark.createDataFrame([(1, "bamboo plots"), (2, "Addis, Ambo"), (3, "in addis ababa"), (4, "fax"), (5, "hobo"), (6, "none"), (7, ""), (8, None)], "i long, t string")
     short = {(r.i, r.place) for r in classify.gazetteer(texts, "i", "t", names).collect()}
-    monkeypatch.setattr(classify, "FEW_NAMES", 0)
+    monkeypatch.setattr(classify, "NAME_BYTES", 150)
     assert {(r.i, r.place) for r in classify.gazetteer(texts, "i", "t", names).collect()} == short and len(short) == 5
 
 
+def test_gazetteers_of_any_script_and_both_ways(spark, monkeypatch):
+    names = spark.createDataFrame([(1, "አዲስ አበባ", "Addis"), (2, "Debre-Márkos", "Debre"), (3, "wolaita sodo", "Wolaita"), (4, "sodo", "Sodo"), (5, "sodo town", "Town")], "pos int, alias string, place string")
+    texts = [(1, "ከአዲስ አበባ!", None), (2, "near DEBRE márkos", None), (3, "none", ["Mars", "wolait"]), (4, "none", ["sodo"]), (5, None, ["to sodo town now"]), (6, "", []), (7, "none", ["sod"]), (8, "ﬁne ²", ["?"])]
+    texts = spark.createDataFrame(texts, "i long, t string, p array<string>")
+    want = {1: "Addis", 2: "Debre", 3: "Wolaita", 4: "Sodo", 5: "Town", 7: "Wolaita"}
+    assert {r.i: r.place for r in classify.gazetteer(texts, "i", "t", names, F.col("p")).collect()} == want
+    monkeypatch.setattr(classify, "NAME_BYTES", 150)
+    assert {r.i: r.place for r in classify.gazetteer(texts, "i", "t", names, F.col("p")).collect()} == want
+    assert places.folded("ﬁne ² Ａ_b") == "fine 2 a_b"
+
+
+def test_a_hundred_thousand_aliases(spark):
+    import random
+
+    rng = random.Random(11)
+    listed = [(i, "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(5, 12))), f"p{i}") for i in range(100_000)]
+    texts = [(i, " ".join("".join(rng.choice("abcdefgh") for _ in range(12)) for _ in range(30))) for i in range(20)]
+    got = {r.i: r.place for r in classify.gazetteer(spark.createDataFrame(texts, "i long, t string"), "i", "t", spark.createDataFrame(listed, "pos long, alias string, place string")).collect()}
+    best = lambda t: min(((-len(a), i, p) for i, a, p in listed if a in t), default=(0, 0, None))[2]
+    assert got == {i: p for i, t in texts if (p := best(t))}
+
+
 def test_sources_of_records_and_vectors(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "chunk_id string, v double")
     files.add_vectors(rows, str(tmp_path / "v"))
@@ -360,14 +382,9 @@ def test_rate_limit_ignores_refused(spark):
 
 
 def test_streams(spark, tmp_path):
-    rows = spark.createDataFrame([(1, i, datetime(2024, 1, 1) + timedelta(seconds=s), "x" if i == 1 else None) for i, s in enumerate((0, 10, 20, 70))], "u long, e long, ts timestamp, s string")
+    rows = spark.createDataFrame([(1, i, datetime(2024, 1, 1) + timedelta(seconds=s)) for i, s in enumerate((0, 10, 20, 70))], "u long, e long, ts timestamp")
     rows.write.parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    for name, df in (("limited", events.rate_limit_stream(source, "u", "e", "ts", 60, 2)), ("slots", events.slot_state_stream(source, "u", "e", "s"))):
-        query = df.writeStream.format("memory").queryName(name).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / name)).start()
-        query.awaitTermination()
-    assert [r.allowed for r in spark.sql("select * from limited order by e").collect()] == [True, True, False, True]
-    assert [r.s for r in spark.sql("select * from slots order by e").collect()] == [None, "x", "x", "x"]
     windowed = events.tumbling(source, "ts", "1 minute", ["u"], "e").writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
     windowed.awaitTermination()
     assert sorted(r.n for r in spark.sql("select * from windows").collect()) == [1, 3]
