@@ -238,8 +238,7 @@ class Vocabulary:
         self.ids = self.ids[: int(self.count.sum())]
 
     def codes(self, pieces: list[str]) -> np.ndarray:
-        number = self.number
-        return np.array([number[p] for p in pieces], np.int32)
+        return np.fromiter(map(self.number.__getitem__, pieces), np.int32, len(pieces))
 
     def learn(self) -> None:
         """Replay the pieces that have a number but no ids yet."""
@@ -259,9 +258,12 @@ class Vocabulary:
 
         def settle() -> None:
             self.learn()
-            for i, codes in held:
-                out[i] = self.of(codes)
-            held.clear()
+            if held:
+                codes = np.concatenate([c for _, c in held])
+                ids, ends = self.of(codes), np.r_[0, np.cumsum(self.count[codes])][np.cumsum([len(c) for _, c in held])]
+                for (i, _), a, b in zip(held, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                    out[i] = ids[a:b]
+                held.clear()
             if self.size > VOCABULARY:
                 self.clear()
 
@@ -288,7 +290,7 @@ _VOCABULARY: dict[str, Vocabulary] = {}
 
 
 def replayed(texts: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
-    """piece, n, ids: the distinct pieces of all texts (column text), how often they stand there, and their token ids.
+    """piece, n, ids: the distinct pieces of all texts (column text), in how many chunks of texts they stand, and their token ids.
 
     A written table; each piece is in one row and was replayed once, together with the others of its part.
     """
@@ -297,13 +299,20 @@ def replayed(texts: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match, seen = regex.compile(pattern), Counter()
         row = lambda: pa.record_batch([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["piece", "n"])
-        for batch in batches:
-            for text in batch.column("text"):
+        for chunk in chunks(batches, CHUNK_BYTES):
+            here: set[str] = set()
+            for text in chunk.column("text"):
                 for pieces in parts_of(match, text.as_py()) if text.is_valid else ():
-                    seen.update(pieces)
-                    if len(seen) > COUNTED:
+                    here.update(pieces)
+                    if len(here) > COUNTED:
+                        seen.update(here)
+                        here.clear()
                         yield row()
                         seen.clear()
+            seen.update(here)
+            if len(seen) > COUNTED:
+                yield row()
+                seen.clear()
         yield row()
 
     def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,7 +328,7 @@ def replayed(texts: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
 
 
 def most_frequent(vocabulary: DataFrame, bound: int) -> pa.Table:
-    """piece and ids of the most frequent pieces, all that stand at least 2 ** k times, for the least k that stays in the bound."""
+    """piece and ids of the most frequent pieces, all that stand in at least 2 ** k chunks, for the least k that stays in the bound."""
     level = F.floor(F.log2(F.col("n").cast("double")) + 1e-9)
     sizes = {r.k: r.b for r in vocabulary.groupBy(level.alias("k")).agg(F.sum(F.octet_length("piece") + 4 * F.size("ids")).alias("b")).collect()}  # 63 rows at most
     least, total = 63, 0
