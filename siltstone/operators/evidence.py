@@ -66,8 +66,10 @@ def first_match(lookup: DataFrame, key: str, value: str, order: str, wanted: Dat
 
 def score_candidates(named: DataFrame, contexts: DataFrame, model, n: str = "n") -> DataFrame:
     """Candidates (family, practice, indicator, n) in each context, with the model's log ratio as mean: context columns,
-    family, practice, indicator, n_evidence, mean.  Contexts are few and stated; they are paired with the family's candidates."""
-    paired = named.join(contexts, ["family", "indicator"])
+    family, practice, indicator, n_evidence, mean.  Contexts are few and stated; they are paired with the family's candidates,
+    and one of a family or an indicator without candidates is an error."""
+    unknown = F.raise_error(F.concat(F.lit("unknown family or indicator: "), F.concat_ws(", ", "family", "indicator"))).cast("string")
+    paired = contexts.join(named, ["family", "indicator"], "left").withColumn("practice", F.coalesce("practice", unknown))
     scored = model.transform(paired.withColumnRenamed(n, "n_evidence"))
     return scored.withColumn("mean", F.col("prediction")).select(*[c for c in contexts.columns if c not in ("family", "indicator")], "family", "practice", "indicator", "n_evidence", "mean")
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siltstone.plans import analysis, dialogue, rasters, retrieval, serving, slots
+from siltstone.plans import advice, analysis, dialogue, rasters, retrieval, serving, slots
 
-_ALL = (analysis.plans, rasters.plans, retrieval.plans, dialogue.plans, serving.plans, slots.plans)
+_ALL = (analysis.plans, rasters.plans, retrieval.plans, dialogue.plans, serving.plans, slots.plans, advice.plans)
 
 
 def queries() -> dict:

@@ -11,7 +11,7 @@ import pytest
 from siltstone.plans import registry
 
 FOLDER = "/root/testdata/sf0.001"
-SLOW = {"forest_oof", "boosting_oof", "permutation_importance", "model_recommendation"}
+SLOW = {"forest_oof", "boosting_oof", "permutation_importance", "model_recommendation", "fitted_advice"}
 
 
 @pytest.fixture(scope="module")
