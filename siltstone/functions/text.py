@@ -115,11 +115,15 @@ def strip_leaks(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\n{3,}", "\n\n"))
 
 
+# Marks before a line, numbers before an item, emphasis, what ends a sentence, characters around one.
+LINE_MARK, ITEM_NUMBER, EMPHASIS, SENTENCE_END, AROUND = r"^\s*[#>*•\-]+\s*", r"^\s*\d{1,2}[.)]\s+", "**", ".!?;", " -*•\t"
+
+
 def sentences(text: Column) -> Column:
     """Sentences and list items, without heading, bullet and numbering marks."""
-    lines = F.transform(F.split(text, "\n"), lambda x: F.replace(F.regexp_replace(F.regexp_replace(x, r"^\s*[#>*•\-]+\s*", ""), r"^\s*\d{1,2}[.)]\s+", ""), F.lit("**"), F.lit("")))
-    parts = F.split(F.array_join(lines, "\n"), r"(?<=[.!?;])\s+|\n+")
-    return F.filter(F.transform(parts, lambda p: F.btrim(p, F.lit(" -*•\t"))), lambda p: p != "")
+    lines = F.transform(F.split(text, "\n"), lambda x: F.replace(F.regexp_replace(F.regexp_replace(x, LINE_MARK, ""), ITEM_NUMBER, ""), F.lit(EMPHASIS), F.lit("")))
+    parts = F.split(F.array_join(lines, "\n"), rf"(?<=[{SENTENCE_END}])\s+|\n+")
+    return F.filter(F.transform(parts, lambda p: F.btrim(p, F.lit(AROUND))), lambda p: p != "")
 
 
 def inverted_to_text(postings: Column) -> Column:

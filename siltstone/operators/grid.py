@@ -97,10 +97,10 @@ def distance_transform(values: np.ndarray, row: np.ndarray, col: np.ndarray, rad
         away = np.minimum(above, below)
         key = np.where(away <= radius, ((away * away + width * width) * height + near) * line + c, np.iinfo(np.int64).max)
         best = key.argmin(1)
-        at = np.arange(len(r))
-        found = away[at, best] <= radius
-        value[first : first + len(r)][found] = values[near[at, best], c[at, best]][found]
-        d2[first : first + len(r)][found] = (away[at, best] ** 2 + width[best] ** 2)[found]
+        at = np.flatnonzero(away[np.arange(len(r)), best] <= radius)
+        best = best[at]
+        value[first + at] = values[near[at, best], c[at, best]]
+        d2[first + at] = away[at, best] ** 2 + width[best] ** 2
     return value, d2
 
 

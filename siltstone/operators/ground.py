@@ -27,7 +27,8 @@ def citations(hits: DataFrame, request: str, key: str, pos: str, text: str) -> D
 
 def allowed_numbers(*texts: Column, values: Column | None = None, record: Column | None = None) -> Column:
     """All forms of the numbers in texts, where a hyphen is no sign, of an array of numbers, which keep theirs, and of a
-    nested record, harvested whole: values, strings and names at every depth.
+    nested record, harvested whole: values, strings and names at every depth.  The result is to be selected as a column
+    before it is compared, since no Python function runs within a lambda.
 
     An address is none of the texts: its digits never stand in what is quoted.
     """

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import pairwise
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,37 +11,87 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import words
+from siltstone.session import settled
 
 #: BM25's usual parameters; the share of the mean idf that replaces negative ones; candidates of each list; the fusion constant.
 K1, B, EPSILON, CANDIDATES, FUSION = 1.5, 0.75, 0.25, 40, 60
 
 #: Weights of query terms that are sent to all tasks at most; scores of queries and texts in memory at once.
-MOST_ASKED, _SCORES = 200_000, 1 << 21
+MOST_ASKED, _SCORES = 200_000, 1 << 22
+#: Words of the documents in a block of an index.
+BLOCK_WORDS = 1 << 20
 
 
 def _tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"))
 
 
-def postings(docs: DataFrame, id_col: str, text_col: str, asked: DataFrame | None = None) -> DataFrame:
-    """id, term, tf, dl: how often each term, or each asked one, stands in each document, and the document's length.
+def build_index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """An inverted index by blocks of documents: every text is cut into words once.
 
-    Postings are dealt by document, and terms that are not asked for fall away before that.
+    A row is a block: ids and dl (words) of its documents; its terms, and for each the end of its postings, its
+    greatest tf and the least dl it stands in; postings as doc (a place in ids) and tf.  Write it as a table to keep it.
     """
-    pairs = _tokens(docs, id_col, text_col).select("id", F.size("w").cast("long").alias("dl"), F.explode("w").alias("term"))
-    if asked is not None:
-        pairs = pairs.join(asked.select("term").distinct(), "term", "left_semi")
-    return pairs.repartition("id").groupBy("id", "term", "dl").agg(F.count(F.lit(1)).alias("tf")).select("id", "term", "tf", "dl")
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def block(ids: list[pa.Array], held: list[pa.Array]) -> pa.RecordBatch:
+        words_ = pa.concat_arrays(held)
+        length = pc.fill_null(pc.list_value_length(words_), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = words_.flatten().dictionary_encode()
+        terms = coded.dictionary
+        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        key, tf = np.unique(code * max(len(length), 1) + np.repeat(np.arange(len(length)), length), return_counts=True)
+        term, doc = np.divmod(key, max(len(length), 1))
+        first = np.searchsorted(term, np.arange(len(terms)))
+        most, least = (np.maximum.reduceat(tf, first), np.minimum.reduceat(length[doc], first)) if len(terms) else (tf, tf)
+        one = lambda x, t: pa.array([x], pa.list_(t))
+        return pa.RecordBatch.from_arrays(
+            [pa.ListArray.from_arrays(pa.array([0, len(length)], pa.int32()), pa.concat_arrays(ids)), one(length, pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(terms)], pa.int32()), terms.cast(pa.string())), one(np.searchsorted(term, np.arange(len(terms)), "right"), pa.int32()),
+             one(most, pa.int32()), one(least, pa.int32()), one(doc, pa.int32()), one(tf, pa.int32())],
+            ["ids", "dl", "terms", "ends", "most", "least", "doc", "tf"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, held, size = [], [], 0
+        for batch in batches:
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column("w")), 0).to_numpy(zero_copy_only=False))
+            a = 0
+            while a < batch.num_rows:
+                before = int(ends[a - 1]) if a else 0
+                b = min(batch.num_rows, max(a + 1, int(np.searchsorted(ends, before + BLOCK_WORDS - size, "right"))))
+                ids.append(batch.column("id").slice(a, b - a))
+                held.append(batch.column("w").slice(a, b - a))
+                size, a = size + int(ends[b - 1]) - before, b
+                if size >= BLOCK_WORDS:
+                    yield block(ids, held)
+                    ids, held, size = [], [], 0
+        if ids:
+            yield block(ids, held)
+
+    schema = f"ids array<{kind}>, dl array<int>, terms array<string>, ends array<int>, most array<int>, least array<int>, doc array<int>, tf array<int>"
+    return _tokens(docs, id_col, text_col).mapInArrow(run, schema)
+
+
+def index_stats(index: DataFrame) -> DataFrame:
+    """n_docs, avgdl: one row."""
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    sums = index.select(F.size("ids").cast("long").alias("n"), total("dl").alias("w")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_docs"), F.sum("w").alias("w"))
+    return sums.select("n_docs", (F.col("w") / F.nullif("n_docs", F.lit(0))).alias("avgdl"))
 
 
-def corpus_stats(docs: DataFrame, text_col: str) -> DataFrame:
-    """n_docs, avgdl: one row."""
-    return docs.select(F.size(words(F.col(text_col))).alias("dl")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+def document_counts(index: DataFrame) -> DataFrame:
+    """term, df: in how many documents each term stands; a row for each term and block is all that moves."""
+    counts = F.zip_with("ends", F.concat(F.array(F.lit(0)), "ends"), lambda end, before: end - before)
+    return index.select(F.explode(F.arrays_zip("terms", F.slice(counts, 1, F.size("ends")).alias("n"))).alias("x")).groupBy(F.col("x.terms").alias("term")).agg(F.sum("x.n").alias("df"))
 
 
-def document_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """term, df: in how many documents each term stands, counted in each task before anything moves."""
-    return _tokens(docs, id_col, text_col).select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def postings(index: DataFrame) -> DataFrame:
+    """id, term, tf, dl: the index's postings one by one."""
+    spans = F.zip_with(F.concat(F.array(F.lit(0)), F.slice("ends", 1, F.greatest(F.size("ends") - 1, F.lit(0)))), "ends", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    terms = index.select("ids", "dl", "doc", "tf", F.explode(F.arrays_zip("terms", spans.alias("s"))).alias("x"))
+    size = F.col("x.s.b") - F.col("x.s.a")
+    own = terms.select("ids", "dl", F.col("x.terms").alias("term"), F.arrays_zip(F.slice("doc", F.col("x.s.a") + 1, size).alias("doc"), F.slice("tf", F.col("x.s.a") + 1, size).alias("tf")).alias("p"))
+    return own.select("term", "ids", "dl", F.inline("p")).select(F.get("ids", "doc").alias("id"), "term", "tf", F.get("dl", "doc").alias("dl"))
 
 
 def term_weights(counts: DataFrame, stats: DataFrame) -> DataFrame:
@@ -54,69 +104,102 @@ def term_weights(counts: DataFrame, stats: DataFrame) -> DataFrame:
 def bm25(queries: DataFrame, docs: DataFrame, query_id: str, query_text: str, doc_id: str, doc_text: str, k: int = CANDIDATES) -> DataFrame:
     """query_id, doc_id, score, rank: the k best documents with a positive score; ties by id.
 
-    A query's repeated terms count as often as they stand.  Up to MOST_ASKED weights of query terms go to all tasks,
-    which score texts where they are read and shuffle their k best only.  More of them meet postings in a join.
+    The index is built once and settled; search() reads it.
+    """
+    return search(queries, settled(build_index(docs, doc_id, doc_text)), query_id, query_text, "doc_id", k)
+
+
+def search(queries: DataFrame, index: DataFrame, query_id: str, query_text: str, doc_id: str = "doc_id", k: int = CANDIDATES) -> DataFrame:
+    """query_id, doc_id, score, rank of an index that is there.
+
+    A query's repeated terms count as often as they stand.  Up to MOST_ASKED weights of query terms go to all tasks, which
+    score the index's blocks where they are and shuffle their k best only; a query passes over a block whose terms
+    cannot lift any document above its k-th best so far.  More weights meet postings in a join.
     """
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(words(F.col(query_text))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    stats = corpus_stats(docs, doc_text)
-    weighted = asked.join(term_weights(document_counts(docs, doc_id, doc_text), stats), "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
+    stats = index_stats(index)
+    weighted = asked.join(term_weights(document_counts(index), stats), "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
     some = weighted.limit(MOST_ASKED + 1).toArrow()
     if some.num_rows <= MOST_ASKED:
-        schema = f"query_id {queries.schema[query_id].dataType.simpleString()}, doc_id {docs.schema[doc_id].dataType.simpleString()}, score double"
-        total = _tokens(docs, doc_id, doc_text).mapInArrow(_score_texts(some, stats.first()["avgdl"], k), schema)
-        return top(total, "query_id", F.col("score").desc(), "doc_id", k).withColumn("score", F.round("score", 6))
-    posted = postings(docs, doc_id, doc_text, asked).crossJoin(F.broadcast(stats.select("avgdl")))
+        schema = f"query_id {queries.schema[query_id].dataType.simpleString()}, doc_id {index.schema['ids'].dataType.elementType.simpleString()}, score double"
+        shared = index.sparkSession.sparkContext.broadcast((some, stats.first()["avgdl"] or 1.0))
+        total = index.mapInArrow(_score_blocks(shared, k), schema)
+        return top(total, "query_id", F.col("score").desc(), "doc_id", k).withColumn("score", F.round("score", 6)).withColumnRenamed("doc_id", doc_id)
+    posted = postings(index).crossJoin(F.broadcast(stats.select("avgdl")))
     one = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = posted.join(weighted, "term").withColumn("part", one)
     total = scored.groupBy("query_id", F.col("id").alias("doc_id")).agg(F.round(F.sum("part"), 6).alias("score")).filter("score > 0")
-    return top(total, "query_id", F.col("score").desc(), "doc_id", k)
-
-
-def _score_texts(asked: pa.Table, avgdl: float | None, k: int):
-    """Batches of (id, w: words) to the k best texts of a task for each query (asked: query_id, term, weight)."""
-    names, query = np.unique(asked.column("query_id").to_numpy(zero_copy_only=False), return_inverse=True)
-    terms, term = np.unique(asked.column("term").to_numpy(zero_copy_only=False), return_inverse=True)
-    order = np.argsort(term, kind="stable")
-    query, weight, first = query[order], asked.column("weight").to_numpy()[order], np.searchsorted(term[order], np.arange(len(terms) + 1))
-    rows = max(64, _SCORES // max(len(names), 1))
-
-    def scores(held: pa.ListArray) -> np.ndarray:
-        length = pc.fill_null(pc.list_value_length(held), 0).to_numpy(zero_copy_only=False)
-        at = pc.fill_null(pc.index_in(held.flatten(), value_set=pa.array(terms, pa.string())), -1).to_numpy(zero_copy_only=False)
-        key, tf = np.unique((at.astype(np.int64) * len(held) + np.repeat(np.arange(len(held)), length))[at >= 0], return_counts=True)
-        t, doc = np.divmod(key, len(held))
-        part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / (avgdl or 1)))
-        out, ends = np.zeros((len(names), len(held))), np.flatnonzero(np.diff(t, prepend=-1, append=-1))
-        for a, b in pairwise(ends.tolist()):
-            own = slice(first[t[a]], first[t[a] + 1])
-            out[query[own, None], doc[a:b]] += weight[own, None] * part[a:b]
-        return np.round(out, 6)
-
-    def run(batches):
+    return top(total, "query_id", F.col("score").desc(), "doc_id", k).withColumnRenamed("doc_id", doc_id)
+
+
+def _score_blocks(shared, k: int):
+    """Blocks of an index to the k best documents of a task for each query; shared: (query_id, term, weight) and avgdl."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, avgdl = shared.value
+        names, query = np.unique(asked.column("query_id").to_numpy(zero_copy_only=False), return_inverse=True)
+        terms, term = np.unique(asked.column("term").to_numpy(zero_copy_only=False), return_inverse=True)
+        order = np.argsort(term, kind="stable")
+        query, weight, first = query[order], asked.column("weight").to_numpy()[order], np.searchsorted(term[order], np.arange(len(terms) + 1))
+        lookup = pa.array(terms, pa.string())
+        part = lambda tf, dl: tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
         best: list[tuple] = [(np.zeros(0, object), np.zeros(0))] * len(names)
-        kind = (pa.string(), pa.string())
+        floor, kind = np.zeros(len(names)), pa.string()
         for batch in batches:
-            kind = asked.column("query_id").type, batch.column("id").type
-            for a in range(0, batch.num_rows, rows):
-                part = batch.slice(a, rows)
-                ids, found = part.column("id").to_numpy(zero_copy_only=False), scores(part.column("w"))
-                for q, row in enumerate(found):
-                    hit = np.flatnonzero(row > 0)
-                    every, score = np.r_[best[q][0], ids[hit].astype(object)], np.r_[best[q][1], row[hit]]
-                    if len(every) > k:
-                        near = np.flatnonzero(score >= np.partition(score, -k)[-k])
-                        near = near[np.argsort(every[near], kind="stable")]
-                        near = near[np.argsort(-score[near], kind="stable")][:k]
-                        every, score = every[near], score[near]
-                    best[q] = every, score
+            kind = batch.schema.field("ids").type.value_type
+            for i in range(batch.num_rows):
+                field = lambda n: batch.column(n)[i].values  # noqa: B023, E731
+                ids, dl = field("ids").to_numpy(zero_copy_only=False), field("dl").to_numpy()
+                at = pc.fill_null(pc.index_in(field("terms"), value_set=lookup), -1).to_numpy(zero_copy_only=False)
+                there = np.flatnonzero(at >= 0)
+                ends, doc, tf = field("ends").to_numpy(), field("doc").to_numpy(), field("tf").to_numpy()
+                bound = np.zeros(len(names))
+                highest = part(field("most").to_numpy()[there], field("least").to_numpy()[there])
+                for t, high in zip(at[there].tolist(), highest.tolist(), strict=True):
+                    own = slice(first[t], first[t + 1])
+                    bound[query[own]] += np.maximum(weight[own], 0) * high
+                wanted = np.flatnonzero(np.round(bound, 6) > floor - 1e-6)
+                row = np.full(len(names), -1)
+                for a in range(0, len(wanted), step := max(1, _SCORES // max(len(ids), 1))):
+                    here = wanted[a : a + step]
+                    row[:] = -1
+                    row[here] = np.arange(len(here))
+                    out = np.zeros((len(here), len(ids)))
+                    for t, j in zip(at[there].tolist(), there.tolist(), strict=True):
+                        own = slice(first[t], first[t + 1])
+                        to = row[query[own]]
+                        if (to >= 0).any():
+                            p = slice(int(ends[j - 1]) if j else 0, int(ends[j]))
+                            out[to[to >= 0, None], doc[p]] += weight[own][to >= 0, None] * part(tf[p], dl[doc[p]])
+                    _merge(best, floor, here, np.round(out, 6), ids, k)
         size = [len(x[0]) for x in best]
         if sum(size):
-            columns = [pa.array(np.repeat(names, size), kind[0]), pa.array(np.concatenate([x[0] for x in best]), kind[1]), pa.array(np.concatenate([x[1] for x in best]))]
+            columns = [pa.array(np.repeat(names, size), asked.column("query_id").type), pa.array(np.concatenate([x[0] for x in best]), kind), pa.array(np.concatenate([x[1] for x in best]))]
             yield pa.record_batch(columns, names=["query_id", "doc_id", "score"])
 
     return run
 
 
+def _merge(best: list[tuple], floor: np.ndarray, here: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int) -> None:
+    """Take the block's documents into the k best of the queries `here`; floor is a query's k-th best score so far."""
+    if scores.shape[1] > k:  # all that may be among the k best of a row, ties included
+        least = np.partition(scores, -k, axis=1)[:, -k]
+    else:
+        least = np.zeros(len(here))
+    for q, row, low in zip(here.tolist(), scores, least.tolist(), strict=True):
+        hit = np.flatnonzero((row > 0) & (row >= max(low, floor[q])))
+        if not len(hit):
+            continue
+        every, score = np.r_[best[q][0], ids[hit].astype(object)], np.r_[best[q][1], row[hit]]
+        if len(every) > k:
+            near = np.argsort(every, kind="stable")
+            near = near[np.argsort(-score[near], kind="stable")][:k]
+            every, score = every[near], score[near]
+        best[q] = every, score
+        if len(every) == k:
+            floor[q] = score[-1]
+
+
 def top(scored: DataFrame, group: str, order: Column, tie: str, k: int) -> DataFrame:
     """Add rank and keep the first k of each group."""
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(order, tie))).filter(F.col("rank") <= k)

@@ -179,8 +179,8 @@ def _audited(spark, d):
     return ground.audit(docs, "doc_id", "text", "allowed")
 
 
-_SENTENCES = r"""l as (select doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x: replace(regexp_replace(regexp_replace(x, '^\s*[#>*•\-]+\s*', ''), '^\s*\d{1,2}[.)]\s+', ''), '**', '')), chr(10)) as x from documents),
-p as (select doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(x, '([.!?;])\s+', '\1' || chr(10), 'g'), '\n+'), lambda q: trim(q, ' -*•' || chr(9))), lambda q: q <> '') as p from l),
+_SENTENCES = rf"""l as (select doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x: replace(regexp_replace(regexp_replace(x, '{text.LINE_MARK}', ''), '{text.ITEM_NUMBER}', ''), '{text.EMPHASIS}', '')), chr(10)) as x from documents),
+p as (select doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(x, '([{text.SENTENCE_END}])\s+', '\1' || chr(10), 'g'), '\n+'), lambda q: trim(q, '{text.AROUND}')), lambda q: q <> '') as p from l),
 s as (select doc_id, unnest(p) as sentence, generate_subscripts(p, 1) - 1 as sentence_idx from p)"""
 _VALUE = "case w " + " ".join(f"when '{k}' then {float(v)!r}" for k, v in numbers.WORD_VALUES.items()) + " end"
 _OPEN = "not ((v = floor(v) and v between 0 and 10) or list_has_any([v, round_even(v, 0), round_even(v, 1), round_even(v, 2)], [2024.0, 100.0]))"

@@ -274,6 +274,36 @@ def test_a_hundred_thousand_aliases(spark):
     assert got == {i: p for i, t in texts if (p := best(t))}
 
 
+def test_an_index_is_built_once_and_read_again(spark, tmp_path, monkeypatch):
+    import math as m
+    import random
+    from collections import Counter
+
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(60)]
+    texts = [(i, " ".join(rng.choices(vocabulary, weights=range(60, 0, -1), k=rng.randrange(0, 40))) if i % 17 else None) for i in range(300)]
+    asked = [(q, " ".join(rng.choices(vocabulary, k=5))) for q in range(12)] + [(99, "unheard of")]
+    monkeypatch.setattr(retrieval, "BLOCK_WORDS", 500)
+    docs = spark.createDataFrame(texts, "d long, t string").repartition(3)
+    retrieval.build_index(docs, "d", "t").write.parquet(str(tmp_path / "index"))
+    index = spark.read.parquet(str(tmp_path / "index"))
+    assert index.count() > 3 and max(r.n for r in index.selectExpr("aggregate(dl, 0, (a, x) -> a + x) as n").collect()) < 500 + 40
+    tf = {i: Counter((t or "").split()) for i, t in texts}
+    df = Counter(w for c in tf.values() for w in c)
+    assert {r.term: r.df for r in retrieval.document_counts(index).collect()} == dict(df)
+    assert {(r.id, r.term, r.tf, r.dl) for r in retrieval.postings(index).collect()} == {(i, w, n, c.total()) for i, c in tf.items() for w, n in c.items()}
+    n, avg = len(texts), sum(c.total() for c in tf.values()) / len(texts)
+    raw = {w: m.log(n - x + 0.5) - m.log(x + 0.5) for w, x in df.items()}
+    idf = {w: x if x >= 0 else 0.25 * sum(raw.values()) / len(raw) for w, x in raw.items()}
+    want = set()
+    for q, text in asked:
+        score = {i: round(sum(idf.get(w, 0) * c[w] * 2.5 / (c[w] + 1.5 * (0.25 + 0.75 * c.total() / avg)) for w in text.split() if c[w]), 6) for i, c in tf.items()}
+        want |= {(q, i, r + 1) for r, (_, i) in enumerate(sorted((-s, i) for i, s in score.items() if s > 0)[:7])}
+    assert {(r.query_id, r.d, r["rank"]) for r in retrieval.search(spark.createDataFrame(asked, "q long, t string"), index, "q", "t", "d", 7).collect()} == want
+    monkeypatch.setattr(retrieval, "_SCORES", 1)
+    assert {(r.query_id, r.d, r["rank"]) for r in retrieval.search(spark.createDataFrame(asked, "q long, t string"), index, "q", "t", "d", 7).collect()} == want
+
+
 def test_sources_of_records_and_vectors(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "chunk_id string, v double")
     files.add_vectors(rows, str(tmp_path / "v"))
@@ -390,6 +420,41 @@ def test_streams(spark, tmp_path):
     assert sorted(r.n for r in spark.sql("select * from windows").collect()) == [1, 3]
 
 
+def test_looks_at_unknown_sources(spark):
+    rows = spark.createDataFrame([("x" * 200, 1), ("2.5", 2), ("n/a", 3)], "s string, n int")
+    assert [len(r.s) for r in files.inspect(rows.orderBy("n"), 1).collect()] == [160]
+    assert [r.v for r in rows.orderBy("n").select(files.sniffed(F.col("s")).alias("v")).collect()] == [None, 2.5, None]
+    assert [r.line for r in evaluate.markdown(rows.filter("n > 1").orderBy("n"), ["n", "s"]).collect()] == ["| 2 | 2.5 |", "| 3 | n/a |"]
+    cells = spark.createDataFrame([(1.0,), (-9999.0,), (float("nan"),), (None,)], "v double")
+    assert [r.b for r in cells.select(grid.is_nodata(F.col("v"), -9999.0).alias("b")).collect()] == [False, True, True, True]
+    assert [r.b for r in cells.select(grid.is_nodata(F.col("v")).alias("b")).collect()] == [False, False, True, True]
+
+
+def test_article_markup_is_read_by_structure(spark):
+    from siltstone.functions import markup
+
+    t = F.col("t")
+    nested = "<body><p>A &#8211; b&eacute; &lt;i&gt;</p><table-wrap><fig><fig>in</fig>x</fig><p>cell</p></table-wrap><p>C<xref ref-type='bibr'>1</xref>d</p></body>"
+    assert one(spark, text.clean_jats(t), t=nested).split() == ["A", "–", "bé", "<i>", "C", "d"]
+    assert one(spark, text.clean_jats(t), t="<sub-article><abstract><title>T</title>x<!-- <fig> --></abstract></sub-article><body a='>'>y<fig/>z</body>").split() == ["T", "x", "y", "z"]
+    assert markup.article_text("<p>open <fig> stays</p>").split() == ["open", "stays"] and markup.article_text("") == ""
+    assert markup.article_text("<body><![CDATA[a <b> &amp;]]></body>").strip() == "a <b> &amp;"
+    assert markup.article_text("<BODY><P>up</P></BODY>").split() == ["up"]
+    assert one(spark, text.clean_html(t), t="&#x41;&#66; &copy 5 &notin; x &amp;lt;b&amp;gt; y") == "AB © 5 ∉ x y"
+
+
+def test_numbers_of_nested_records(spark):
+    from siltstone.functions import nested
+
+    record = F.struct(F.lit(-1.5).alias("a2"), F.lit(True).alias("b"), F.array(F.struct(F.lit("x 7 and 8.25").alias("c"), F.lit(None).cast("int").alias("d9"))).alias("list"), F.create_map(F.lit("k10"), F.array(F.lit(11))).alias("m"))
+    assert one(spark, nested.record_numbers(record)) == [-1.5, 2.0, 7.0, 8.25, 9.0, 10.0, 11.0]
+    assert one(spark, nested.json_numbers(F.col("t")), t='{"1e3": [1e3, false, null, "2019-03"]}') == [1.0, 3.0, 1000.0, 2019.0]
+    assert one(spark, nested.json_numbers(F.lit(None).cast("string"))) is None
+    allowed = ground.allowed_numbers(F.lit("in 3 plots"), record=record)
+    held = spark.range(1).select(allowed.alias("a"))
+    assert held.select(ground.ungrounded(F.lit("1.5 and 8.2 but not 12.5 of 10"), F.col("a")).alias("u")).first().u == ["12.5"]
+
+
 def test_sse_blocks(spark):
     rows = spark.createDataFrame([("event: token\ndata: a\n\nbroken\n\ndata: b",)], "t string")
     assert [(r.event, r.data) for r in events.parse_sse(rows, "t").orderBy("seq").collect()] == [("token", "a"), ("message", "b")]
