@@ -28,7 +28,7 @@ from siltstone.session import settled
 #: The bin of what is missing, so there are as many bins for values at most.
 MISSING = 255
 #: Rounds after which the rows' sums are written.
-SETTLE = 20
+SETTLE = 10
 
 
 @dataclass
@@ -197,7 +197,8 @@ def _rows(df: DataFrame, bins: Binning, label: str, fold: str | None, carry: lis
 def _matrix(batch: pa.RecordBatch, models: int) -> tuple[np.ndarray, np.ndarray]:
     """Bins and sums of a batch."""
     packed = batch.column("bins")
-    bins = np.frombuffer(b"".join(packed.to_pylist()), np.uint8).reshape(len(batch), -1)
+    ends = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(batch) + 1]
+    bins = np.frombuffer(packed.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(len(batch), -1)
     return bins, batch.column("sums").flatten().to_numpy().reshape(len(batch), models)
 
 
