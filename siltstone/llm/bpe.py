@@ -37,7 +37,7 @@ _NONE = np.int32(2**31 - 1)
 CHUNK_BYTES, LONG, _PIECES, _IDS = 4 << 20, 1 << 18, 1 << 18, 1 << 20
 #: Bytes of pieces that every task gets with their ids; of others that a worker keeps; different pieces that a task counts
 #: before it hands them on.
-SHARED, VOCABULARY, COUNTED = 16 << 20, 4 << 20, 1 << 18
+SHARED, VOCABULARY, COUNTED = 8 << 20, 2 << 20, 1 << 17
 _TABLES: dict[bytes, Merges] = {}
 
 
@@ -297,6 +297,7 @@ def replayed(texts: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
     held = texts.sparkSession.sparkContext.broadcast(ranks)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _VOCABULARY.clear()  # that of an encoding before this one
         match, seen = regex.compile(pattern), Counter()
         row = lambda: pa.record_batch([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["piece", "n"])
         for chunk in chunks(batches, CHUNK_BYTES):
