@@ -197,7 +197,7 @@ def _merge(best: list[tuple], floor: np.ndarray, here: np.ndarray, scores: np.nd
             every, score = every[near], score[near]
         best[q] = every, score
         if len(every) == k:
-            floor[q] = score[-1]
+            floor[q] = score.min()
 
 
 def top(scored: DataFrame, group: str, order: Column, tie: str, k: int) -> DataFrame:

@@ -3,6 +3,7 @@
 import math
 from datetime import datetime, timedelta
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from siltstone.functions import climate, numbers, places, text
@@ -470,3 +471,11 @@ def test_files(spark, tmp_path):
     files.append_json(rows.select("title"), at)
     assert spark.read.json(at).count() == 4
     assert rows.select(files.first_filled(rows, ["nothing", "TITLE"]).alias("x")).first()["x"] in ("x", "y")
+
+
+def test_a_list_that_just_fills_up_keeps_its_least_score_as_floor():
+    best, floor = [(np.zeros(0, object), np.zeros(0))], np.zeros(1)
+    for scores, ids in (([3.0, 9.0], [1, 2]), ([5.0], [3])):
+        retrieval._merge(best, floor, np.array([0]), np.array([scores]), np.array(ids), 2)
+        assert floor[0] == min(sorted(best[0][1])[-2:])
+    assert sorted(zip(best[0][0].tolist(), best[0][1].tolist(), strict=True)) == [(2, 9.0), (3, 5.0)]
