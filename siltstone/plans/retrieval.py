@@ -49,13 +49,12 @@ def tokenize(spark, d):
 df as (select term, count(*) as df from (select unnest(w) as term from toks) group by 1),
 raw as materialized (select term, df, ln((select count(*) from documents) - df + 0.5) - ln(df + 0.5) as raw from df),
 mean as materialized (select avg(raw) as m from raw)
-select length(term) as chars, count(*) as terms, sum(df) as df, round(sum(case when raw < 0 then 0.25 * m else raw end), 4) as idf, min(term) as first from raw, mean group by 1""")
+select term, df, round(case when raw < 0 then 0.25 * m else raw end, 6) as idf from raw, mean""")
 def term_weights(spark, d):
-    """Terms by their length: how many there are, the documents they stand in, and their weights, summed."""
+    """Every term with the documents it stands in and its weight."""
     index = settled(retrieval.build_index(table(spark, d, "documents"), "doc_id", "text"))
     found = retrieval.term_weights(retrieval.document_counts(index), retrieval.index_stats(index))
-    sums = found.groupBy(F.length("term").cast("long").alias("chars")).agg(F.count(F.lit(1)).alias("terms"), F.sum("df").alias("df"), F.round(F.sum("idf"), 4).alias("idf"), F.min("term").alias("first"))
-    return sums.select("chars", "terms", "df", "idf", "first")
+    return found.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @plans.add(f"with {_BM25} select query_id, doc_id, score, rank from lexical")
