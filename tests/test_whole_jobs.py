@@ -1,5 +1,9 @@
 """Queries and operators do their whole job, at sizes where a bound once was."""
 
+from pyspark.sql import functions as F
+
+from siltstone.operators import models
+
 
 def test_term_weights_returns_every_term(spark, tmp_path):
     from siltstone.plans import registry
@@ -7,3 +11,19 @@ def test_term_weights_returns_every_term(spark, tmp_path):
     spark.createDataFrame([(1, "a b a"), (2, "b c"), (3, "d"), (4, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     found = registry.queries()["term_weights"](spark, str(tmp_path)).collect()
     assert sorted((r.term, r.df) for r in found) == [("a", 1), ("b", 2), ("c", 1), ("d", 1)]
+
+
+def test_importance_scores_all_deals_in_one_pass(spark, monkeypatch):
+    class Line:
+        calls = 0
+
+        def transform(self, df):
+            self.calls += 1
+            return df.withColumn("prediction", F.col("x") * 2)
+
+    rows = spark.createDataFrame([(float(i % 50), float(i % 7), "c", float(i % 50) * 2) for i in range(400)], "x double, noise double, c string, y double")
+    for slot in (8192, 50):
+        monkeypatch.setattr(models, "SLOT", slot)
+        model = Line()
+        got = {r["column"]: r.importance for r in models.permutation_importance(model, rows, ["x", "noise", "c"], "y", repeats=4).collect()}
+        assert model.calls == 1 and got["noise"] == got["c"] == 0 and 1.6 < got["x"] < 2.4  # values of no relation lose 2
