@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from siltstone.operators import models
+from siltstone.operators import grid, models
 
 
 def test_term_weights_returns_every_term(spark, tmp_path):
@@ -27,3 +27,13 @@ def test_importance_scores_all_deals_in_one_pass(spark, monkeypatch):
         model = Line()
         got = {r["column"]: r.importance for r in models.permutation_importance(model, rows, ["x", "noise", "c"], "y", repeats=4).collect()}
         assert model.calls == 1 and got["noise"] == got["c"] == 0 and 1.6 < got["x"] < 2.4  # values of no relation lose 2
+
+
+def test_nearest_looks_once_at_each_place(spark):
+    points = spark.range(5000).select(F.col("id").alias("point_id"), (F.col("id") % 3).alias("row"), F.lit(1).cast("long").alias("col"))
+    points = points.unionByName(spark.createDataFrame([(7, None, 1), (7, 50, 1)], "point_id long, row long, col long"))
+    cells = spark.createDataFrame([(0, 1, 5.0), (3, 1, 6.0), (2, 1, None)], "row long, col long, value double")
+    found = grid.nearest_valid(points, cells, 2)
+    assert sorted(tuple(r) for r in found.groupBy("value", "d2").count().na.fill(-1).collect()) == [(-1.0, -1, 2), (5.0, 0, 1667), (5.0, 1, 1667), (6.0, 1, 1666)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [row" in plan[plan.index("Generate") :].split("Join")[0]  # only places go through the search
