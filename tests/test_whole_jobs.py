@@ -37,3 +37,27 @@ def test_nearest_looks_once_at_each_place(spark):
     assert sorted(tuple(r) for r in found.groupBy("value", "d2").count().na.fill(-1).collect()) == [(-1.0, -1, 2), (5.0, 0, 1667), (5.0, 1, 1667), (6.0, 1, 1666)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [row" in plan[plan.index("Generate") :].split("Join")[0]  # only places go through the search
+
+
+def test_second_list_keeps_forty_others_of_large_labels(spark, tmp_path):
+    from siltstone.plans import retrieval as plans
+
+    rows = [(i, i % 2, [1.0]) for i in range(0, 400)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = plans.second(spark, str(tmp_path))
+    got = sorted((r.query_id, r["rank"], r.doc_id) for r in found.collect())
+    want = [(q, k + 1, i) for q in range(0, 400, 50) for k, i in enumerate([i for i in range(0, 400, 2) if i != q][:40])]
+    assert got == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "place" in plan  # each label's first are taken before queries meet them
+
+
+def test_citations_carry_snippets_only(spark, tmp_path):
+    from siltstone.plans import registry
+
+    spark.createDataFrame([(i, f"s{i % 2}", str(i) * 500) for i in range(4)], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 0), (0, 1), (1, 2)], "conv_id long, turn long").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = registry.queries()["citations_dedupe"](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in found.collect()) == [(0, "s0", 1, 1, "0" * 240), (0, "s1", 2, 1, "3" * 240), (1, "s1", 1, 1, "3" * 240)]
+    below = found._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)[1]
+    assert "substring(text" in below
