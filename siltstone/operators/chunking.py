@@ -2,14 +2,49 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import cased_words, occurrences, words
 
 SIZE, STEP, CARRY = 380, 320, 60
+#: Words indexed at a time.
+INDEXED = 1 << 18
+
+
+def inverted(df: DataFrame, id_col: str, words: Column) -> DataFrame:
+    """id_col, postings (array of (word, positions)): each row's own inverted index, made where the row is; nothing is shuffled."""
+
+    def index(some: pa.RecordBatch, size: np.ndarray) -> pa.RecordBatch:
+        coded = some.column("w").flatten().dictionary_encode()
+        many = max(len(coded.dictionary), 1)
+        key = np.repeat(np.arange(len(size)), size) * many + coded.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(key, kind="stable")
+        key, place = key[order], (np.arange(len(key)) - np.repeat(np.cumsum(size) - size, size))[order]
+        begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        row, word = np.divmod(key[begin], many)
+        positions = pa.ListArray.from_arrays(pa.array(np.r_[begin, len(key)], pa.int32()), pa.array(place, pa.int32()))
+        entries = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(word)), positions], ["word", "positions"])
+        ends = np.cumsum(np.bincount(row, minlength=len(size)))
+        return pa.RecordBatch.from_arrays([some.column("id"), pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), entries)], ["id", "postings"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = pc.fill_null(pc.list_value_length(batch.column("w")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends, a = np.cumsum(size), 0
+            while a < len(batch):
+                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + INDEXED, "right")))
+                yield index(batch.slice(a, b - a), size[a:b])
+                a = b
+
+    kind = df.schema[id_col].dataType.simpleString()
+    found = df.select(F.col(id_col).alias("id"), words.alias("w")).mapInArrow(run, f"id {kind}, postings array<struct<word:string,positions:array<int>>>")
+    return found.withColumnRenamed("id", id_col)
 
 
 def windows(df: DataFrame, id_col: str, text_col: str, size: int = SIZE, step: int = STEP) -> DataFrame:

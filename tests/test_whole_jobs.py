@@ -1,8 +1,11 @@
 """Queries and operators do their whole job, at sizes where a bound once was."""
 
+import html
+
 from pyspark.sql import functions as F
 
-from siltstone.operators import grid, models
+from siltstone.functions import markup, text
+from siltstone.operators import chunking, grid, ground, models
 
 
 def test_term_weights_returns_every_term(spark, tmp_path):
@@ -61,3 +64,27 @@ def test_citations_carry_snippets_only(spark, tmp_path):
     assert sorted(tuple(r) for r in found.collect()) == [(0, "s0", 1, 1, "0" * 240), (0, "s1", 2, 1, "3" * 240), (1, "s1", 1, 1, "3" * 240)]
     below = found._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)[1]
     assert "substring(text" in below
+
+
+def test_inverted_index_keeps_rows_apart_and_shuffles_nothing(spark, monkeypatch):
+    monkeypatch.setattr(chunking, "INDEXED", 3)
+    docs = spark.createDataFrame([(1, "a b a"), (1, "b"), (2, None), (3, " "), (4, "c a c d e c")], "i long, t string")
+    found = chunking.inverted(docs, "i", text.words(F.col("t")))
+    got = sorted((r.i, sorted((p.word, p.positions) for p in r.postings)) for r in found.collect())
+    assert got == [(1, [("a", [0, 2]), ("b", [1])]), (1, [("b", [0])]), (2, []), (3, []), (4, [("a", [1]), ("c", [0, 2, 5]), ("d", [3]), ("e", [4])])]
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_references_go_through_python(spark):
+    raw = ["a &amp; b", "&notit; &lt;p&gt;x", "&#65;&#x42 &#0; &", "&nosuch; &amp;amp;", "none", "", "&amp", "é&eacute;&&lt", None]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(raw)], "i int, x string").select("i", markup.unescape(F.col("x")).alias("y"))
+    assert {r.i: r.y for r in rows.collect()} == {i: x if x is None else html.unescape(x) for i, x in enumerate(raw)}
+    assert "ArrowEvalPython [_unescaped(CASE" in rows._jdf.queryExecution().optimizedPlan().toString() and "regexp_extract_all" in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_audit_finds_each_sentences_numbers_once(spark):
+    docs = spark.createDataFrame([(1, "It is 12. Twenty of 30. None. Twelve.", [12.0])], "i long, t string, allowed array<double>")
+    found = ground.audit(docs, "i", "t", "allowed")
+    assert [r.verdict for r in found.orderBy("sentence_idx").collect()] == ["pass", "fail_both", "pass", "pass"]
+    plan = ground.audit_summary(found)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") <= 2
