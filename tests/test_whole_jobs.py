@@ -5,7 +5,7 @@ import html
 from pyspark.sql import functions as F
 
 from siltstone.functions import markup, text
-from siltstone.operators import chunking, grid, ground, models
+from siltstone.operators import boosting, chunking, grid, ground, models
 
 
 def test_term_weights_returns_every_term(spark, tmp_path):
@@ -88,3 +88,17 @@ def test_audit_finds_each_sentences_numbers_once(spark):
     assert [r.verdict for r in found.orderBy("sentence_idx").collect()] == ["pass", "fail_both", "pass", "pass"]
     plan = ground.audit_summary(found)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") <= 2
+
+
+def test_trees_grow_on_kinds_of_rows(spark, monkeypatch):
+    grow, seen = boosting._grow, []
+
+    def counted(rows, *rest):
+        seen.append(rows.count())
+        return grow(rows, *rest)
+
+    monkeypatch.setattr(boosting, "_grow", counted)
+    rows = spark.createDataFrame([("ab"[i % 2], i % 3, float(i % 2) + i % 5) for i in range(600)], "c string, fold int, y double")
+    out = boosting.out_of_fold(rows, ["c"], [], "y", "fold", 3, rounds=1, step=1.0, l2=0.0, least=1, depth=1).collect()
+    assert seen == [6] and len(out) == 600
+    assert {(round(r.predicted - 2, 6), r.y % 1) for r in out} == {(0.0, 0.0), (1.0, 0.0)}
