@@ -1,16 +1,19 @@
 """HTML extraction by differencing each page with its nearest-URL page.
 
 A page becomes text lines, one for each block, each with the part of the page it stands in.  Parts that HTML itself marks
-as no article (menus, headers, footers, forms, notices, comments and so on) never count.  A page with an article element
-is settled by it: its text is the article's lines.  Any other page is an open one and is differenced.
+as no article (menus, headers, footers, forms, notices, comments and so on) never count.  Every page is then differenced.
 
 Pages of one host with equal lines are one entry, at the least of their paths, and share its result.  Entries are sorted
 by host and URL path.  A page's partner is the nearest, by common path, of a few entries on both sides of it on the same
 host that is no copy of it; the lines of both are aligned by longest common subsequence, and shared lines are template
 text and go.  A page of template lines only is left without text.
 
-Pages are parsed once.  Only line hashes travel to the sort, and only those of hosts that have an open page; the text
-lines of open pages are shuffled once.
+Articles repeat lines of each other that are their own text, so within an article element one partner is not enough: a line
+shared with it goes where all of the other entries have it too, WITNESSES or more of them that are no copies of the page
+or of each other.
+
+Pages are parsed twice: first to line hashes, which travel to the sort, then to text lines, which meet the few places that
+go.  No text is written in between, and none is shuffled where the list of places is short.
 """
 
 from __future__ import annotations
@@ -46,7 +49,8 @@ _SAME = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("dt
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|([^\s=/"'>]+)""")
 _PLAIN, _ARTICLE, _APART, _MAIN = range(4)
-_PARSED = [("id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("lines", pa.binary()), ("text", pa.string()), ("blocks", pa.list_(pa.string()))]
+#: Pages, the partner among them, that must have a line of an article for it to be template text.
+WITNESSES = 4
 
 
 def _marked(name: str, attributes: str, inside: bool) -> bool:
@@ -202,21 +206,31 @@ def _place(url: str | None) -> tuple[str, str]:
         return "", url or ""
 
 
-def _parse(differ: bool):
-    def run(batches):
-        for table in chunks(batches, 8 << 20, "html"):
-            out = {n: [] for n in ("host", "path", "lines", "text", "blocks")}
-            for url, page in zip(table.column("url"), table.column("html"), strict=True):
-                found = lines_of(page.as_py() or "")
-                settled = not differ or not found or _body({p for _, p in found}) == _ARTICLE
-                row = (*_place(url.as_py()), b"".join(xxhash.xxh64_digest(t) + bytes([p]) for t, p in found))
-                row += (main_text(found, set()), None) if settled else (None, [t for t, _ in found])
-                for held, value in zip(out.values(), row, strict=True):
-                    held.append(value)
-            columns = [pa.array(out[n], k) for n, k in _PARSED[2:]]
-            yield pa.record_batch([*(table.column(n).combine_chunks() for n in ("id", "url")), *columns], names=[n for n, _ in _PARSED])
+def _pages(batches):
+    """Tables of id, url and html with host, path and text lines of each page, and the hashes and parts of its lines."""
+    for table in chunks(batches, 8 << 20, "html"):
+        places = [_place(u.as_py()) for u in table.column("url")]
+        found = [lines_of(p.as_py() or "") for p in table.column("html")]
+        yield table, places, found, [b"".join(xxhash.xxh64_digest(t) + bytes([p]) for t, p in x) for x in found]
+
+
+def _key(host: str, lines: bytes) -> int:
+    """The entry that a page belongs to."""
+    return int.from_bytes(xxhash.xxh64_digest(xxhash.xxh64_digest(host) + lines), "big", signed=True)
+
 
-    return run
+def _parse(batches):
+    for _, places, _, lines in _pages(batches):
+        hosts, paths = zip(*places, strict=True)
+        columns = [pa.array([_key(h, x) for h, x in zip(hosts, lines, strict=True)], pa.int64()), pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(lines, pa.binary())]
+        yield pa.record_batch(columns, names=["key", "host", "path", "lines"])
+
+
+def _blocks(batches):
+    for table, places, found, lines in _pages(batches):
+        keys = pa.array([_key(h, x) for (h, _), x in zip(places, lines, strict=True)], pa.int64())
+        blocks = pa.array([body_lines(x) for x in found], pa.list_(pa.string()))
+        yield pa.record_batch([table.column("id").combine_chunks(), table.column("url").combine_chunks(), keys, blocks], names=["id", "url", "key", "blocks"])
 
 
 def _common(a: str, b: str) -> tuple[int, int]:
@@ -233,32 +247,68 @@ def _body(parts: set[int]) -> int:
 def template_lines(host: str, path: str, lines: bytes, around: list) -> bytes:
     """The places of a page's template lines, four bytes each, by its nearest neighbour that is no copy.
 
-    Copies have the same lines or, of the pages with a main element, more than half of its lines in common both ways.
-    Pages with nine tenths of all their lines in common are partners only where there is no other.
+    Copies have the same lines or, of the pages with a main or article element, more than half of its lines in common both
+    ways.  Pages with nine tenths of all their lines in common are partners only where there is no other.
     """
     own = [lines[i : i + 9] for i in range(0, len(lines), 9)]
     near = sorted((x for x in around if x and x["host"] == host), key=lambda x: _common(path, x["path"]), reverse=True)
     body, mine = _body({x[8] for x in own}), set(own)
-    text, alike = {x for x in own if x[8] == body}, None
+    text, partner, alike, seen = {x for x in own if x[8] == body}, None, None, []
     for other in near:
         theirs = [other["lines"][i : i + 9] for i in range(0, len(other["lines"]), 9)]
         others = set(theirs)
-        if mine == others or (body == _MAIN and len(text & others) * 2 > max(len(text), sum(x[8] == body for x in others))):
+        if mine == others or (body in (_MAIN, _ARTICLE) and _copies(text, {x for x in others if x[8] == body})):
             continue  # a copy says nothing about the template
+        seen.append(others)
         if len(mine & others) * 10 >= len(mine | others) * 9:
             alike = alike or theirs
-            continue
-        return np.array(shared(own, theirs), "<u4").tobytes()
-    return np.array(shared(own, alike), "<u4").tobytes() if alike else b""
+        elif partner is None:
+            partner = theirs
+    partner = partner or alike
+    if not partner:
+        return b""
+    places = shared(own, partner)
+    if body == _ARTICLE:
+        sure = _witnessed(text, seen)
+        places = [i for i in places if own[i][8] != body or own[i] in sure]
+    return np.array(places, "<u4").tobytes()
+
+
+def _copies(a: set, b: set) -> bool:
+    return len(a & b) * 2 > max(len(a), len(b))
+
+
+def _witnessed(text: set, pages: list[set]) -> set:
+    """The lines of an article that all pages have, if WITNESSES of them or more are no copies of each other."""
+    apart: list[set] = []
+    for page in pages:
+        article = {x for x in page if x[8] == _ARTICLE}
+        if not any(article == x or _copies(article - text, x - text) for x in apart):
+            apart.append(article)
+    return text.intersection(*apart) if len(apart) >= WITNESSES else set()
 
 
 def _compare(batches):
     for batch in batches:
         rows = zip(*(batch.column(n).to_pylist() for n in ("host", "path", "lines", "before", "after")), strict=True)
-        out = [template_lines(h, p, x, [*a[::-1], *b]) for h, p, x, a, b in rows]
+        out = [body_places(x, template_lines(h, p, x, [*a[::-1], *b])) for h, p, x, a, b in rows]
         yield pa.record_batch([batch.column("key"), pa.array(out, pa.binary())], names=["key", "template"])
 
 
+def body_lines(lines: list[tuple[str, int]]) -> list[str]:
+    """The lines of the part that holds a page's text."""
+    body = _body({p for _, p in lines})
+    return [t for t, p in lines if p == body]
+
+
+def body_places(lines: bytes, template: bytes) -> bytes:
+    """Places of template lines among all lines as places among the lines of the text; others are left out."""
+    parts = np.frombuffer(lines, np.uint8)[8::9]
+    inside = parts == _body(set(parts.tolist()))
+    places = np.frombuffer(template, "<u4")
+    return (np.cumsum(inside) - 1)[places[inside[places]]].astype("<u4").tobytes()
+
+
 def main_text(lines: list[tuple[str, int]], template: set[int]) -> str:
     """What is left of a page's lines, joined by a space."""
     body = _body({p for _, p in lines})
@@ -268,17 +318,15 @@ def main_text(lines: list[tuple[str, int]], template: set[int]) -> str:
 def _finish(batches):
     for batch in batches:
         out = []
-        for blocks, lines, template in zip(*(batch.column(n) for n in ("blocks", "lines", "template")), strict=True):
+        for blocks, template in zip(batch.column("blocks"), batch.column("template"), strict=True):
             places = set(np.frombuffer(template.as_buffer(), "<u4").tolist()) if template.is_valid else set()
-            out.append(main_text(list(zip(blocks.as_py(), lines.as_py()[8::9], strict=True)), places))
+            out.append(" ".join(t for i, t in enumerate(blocks.as_py()) if i not in places))
         yield pa.record_batch([batch.column("id"), batch.column("url"), pa.array(out, pa.string())], names=["id", "url", "text"])
 
 
 def _templates(parsed: DataFrame, near: int) -> DataFrame:
-    """key, template: the places of template lines of the entries of open pages."""
-    hosts = parsed.filter("blocks is not null").select("host").distinct()
-    entries = parsed.groupBy("key").agg(F.min(F.struct("path", "host", "lines")).alias("one"), F.max(F.col("blocks").isNotNull()).alias("open"))
-    entries = durable(entries.select("key", "one.*", "open").join(hosts, "host", "left_semi"))
+    """key, template: the places of template lines among the text lines of the entries that have any."""
+    entries = durable(parsed.filter("length(lines) > 0").groupBy("key").agg(F.min(F.struct("path", "host", "lines")).alias("one")).select("key", "one.*"))
     parts = parts_for(entries, F.length("lines") + F.length("path") + 64, 4 << 20)
     placed = entries.repartitionByRange(parts, "host", "path", "key").sortWithinPartitions("host", "path", "key")
     placed = durable(placed.withColumn("part", F.spark_partition_id()).withColumn("spot", F.monotonically_increasing_id()))
@@ -293,25 +341,26 @@ def _templates(parsed: DataFrame, near: int) -> DataFrame:
     ends = end(within, "first").join(end(back, "last"), "part")
     ends = durable(ends.select("part", F.lag("last").over(parts).alias("last_before"), F.lead("first").over(parts).alias("first_after")))
     before, after = F.collect_list(page).over(within.rowsBetween(-near, -1)), F.collect_list(page).over(within.rowsBetween(1, near))
-    around = placed.withColumns({"before": before, "after": after}).filter("open").join(ends, "part", "left")
+    around = placed.withColumns({"before": before, "after": after}).join(ends, "part", "left")
     none = F.array().cast("array<struct<host:string,path:string,lines:binary>>")
     around = around.withColumn("before", F.when(F.size("before") < near, F.concat(F.coalesce("last_before", none), "before")).otherwise(F.col("before")))
     around = around.withColumn("after", F.when(F.size("after") < near, F.concat("after", F.coalesce("first_after", none))).otherwise(F.col("after")))
-    return around.select("key", "host", "path", "lines", "before", "after").mapInArrow(_compare, "key long, template binary")
+    return around.select("key", "host", "path", "lines", "before", "after").mapInArrow(_compare, "key long, template binary").filter("length(template) > 0")
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", near: int = 3) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", near: int = 4) -> DataFrame:
     """Per row: id_col, url_col, text (the main text; empty if none, also of a null or empty html).
 
-    An open page looks at `near` entries on each side; with 0 nothing is differenced.  Null urls count as one host with
+    A page looks at `near` entries on each side; with 0 nothing is differenced.  Null urls count as one host with
     an empty path; a page alone on its host has no partner and nothing to delete by it; repeated rows are copies of each
     other.  Whole pages, any length.
     """
     rows = pick(pages, id=id_col, url=url_col, html=html_col).select(F.col("id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    parsed = durable(rows.mapInArrow(_parse(near > 0), "id long, url string, host string, path string, lines binary, text string, blocks array<string>"))
-    parsed = parsed.withColumn("key", F.xxhash64("host", "lines"))
-    settled = parsed.filter("blocks is null").select("id", "url", "text")
+    found = rows.mapInArrow(_blocks, "id long, url string, key long, blocks array<string>")
     if near > 0:
-        joined = parsed.filter("blocks is not null").select("id", "url", "key", "lines", "blocks").join(_templates(parsed, near), "key", "left")
-        settled = settled.unionByName(joined.mapInArrow(_finish, "id long, url string, text string"))
-    return settled.withColumnsRenamed({"id": id_col, "url": url_col})
+        parsed = rows.select("id", "url", "html").mapInArrow(_parse, "key long, host string, path string, lines binary")
+        found = found.join(durable(_templates(parsed, near)), "key", "left")
+    else:
+        found = found.withColumn("template", F.lit(None).cast("binary"))
+    found = found.select("id", "url", "blocks", "template").mapInArrow(_finish, "id long, url string, text string")
+    return found.withColumnsRenamed({"id": id_col, "url": url_col})
