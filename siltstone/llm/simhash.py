@@ -16,8 +16,8 @@ the 0.27th power of the number of fingerprints, work and shuffle with the 1.27th
 Equal fingerprints are one node, so copies never multiply pairs.  A cell with more than PART members is dealt out as
 pairs of parts.  In a cell, the members near a few pivots become stars first, and stars are not compared within.
 
-first_of_similar takes such components, of thresholds wide enough to miss no similar pair, only as groups in which to
-look: links are the pairs of texts in a group whose shingle sets have the similarity asked for.
+first_of_similar takes no fingerprints, which would leave out similar pairs: siltstone.llm.overlap finds the groups in
+which to look, and links are the pairs of texts in a group whose shingle sets have the similarity asked for.
 """
 
 from __future__ import annotations
@@ -27,12 +27,12 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import chunks, durable, mix, pick, ragged
 from siltstone.llm.graph import components
+from siltstone.llm.overlap import Maps, candidates, parity, reached, sets, shingle_hashes, shingle_set, stars
 
 #: Members of a cell that one task compares with each other at most; bytes of text fingerprinted at a time.
 PART, CHUNK_BYTES = 131072, 8 << 20
@@ -51,26 +51,6 @@ _PACKED = pa.schema([("cell", pa.int64()), ("n", pa.int64()), ("members", pa.bin
 _EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
-def shingle_hashes(text: bytes, words: int, seed: int) -> np.ndarray:
-    """The 64-bit hash of each run of `words` words in lower case; a shorter text is one shingle, one without words none."""
-    tokens = text.lower().split()
-    if not tokens:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(tokens)
-    size = np.fromiter(map(len, tokens), np.int64, len(tokens))
-    stop = np.cumsum(size + 1) - 1
-    start = stop - size
-    if len(tokens) > words:
-        start, stop = start[: len(tokens) - words + 1], stop[words - 1 :]
-    else:
-        start, stop = start[:1], stop[-1:]
-    out = np.empty(len(start), np.uint64)
-    for a in range(0, len(start), _BLOCK):
-        spans = zip(start[a : a + _BLOCK].tolist(), stop[a : a + _BLOCK].tolist(), strict=True)
-        out[a : a + _BLOCK] = np.frombuffer(b"".join([xxhash.xxh64_digest(joined[b:e], seed) for b, e in spans]), ">u8")
-    return out
-
-
 def fingerprint(text: bytes, words: int, seed: int, prints: int = 1, distinct: bool = False) -> bytes:
     """`prints` times eight bytes, the most significant first; from the second on the hashes are mixed anew.
 
@@ -271,20 +251,11 @@ def _verify(bits: int, prints: int, total: int | None):
         if i != j and not (sides[0] and sides[1]):
             return _EDGES.empty_table()
         member = np.concatenate([*sides[0], *sides[1]])
-        return _edges(link(member[:, :prints], bits, total, 0 if i == j else sum(map(len, sides[0]))), member[:, prints])
+        return stars(link(member[:, :prints], bits, total, 0 if i == j else sum(map(len, sides[0]))), member[:, prints])
 
     return run
 
 
-def _edges(label: np.ndarray, node: np.ndarray) -> pa.Table:
-    """A link from each node to the least of its label."""
-    _, place = np.unique(label, return_inverse=True)
-    least = np.full(place.max(initial=-1) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, place, node)
-    edge = least[place] != node
-    return pa.Table.from_arrays([pa.array(node[edge]), pa.array(least[place][edge])], schema=_EDGES)
-
-
 def near_links(nodes: DataFrame, bits: int, prints: int = 1, total: int | None = None) -> DataFrame:
     """Links u, v that join the nodes (node, fp; fp distinct) within `bits` of each other, as stars of each grid cell."""
     n = nodes.count()
@@ -329,76 +300,65 @@ def near_duplicates(
     return found.select(F.col("id").alias(id_col), "sig", "fp", F.expr("if(id is null, null, component_id)").alias("component_id"))
 
 
-def similar_groups(sets: list[np.ndarray], fps: np.ndarray, bits: int, total: int, least: float) -> np.ndarray:
+def similar_groups(sets: list[np.ndarray], least: float) -> np.ndarray:
     """A label for each set: equal for those that chains of links join.
 
-    Sets, each without repeats, link where their Jaccard similarity is at least `least`, and are looked at where their
-    fingerprints are within `bits` and `total`; empty sets are equal.  A set that is reached is compared only with those
-    not reached yet, so a group of many near copies costs little more than its members.
+    Sets, each without repeats, link where their Jaccard similarity is at least `least`; parity maps only spare the
+    comparison of pairs that cannot be; empty sets are equal.
     """
     size = np.fromiter(map(len, sets), np.int64, len(sets))
     end = np.cumsum(size)
     _, values = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True)
     held = np.zeros(values.max(initial=-1) + 1, bool)
-    label, rest = np.empty(len(sets), np.int64), np.arange(len(sets))
-    while len(rest):
-        seed, rest = rest[0], rest[1:]
-        label[seed], reached = seed, [seed]
-        while reached and len(rest):
-            x = reached.pop()
-            near = rest[_near(fps, rest, np.full(len(rest), x), bits, total)]
-            near = near[np.minimum(size[near], size[x]) >= least * np.maximum(size[near], size[x]) - 1e-9]
-            if not len(near):
-                continue
-            own = values[end[x] - size[x] : end[x]]
-            held[own] = True
-            stop = np.cumsum(size[near])
-            inside = np.r_[0, np.cumsum(held[ragged(values, end[near] - size[near], size[near])])]
-            held[own] = False
-            common = inside[stop] - inside[stop - size[near]]
-            near = near[common >= least * (size[near] + size[x] - common) - 1e-9]
-            label[near] = seed
-            reached += near.tolist()
-            rest = rest[~np.isin(rest, near)] if len(near) else rest
-    return label
+    maps = Maps(size, [parity(x) for x in sets], least)
+
+    def near(x, rest):
+        near = maps.near(x, rest)
+        if not len(near):
+            return near
+        own = values[end[x] - size[x] : end[x]]
+        held[own] = True
+        stop = np.cumsum(size[near])
+        inside = np.r_[0, np.cumsum(held[ragged(values, end[near] - size[near], size[near])])]
+        held[own] = False
+        common = inside[stop] - inside[stop - size[near]]
+        return near[common >= least * (size[near] + size[x] - common) - 1e-9]
 
+    return reached(len(sets), near)
 
-def _similar_links(words: int, seed: int, bits: int, prints: int, total: int, least: float):
+
+def _similar_links(words: int, seed: int, least: float):
     """Stars u, v of the similar texts of a group, or of two parts of one."""
 
     def run(table):
-        sig = table.column("sig").to_numpy()
-        fps = np.frombuffer(b"".join(table.column("fp").to_pylist()), ">u8").astype(np.uint64).reshape(-1, prints)
-        sets = [np.unique(shingle_hashes(t.as_buffer().to_pybytes() if t.is_valid else b"", words, seed)) for t in table.column("text")]
-        return _edges(similar_groups(sets, fps, bits, total, least), sig)
+        found = [shingle_set(t, words, seed) for t in table.column("text")]
+        return stars(similar_groups(found, least), table.column("sig").to_numpy())
 
     return run
 
 
-def first_of_similar(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, seed: int = 42, least: float = 0.8, bits: int = 24, prints: int = 4, total: int = 72
-) -> DataFrame:
+def first_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, seed: int = 42, least: float = 0.8) -> DataFrame:
     """id, sig (a hash of the text), n: of each group of similar texts the row of the least id, and how many rows it stands for.
 
     Texts link where the Jaccard similarity of their sets of `words`-word shingles is at least `least`, and chains of
-    links make a group.  Sketches choose the pairs that are looked at: their first prints differ in at most `bits` bits
-    and all prints in at most `total`, both far from what a similar pair reaches.  Texts without words are all similar.
-    Rows with a null id are left out.
+    links make a group; no such pair is left out.  Texts without words are all similar.  Rows with a null id are left out.
     """
-    found = near_duplicates(docs, id_col, text_col, words, seed, bits, prints, total, distinct=True).withColumnRenamed(id_col, "id").filter("id is not null")
-    rows = found.groupBy("id", "sig").agg(F.first("fp").alias("fp"), F.first("component_id").alias("cell"), F.count(F.lit(1)).alias("n"))
-    texts = durable(rows.groupBy("sig").agg(F.min(F.struct("id", "n", "cell", "fp")).alias("one")).select("sig", "one.*"))
+    found, rank = sets(docs, id_col, text_col, words, seed)
+    roots = components(candidates(docs, found, rank, id_col, text_col, words, seed, least))
+    found = found.join(roots, "node", "left").withColumn("cell", F.coalesce("root", "node"))
+    rows = found.groupBy("id", "sig").agg(F.first("cell").alias("cell"), F.count(F.lit(1)).alias("n"))
+    texts = durable(rows.groupBy("sig").agg(F.min(F.struct("id", "n", "cell")).alias("one")).select("sig", "one.*"))
     several = texts.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     several = several.select("cell", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))  # a cell may hold very many texts
     grouped = texts.withColumn("salt", F.pmod("sig", F.lit(SALTS)).cast("int")).join(several, ["cell", "salt"])
     held = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long"), F.col("text").cast("string")).withColumn("sig", F.xxhash64("text"))
-    held = durable(held.join(grouped.select("id", "sig", "cell", "fp"), ["id", "sig"]).dropDuplicates(["id", "sig"]))
+    held = durable(held.join(grouped.select("id", "sig", "cell"), ["id", "sig"]).dropDuplicates(["id", "sig"]))
     sizes = held.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.sum(F.octet_length("text")).alias("bytes"))
     large = sizes.filter((F.col("size") > GROUP) | (F.col("bytes") > GROUP_BYTES))
     large = large.select("cell", F.ceil(F.greatest(F.col("size") / (GROUP / 2), F.col("bytes") / (GROUP_BYTES / 2))).cast("long").alias("parts"))
     dealt = held.join(F.broadcast(large), "cell", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("sig"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    dealt = dealt.select("cell", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "sig", "fp", "text")
-    links = dealt.groupBy("cell", "i", "j").applyInArrow(_similar_links(words, seed, bits, prints, total, least), "u long, v long")
+    dealt = dealt.select("cell", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "sig", "text")
+    links = dealt.groupBy("cell", "i", "j").applyInArrow(_similar_links(words, seed, least), "u long, v long")
     groups = texts.join(components(links), texts["sig"] == F.col("node"), "left").withColumn("group", F.coalesce("root", "sig"))
     return groups.groupBy("group").agg(F.min(F.struct("id", "sig", "n")).alias("one")).select("one.*")
