@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import chunks, durable, mix, pick, ragged
+from siltstone.llm.common import chunks, durable, mix, pick, ragged, same
 from siltstone.llm.graph import components
 from siltstone.llm.overlap import Maps, candidates, parity, reached, sets, shingle_hashes, shingle_set, stars
 
@@ -341,18 +341,19 @@ def first_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """id, sig (a hash of the text), n: of each group of similar texts the row of the least id, and how many rows it stands for.
 
     Texts link where the Jaccard similarity of their sets of `words`-word shingles is at least `least`, and chains of
-    links make a group; no such pair is left out.  Texts without words are all similar.  Rows with a null id are left out.
+    links make a group; no such pair is left out.  Texts without words are all similar.  A null id comes after all others.
     """
     found, rank = sets(docs, id_col, text_col, words, seed)
     roots = components(candidates(docs, found, rank, id_col, text_col, words, seed, least))
     found = found.join(roots, "node", "left").withColumn("cell", F.coalesce("root", "node"))
     rows = found.groupBy("id", "sig").agg(F.first("cell").alias("cell"), F.count(F.lit(1)).alias("n"))
-    texts = durable(rows.groupBy("sig").agg(F.min(F.struct("id", "n", "cell")).alias("one")).select("sig", "one.*"))
+    none = F.col("id").isNull().alias("none")
+    texts = durable(rows.groupBy("sig").agg(F.min(F.struct(none, "id", "n", "cell")).alias("one")).select("sig", "one.*"))
     several = texts.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     several = several.select("cell", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))  # a cell may hold very many texts
     grouped = texts.withColumn("salt", F.pmod("sig", F.lit(SALTS)).cast("int")).join(several, ["cell", "salt"])
     held = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long"), F.col("text").cast("string")).withColumn("sig", F.xxhash64("text"))
-    held = durable(held.join(grouped.select("id", "sig", "cell"), ["id", "sig"]).dropDuplicates(["id", "sig"]))
+    held = durable(same(held, grouped.select("id", "sig", "cell"), ["id", "sig"]).dropDuplicates(["id", "sig"]))
     sizes = held.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.sum(F.octet_length("text")).alias("bytes"))
     large = sizes.filter((F.col("size") > GROUP) | (F.col("bytes") > GROUP_BYTES))
     large = large.select("cell", F.ceil(F.greatest(F.col("size") / (GROUP / 2), F.col("bytes") / (GROUP_BYTES / 2))).cast("long").alias("parts"))
@@ -361,4 +362,4 @@ def first_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     dealt = dealt.select("cell", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "sig", "text")
     links = dealt.groupBy("cell", "i", "j").applyInArrow(_similar_links(words, seed, least), "u long, v long")
     groups = texts.join(components(links), texts["sig"] == F.col("node"), "left").withColumn("group", F.coalesce("root", "sig"))
-    return groups.groupBy("group").agg(F.min(F.struct("id", "sig", "n")).alias("one")).select("one.*")
+    return groups.groupBy("group").agg(F.min(F.struct("none", "id", "sig", "n")).alias("one")).select("one.id", "one.sig", "one.n")
