@@ -6,7 +6,9 @@ fingerprint lies in one cell and looks into the cells within the radius, and the
 bit by bit.  Each cell returns a star for each of its components, at most a link a member.
 
 Narrow thresholds: the 32 segments of two bits fall into grids with radii whose sum plus number exceeds the threshold,
-so two fingerprints within it are within the radius in one grid at least.  Every choice of grids finds all pairs.
+so two fingerprints within it are within the radius in one grid at least.  Every choice of grids finds all pairs.  In a cell of more than ALL
+members, two within the threshold are equal in one of as many blocks of bits and one more, so only members that are equal in
+a block are compared; a block that more than RUN members share has them compared in tiles.
 
 Wide thresholds, at which texts of a similarity of 0.8 differ in 39 of 256 bits, leave no such grid that prunes.  There
 each grid draws its segments, of one bit, from all bits; grids are as fine as keeps about CELL members in a cell, and so
@@ -36,6 +38,8 @@ from siltstone.llm.overlap import Maps, candidates, parity, reached, sets, shing
 
 #: Members of a cell that one task compares with each other at most; bytes of text fingerprinted at a time.
 PART, CHUNK_BYTES = 131072, 8 << 20
+#: Members of a cell that are compared all with all; members equal in a block of bits that are; fingerprints dealt to cells at a time.
+ALL, RUN, EMBED = 256, 512, 1 << 17
 #: Texts, and bytes of text, whose shingle sets one task compares with each other at most.
 GROUP, GROUP_BYTES = 8192, 24 << 20
 #: Wide thresholds: members of a cell aimed at; the share of differing bits for which a shared cell is SURE.
@@ -96,7 +100,8 @@ def _plan(n: float, bits: int) -> list[tuple[np.ndarray, int]] | None:
 
     def cost(choice):
         looks = [sum(_ways(len(s), d) for d in range(r + 1)) for s, r in choice]
-        return sum(400 * n * x + n * n * x * 0.375 ** len(s) for x, (s, _) in zip(looks, choice, strict=True))
+        pair = 1 if not len(choice[0][0]) else 0.01  # in cells by blocks, so what counts is that large cells are dealt out
+        return sum(400 * n * x + n * n * x * pair * 0.375 ** len(s) for x, (s, _) in zip(looks, choice, strict=True))
 
     if bits > 8:
         return None
@@ -135,8 +140,18 @@ def _counts(bits: np.ndarray, segments: np.ndarray) -> np.ndarray:
 def _embed(plan, prints: int):
     """Map fingerprints with their node to packed members of cells; a member is (prints, node)."""
 
-    def run(batches):
+    def joined(batches):
+        held, size = [], 0
         for batch in batches:
+            held, size = [*held, batch], size + len(batch)
+            if size >= EMBED:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+        if held:
+            yield pa.Table.from_batches(held)
+
+    def run(batches):
+        for batch in joined(batches):
             raw = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint8).reshape(-1, 8 * prints)
             bits = np.unpackbits(raw, axis=1)
             member = np.column_stack([raw.view(">i8").astype("<i8"), batch.column("node").to_numpy()])
@@ -242,6 +257,44 @@ def link(fps: np.ndarray, bits: int, total: int | None = None, cut: int = 0) ->
     return out
 
 
+def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels, each the place of its root, after rows a and b are joined: the lower root stays."""
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return label
+        a, b = a[apart], b[apart]
+        np.minimum.at(label, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while ((up := label[label]) != label).any():
+            label = up
+
+
+def link_by_blocks(fps: np.ndarray, bits: int) -> np.ndarray:
+    """As link() of one print: fingerprints within `bits` are equal in one of bits + 1 blocks of their 64 bits."""
+    fps = np.ascontiguousarray(fps).view(np.uint64)
+    label = np.arange(len(fps))
+    ends = np.linspace(0, 64, bits + 2).astype(int)
+    for low, high in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        key = fps >> np.uint64(low) & np.uint64((1 << (high - low)) - 1)
+        order = np.argsort(key, kind="stable")
+        begin = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0])
+        size = np.diff(np.r_[begin, len(order)])
+        for at, n in zip(begin[size > RUN].tolist(), size[size > RUN].tolist(), strict=True):
+            own = order[at : at + n]
+            label = _merge(label, own, own[link(fps[own, None], bits)])
+        left = np.repeat(np.where(size > RUN, 0, size), size) - (np.arange(len(order)) - np.repeat(begin, size)) - 1  # rows of the run beyond each
+        place, step = np.flatnonzero(left > 0), 1
+        while len(place):
+            a, b = order[place], order[place + step]
+            near = (label[a] != label[b]) & (np.bitwise_count(fps[a] ^ fps[b]) <= bits)
+            if near.any():
+                label = _merge(label, a[near], b[near])
+            step += 1
+            place = place[left[place] >= step]
+    return label
+
+
 def _verify(bits: int, prints: int, total: int | None):
     def run(key, table):
         _, i, j = (k.as_py() for k in key)
@@ -251,6 +304,8 @@ def _verify(bits: int, prints: int, total: int | None):
         if i != j and not (sides[0] and sides[1]):
             return _EDGES.empty_table()
         member = np.concatenate([*sides[0], *sides[1]])
+        if prints == 1 and total is None and len(member) > ALL:
+            return stars(link_by_blocks(member[:, 0], bits), member[:, 1])
         return stars(link(member[:, :prints], bits, total, 0 if i == j else sum(map(len, sides[0]))), member[:, prints])
 
     return run
@@ -260,7 +315,7 @@ def near_links(nodes: DataFrame, bits: int, prints: int = 1, total: int | None =
     """Links u, v that join the nodes (node, fp; fp distinct) within `bits` of each other, as stars of each grid cell."""
     n = nodes.count()
     plan = _plan(n, bits) or wide_plan(n, prints)
-    packed = nodes.mapInArrow(_embed(plan, prints), "cell long, n long, members binary")
+    packed = durable(nodes.mapInArrow(_embed(plan, prints), "cell long, n long, members binary"))
     sizes = packed.groupBy("cell").agg(F.sum("n").alias("n"))
     if len(plan[0][0]):
         parts = sizes.filter(F.col("n") > PART).select("cell", F.ceil(F.col("n") / (PART / 2)).alias("parts"))
@@ -268,11 +323,10 @@ def near_links(nodes: DataFrame, bits: int, prints: int = 1, total: int | None =
         tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         parts = sizes.select("cell", F.greatest(F.ceil(F.col("n") / (PART / 2)), F.least(F.lit(math.isqrt(4 * tasks)), F.ceil(F.col("n") / 64))).alias("parts"))
     dealt = packed.join(parts, "cell", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
-    return (
-        dealt.mapInArrow(_deal(prints), "cell long, i long, j long, part long, members binary")
-        .groupBy("cell", "i", "j")
-        .applyInArrow(_verify(bits, prints, total), "u long, v long")
-    )
+    zero = F.lit(0).cast("long")
+    whole = dealt.filter("parts = 1").select("cell", zero.alias("i"), zero.alias("j"), zero.alias("part"), "members")
+    cut = dealt.filter("parts > 1").mapInArrow(_deal(prints), "cell long, i long, j long, part long, members binary")
+    return whole.unionByName(cut).groupBy("cell", "i", "j").applyInArrow(_verify(bits, prints, total), "u long, v long")
 
 
 def near_duplicates(
